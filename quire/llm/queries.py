@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import exact_dedup, simhash
+from quire.llm import exact_dedup, packing, quality, secret_scan, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +20,30 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, most_bits=4)
 
 
+def op8_secret_scan(spark, sf_dir):
+    found = secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
+    count = {f"n_{k}": F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long") for k in ("assign", "access", "hex")}
+    return found.select(
+        "doc_id", *(c.alias(name) for name, c in count.items()),
+        F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"),
+    )
+
+
+def op9_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"), size=1024)
+
+
+def op10_quality(spark, sf_dir):
+    return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def queries():
     return {
         "op2_exact_dedup": op2_exact_dedup,
         "op3_simhash": op3_simhash,
+        "op8_secret_scan": op8_secret_scan,
+        "op9_packing": op9_packing,
+        "op10_quality": op10_quality,
     }
 
 
