@@ -22,9 +22,12 @@ def op3_simhash(spark, sf_dir):
 
 def op8_secret_scan(spark, sf_dir):
     found = secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
-    count = {f"n_{k}": F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long") for k in ("assign", "access", "hex")}
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
-        "doc_id", *(c.alias(name) for name, c in count.items()),
+        "doc_id", count("assign"), count("access"), count("hex"),
         F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"),
     )
 
