@@ -236,15 +236,14 @@ def fitted(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[np.
 
 def scorer(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE):
     """A function from a text column to its score, fitted on docs and labels."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), bound))
+    made, net = fitted(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), bound)
+    shared = docs.sparkSession.sparkContext.broadcast(made)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        vectors, net = shared.value
-        if not len(texts):
-            return pd.Series(dtype=float)
         known: dict[str, int] = {}
-        return pd.Series(net.score(np.array([pooled(t, vectors, known) for t in texts], np.float64)))
+        x = [pooled(t, shared.value, known) for t in texts]
+        return pd.Series(net.score(np.array(x, np.float64)) if x else [], dtype=float)
 
     return score
 

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import exact_dedup, packing, quality, secret_scan, simhash
+from quire.llm import additive_quantization, exact_dedup, line_dedup, nbest, packing, quality, secret_scan, simhash, substring_dedup, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark, sf_dir):
+    found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), min_docs=3, min_chars=20)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents")).drop("at")
 
@@ -20,6 +25,24 @@ def op3_simhash(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, most_bits=4)
 
 
+def op4_sentencepiece_nbest(spark, sf_dir):
+    return nbest.encode_nbest(_table(spark, sf_dir, "documents"), n=4)
+
+
+def op5_url_filter(spark, sf_dir):
+    found = url_reputation.filter_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+    return found.withColumn("reputation", F.round("reputation", 6))
+
+
+def op6_substring_dedup(spark, sf_dir):
+    found = substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"), window=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op7_nearest(spark, sf_dir):
+    return additive_quantization.nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op8_secret_scan(spark, sf_dir):
     found = secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
 
@@ -42,8 +65,13 @@ def op10_quality(spark, sf_dir):
 
 def queries():
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_simhash": op3_simhash,
+        "op4_sentencepiece_nbest": op4_sentencepiece_nbest,
+        "op5_url_filter": op5_url_filter,
+        "op6_substring_dedup": op6_substring_dedup,
+        "op7_nearest": op7_nearest,
         "op8_secret_scan": op8_secret_scan,
         "op9_packing": op9_packing,
         "op10_quality": op10_quality,
