@@ -49,6 +49,7 @@ class Pieces:
         special = {i for i in range(n) if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
         self.bytes = {int(self.texts[i][1:-1], 16): i for i in range(n) if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else t.encode() for i, t in enumerate(self.texts)]
         self.ids = {self.texts[i]: i for i in range(n) if i not in special and i not in self.byte_of}
         self.scores = {t: int(model.get_score(i)) for t, i in self.ids.items()}
         if any(model.get_score(i) != s for i, s in ((self.ids[t], s) for t, s in self.scores.items())):
@@ -67,14 +68,13 @@ class Pieces:
         if len(np.unique(hashes)) != len(hashes):
             raise ValueError("piece hashes collide")
         self.mask = np.uint64(size - 1)
-        self.keys, self.values = np.zeros(size, np.uint64), np.full(size, LOW, np.int64)
-        self.probes = 1
-        for h, s in zip(hashes.tolist(), self.scores.values(), strict=True):
-            at, step = (h * int(_MULTIPLIER) % (1 << 64)) >> 46, 1
+        self.keys, self.values = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        for h, i in zip(hashes.tolist(), self.ids.values(), strict=True):
+            at = (h * int(_MULTIPLIER) % (1 << 64)) >> 46
             while self.keys[at]:
-                at, step = (at + 1) & (size - 1), step + 1
-            self.keys[at], self.values[at] = h, s
-            self.probes = max(self.probes, step)
+                at = (at + 1) & (size - 1)
+            self.keys[at], self.values[at] = h, i
+        self.score_of = np.array([self.scores.get(t, LOW) if i not in special else LOW for i, t in enumerate(self.texts)], np.int64)
 
     @staticmethod
     def _hash(text: str) -> int:
@@ -83,13 +83,18 @@ class Pieces:
             h = (h * int(_MULTIPLIER) + ord(c) + 1) % (1 << 64)
         return h
 
-    def scored(self, hashes: np.ndarray) -> np.ndarray:
-        """The score of each hash's piece, LOW for none. A 64-bit hash stands for its piece."""
+    def found(self, hashes: np.ndarray) -> np.ndarray:
+        """The id of each hash's piece, -1 for none. A 64-bit hash stands for its piece."""
         at = (hashes * _MULTIPLIER) >> np.uint64(46)  # the upper 18 bits
-        out = np.where(self.keys[at] == hashes, self.values[at], LOW)
-        for _ in range(1, self.probes):
-            at = (at + np.uint64(1)) & self.mask
-            out = np.where(self.keys[at] == hashes, self.values[at], out)
+        key = self.keys[at]
+        out = np.where(key == hashes, self.values[at], -1)
+        more = np.flatnonzero((key != hashes) & (key != 0))
+        while len(more):
+            at[more] = (at[more] + np.uint64(1)) & self.mask
+            key = self.keys[at[more]]
+            hit = key == hashes[more]
+            out[more[hit]] = self.values[at[more[hit]]]
+            more = more[~hit & (key != 0)]
         return out
 
     def blocks(self, text: str) -> list[str]:
@@ -137,76 +142,62 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, bytes read as UTF-8, marks as spaces, the first one dropped."""
-        parts, raw = [], bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                raw.append(self.byte_of[i])
-                continue
-            if raw:
-                parts.append(raw.decode("utf-8", "surrogatepass"))
-                raw = bytearray()
-            parts.append(self.texts[i])
-        if raw:
-            parts.append(raw.decode("utf-8", "surrogatepass"))
-        text = "".join(parts)
+        raw = b"".join(map(self.raw.__getitem__, ids))
+        text = raw.decode("utf-8", "surrogatepass")
         return text[text.startswith(MARK) :].replace(MARK, " ")
 
     def _lattice(self, blocks: list[str]):
-        """For blocks of one length: best scores, forward and backward, and every edge's score."""
+        """For blocks of one length: best scores forward and backward (place, block), and
+        the edges (start, end, blocks, ids, scores); a character that is no piece has id -1."""
         n, size = len(blocks), len(blocks[0])
-        chars = np.frombuffer("".join(blocks).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, size).astype(np.uint64) + np.uint64(1)
-        edges = {}
+        chars = np.frombuffer("".join(blocks).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, size).T.astype(np.uint64) + np.uint64(1)
+        edges = []
         for start in range(size):
             h = np.zeros(n, np.uint64)
             for end in range(start + 1, min(size, start + self.longest) + 1):
-                h = h * _MULTIPLIER + chars[:, end - 1]
-                score = self.scored(h)
-                if end == start + 1:
-                    score = np.where(score == LOW, self.fallback, score)
-                    edges[start, end] = score
-                elif (score > LOW).any():
-                    edges[start, end] = score
-        forward, back = np.full((n, size + 1), LOW, np.int64), np.full((n, size + 1), LOW, np.int64)
-        forward[:, 0] = back[:, size] = 0
-        for start, end in sorted(edges, key=lambda e: e[1]):
-            forward[:, end] = np.maximum(forward[:, end], np.where(edges[start, end] > LOW, forward[:, start] + edges[start, end], LOW))
-        for start, end in sorted(edges, key=lambda e: -e[0]):
-            back[:, start] = np.maximum(back[:, start], np.where(edges[start, end] > LOW, back[:, end] + edges[start, end], LOW))
+                h = h * _MULTIPLIER + chars[end - 1]
+                ids = self.found(h)
+                rows = np.arange(n) if end == start + 1 else np.flatnonzero(ids >= 0)
+                if len(rows):
+                    ids = ids[rows]
+                    edges.append((start, end, rows, ids, np.where(ids >= 0, self.score_of[ids], self.fallback)))
+        forward, back = np.full((size + 1, n), LOW, np.int64), np.full((size + 1, n), LOW, np.int64)
+        forward[0] = back[size] = 0
+        for start, end, rows, _, score in sorted(edges, key=lambda e: e[1]):
+            forward[end, rows] = np.maximum(forward[end, rows], forward[start, rows] + score)
+        for start, end, rows, _, score in sorted(edges, key=lambda e: -e[0]):
+            back[start, rows] = np.maximum(back[start, rows], back[end, rows] + score)
         return forward, back, edges
 
     def _many(self, blocks: list[str]) -> list[tuple[list[int], int, int]]:
         """(ids, score, loss) of the best path of each block of one length; loss: to the second best, -1 for none."""
         n, size = len(blocks), len(blocks[0])
         forward, back, edges = self._lattice(blocks)
-        best, rows = forward[:, size], np.arange(n)
-        # walk back from the end: of equal edges the one that starts later
-        on_path = {e: np.zeros(n, bool) for e in edges}
-        at = np.full(n, size)
-        cuts = [[] for _ in range(n)]
-        for end in range(size, 0, -1):
-            here = rows[at == end]
-            if not len(here):
-                continue
-            for start in range(end - 1, -1, -1):
-                if (start, end) in edges and len(here):
-                    e = edges[start, end][here]
-                    fits = (e > LOW) & (forward[here, start] + e == forward[here, end])
-                    hit = here[fits]
-                    on_path[start, end][hit] = True
-                    at[hit] = start
-                    for r in hit.tolist():
-                        cuts[r].append(start)
-                    here = here[~fits]
+        best = forward[size]
         second = np.full(n, LOW, np.int64)
-        for (start, end), e in edges.items():
-            through = np.where((e > LOW) & ~on_path[start, end], forward[:, start] + e + back[:, end], LOW)
-            second = np.maximum(second, through)
+        # back from the end: of equal edges the one that starts later
+        at = np.full(n, size)
+        path_rows, path_ids, path_starts = [], [], []
+        for start, end, rows, ids, score in sorted(edges, key=lambda e: (-e[1], -e[0])):
+            whole = forward[start, rows] + score
+            on = (at[rows] == end) & (whole == forward[end, rows])
+            hit = rows[on]
+            at[hit] = start
+            path_rows.append(hit)
+            path_ids.append(ids[on])
+            path_starts.append(np.full(len(hit), start))
+            off = ~on
+            second[rows[off]] = np.maximum(second[rows[off]], whole[off] + back[end, rows[off]])
+        row, ids, starts = np.concatenate(path_rows), np.concatenate(path_ids), np.concatenate(path_starts)
+        order = np.lexsort((starts, row))
+        row, ids, starts = row[order], ids[order].tolist(), starts[order]
+        cuts = np.searchsorted(row, np.arange(n + 1)).tolist()
+        made = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        for r in np.unique(row[np.array(ids) < 0]).tolist():  # characters that are no pieces
+            cut = starts[cuts[r] : cuts[r + 1]].tolist()
+            made[r] = self.ids_of([blocks[r][s:e] for s, e in zip(cut, [*cut[1:], size])])
         loss = np.where(second > LOW // 2, best - second, -1)
-        out = []
-        for block, starts, score, lost in zip(blocks, cuts, best.tolist(), loss.tolist(), strict=True):
-            ends = [size, *starts[:-1]]
-            out.append((self.ids_of([block[s:e] for s, e in zip(starts[::-1], ends[::-1], strict=True)]), score, lost))
-        return out
+        return list(zip(made, best.tolist(), loss.tolist()))
 
     def best_paths(self, blocks: list[str]) -> list[tuple[list[int], int, int]]:
         out: list = [None] * len(blocks)
