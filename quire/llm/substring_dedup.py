@@ -166,7 +166,7 @@ def candidate_windows(rows: DataFrame, window: int, broadcast_bytes: int) -> Dat
 
 
 def later_windows(windows: DataFrame) -> DataFrame:
-    """(doc_id, starts): the windows whose hash has an earlier one, by document.
+    """(doc_id, runs binary): by document, the runs of windows whose hash has an earlier one.
 
     Each hash's first window comes from partial minima; the join back is one of equal
     keys with one row a hash on its right, which splits where a hash is hot.
@@ -174,16 +174,30 @@ def later_windows(windows: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "start")
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = windows.join(first, ["h1", "h2"]).where(place > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+
+    def run(batches):
+        for b in batches:
+            blobs = [runs_of(starts.to_numpy(zero_copy_only=False)).tobytes() for starts in (s.values for s in b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())], ["doc_id", "runs"])
+
+    return later.groupBy("doc_id").agg(F.collect_list("start").alias("starts")).mapInArrow(run, "doc_id long, runs binary")
+
+
+def runs_of(starts: np.ndarray) -> np.ndarray:
+    """(first, last) of each run of consecutive starts."""
+    at = np.unique(starts.astype("<i4"))
+    turn = np.flatnonzero(np.diff(at) > 1)
+    return np.stack([at[np.concatenate(([0], turn + 1))], at[np.concatenate((turn, [len(at) - 1]))]], axis=1)
 
 
-def covered(starts: list[int] | None, n: int, window: int) -> np.ndarray:
-    """Which of n words lie in a window at one of the starts: the union of the intervals."""
+def covered(runs: bytes | None, n: int, window: int) -> np.ndarray:
+    """Which of n words lie in a window of the runs: the union of the intervals."""
     edge = np.zeros(n + 1, np.int64)
-    if starts:
-        at = np.unique(np.array(starts, np.int64))
-        edge[at] += 1
-        edge[at + window] -= 1
+    if runs:
+        pairs = np.frombuffer(runs, "<i4").reshape(-1, 2)
+        pairs = pairs[pairs[:, 0] + window <= n]  # rows that share a doc_id may differ in length
+        np.add.at(edge, pairs[:, 0], 1)
+        np.subtract.at(edge, np.minimum(pairs[:, 1] + window, n), 1)
     return np.cumsum(edge)[:n] > 0
 
 
@@ -201,15 +215,15 @@ def dedup_substrings(docs: DataFrame, window: int = 20, broadcast_bytes: int = B
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
     later = stored(later_windows(candidate_windows(rows, window, broadcast_bytes)), "later")
-    size = later.agg(F.sum(F.size("starts") * 4 + 16)).first()[0] or 0
-    joined = rows.join(F.broadcast(later) if size <= broadcast_bytes else later, "doc_id", "left").select("own", "text", "starts")
+    size = later.agg(F.sum(F.length("runs") + 32)).first()[0] or 0
+    joined = rows.join(F.broadcast(later) if size <= broadcast_bytes else later, "doc_id", "left").select("own", "text", "runs")
 
     def run(batches):
         for b in batches:
             out = []
-            for doc_id, text, starts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc_id, text, runs in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 words = words_of(text)
-                gone = covered([s for s in starts if s + window <= len(words)] if starts else None, len(words), window)
+                gone = covered(runs, len(words), window)
                 turns = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8))).reshape(-1, 2)
                 kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if len(turns) else words
                 out.append((doc_id, b" ".join(kept).decode("utf-8", "surrogatepass"), len(words), int(gone.sum()), turns.tolist()))
