@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import EXPANSIONS, fold
 
-SPANS = "array<struct<start:int,stop:int>>"
+def ngram_positions(texts: DataFrame, grams: list[str], key: str) -> DataFrame:
+    """(key, start, stop): all places of the grams in texts (key, text), overlapping ones too.
 
-
-def ngram_positions(text: Column, gram: str) -> Column:
-    """All places of gram in text, overlapping ones too, as array<struct<start, stop>>."""
-    n = len(gram)
-    if not n:
-        return F.array().cast(SPANS)
-    starts = F.filter(F.sequence(F.lit(0), F.length(text)), lambda i: F.substring(text, i + 1, F.lit(n)) == gram)
-    found = F.transform(starts, lambda i: F.struct(i.alias("start"), (i + n).alias("stop")))
-    return F.when(F.instr(text, gram) > 0, found).otherwise(F.array().cast(SPANS))
+    A text is cut before every place of a gram; running lengths of the pieces are the places.
+    """
+    rows = texts.select(key, F.col("text").alias("whole"))
+    out = None
+    for gram in filter(None, dict.fromkeys(grams)):
+        parts = F.split("whole", rf"(?=\Q{gram}\E)", -1)
+        cut = rows.where(F.contains("whole", F.lit(gram))).select(key, F.posexplode(parts).alias("n", "piece"))
+        before = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+        start = F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("int")
+        found = cut.select(key, "n", "piece", start.alias("start")).where((F.col("n") > 0) | F.startswith("piece", F.lit(gram)))
+        found = found.select(key, "start", (F.col("start") + len(gram)).alias("stop"))
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else rows.select(key, F.lit(0).alias("start"), F.lit(0).alias("stop")).limit(0)
 
 
 def fuse_spans(spans: DataFrame, *key: str) -> DataFrame:

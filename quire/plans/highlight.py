@@ -18,9 +18,5 @@ def highlight_terms(query: str, lang: str = "en", shortest: int = 3) -> list[str
 def highlight(texts: DataFrame, terms: list[str], key: str) -> DataFrame:
     """(key, start, stop): merged places of the terms in texts (key, text), as substrings of the folded lower-case text."""
     rows = texts.select(key, "text")
-    low = F.lower(fold(F.col("text")))
-    spans = F.array_distinct(F.flatten(F.array(*(ngram_positions(low, t) for t in terms)))) if terms else None
-    if spans is None:
-        return rows.select(key, F.lit(0).alias("start"), F.lit(0).alias("stop")).limit(0)
-    found = rows.select(key, F.explode(spans).alias("s")).select(key, "s.start", "s.stop")
-    return shift_spans(fuse_spans(found, key), rows, key)
+    low = rows.select(key, F.lower(fold(F.col("text"))).alias("text"))
+    return shift_spans(fuse_spans(ngram_positions(low, terms, key), key), rows, key)

@@ -96,6 +96,10 @@ def flat(t):
     return docs.unionByName(docs.sparkSession.createDataFrame(SAMPLES, "doc_id long, text string"))
 
 
+def low(t):
+    return flat(t).select("doc_id", F.lower(text.fold(F.col("text"))).alias("text"))
+
+
 def raw(t):
     return t("documents").select(F.col("source").alias("doc_name"), F.col("doc_id").alias("page_key"), "text")
 
@@ -160,11 +164,12 @@ def detect_lang(t):
 
 
 def sql_spans(rows: str, grams: list[str]) -> str:
-    """sp: all places of grams in rows (doc_id, low)."""
+    """sp: all places of grams in rows (doc_id, low); none of these grams overlaps itself."""
     each = " UNION ALL ".join(
-        f"SELECT doc_id, i - 1 AS start, i - 1 + {len(g)} AS stop FROM (SELECT doc_id, low, unnest(range(1, length(low) + 1)) AS i FROM {rows} WHERE contains(low, {quoted(g)})) WHERE substring(low, i, {len(g)}) = {quoted(g)}" for g in grams
+        f"SELECT doc_id, s - {len(g)} AS start, s AS stop FROM (SELECT doc_id, i, n, sum(length(p) + {len(g)}) OVER (PARTITION BY doc_id ORDER BY i) AS s"
+        f" FROM (SELECT doc_id, len(l) AS n, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(low, {quoted(g)}) AS l FROM {rows}))) WHERE i < n" for g in grams
     )
-    return f"sp AS ({each})"
+    return f"sp AS (SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM ({each}))"
 
 
 _FUSE = (
@@ -174,28 +179,25 @@ _FUSE = (
 LOW = f"lo AS (SELECT doc_id, text, lower({sql_fold('text')}) AS low FROM flat)"
 _SHIFT = (
     "ch AS (SELECT doc_id, i - 1 AS raw, length(" + sql_fold("substring(text, i, 1)") + ") AS n FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM lo WHERE length(low) <> length(text)) ),"
-    " ce AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY raw) AS e FROM ch),"
+    " pl AS (SELECT doc_id, raw, unnest(range(CAST(e - n AS BIGINT), CAST(e AS BIGINT))) AS at FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY raw) AS e FROM ch)),"
     " sh AS (SELECT s.doc_id, coalesce(a.raw, s.start) AS start, coalesce(b.raw + 1, s.stop) AS stop FROM fu s"
-    " LEFT JOIN ce a ON a.doc_id = s.doc_id AND a.e - a.n <= s.start AND s.start < a.e LEFT JOIN ce b ON b.doc_id = s.doc_id AND b.e - b.n <= s.stop - 1 AND s.stop - 1 < b.e)"
+    " LEFT JOIN pl a ON a.doc_id = s.doc_id AND a.at = s.start LEFT JOIN pl b ON b.doc_id = s.doc_id AND b.at = s.stop - 1)"
 )
 
 
 @query(f"WITH {FLAT}, {LOW}, {sql_spans('lo', ['the'])} SELECT * FROM sp")
 def ngram_positions(t):
-    low = F.lower(text.fold(F.col("text")))
-    return flat(t).select("doc_id", F.explode(spans.ngram_positions(low, "the")).alias("s")).select("doc_id", "s.start", "s.stop")
+    return spans.ngram_positions(low(t), ["the"], "doc_id")
 
 
 @query(f"WITH {FLAT}, {LOW}, {sql_spans('lo', GRAMS)}, {_FUSE} SELECT * FROM fu")
 def fuse_spans(t):
-    low = F.lower(text.fold(F.col("text")))
-    found = F.flatten(F.array(*(spans.ngram_positions(low, g) for g in GRAMS)))
-    return spans.fuse_spans(flat(t).select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.start", "s.stop"), "doc_id")
+    return spans.fuse_spans(spans.ngram_positions(low(t), GRAMS, "doc_id"), "doc_id")
 
 
-@query(f"WITH {FLAT}, {LOW}, {sql_spans('lo', ['ss', 'oe'])}, {_FUSE}, {_SHIFT} SELECT * FROM sh")
+@query(f"WITH {FLAT}, {LOW}, {sql_spans('lo', ['ass', 'oe'])}, {_FUSE}, {_SHIFT} SELECT * FROM sh")
 def span_shift(t):
-    return highlight.highlight(flat(t), ["ss", "oe"], "doc_id")
+    return highlight.highlight(flat(t), ["ass", "oe"], "doc_id")
 
 
 @query("SELECT * FROM (VALUES (0, 'heed'), (1, 'ing'), (2, 'of the')) v(term_no, term)")
@@ -534,13 +536,13 @@ _DIST = (
 
 @query(
     f"WITH {PO}{VO}{_WV}{_DIST}, {_TP}{_ONE}{_RANK.format(d='distance DESC,').replace('FROM sc)', 'FROM (SELECT sc.*, coalesce(distance, 0.0) AS distance FROM sc LEFT JOIN ds USING (page_idx)))')}"
-    " SELECT doc_rank, rank_in_doc, doc_idx, page_idx, matched, round(distance, 5) + 0.0 AS distance FROM rk"
+    " SELECT doc_rank, rank_in_doc, doc_idx, page_idx, matched, distance + 0.0 AS distance FROM rk"
 )
 def search_pages(t):
     u = component(t)
     found = [[float(x) for x in r["vec"]] for r in query_vectors(t).collect()]  # one row
     out = search.search(built(t), KEYWORDS, page_vectors=embed.page_vectors(means(t), u), query_vectors=found)
-    return out.select("doc_rank", "rank_in_doc", "doc_idx", "page_idx", "matched", (F.round("distance", 5) + 0.0).alias("distance"))
+    return out.select("doc_rank", "rank_in_doc", "doc_idx", "page_idx", "matched", (F.col("distance") + 0.0).alias("distance"))
 
 
 FOUND["search"] = FOUND.pop("search_pages")
