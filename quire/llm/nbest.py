@@ -33,7 +33,7 @@ LOW = -(1 << 60)
 #: Blocks scored at once, and the longest of them; longer ones go one by one.
 ROWS, LONG = 8192, 48
 #: Characters whose blocks are scored together.
-GROUP = 1 << 22
+GROUP = 1 << 23
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -300,7 +300,7 @@ def encode_nbest(docs: DataFrame, n: int = 4, model: str = "piece_bpe_32k.model"
     score 0. Repeated rows get a row each. No rows: no rows. Other columns are not read.
     ``model`` names a file of the public tokenizers, or is a path.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2500)
 
     def run(batches):
         import public_tokenizers

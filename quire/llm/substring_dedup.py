@@ -28,6 +28,8 @@ _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
 #: Words of an anchor, as a share of the window.
 ANCHOR_SHARE = 0.5
+#: Windows (start from 0), and runs of windows that have an earlier one (start -1).
+WINDOWS = "h1 long, h2 long, doc_id long, start int, runs binary"
 #: Stands for a null doc_id: after all others.
 _NO_ID = (1 << 63) - 1
 
@@ -106,11 +108,16 @@ def repeated_anchors(rows: DataFrame, window: int, size: int) -> DataFrame:
 
 
 def _windows(b, texts_at: int, window: int, size: int, roll: Rolling, wanted):
-    """A batch of (h1, h2, doc_id, start) for the windows of b whose anchors are wanted."""
+    """WINDOWS of a batch, for the windows whose anchors are wanted.
+
+    Of equal windows in the batch only the first goes on as a window; the others have an
+    earlier one for certain and become runs of their documents, so that a window which
+    many documents share is one row a batch. Runs get keys that spread.
+    """
     parts = [[], [], [], []]
-    ids = b.column(0).to_pylist()
-    for i, text in enumerate(b.column(texts_at).to_pylist()):
-        words = word_hashes(words_of(text))
+    ids, texts = b.column(0).to_pylist(), b.column(texts_at).to_pylist()
+    for i in sorted(range(len(ids)), key=ids.__getitem__):
+        words = word_hashes(words_of(texts[i]))
         a = anchors(words, window, size, roll)
         start = np.flatnonzero(wanted(a, i)) if len(a) else a[:0].astype(np.int64)
         if len(start):
@@ -118,18 +125,33 @@ def _windows(b, texts_at: int, window: int, size: int, roll: Rolling, wanted):
             parts[1].append(roll(words, window, 1)[start])
             parts[2].append(np.full(len(start), ids[i], np.int64))
             parts[3].append(start.astype(np.int32))
-    arrays = [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(arrays[0].view(np.int64)), pa.array(arrays[1].view(np.int64)), pa.array(arrays[2]), pa.array(arrays[3].astype(np.int32))], ["h1", "h2", "doc_id", "start"]
-    )
+    h1, h2, doc, start = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts)
+    order = np.argsort(h1, kind="stable")  # rows are by document and start
+    again = np.zeros(len(order), bool)
+    if len(order):
+        x, y = h1[order], h2[order]
+        new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+        first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        again[order] = ~new & ((doc[order] != doc[first]) | (start[order] != start[first]))
+    owners = doc[again]
+    edges = np.flatnonzero(np.concatenate(([True], owners[1:] != owners[:-1]))) if len(owners) else []
+    blobs = [runs_of(s).tobytes() for s in np.split(start[again], edges[1:])] if len(owners) else []
+    own = owners[edges] if len(owners) else owners
+    spread = np.array([xxhash.xxh64_intdigest(blob) for blob in blobs], np.uint64)
+    one = ~again
+    columns = [
+        pa.array(np.concatenate([h1[one].astype(np.uint64), spread]).view(np.int64)), pa.array(np.concatenate([h2[one].astype(np.uint64), own.astype(np.int64).view(np.uint64)]).view(np.int64)),
+        pa.array(np.concatenate([doc[one], own]).astype(np.int64)), pa.array(np.concatenate([start[one], np.full(len(own), -1)]).astype(np.int32)),
+        pa.array([None] * int(one.sum()) + blobs, pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["h1", "h2", "doc_id", "start", "runs"])
 
 
 def candidate_windows(rows: DataFrame, window: int, broadcast_bytes: int) -> DataFrame:
-    """(h1, h2, doc_id, start) of every window that may occur twice."""
+    """WINDOWS: every window that may occur twice, and runs of those that do."""
     spark = rows.sparkSession
     size = max(1, int(window * ANCHOR_SHARE))
     again = stored(repeated_anchors(rows, window, size), "anchors")
-    schema = "h1 long, h2 long, doc_id long, start int"
     if 8 * again.count() <= broadcast_bytes:
         held = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in again.toLocalIterator()], np.int64).view(np.uint64)))  # at most broadcast_bytes
 
@@ -143,7 +165,7 @@ def candidate_windows(rows: DataFrame, window: int, broadcast_bytes: int) -> Dat
             for b in batches:
                 yield _windows(b, 1, window, size, roll, wanted)
 
-        return rows.select("doc_id", "text").mapInArrow(run, schema)
+        return rows.select("doc_id", "text").mapInArrow(run, WINDOWS)
 
     def of_docs(batches):
         roll = Rolling()
@@ -162,7 +184,7 @@ def candidate_windows(rows: DataFrame, window: int, broadcast_bytes: int) -> Dat
             sets = b.column(2).to_pylist()
             yield _windows(b, 1, window, size, roll, lambda a, i, sets=sets: np.isin(a, np.array(sets[i], np.int64).view(np.uint64)))
 
-    return rows.select("doc_id", "text").join(per_doc, "doc_id").mapInArrow(of_joined, schema)
+    return rows.select("doc_id", "text").join(per_doc, "doc_id").mapInArrow(of_joined, WINDOWS)
 
 
 def later_windows(windows: DataFrame) -> DataFrame:
@@ -172,15 +194,19 @@ def later_windows(windows: DataFrame) -> DataFrame:
     keys with one row a hash on its right, which splits where a hash is hot.
     """
     place = F.struct("doc_id", "start")
-    first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = windows.join(first, ["h1", "h2"]).where(place > F.col("first"))
+    first = windows.where("start >= 0").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = windows.join(first, ["h1", "h2"], "left").where((F.col("start") < 0) | (place > F.col("first")))
 
     def run(batches):
         for b in batches:
-            blobs = [runs_of(starts.to_numpy(zero_copy_only=False)).tobytes() for starts in (s.values for s in b.column(1))]
+            blobs = []
+            for starts, runs in zip((s.values for s in b.column(1)), b.column(2).to_pylist(), strict=True):
+                known = [np.arange(a, z + 1) for blob in runs for a, z in np.frombuffer(blob, "<i4").reshape(-1, 2)]
+                blobs.append(runs_of(np.concatenate([starts.to_numpy(zero_copy_only=False), *known])).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())], ["doc_id", "runs"])
 
-    return later.groupBy("doc_id").agg(F.collect_list("start").alias("starts")).mapInArrow(run, "doc_id long, runs binary")
+    starts = F.collect_list(F.when(F.col("start") >= 0, F.col("start")))
+    return later.groupBy("doc_id").agg(starts.alias("starts"), F.collect_list("runs").alias("runs")).mapInArrow(run, "doc_id long, runs binary")
 
 
 def runs_of(starts: np.ndarray) -> np.ndarray:
