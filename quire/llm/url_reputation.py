@@ -74,7 +74,7 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
         due = n * m * (1 - m)
         moments = groups.agg(F.sum(F.pow(F.col("bad") - n * m, F.lit(2.0)) - due).alias("over"), F.sum(F.when(n > 0, due * (n - 1))).alias("scale")).first()
         rho = (moments["over"] or 0.0) / moments["scale"] if moments["scale"] else 0.0
-        strength = min(max(1 / max(rho, 1e-9) - 1, STRENGTH[0]), STRENGTH[1])
+        strength = min(max(1 / max(rho, 1e-9) - 1, STRENGTH[0]), min(STRENGTH[1], total["n"] + 2))  # no surer than all outcomes together
         a = F.col("bad") + m * strength
         b = F.col("n") - F.col("bad") + (1 - m) * strength
         mean = a / (a + b)
