@@ -16,10 +16,10 @@ def ngram_positions(texts: DataFrame, grams: list[str], key: str) -> DataFrame:
     out = None
     for gram in filter(None, dict.fromkeys(grams)):
         parts = F.split("whole", rf"(?=\Q{gram}\E)", -1)
-        cut = rows.where(F.contains("whole", F.lit(gram))).select(key, F.posexplode(parts).alias("n", "piece"))
+        cut = rows.where(F.contains("whole", F.lit(gram))).select(key, F.startswith("whole", F.lit(gram)).alias("head"), F.posexplode(parts).alias("n", "piece"))
         before = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
         start = F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("int")
-        found = cut.select(key, "n", "piece", start.alias("start")).where((F.col("n") > 0) | F.startswith("piece", F.lit(gram)))
+        found = cut.select(key, "n", "head", start.alias("start")).where("n > 0 or head")
         found = found.select(key, "start", (F.col("start") + len(gram)).alias("stop"))
         out = found if out is None else out.unionByName(found)
     return out if out is not None else rows.select(key, F.lit(0).alias("start"), F.lit(0).alias("stop")).limit(0)

@@ -176,7 +176,7 @@ _FUSE = (
     "fu AS (SELECT doc_id, min(start) AS start, max(stop) AS stop FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM"
     " (SELECT *, CASE WHEN start > max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS opens FROM (SELECT DISTINCT * FROM sp))) GROUP BY doc_id, island)"
 )
-LOW = f"lo AS (SELECT doc_id, text, lower({sql_fold('text')}) AS low FROM flat)"
+LOW = f"lo AS MATERIALIZED (SELECT doc_id, text, lower({sql_fold('text')}) AS low FROM flat)"
 _SHIFT = (
     "ch AS (SELECT doc_id, i - 1 AS raw, length(" + sql_fold("substring(text, i, 1)") + ") AS n FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM lo WHERE length(low) <> length(text)) ),"
     " pl AS (SELECT doc_id, raw, unnest(range(CAST(e - n AS BIGINT), CAST(e AS BIGINT))) AS at FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY raw) AS e FROM ch)),"
