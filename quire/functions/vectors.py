@@ -14,16 +14,19 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with value evaluated once and not for each component."""
+    return F.transform(F.array(value), use)[0]
+
+
 def unit(a: Column) -> Column:
     """a over its norm; the zero vector stays."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    return _once(a, lambda v: _once(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))))
 
 
 def without(a: Column, u: Column) -> Column:
     """a less its part along u."""
-    along = dot(a, u)
-    return F.zip_with(a, u, lambda x, y: x.cast("double") - y.cast("double") * along)
+    return _once(dot(a, u), lambda along: F.zip_with(a, u, lambda x, y: x.cast("double") - y.cast("double") * along))
 
 
 def sif(count: Column, total: Column, a: float = 1e-3) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.functions.vectors import dot
 from quire.operators.index import Index
 from quire.operators.language import translate_words
 from quire.plans.parser import Term, parse
@@ -97,7 +98,7 @@ def search(index: Index, query: str, langs: list[str] | None = None, docs: list[
     scored = page_grep(pages, found, [len(v) for v in variants])
     if page_vectors is None or not query_vectors:
         return rank(scored.withColumn("distance", F.lit(0.0)))
-    cosines = [sum((F.col("vec")[i] * F.lit(x) for i, x in enumerate(q)), F.lit(0.0)) for q in query_vectors]
+    cosines = [dot(F.col("vec"), F.array(*map(F.lit, q))) for q in query_vectors]
     near = page_vectors.select("page_idx", F.round(F.greatest(*cosines) if len(cosines) > 1 else cosines[0], 6).alias("distance"))
     return rank(scored.join(near, "page_idx", "left").withColumn("distance", F.coalesce("distance", F.lit(0.0))))
 

@@ -469,8 +469,8 @@ def rounded(df, *keys):
     return df.select(*keys, F.posexplode("vec").alias("dim", "x")).select(*keys, "dim", F.round("x", 5).alias("x"))
 
 
-def means(t):
-    tokens = index.page_tokens(numbered(t))
+def means(t, tokens=None):
+    tokens = index.page_tokens(numbered(t)) if tokens is None else tokens
     vocab = index.vocabulary(tokens)
     return embed.sif_vectors(tokens, vocab, word_vectors(t, vocab), DIM)
 
@@ -508,8 +508,8 @@ def sif_page_vector(t):
 _QV = "tk0(doc_idx, page_idx, word) AS (VALUES (0, 0, 'heed'), (0, 0, 'ing'), (0, 0, 'of'), (0, 0, 'the'))"
 
 
-def query_vectors(t):
-    vocab = index.vocabulary(index.page_tokens(numbered(t)))
+def query_vectors(t, tokens=None):
+    vocab = index.vocabulary(index.page_tokens(numbered(t)) if tokens is None else tokens)
     total = vocab.agg(F.coalesce(F.sum("cnt"), F.lit(1))).first()[0]
     asked = terms(t).select(F.lit(0).alias("page_idx"), "word")
     found = embed.sif_vectors(asked, vocab, word_vectors(t, vocab), DIM, total=total)
@@ -539,9 +539,10 @@ _DIST = (
     " SELECT doc_rank, rank_in_doc, doc_idx, page_idx, matched, distance + 0.0 AS distance FROM rk"
 )
 def search_pages(t):
-    u = component(t)
-    found = [[float(x) for x in r["vec"]] for r in query_vectors(t).collect()]  # one row
-    out = search.search(built(t), KEYWORDS, page_vectors=embed.page_vectors(means(t), u), query_vectors=found)
+    u, made = component(t), built(t)
+    made.postings.persist()  # read by the terms, the vocabulary and the page vectors; spills to disk
+    found = [[float(x) for x in r["vec"]] for r in query_vectors(t, made.postings).collect()]  # one row
+    out = search.search(made, KEYWORDS, page_vectors=embed.page_vectors(means(t, made.postings), u), query_vectors=found)
     return out.select("doc_rank", "rank_in_doc", "doc_idx", "page_idx", "matched", (F.col("distance") + 0.0).alias("distance"))
 
 
