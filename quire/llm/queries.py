@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import additive_quantization, exact_dedup, line_dedup, nbest, packing, quality, secret_scan, simhash, substring_dedup, url_reputation
+from quire.llm import additive_quantization, exact_dedup, line_dedup, nbest, oracles, packing, quality, secret_scan, simhash, substring_dedup, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,16 +80,8 @@ def queries():
 
 def oracle_sql():
     return {
-        "op2_exact_dedup": """
-WITH t AS (
-  SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm
-  FROM documents
-), g AS (
-  SELECT norm, count(*) AS group_size, min(struct_pack(less := -length(text), unnamed := doc_id IS NULL, doc_id := doc_id)) AS best
-  FROM t GROUP BY norm
-)
-SELECT t.doc_id, g.best.doc_id AS keep_id, CAST(g.group_size AS BIGINT) AS group_size,
-       t.doc_id IS NOT DISTINCT FROM g.best.doc_id AS kept, sha256(t.norm) AS text_sha256
-FROM t JOIN g USING (norm)
-""",
+        "op1_line_dedup": oracles.lines(min_docs=3, min_chars=20),
+        "op2_exact_dedup": oracles.EXACT,
+        "op5_url_filter": oracles.urls(),
+        "op6_substring_dedup": oracles.substrings(window=20),
     }
