@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches, stored
+from quire.llm.common import BROADCAST_BYTES, small_batches, stored
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Pieces of one length are ranked in so many independent parts.
-PARTS = 64
+#: Pieces of one length are ranked in independent parts of about so many.
+PART = 1 << 20
+#: Bytes that a part takes in the table of parts, about.
+PART_BYTES = 40
 _GAP = re.compile(r"\s{50000}")
 
 
@@ -115,18 +117,23 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
     return found
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
+def ranked(pieces: DataFrame, histogram: dict[int, int], part: int = PART, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """pieces with their rank (from 0, without gaps) among those of the same length.
 
-    No window spans a length: each length is ranked in PARTS parts, which the counts of
-    the parts before them (at most size x PARTS rows) then shift.
+    No window spans a length: each is ranked in parts of about ``part`` pieces by its
+    count in the histogram, which the counts of the parts before them then shift. The
+    parts' counts go to all tasks only while they stay under broadcast_bytes.
     """
-    split = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(PARTS)).cast("int"))
+    parts = {length: n // part + 1 for length, n in histogram.items()}
+    of = pieces.sparkSession.createDataFrame(list(parts.items()), "length long, parts long")  # a row a length
+    split = pieces.join(F.broadcast(of), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), "parts")).drop("parts")
     counts = split.groupBy("length", "part").count()
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift"))
+    if sum(parts.values()) * PART_BYTES <= broadcast_bytes:
+        shift = F.broadcast(shift)
     inner = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")
-    return split.withColumn("rank", F.row_number().over(inner) - 1).join(F.broadcast(shift), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("shift")).drop("part", "shift")
+    return split.withColumn("rank", F.row_number().over(inner) - 1).join(shift, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("shift")).drop("part", "shift")
 
 
 def pack(docs: DataFrame, size: int = 1024, tokenizer=ByteBpe) -> DataFrame:
@@ -140,12 +147,12 @@ def pack(docs: DataFrame, size: int = 1024, tokenizer=ByteBpe) -> DataFrame:
     spark = docs.sparkSession
     pieces = stored(pieces_of(docs, size, tokenizer), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most size rows
-    full = histogram.pop(size, 0)
-    patterns = ([((size,), full)] if full else []) + shortest_pack_first(histogram, size)
+    full = histogram.get(size, 0)
+    patterns = ([((size,), full)] if full else []) + shortest_pack_first({length: n for length, n in histogram.items() if length != size}, size)
     places = spark.createDataFrame(slots(patterns), "length long, first long, last long, sequence long, offset long")
     # Bounded: a length enters each pattern of which there are at most size new ones a step.
     by_length = places.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "last", "sequence", "offset"))).alias("places"))
-    placed = ranked(pieces).join(F.broadcast(by_length), "length")
+    placed = ranked(pieces, histogram).join(F.broadcast(by_length), "length")
     place = F.filter("places", lambda p: (p["first"] <= F.col("rank")) & (F.col("rank") < p["last"]))[0]
     return placed.withColumn("place", place).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
