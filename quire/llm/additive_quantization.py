@@ -18,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import BROADCAST_BYTES, stored
+from quire.llm.common import BROADCAST_BYTES, new_path, stored
 
 BOOKS = 16
 ENTRIES = 128
@@ -33,6 +34,7 @@ BLOCK = 4096
 RERANK = 256
 #: Queries whose scores are held at once.
 QUERY_ROWS = 256
+FOUND = "query_id long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame, dim: int | None = None) -> DataFrame:
@@ -125,9 +127,9 @@ def fit(sample: np.ndarray, books: int = BOOKS, entries: int = ENTRIES, rounds:
     return made
 
 
-def query_blocks(queries: DataFrame, dim: int, bound: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All queries in blocks of at most bound bytes, from one stored table, a partition at a time."""
-    ids, rows, most = [], [], max(1, bound // (8 * dim))
+def query_blocks(queries: DataFrame, dim: int, k: int, bound: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All queries in blocks that with their k best take at most bound bytes, from one stored table, a partition at a time."""
+    ids, rows, most = [], [], max(1, bound // (8 * (dim + 2 * k)))
     for row in queries.toLocalIterator():
         ids.append(row["vec_id"])
         rows.append(np.array(row["embedding"]))
@@ -154,46 +156,49 @@ def encoded(vectors: DataFrame, quantizer: Quantizer) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, embedding array<double>, codes binary, norm float")
 
 
-def best_of_blocks(index: DataFrame, quantizer: Quantizer, ids: np.ndarray, queries: np.ndarray, k: int, rerank: int) -> DataFrame:
-    """(query_id, vec_id, score): for each query of one block its k best in every block of candidates."""
-    held = index.sparkSession.sparkContext.broadcast((quantizer.books, ids, queries))
+def best_of_tasks(index: DataFrame, held: Broadcast, k: int, rerank: int) -> DataFrame:
+    """FOUND: for each query of the block that held carries, its k best among each task's candidates."""
 
-    def search(cand: np.ndarray, codes: np.ndarray, x: np.ndarray):
+    def search(cand: np.ndarray, codes: np.ndarray, x: np.ndarray, ids: np.ndarray, best: np.ndarray):
         entries, qids, q = held.value
         books = Quantizer(entries)
         for at in range(0, len(q), QUERY_ROWS):
-            some, some_ids = q[at : at + QUERY_ROWS], qids[at : at + QUERY_ROWS]
+            part = slice(at, at + QUERY_ROWS)
+            some, some_ids = q[part], qids[part]
             rough = books.scores(books.tables(some), codes).T
             rough[some_ids[:, None] == cand[None, :]] = -np.inf
             n = min(rerank, len(cand))
-            best = np.argpartition(-rough, n - 1, axis=1)[:, :n]
-            exact = np.einsum("qd,qnd->qn", some, x[best])
-            exact[some_ids[:, None] == cand[best]] = -np.inf
-            order = np.lexsort((cand[best], -exact), axis=1)[:, : min(k, n)]
-            score = np.take_along_axis(exact, order, axis=1)
-            found = np.take_along_axis(cand[best], order, axis=1)
-            real = np.isfinite(score)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some_ids, real.sum(axis=1))), pa.array(found[real]), pa.array(score[real])], ["query_id", "vec_id", "score"])
+            near = np.argpartition(-rough, n - 1, axis=1)[:, :n]
+            exact = np.einsum("qd,qnd->qn", some, x[near])
+            exact[some_ids[:, None] == cand[near]] = -np.inf
+            score, found = np.concatenate([best[part], exact], axis=1), np.concatenate([ids[part], cand[near]], axis=1)
+            order = np.lexsort((found, -score), axis=1)[:, :k]
+            best[part], ids[part] = np.take_along_axis(score, order, axis=1), np.take_along_axis(found, order, axis=1)
 
     def run(batches):
         kept, n = [], 0
-        dim, books = held.value[2].shape[1], len(held.value[0])
+        entries, qids, q = held.value
+        ids, best = np.zeros((len(q), k), np.int64), np.full((len(q), k), -np.inf)
 
         def block():
-            codes = np.frombuffer(b"".join(c for b in kept for c in b.column(2).to_pylist()), np.uint8).reshape(-1, books)
-            return np.concatenate([b.column(0).to_numpy() for b in kept]), codes, np.concatenate([matrix(b.column(1), dim) for b in kept])
+            codes = np.frombuffer(b"".join(c for b in kept for c in b.column(2).to_pylist()), np.uint8).reshape(-1, len(entries))
+            return np.concatenate([b.column(0).to_numpy() for b in kept]), codes, np.concatenate([matrix(b.column(1), q.shape[1]) for b in kept])
 
         for b in batches:
             for at in range(0, b.num_rows, BLOCK):
                 kept.append(b.slice(at, BLOCK))
                 n += kept[-1].num_rows
                 if n >= BLOCK:
-                    yield from search(*block())
+                    search(*block(), ids, best)
                     kept, n = [], 0
         if n:
-            yield from search(*block())
+            search(*block(), ids, best)
+        for at in range(0, len(q), QUERY_ROWS):
+            part = slice(at, at + QUERY_ROWS)
+            real = np.isfinite(best[part])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[part], real.sum(axis=1))), pa.array(ids[part][real]), pa.array(best[part][real])], ["query_id", "vec_id", "score"])
 
-    return index.mapInArrow(run, "query_id long, vec_id long, score double")
+    return index.mapInArrow(run, FOUND)
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, rerank: int = RERANK, query_bytes: int = BROADCAST_BYTES // 4) -> DataFrame:
@@ -207,21 +212,23 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, rerank: int = RERA
     vector that sorts first is the query. Fewer than k candidates: all of them. No rows:
     no rows. Other columns are not read.
     """
+    spark = vectors.sparkSession
     sound = usable(vectors)
     lengths = sound.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     if lengths is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = lengths["dim"]
     rows = usable(vectors, dim).dropDuplicates()
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(SAMPLE).select("embedding").collect()  # at most SAMPLE rows
     quantizer = fit(np.array([r[0] for r in sample]))
     index = stored(encoded(rows, quantizer), "index")
     queries = stored(index.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
-    found = None
-    for ids, block in query_blocks(queries, dim, query_bytes):
-        part = best_of_blocks(index, quantizer, ids, block, k, rerank)
-        found = part if found is None else found.union(part)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    path = new_path(spark, "found")
+    spark.createDataFrame([], FOUND).write.parquet(path)
+    for ids, block in query_blocks(queries, dim, k, query_bytes):  # written block by block, so that the plan and what is broadcast don't grow
+        held = spark.sparkContext.broadcast((quantizer.books, ids, block))
+        best_of_tasks(index, held, k, rerank).write.mode("append").parquet(path)
+        held.destroy()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = spark.read.schema(FOUND).parquet(path)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
