@@ -12,11 +12,10 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACE_CLASS, new_path, stored, text_column
+from quire.llm.common import SPACE_CLASS, new_path, placed, stored, text_column
 
 #: A keeper's text is copied once for so many rows that are held against it.
 ROWS_A_COPY = 2000
@@ -50,16 +49,8 @@ def normalised(text="text"):
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a locator (at struct<file long, row long>); docs that lie in no files are written first."""
-
-    def at(df):
-        place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-        return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", place.alias("at"))
-
-    try:
-        return at(docs)
-    except AnalysisException:
-        return at(stored(docs.select("doc_id", "text"), "content"))
+    """doc_id, text and a locator (at struct<file long, row long>)."""
+    return placed(docs, ["doc_id", "text"], "at").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def rank():
@@ -138,12 +129,6 @@ def exact_duplicates(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
 
 def kept_rows(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of docs that stay, with the named columns."""
-    spark = docs.sparkSession
-    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    try:
-        found = docs.select(*columns, place.alias("quire_at"))
-    except AnalysisException:
-        docs = stored(docs.select(*columns), "content")
-        found = docs.select(*columns, place.alias("quire_at"))
-    stay = exact_duplicates(docs).where("kept").select(F.col("at").alias("quire_at"))
+    found = placed(docs, columns, "quire_at")
+    stay = exact_duplicates(found).where("kept").select(F.col("at").alias("quire_at"))
     return found.join(stay, "quire_at", "left_semi").select(*columns)

@@ -16,10 +16,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import partitions, small_batches, stored
+from quire.llm.common import partitions, placed, small_batches, stored
 from quire.llm.components import connected_components
 
 BITS = 64
@@ -65,16 +65,17 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, fp long) of every row; null text counts as empty."""
+def fingerprints(docs: DataFrame, words: int = 5, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp long) of every row, and its carried columns; null text counts as empty."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             fps = [_signed(simhash(shingle_hashes(t, words))) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *carried])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried)
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried)]))
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -168,6 +169,15 @@ def find_links(fps: DataFrame, most_bits: int) -> DataFrame:
     return index.mapInArrow(run, "a long, b long").distinct()
 
 
+def rooted(marks: DataFrame, least: Column, most_bits: int) -> DataFrame:
+    """(fp, least, root) of each distinct fingerprint of marks; linked fingerprints have the same root."""
+    if not 0 <= most_bits <= 4:
+        raise ValueError("three segments cover up to 4 differing bits")
+    distinct = stored(marks.groupBy("fp").agg(least.alias("least")), "distinct")
+    roots = connected_components(find_links(distinct.select("fp"), most_bits))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, most_bits: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of docs (doc_id, text).
 
@@ -179,12 +189,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, most_bits: int = 4) -> Data
     all others are null too. Repeated rows get a row each. No rows: no rows. Other
     columns are not read.
     """
-    if not 0 <= most_bits <= 4:
-        raise ValueError("three segments cover up to 4 differing bits")
     marks = stored(fingerprints(docs, words), "marks")
-    distinct = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = connected_components(find_links(distinct.select("fp"), most_bits))
-    labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    labelled = rooted(marks, F.min("doc_id"), most_bits)
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of = labelled.select("fp", "root").join(least, "root").select("fp", "component_id")
     return marks.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def kept_rows(docs: DataFrame, columns: list[str], words: int = 5, most_bits: int = 4) -> DataFrame:
+    """One row of each group of near-duplicates, with the named columns.
+
+    The row of the smallest doc_id stays (null last), of rows that share it the first by
+    place. Rows are told apart by their place, so null or repeated ids keep no row too many.
+    """
+    found = placed(docs, columns, "quire_at")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "quire_at")
+    marks = stored(fingerprints(found, words, ("quire_at",)), "marks")
+    first = rooted(marks, F.min(rank), most_bits).groupBy("root").agg(F.min("least").alias("first"))
+    return found.join(first.select("first.quire_at"), "quire_at", "left_semi").select(*columns)
