@@ -254,6 +254,49 @@ def test_empty_tables(spark):
         assert run(none).count() == 0, run
 
 
+def test_near_copies_that_stay(spark):
+    """One row a group, also where ids are null or repeat."""
+    base = [f"word{i}" for i in range(300)]
+    near = " ".join([*base, "more"])
+    far = " ".join(f"other{i}" for i in range(300))
+    rows = [(5, " ".join(base)), (5, near), (3, near + " "), (None, near), (None, far), (7, far), (7, "short"), (None, None), (8, "")]
+    fps = {t: simhash.simhash(simhash.shingle_hashes(t, 4)) for _, t in rows}
+    assert (fps[" ".join(base)] ^ fps[near]).bit_count() <= 4
+    kept = simhash.kept_rows(made(spark, rows).repartition(3), ["doc_id", "text", "at"], words=4).collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(3, near + " "), (7, far), (7, "short"), (8, "")} and len(kept) == 4
+    assert simhash.kept_rows(made(spark, []), ["doc_id", "text"]).count() == 0
+
+
+@pytest.mark.parametrize("bound", [64 << 20, 0])
+def test_ranks_in_parts(spark, bound):
+    pieces = spark.createDataFrame([(i if i % 5 else None, 0, 1 + i % 3, i % 7, 9) for i in range(500)], packing.PIECES)
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    found = defaultdict(list)
+    for r in packing.ranked(pieces, histogram, part=20, broadcast_bytes=bound).collect():
+        found[r["length"]].append(r["rank"])
+    assert {length: sorted(ranks) for length, ranks in found.items()} == {length: list(range(n)) for length, n in histogram.items()}
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Stages on null columns, empty and long texts, repeated rows, clashing columns and no rows at all."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, at string"
+    odd = [(1, None, None, None, None, 0.1, "x"), (None, "", "en", "s", 0, None, None), (2, "word " * 50000, "en", "s", 250000, 0.2, "y"), (3, "password=abcdef12 and more", "en", "s", 26, 0.3, "z")]
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows, least in ((odd + odd, 1), ([], 0)):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            found = stage(spark, docs, str(tmp_path))
+            assert found.columns == corpus_pipeline.COLUMNS, name
+            assert found.count() >= least, name
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert packed.agg(F.sum("length")).first()[0] == sum(r.doc_tokens for r in packed.where("start = 0").collect()) if rows else packed.count() == 0
+        assert {r.text for r in corpus_pipeline.redact_secrets(spark, docs, str(tmp_path)).collect()} == ({None, "", "word " * 50000, "[SECRET] and more"} if rows else set())
+        docs.write.parquet(f"{tmp_path}/documents.parquet", mode="overwrite")
+        assert (corpus_pipeline.run(spark, str(tmp_path)).count() > 0) == bool(rows)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
