@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import BROADCAST_BYTES, small_batches, stored
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Pieces of one length are ranked in independent parts of about so many.
+#: Pieces of one length are ranked in so many independent parts, and in more if these would exceed PART pieces.
+PARTS = 64
 PART = 1 << 20
 #: Bytes that a part takes in the table of parts, about.
 PART_BYTES = 40
@@ -120,11 +121,12 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
 def ranked(pieces: DataFrame, histogram: dict[int, int], part: int = PART, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """pieces with their rank (from 0, without gaps) among those of the same length.
 
-    No window spans a length: each is ranked in parts of about ``part`` pieces by its
-    count in the histogram, which the counts of the parts before them then shift. The
-    parts' counts go to all tasks only while they stay under broadcast_bytes.
+    No window spans a length: each is ranked in PARTS parts, or as many as its count in
+    the histogram needs for about ``part`` pieces each, which the counts of the parts
+    before them then shift. These counts go to all tasks only while they stay under
+    broadcast_bytes.
     """
-    parts = {length: n // part + 1 for length, n in histogram.items()}
+    parts = {length: max(PARTS, n // part + 1) for length, n in histogram.items()}
     of = pieces.sparkSession.createDataFrame(list(parts.items()), "length long, parts long")  # a row a length
     split = pieces.join(F.broadcast(of), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), "parts")).drop("parts")
     counts = split.groupBy("length", "part").count()
