@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import words
+from quire.operators.ranks import running
+
+#: Rows are ranked in parts: words by their first characters, positions without their last bits.
+WORD_PREFIX, PART_BITS = 3, 16
 
 
 def number_pages(pages: DataFrame) -> DataFrame:
@@ -53,15 +57,15 @@ def postings(numbered: DataFrame) -> DataFrame:
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
     """(word, cnt, widxord, cumcnt): ranks by falling count, then word; counts up to and with the word."""
-    order = Window.orderBy(F.desc("cnt"), "word")
-    return tokens.groupBy("word").agg(F.count("*").alias("cnt")).select(
-        "word", "cnt", (F.row_number().over(order) - 1).alias("widxord"), F.sum("cnt").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("cumcnt")
-    )
+    counts = tokens.groupBy("word").agg(F.count("*").alias("cnt"))
+    ranked = running(counts, [F.asc("word")], [(F.col("cnt"), True), (F.left("word", F.lit(WORD_PREFIX)), False)], "cnt")
+    return ranked.select("word", "cnt", F.col("row_before").alias("widxord"), (F.col("sum_before") + F.col("cnt")).alias("cumcnt"))
 
 
 def first_seen(posting_rows: DataFrame) -> DataFrame:
     """(word, widx): words by their first place in the corpus."""
-    return posting_rows.groupBy("word").agg(F.min("sidx").alias("first")).select("word", (F.row_number().over(Window.orderBy("first")) - 1).alias("widx"))
+    first = posting_rows.groupBy("word").agg(F.min("sidx").alias("first"))
+    return running(first, [F.asc("first")], [(F.shiftright("first", PART_BITS), False)]).select("word", F.col("row_before").alias("widx"))
 
 
 def pages_of_positions(positions: DataFrame, pages: DataFrame, width: int = 4096) -> DataFrame:

@@ -98,3 +98,18 @@ def test_oracle(spark, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_running_ranks(spark):
+    from quire.operators.ranks import running
+
+    words = sorted({f"{a}{b}" for a in ("", "a", "ab", "abc", "abcd", "é") for b in ("", "x", "yz")})
+    counts = [(w, 1 + i % 3) for i, w in enumerate(words)]
+    rows = spark.createDataFrame(counts, "word string, cnt long")
+    ranked = running(rows, [F.asc("word")], [(F.col("cnt"), True), (F.left("word", F.lit(3)), False)], "cnt")
+    expected, before = [], 0
+    for i, (w, n) in enumerate(sorted(counts, key=lambda r: (-r[1], r[0].encode()))):
+        expected.append((w, n, i, before))
+        before += n
+    assert sorted(map(tuple, ranked.collect())) == sorted(expected)
+    assert running(rows.limit(0), [F.asc("word")], [(F.col("cnt"), True)]).count() == 0
