@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import additive_quantization, components, exact_dedup, line_dedup, nbest, packing, quality, secret_scan, simhash, substring_dedup, url_reputation
+from quire.llm import additive_quantization, components, exact_dedup, line_dedup, nbest, packing, quality, secret_scan, shingle_dedup, simhash, substring_dedup, url_reputation
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, found string, n_lines int, at string, fp int, spans int, start int, kept int"
@@ -267,6 +267,32 @@ def test_near_copies_that_stay(spark):
     assert simhash.kept_rows(made(spark, []), ["doc_id", "text"]).count() == 0
 
 
+def test_near_copies_by_shingles(spark):
+    """The pipeline's stage against brute force: Jaccard similarity 0.8 of 5-word shingles, over links."""
+    import corpus_pipeline
+
+    rng, texts = random.Random(6), []
+    for _ in range(80):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 400))]
+        texts.append(" ".join(words))
+        for share in (0.01, 0.02, 0.04):  # a changed word takes five shingles
+            texts.append(" ".join("new" + w if rng.random() < share else w for w in words))
+    texts += [None, "", " ", "short", "Short", "one two three four five"]
+    sets = [{*shingle_dedup.shingle_set(t, 5).tolist()} for t in texts]
+    root, pairs = list(range(len(texts))), 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b]):
+                pairs += (simhash.simhash(simhash.shingle_hashes(texts[a], 4)) ^ simhash.simhash(simhash.shingle_hashes(texts[b], 4))).bit_count() > 4
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if x == old else x for x in root]
+    assert pairs > 20
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+    assert sorted(kept) == sorted({*root})
+
+
 @pytest.mark.parametrize("bound", [64 << 20, 0])
 def test_ranks_in_parts(spark, bound):
     pieces = spark.createDataFrame([(i if i % 5 else None, 0, 1 + i % 3, i % 7, 9) for i in range(500)], packing.PIECES)
