@@ -158,7 +158,7 @@ def encoding_of(body: Column) -> Column:
 
 
 def tested_tokens(text: Column) -> Column:
-    """array<struct<start, end, encoding, size, p>>: every candidate token with its class and p-value."""
+    """array<struct<start, end, encoding, size, token, p>>: every candidate token with its class, hash and p-value."""
     names, alphabets = F.array(*(F.lit(name) for name, _, _ in ENCODINGS)), F.array(*(F.lit(letters) for _, _, letters in ENCODINGS))
 
     def one(h):
@@ -167,7 +167,7 @@ def tested_tokens(text: Column) -> Column:
             return let(
                 encoding_of(body),
                 lambda e: F.struct(
-                    h["start"].alias("start"), h["end"].alias("end"), names[e].alias("encoding"), size.alias("size"),
+                    h["start"].alias("start"), h["end"].alias("end"), names[e].alias("encoding"), size.alias("size"), F.xxhash64(body).alias("token"),
                     let(alphabets[e], lambda symbols: battery(body, symbols)).alias("p"),
                 ),
             )
@@ -178,9 +178,13 @@ def tested_tokens(text: Column) -> Column:
 
 
 def thresholds(docs: DataFrame, fdr: float) -> dict[str, float]:
-    """Least p-value that is reported, by "encoding size"; classes that report nothing are left out."""
+    """Least p-value that is reported, by "encoding size"; classes that report nothing are left out.
+
+    A token counts once, however often it occurs: copies are no further draws.
+    """
     tokens = docs.select(F.explode(tested_tokens(text_column())).alias("t"))
-    bins = tokens.groupBy("t.encoding", "t.size", F.least(F.floor(F.col("t.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).count()
+    distinct = tokens.select("t.encoding", "t.size", "t.token", F.least(F.floor(F.col("t.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).distinct()
+    bins = distinct.groupBy("encoding", "size", "bin").count()
     classes: dict[str, list[int]] = {}
     for encoding, size, at, n in bins.collect():  # at most 12 encodings x 62 sizes x BINS rows
         classes.setdefault(f"{encoding} {size}", [0] * BINS)[at] = n

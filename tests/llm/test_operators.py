@@ -212,6 +212,22 @@ def test_secret_scan(spark, docs, rows):
     assert sum(spans[i].startswith("random") for i in range(60)) > 50 and not any(spans[i] for i in range(60, 100))
 
 
+def test_repeated_tokens_set_no_threshold(spark):
+    """A third of the rows hold one token: the cut-off is that of the distinct tokens, and every copy is reported."""
+    alphabet, rng = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", random.Random(7)
+    tokens = ["".join(rng.choice(alphabet) for _ in range(44)) for _ in range(400)]
+
+    def frame(found):
+        return spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+
+    tested = frame(tokens).select("doc_id", secret_scan.tested_tokens(F.col("text"))[0]["p"].alias("p")).collect()
+    low = tokens[next(r.doc_id for r in tested if 0.2 < r.p < 0.4)]
+    least = secret_scan.thresholds(frame(tokens), 0.05)
+    copied = frame(tokens + [low] * 200)
+    assert secret_scan.thresholds(copied, 0.05) == least
+    assert all(r.n for r in secret_scan.scan_secrets(copied).where("doc_id >= 400").select(F.size("spans").alias("n")).collect())
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
     import public_tokenizers
