@@ -8,7 +8,8 @@ squares. Every vector is encoded by a beam search that keeps the best sums so fa
 Queries come in blocks of bounded size. A query's inner products with all entries form
 its tables, so a candidate's score is a sum of look-ups; with the stored norms the same
 tables rank by distance or cosine. In each block of candidates the best by look-up are
-scored again on the original vectors, in double precision.
+scored again on the original vectors, in double precision. Equal vectors are one candidate
+with their smallest vec_ids, so that copies crowd no other vector out of a block's best.
 """
 
 from __future__ import annotations
@@ -141,7 +142,7 @@ def query_blocks(queries: DataFrame, dim: int, k: int, bound: int) -> Iterator[t
 
 
 def encoded(vectors: DataFrame, quantizer: Quantizer) -> DataFrame:
-    """vec_id, embedding, codes and norm of every vector."""
+    """vec_ids, embedding, codes and norm of every vector."""
     held = vectors.sparkSession.sparkContext.broadcast(quantizer.books)
 
     def run(batches):
@@ -151,27 +152,51 @@ def encoded(vectors: DataFrame, quantizer: Quantizer) -> DataFrame:
             parts = [books.encode(x[at : at + 256]) for at in range(0, len(x), 256)]
             codes = [c.tobytes() for part, _ in parts for c in part]
             norms = np.concatenate([n for _, n in parts]) if parts else np.zeros(0, np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.binary()), pa.array(norms, pa.float32())], ["vec_id", "embedding", "codes", "norm"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.binary()), pa.array(norms, pa.float32())], ["vec_ids", "embedding", "codes", "norm"])
 
-    return vectors.mapInArrow(run, "vec_id long, embedding array<double>, codes binary, norm float")
+    return vectors.mapInArrow(run, "vec_ids array<long>, embedding array<double>, codes binary, norm float")
+
+
+def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
+    """vec_ids (ascending) and embedding: each distinct vector once, with its ``most`` smallest vec_ids.
+
+    Spark cuts to ``most`` rows a vector before the shuffle, so a vector that many rows share is no hot key.
+    """
+    place = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    few = rows.withColumn("place", place).where(F.col("place") <= most)
+    return few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("vec_ids")).select("vec_ids", "embedding")
+
+
+def id_matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, real): a row of at least two ids a vector, and which of them are real."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    real = np.arange(max(2, sizes.max())) < sizes[:, None]
+    ids = np.zeros(real.shape, np.int64)
+    ids[real] = column.flatten().to_numpy(zero_copy_only=False)
+    return ids, real
 
 
 def best_of_tasks(index: DataFrame, held: Broadcast, k: int, rerank: int) -> DataFrame:
     """FOUND: for each query of the block that held carries, its k best among each task's candidates."""
 
-    def search(cand: np.ndarray, codes: np.ndarray, x: np.ndarray, ids: np.ndarray, best: np.ndarray):
+    def search(cand: np.ndarray, real: np.ndarray, codes: np.ndarray, x: np.ndarray, ids: np.ndarray, best: np.ndarray):
         entries, qids, q = held.value
         books = Quantizer(entries)
         for at in range(0, len(q), QUERY_ROWS):
             part = slice(at, at + QUERY_ROWS)
             some, some_ids = q[part], qids[part]
             rough = books.scores(books.tables(some), codes).T
-            rough[some_ids[:, None] == cand[None, :]] = -np.inf
+            alone = (some_ids[:, None] == cand[:, 0]) & ~real[:, 1]
+            rough[alone] = -np.inf
             n = min(rerank, len(cand))
             near = np.argpartition(-rough, n - 1, axis=1)[:, :n]
             exact = np.einsum("qd,qnd->qn", some, x[near])
-            exact[some_ids[:, None] == cand[near]] = -np.inf
-            score, found = np.concatenate([best[part], exact], axis=1), np.concatenate([ids[part], cand[near]], axis=1)
+            exact[np.take_along_axis(alone, near, axis=1)] = -np.inf
+            first = np.where(cand[near, 0] == some_ids[:, None], cand[near, 1], cand[near, 0])
+            lead = np.lexsort((first, -exact), axis=1)[:, :k]  # each has an id to give, so k vectors are enough
+            near, exact = np.take_along_axis(near, lead, axis=1), np.take_along_axis(exact, lead, axis=1)
+            given = np.where(real[near] & (cand[near] != some_ids[:, None, None]), exact[:, :, None], -np.inf)
+            score, found = np.concatenate([best[part], given.reshape(len(some), -1)], axis=1), np.concatenate([ids[part], cand[near].reshape(len(some), -1)], axis=1)
             order = np.lexsort((found, -score), axis=1)[:, :k]
             best[part], ids[part] = np.take_along_axis(score, order, axis=1), np.take_along_axis(found, order, axis=1)
 
@@ -182,7 +207,7 @@ def best_of_tasks(index: DataFrame, held: Broadcast, k: int, rerank: int) -> Dat
 
         def block():
             codes = np.frombuffer(b"".join(c for b in kept for c in b.column(2).to_pylist()), np.uint8).reshape(-1, len(entries))
-            return np.concatenate([b.column(0).to_numpy() for b in kept]), codes, np.concatenate([matrix(b.column(1), q.shape[1]) for b in kept])
+            return *id_matrix(pa.concat_arrays([b.column(0) for b in kept])), codes, np.concatenate([matrix(b.column(1), q.shape[1]) for b in kept])
 
         for b in batches:
             for at in range(0, b.num_rows, BLOCK):
@@ -219,10 +244,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, rerank: int = RERA
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = lengths["dim"]
     rows = usable(vectors, dim).dropDuplicates()
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(SAMPLE).select("embedding").collect()  # at most SAMPLE rows
+    distinct = stored(distinct_vectors(rows, k + 1), "vectors")
+    first = F.col("vec_ids")[0]
+    sample = distinct.orderBy(F.xxhash64(first), first, "embedding").limit(SAMPLE).select("embedding").collect()  # at most SAMPLE rows
     quantizer = fit(np.array([r[0] for r in sample]))
-    index = stored(encoded(rows, quantizer), "index")
-    queries = stored(index.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    index = stored(encoded(distinct, quantizer), "index")
+    queries = stored(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
     path = new_path(spark, "found")
     spark.createDataFrame([], FOUND).write.parquet(path)
     for ids, block in query_blocks(queries, dim, k, query_bytes):  # written block by block, so that the plan and what is broadcast don't grow

@@ -192,6 +192,30 @@ def test_nearest(spark):
     assert additive_quantization.nearest(vectors.where("vec_id < 3")).count() == 2
 
 
+def test_nearest_with_equal_vectors(spark):
+    """A third of the vectors are equal: ties go to the smaller vec_id, and no other neighbour is crowded out."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 16)).astype(np.float32)
+    x[rng.permutation(6000)[:2000]] = x[40]
+    x[1::500] = x[40] * np.float32(1.5) + rng.normal(size=(12, 16)).astype(np.float32) * np.float32(0.1)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").coalesce(1)
+    found = defaultdict(list)
+    for r in additive_quantization.nearest(vectors, every=40).orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r.vec_id)
+    d = x.astype(float)
+    copies = {i for i in range(6000) if (x[i] == x[40]).all()}
+    hit = ordered = 0
+    for q in range(0, 6000, 40):
+        order = [i for i in np.lexsort((np.arange(6000), -np.round(np.einsum("d,nd->n", d[q], d), 9))) if i != q][:20]
+        hit += len({*order} & {*found[q]})
+        same = [i for i in found[q] if i in copies]
+        assert same == sorted(copies - {q})[: len(same)]
+        ordered += len(same) > 1
+    assert len(found) == 150 and hit >= 0.95 * 3000 and ordered
+    few = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)], "vec_id long, embedding array<float>")
+    assert [(r.query_id, r.vec_id) for r in additive_quantization.nearest(few, every=2, k=3).orderBy("query_id", "rank").collect()] == [(q, i) for q in (0, 2, 4) for i in [j for j in range(5) if j != q][:3]]
+
+
 def test_secret_scan(spark, docs, rows):
     kinds = (("assign", re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 6), ("access", re.compile("AKIA[A-Z0-9]+"), 20), ("hex", re.compile("[0-9a-f]+"), 24))
 
