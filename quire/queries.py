@@ -281,6 +281,13 @@ def asof_page_lookup(t):
     return index.pages_of_positions(dim.sparkSession.range(0, total, 1000).withColumnRenamed("id", "sidx"), dim)
 
 
+@query(f"WITH {PO} SELECT sidx, page_idx FROM po")
+def asof_all_positions(t):
+    dim = index.page_dim(numbered(t))
+    total = dim.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    return index.pages_of_positions(dim.sparkSession.range(0, total).withColumnRenamed("id", "sidx"), dim)
+
+
 @query(f"WITH {PG} SELECT page_idx, doc_idx, doc_name, page_no FROM pg")
 def page_to_doc(t):
     return numbered(t).select("page_idx", "doc_idx", "doc_name", "page_no")

@@ -113,3 +113,9 @@ def test_running_ranks(spark):
         before += n
     assert sorted(map(tuple, ranked.collect())) == sorted(expected)
     assert running(rows.limit(0), [F.asc("word")], [(F.col("cnt"), True)]).count() == 0
+
+
+@pytest.mark.parametrize("name", ["asof_all_positions"])
+def test_whole_oracle(spark, name):
+    """Queries over all rows, beside those that look at a part."""
+    test_oracle(spark, name)
