@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import spans, text, vectors
-from quire.operators import embed, index, language, segment
+from quire.operators import embed, index, language, ranks, segment
 from quire.plans import highlight, parser, search
 from quire.sources import pages as sources
 
@@ -401,6 +401,12 @@ def ranked_pages(t):
     return grep(t).orderBy(F.desc("grep"), "page_idx").limit(100).select("page_idx", F.round("grep", 6).alias("grep"))
 
 
+@query(f"WITH {PO}, {_TP}{_ONE} SELECT page_idx, row_number() OVER (ORDER BY sc.grep DESC, page_idx) AS page_rank, round(grep, 6) AS grep FROM sc")
+def all_ranked_pages(t):
+    pages = ranks.running(grep(t), [F.col("page_idx")], [(F.col("grep"), True), (F.floor(F.col("page_idx") / 4096), False)])
+    return pages.select("page_idx", (F.col("row_before") + 1).alias("page_rank"), F.round("grep", 6).alias("grep"))
+
+
 @query(f"WITH {PO}, {_TP}{_ONE}{_R} SELECT doc_idx, doc_rank, page_idx AS best_page, matched FROM rk WHERE rank_in_doc = 1")
 def ranked_docs(t):
     return ranked(t).where("rank_in_doc = 1").select("doc_idx", "doc_rank", F.col("page_idx").alias("best_page"), "matched")

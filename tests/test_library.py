@@ -115,7 +115,7 @@ def test_running_ranks(spark):
     assert running(rows.limit(0), [F.asc("word")], [(F.col("cnt"), True)]).count() == 0
 
 
-@pytest.mark.parametrize("name", ["asof_all_positions"])
+@pytest.mark.parametrize("name", ["asof_all_positions", "all_ranked_pages"])
 def test_whole_oracle(spark, name):
     """Queries over all rows, beside those that look at a part."""
     test_oracle(spark, name)
