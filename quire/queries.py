@@ -572,7 +572,7 @@ def pca_component(t):
 @query()
 def word2vec(t):
     sentences = numbered(t).select(text.words(F.col("text")).alias("tokens"))
-    return embed.train_word_vectors(sentences, iterations=1, dim=16, min_count=MIN_COUNT).select("word", F.size("vec").alias("dim"))
+    return embed.train_word_vectors(sentences, min_count=MIN_COUNT)
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -119,3 +119,8 @@ def test_running_ranks(spark):
 def test_whole_oracle(spark, name):
     """Queries over all rows, beside those that look at a part."""
     test_oracle(spark, name)
+
+
+def test_word_vectors_come_whole(spark):
+    found = __spark_entry__.queries()["word2vec"](spark, SF).collect()
+    assert found and all(len(r.vec) == 100 and any(r.vec) for r in found)
