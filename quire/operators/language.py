@@ -32,14 +32,14 @@ def language_scores(text: Column, lists: dict[str, list[str]] | None = None) ->
     )
 
 
-def detect_language(text: Column, default: str = "en", longest: int = 5000) -> Column:
-    """The language with most frequent words in the first characters, the first by name of equal ones; default without any."""
+def detect_language(text: Column, default: str = "en", longest: int | None = None) -> Column:
+    """The language with most frequent words in the text, or in its first ``longest`` characters, the first by name of equal ones; default without any."""
 
     def choose(scores):
         best = F.array_max(F.transform(scores, lambda s: s["hits"]))
         return F.when(best > 0, F.filter(scores, lambda s: s["hits"] == best)[0]["lang"]).otherwise(F.lit(default))
 
-    return F.transform(F.array(language_scores(F.substring(text, 1, longest))), choose)[0]
+    return F.transform(F.array(language_scores(text if longest is None else F.substring(text, 1, longest))), choose)[0]
 
 
 def translate_words(text: str, source: str, target: str) -> str:

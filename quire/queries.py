@@ -160,6 +160,11 @@ _BEST = " ".join(f"WHEN {lang} > 0 AND {lang} = greatest({', '.join(sorted(langu
 
 @query(f"SELECT doc_id, CASE {_BEST} ELSE 'en' END AS detected FROM (SELECT doc_id, {_HITS} FROM (SELECT doc_id, {sql_words('left(text, 5000)')} AS l FROM documents))")
 def detect_lang(t):
+    return t("documents").select("doc_id", language.detect_language(F.col("text"), longest=5000).alias("detected"))
+
+
+@query(f"SELECT doc_id, CASE {_BEST} ELSE 'en' END AS detected FROM (SELECT doc_id, {_HITS} FROM (SELECT doc_id, {sql_words('text')} AS l FROM documents))")
+def detect_lang_whole(t):
     return t("documents").select("doc_id", language.detect_language(F.col("text")).alias("detected"))
 
 

@@ -115,7 +115,7 @@ def test_running_ranks(spark):
     assert running(rows.limit(0), [F.asc("word")], [(F.col("cnt"), True)]).count() == 0
 
 
-@pytest.mark.parametrize("name", ["asof_all_positions", "all_ranked_pages"])
+@pytest.mark.parametrize("name", ["asof_all_positions", "all_ranked_pages", "detect_lang_whole"])
 def test_whole_oracle(spark, name):
     """Queries over all rows, beside those that look at a part."""
     test_oracle(spark, name)
@@ -124,3 +124,11 @@ def test_whole_oracle(spark, name):
 def test_word_vectors_come_whole(spark):
     found = __spark_entry__.queries()["word2vec"](spark, SF).collect()
     assert found and all(len(r.vec) == 100 and any(r.vec) for r in found)
+
+
+def test_language_of_a_long_text(spark):
+    from quire.operators.language import detect_language
+
+    text = "the " * 1300 + "les " * 5000
+    found = spark.createDataFrame([(text,)], "text string").select(detect_language(F.col("text")).alias("whole"), detect_language(F.col("text"), longest=5000).alias("first")).first()
+    assert tuple(found) == ("fr", "en")
