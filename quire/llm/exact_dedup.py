@@ -5,7 +5,8 @@ locator (file and row). A streaming aggregation keeps, in a disk-backed state st
 (RocksDB) without watermark or expiry, for each digest the row that stays and a count.
 Rows that hit a digest seen before are then held, byte by byte, against the text their
 keeper's locator leads to; rows that only share a digest form groups of their own.
-Everything is DataFrame and SQL functions.
+With a named folder the stream goes on, call by call: its checkpoint, the rows' digests and
+their texts stay there. Everything is DataFrame and SQL functions.
 """
 
 from __future__ import annotations
@@ -15,10 +16,13 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACE_CLASS, new_path, placed, stored, text_column
+from quire.llm.common import SPACE_CLASS, drop_path, drop_stored, exists, new_path, placed, stored, text_column
 
 #: A keeper's text is copied once for so many rows that are held against it.
 ROWS_A_COPY = 2000
+#: Files that a micro-batch of the stream reads at least, and micro-batches that a call makes at most.
+FILES, BATCHES = 64, 32
+_KEYED = "sha binary, doc_id long, n_chars long, at struct<file: long, row: long>, digest binary"
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -58,13 +62,21 @@ def rank():
     return F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at")
 
 
-def digest_state(keyed: DataFrame, files_a_batch: int = 64) -> DataFrame:
-    """(digest, best, n): the state that a stream over keyed (a stored table) leaves behind."""
-    spark = keyed.sparkSession
-    source = keyed.inputFiles()[0].rsplit("/", 1)[0]
-    checkpoint = new_path(spark, "state")
+def keyed_rows(texts: DataFrame, digest_bits: int) -> DataFrame:
+    """_KEYED: what the stream reads of texts (doc_id, text, at); without the texts themselves."""
+    sha = F.unhex(F.sha2(normalised(), 256))
+    short = F.lpad(F.substring(F.conv(F.hex(F.substring("sha", 1, 4)), 16, 2), 1, digest_bits), digest_bits, "0").cast("binary")
+    found = texts.select(sha.alias("sha"), "doc_id", F.length(text_column()).cast("long").alias("n_chars"), "at")
+    return found.withColumn("digest", F.col("sha") if digest_bits == 256 else short)
+
+
+def digest_state(spark: SparkSession, source: str, checkpoint: str, files: int) -> DataFrame:
+    """(digest, best, n): the state of the stream over _KEYED files in source, after all that lie there.
+
+    Files that a run before with this checkpoint has read are not read again.
+    """
     with _settings(spark, _STATE):
-        stream = spark.readStream.schema(keyed.schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
+        stream = spark.readStream.schema(_KEYED).option("maxFilesPerTrigger", max(FILES, files // BATCHES + 1)).parquet(source)
         query = (
             stream.groupBy("digest").agg(F.min(rank()).alias("best"), F.count("*").alias("n"))
             .writeStream.format("noop").outputMode("update").trigger(availableNow=True)
@@ -76,6 +88,23 @@ def digest_state(keyed: DataFrame, files_a_batch: int = 64) -> DataFrame:
         return stored(state, "digests")
 
 
+def _once(df: DataFrame, path: str) -> None:
+    """Write df to path, unless that was done to the end before."""
+    if not exists(df.sparkSession, f"{path}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(path)
+
+
+def continued(docs: DataFrame, folder: str, batch: str, digest_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts, keyed, state) of all batches in folder, docs among them; see exact_duplicates()."""
+    spark = docs.sparkSession
+    content = f"{folder}/content/{batch}"
+    _once(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), content)
+    _once(keyed_rows(located(spark.read.parquet(content)), digest_bits), f"{folder}/keyed/{batch}")
+    keyed = spark.read.schema(_KEYED).parquet(f"{folder}/keyed/*")
+    state = digest_state(spark, f"{folder}/keyed/*", f"{folder}/state", len(keyed.inputFiles()))
+    return located(spark.read.parquet(f"{folder}/content/*")), keyed, state
+
+
 def unlike_keeper(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """Of rows (at, keeper, copies), those whose normalised text isn't their keeper's: at and norm."""
     members = rows.join(texts.select("at", normalised().alias("norm")), "at").select("at", "norm", "keeper", "copies")
@@ -87,29 +116,37 @@ def unlike_keeper(texts: DataFrame, rows: DataFrame) -> DataFrame:
     return held.join(keepers, ["keeper", "copy"]).where("norm <> kept_norm").select("at", "norm", "keeper")
 
 
-def exact_duplicates(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
+def exact_duplicates(docs: DataFrame, digest_bits: int = 256, folder: str | None = None, batch: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 and the locator ``at`` of every row of docs (doc_id, text).
 
     Texts are equal when they are identical without ``[\\x20\\x09-\\x0D]``; null counts as
     empty, and all empty texts are one group. Of a group the row with the most code
     points in its original text stays, then that of the smallest doc_id (null last),
-    then, among repeated rows, that of the least locator: just one row is kept.
-    No rows: no rows. Other columns are not read. ``digest_bits`` shortens the state's
-    key; shorter keys only mean more texts to compare.
+    then, among repeated rows, that of the least locator: just one row is kept. Locators
+    differ for all rows, also of joined or exploded docs. Long texts are hashed and
+    compared whole. No rows: no rows. Other columns are not read. ``digest_bits`` shortens
+    the state's key; shorter keys only mean more texts to compare.
+
+    With a ``folder`` (shared by driver and executors) docs are the stream's next batch,
+    named ``batch``: groups span all batches there, and the result has the rows of all of
+    them. A batch that is there already, say before a failure, is not added again.
     """
-    texts = located(docs)
-    digest = F.sha2(normalised(), 256)
-    keyed = stored(
-        texts.select(F.unhex(digest).alias("sha"), "doc_id", F.length(text_column()).cast("long").alias("n_chars"), "at").withColumn(
-            "digest", F.col("sha") if digest_bits == 256 else F.lpad(F.substring(F.conv(F.hex(F.substring("sha", 1, 4)), 16, 2), 1, digest_bits), digest_bits, "0").cast("binary")
-        ),
-        "keyed",
-    )
-    state = digest_state(keyed)
+    spark = docs.sparkSession
+    if folder:
+        if not batch:
+            raise ValueError("a batch needs a name")
+        texts, keyed, state = continued(docs, folder.rstrip("/"), batch, digest_bits)
+    else:
+        texts = located(docs)
+        keyed = stored(keyed_rows(texts, digest_bits), "keyed")
+        files, checkpoint = keyed.inputFiles(), new_path(spark, "state")
+        state = digest_state(spark, files[0].rsplit("/", 1)[0], checkpoint, len(files))
+        drop_path(spark, checkpoint)
     slim = keyed.join(state.select("digest", F.col("best.at").alias("keeper"), F.col("best.doc_id").alias("keep_id"), "n"), "digest")
     copies = (F.col("n") / ROWS_A_COPY).cast("long") + 1
     unlike = stored(unlike_keeper(texts, slim.where("n > 1").select("at", "keeper", copies.alias("copies"))), "unlike")
     if unlike.isEmpty():
+        drop_stored(unlike)
         whole = slim.select("*", F.col("n").alias("group_size"))
     else:
         apart = unlike.groupBy("keeper").agg(F.count("*").alias("apart"))
@@ -128,7 +165,11 @@ def exact_duplicates(docs: DataFrame, digest_bits: int = 256) -> DataFrame:
 
 
 def kept_rows(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of docs that stay, with the named columns."""
+    """The rows of docs that stay, with the named columns; just one of each group of equal texts.
+
+    See exact_duplicates() for null, empty and long texts, ties, repeated rows and null ids.
+    No rows: no rows.
+    """
     found = placed(docs, columns, "quire_at")
     stay = exact_duplicates(found).where("kept").select(F.col("at").alias("quire_at"))
     return found.join(stay, "quire_at", "left_semi").select(*columns)
