@@ -1,15 +1,16 @@
 """Lines repeated across documents, found through a sharded minimal perfect hash.
 
-A line's identity is the 128-bit hash of its key. The hashes that enough documents hold
-are cut into shards by their bits; each shard is a minimal perfect hash (levels of bit
-arrays; a hash rests at the first level where no other has its place) that numbers its
-hashes without gaps, and under that number holds a 64-bit fingerprint, the number of
-documents and the largest of them. Documents probe these arrays; no line is joined with
-another. A hash that isn't in the index fails the fingerprint.
-
-While the index stays under a bound in bytes, checked beforehand, every task gets all
-shards and probes its documents as it reads them. Beyond it, hashes go to their shard in
-parts of bounded size, and only those found return to the documents.
+A line's identity is the 128-bit hash of its key. All distinct hashes are cut into shards
+by their bits; each shard is a minimal perfect hash (levels of bit arrays; a hash rests at
+the first level where no other has its place) that numbers its hashes without gaps. Under
+that number lie a 32-bit fingerprint and the number of documents that hold the line, in a
+byte where the threshold allows; the largest document follows for counts that reach the
+threshold, under the number's rank among those. Documents probe these arrays; no line is
+joined with another. A hash that isn't in the index fails the fingerprint.
+
+Probes go to their shard in parts of bounded size, as many as the shard has probes for, so
+that a line which a third of the documents hold fills no task. Only what is to be dropped
+returns to the documents. The index is never broadcast and works alike at every size.
 """
 
 from __future__ import annotations
@@ -22,16 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import BROADCAST_BYTES, SPACE, small_batches, stored
+from quire.llm.common import SPACE, drop_stored, small_batches, stored
 
 #: Hashes in a shard, about.
 SHARD = 1 << 18
-#: Bytes a hash takes in the index, at most.
-ENTRY = 24
 #: Rows that one task holds against a shard, about.
 PART = 1 << 20
 LEVELS = 40
-SHARD_SCHEMA = "shard int, sizes array<long>, bits binary, prints binary, counts binary, last binary"
+SHARD_SCHEMA = "shard int, sizes array<long>, bits binary, prints binary, counts binary, last binary, rest binary, least long"
 _LEAST_ID = -(1 << 63)
 
 
@@ -70,16 +69,19 @@ class Shard:
 
     sizes: list[int]
     words: np.ndarray  # the levels' bits, one after another, 64 in a word
-    prints: np.ndarray
-    counts: np.ndarray
-    last: np.ndarray
+    prints: np.ndarray  # 32 bits of the second halves
+    counts: np.ndarray  # documents, up to what the type holds
+    last: np.ndarray  # the largest document of counts of at least ``least``, by rank
+    rest: np.ndarray  # (n, 2) hashes that no level could place, numbered after all others; next to never any
+    least: int
 
     def __post_init__(self):
         self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)))
+        self.rank = np.cumsum(self.counts >= self.least) - 1
 
     @staticmethod
-    def build(hashes: np.ndarray, counts: np.ndarray, last: np.ndarray) -> Shard:
-        """hashes are distinct. Those that share their first half with another stay unplaced, at the end."""
+    def build(hashes: np.ndarray, counts: np.ndarray, last: np.ndarray, least: int) -> Shard:
+        """hashes are distinct. Those that share their first half with another stay unplaced."""
         sizes, bits, left = [], [], np.arange(len(hashes))
         for level in range(LEVELS):
             if not len(left):
@@ -91,11 +93,14 @@ class Shard:
             bits.append(alone)
             left = left[~alone[at]]
         words = np.frombuffer(np.packbits(np.concatenate(bits), bitorder="little").tobytes(), "<u8") if bits else np.zeros(0, "<u8")
-        made = Shard(sizes, words, np.zeros(0, "<u8"), counts, last)
-        number = made.numbers(hashes[:, 0])
-        number[number < 0] = made.before[-1] + np.arange((number < 0).sum())
-        order = np.argsort(number)
-        return Shard(sizes, words, hashes[order, 1].copy(), counts[order].astype("<u4"), last[order].astype("<i8"))
+        none = np.zeros(0, "<u8")
+        number = Shard(sizes, words, none, none, none, none, least).numbers(hashes[:, 0])
+        number[left] = len(hashes)
+        order = np.argsort(number, kind="stable")
+        kind = np.dtype("u1") if least < 256 else np.dtype("<u4")
+        few = np.minimum(counts[order], np.iinfo(kind).max).astype(kind)
+        prints = (hashes[order, 1] >> np.uint64(32)).astype("<u4")
+        return Shard(sizes, words, prints, few, last[order][few >= least].astype("<i8"), hashes[left], least)
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
         """The hash's number, or -1; hashes of the index get different numbers."""
@@ -114,18 +119,32 @@ class Shard:
     def probe(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each hash in the index, -1 for others."""
         n = self.numbers(hashes[:, 0])
-        n[(n >= 0) & (self.prints[n] != hashes[:, 1])] = -1
-        for extra in range(int(self.before[-1]), len(self.prints)):  # next to never any
-            n[(n < 0) & (self.prints[extra] == hashes[:, 1])] = extra
+        n[(n >= 0) & (self.prints[n] != (hashes[:, 1] >> np.uint64(32)))] = -1
+        for extra, (a, b) in enumerate(self.rest, len(self.prints) - len(self.rest)):
+            n[(hashes[:, 0] == a) & (hashes[:, 1] == b)] = extra
         return n
 
+    def dropped(self, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which hashes enough documents hold, the largest of them not that of ids."""
+        n = self.probe(hashes)
+        hit = np.flatnonzero((n >= 0) & (self.counts[n] >= self.least))
+        out = np.zeros(len(hashes), bool)
+        out[hit] = self.last[self.rank[n[hit]]] != ids[hit]
+        return out
+
+    def row(self, shard: int) -> dict:
+        parts = dict(zip(("bits", "prints", "counts", "last", "rest"), (self.words, self.prints, self.counts, self.last, self.rest)))
+        return {"shard": shard, "sizes": self.sizes, "least": self.least} | {name: x.tobytes() for name, x in parts.items()}
+
     @staticmethod
-    def of(row) -> Shard:
-        return Shard(list(row["sizes"]), *(np.frombuffer(row[c], t) for c, t in (("bits", "<u8"), ("prints", "<u8"), ("counts", "<u4"), ("last", "<i8"))))
+    def of(row: dict) -> Shard:
+        count = "u1" if row["least"] < 256 else "<u4"
+        arrays = [np.frombuffer(row[c], t) for c, t in (("bits", "<u8"), ("prints", "<u4"), ("counts", count), ("last", "<i8"), ("rest", "<u8"))]
+        return Shard(list(row["sizes"]), *arrays[:4], arrays[4].reshape(-1, 2), row["least"])
 
 
-def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
-    """(h1, h2, n, last): line hashes in at least min_docs documents, and the largest of those."""
+def held_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(h1, h2, doc_id): the distinct line hashes of each document of docs (doc_id, text)."""
 
     def run(batches):
         for b in batches:
@@ -138,113 +157,79 @@ def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
             halves = [pa.array(h[:, k].copy().view(np.int64)) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*halves, pa.array(np.concatenate(ids) if ids else [], pa.int64())], ["h1", "h2", "doc_id"])
 
-    once = docs.mapInArrow(run, "h1 long, h2 long, doc_id long").distinct()
-    return once.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
-
+    return docs.mapInArrow(run, "h1 long, h2 long, doc_id long").distinct()
 
-def line_index(repeated: DataFrame, shards: int) -> DataFrame:
-    """SHARD_SCHEMA, one row a shard of repeated (h1, h2, n, last)."""
 
-    def build(table: pa.Table) -> pa.Table:
-        h = np.stack([table.column(c).to_numpy() for c in ("h1", "h2")], axis=1).view("<u8")
-        made = Shard.build(h, np.minimum(table.column("n").to_numpy(), 2**32 - 1), table.column("last").to_numpy())
-        row = {"shard": int(shard_of(h[:1], shards)[0]), "sizes": made.sizes, "bits": made.words.tobytes(), "prints": made.prints.tobytes(), "counts": made.counts.tobytes(), "last": made.last.tobytes()}
-        return pa.Table.from_pylist([row], table_schema)
+def shard_number(shards: int):
+    return F.shiftrightunsigned(F.shiftrightunsigned("h1", 32) * F.lit(shards), 32).cast("int").alias("shard")
 
-    table_schema = pa.schema([("shard", pa.int32()), ("sizes", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("bits", "prints", "counts", "last"))])
-    shard = F.shiftrightunsigned(F.shiftrightunsigned("h1", 32) * F.lit(shards), 32).cast("int")
-    return repeated.groupBy(shard.alias("shard")).applyInArrow(build, SHARD_SCHEMA)
 
+def line_index(lines: DataFrame, shards: int, min_docs: int) -> DataFrame:
+    """SHARD_SCHEMA, one row a shard of the distinct lines (h1, h2, n, last)."""
 
-def dropped_by(index: dict[int, Shard], shards: int, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Which hashes are in the index with a larger document than that of ids."""
-    out = np.zeros(len(hashes), bool)
-    shard = shard_of(hashes, shards)
-    for s in np.unique(shard).tolist():
-        if s in index:
-            at = np.flatnonzero(shard == s)
-            n = index[s].probe(hashes[at])
-            out[at] = (n >= 0) & (index[s].last[n] != ids[at])
-    return out
+    def build(table: pa.Table) -> pa.Table:
+        h = np.stack([table.column(c).to_numpy() for c in ("h1", "h2")], axis=1).view("<u8")
+        made = Shard.build(h, table.column("n").to_numpy(), table.column("last").to_numpy(), min_docs)
+        return pa.Table.from_pylist([made.row(int(shard_of(h[:1], shards)[0]))], table_schema)
 
+    table_schema = pa.schema([("shard", pa.int32()), ("sizes", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("bits", "prints", "counts", "last", "rest")), ("least", pa.int64())])
+    return lines.groupBy(shard_number(shards)).applyInArrow(build, SHARD_SCHEMA)
 
-def found_hashes(docs: DataFrame, index: DataFrame, shards: int, min_chars: int) -> DataFrame:
-    """(doc_id, found binary): the hashes of lines to drop, by document, without a broadcast index."""
 
-    def hashes(batches):
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h = np.unique(line_hashes((text or "").split("\n"), min_chars)[1], axis=0)
-                n = len(h)
-                arrays = [pa.array(shard_of(h, shards).astype(np.int32)), *(pa.array(h[:, k].copy().view(np.int64)) for k in (0, 1)), pa.array(np.full(n, doc_id, np.int64))]
-                yield pa.RecordBatch.from_arrays(arrays, ["shard", "h1", "h2", "doc_id"])
+def dropped_lines(held: DataFrame, index: DataFrame, shards: int, part: int = PART) -> DataFrame:
+    """(doc_id, found array<struct<h1, h2>>): the hashes of lines that each document of held (h1, h2, doc_id) loses."""
+    probes = held.select(shard_number(shards), "h1", "h2", "doc_id")
+    parts = probes.groupBy("shard").agg((F.count("*") / part).cast("int").alias("parts"))  # a row a shard
+    left = probes.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id", "h1"), F.col("parts") + 1).cast("int")).drop("parts")
+    right = index.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts")))).drop("parts")
 
-    probes = stored(docs.mapInArrow(hashes, "shard int, h1 long, h2 long, doc_id long"), "probes")
-    parts = probes.count() // (shards * PART) + 1
-    left = probes.withColumn("part", F.pmod(F.xxhash64("doc_id", "h1"), F.lit(parts)).cast("int"))
-    right = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1).cast("int"))))
-
-    def probe(key, rows: pa.Table, shard: pa.Table) -> pa.Table:
+    def probe(rows: pa.Table, shard: pa.Table) -> pa.Table:
+        rows = rows.select(["doc_id", "h1", "h2"])
         if not shard.num_rows or not rows.num_rows:
-            return rows.slice(0, 0).select(["doc_id", "h1", "h2"])
+            return rows.slice(0, 0)
         h = np.stack([rows.column(c).to_numpy() for c in ("h1", "h2")], axis=1).view("<u8")
-        ids = rows.column("doc_id").to_numpy()
-        made = Shard.of({c: shard.column(c)[0].as_py() for c in shard.column_names})
-        return rows.select(["doc_id", "h1", "h2"]).filter(pa.array(dropped_by({key[0].as_py(): made}, shards, h, ids)))
+        return rows.filter(pa.array(Shard.of(shard.to_pylist()[0]).dropped(h, rows.column("doc_id").to_numpy())))
 
     hits = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(probe, "doc_id long, h1 long, h2 long")
     return hits.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("found"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, part: int = PART, shard: int = SHARD) -> DataFrame:
     """doc_id, kept_text, n_lines and n_dropped of every row of docs (doc_id, text).
 
     Texts are split at \\n; null and empty texts are one empty line. A line's key is
     the line without white space at both ends and with A-Z in lower case. Keys of at
     least min_chars code points in at least min_docs documents lose all their lines
     but those in the largest doc_id that holds it. Repeated rows are one document: all
-    of them keep or lose a line alike. A null doc_id ranks below all others. No rows:
-    no rows. Other columns are not read.
+    of them keep or lose a line alike. A null doc_id ranks below all others. Long texts
+    and lines are read whole, a batch of rows at a time. No rows: no rows. Other columns
+    are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = rows.select(F.coalesce("doc_id", F.lit(_LEAST_ID)).alias("id"), "text")
-    repeated = stored(repeated_lines(keyed, min_docs, min_chars), "lines")
-    n = repeated.count()
-    shards = n // SHARD + 1
-    index = line_index(repeated, shards)
-    schema = "doc_id long, kept_text string, n_lines long, n_dropped long"
-
-    def kept(batches, drops):
+    held = stored(held_lines(rows.select(F.coalesce("doc_id", F.lit(_LEAST_ID)).alias("doc_id"), "text"), min_chars), "held")
+    lines = stored(held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")), "lines")
+    shards = lines.count() // shard + 1
+    index = stored(line_index(lines, shards, min_docs), "index")
+    drop_stored(lines)
+    dropped = stored(dropped_lines(held, index, shards, part), "dropped")
+    drop_stored(held, index)
+    joined = rows.join(dropped.withColumnRenamed("doc_id", "id"), F.coalesce("doc_id", F.lit(_LEAST_ID)) == F.col("id"), "left").select("doc_id", "text", "found")
+
+    def run(batches):
         for b in batches:
             out = []
-            ids, texts, *rest = (c.to_pylist() for c in b.columns)
-            for i, (doc_id, text) in enumerate(zip(ids, texts, strict=True)):
-                lines = (text or "").split("\n")
-                places, h = line_hashes(lines, min_chars)
-                gone = set(places[drops(h, _LEAST_ID if doc_id is None else doc_id, rest[0][i] if rest else None)].tolist()) if len(h) else set()
-                out.append((doc_id, "\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else text or "", len(lines), len(gone)))
+            for doc_id, text, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                text = text or ""
+                lines, gone = text.split("\n"), set()
+                if found:
+                    places, h = line_hashes(lines, min_chars)
+                    drops = {(x["h1"], x["h2"]) for x in found}
+                    gone = {p for p, key in zip(places.tolist(), map(tuple, h.view(np.int64).tolist()), strict=True) if key in drops}
+                out.append((doc_id, "\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else text, len(lines), len(gone)))
             columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "kept_text", "n_lines", "n_dropped"])
-
-    if n * ENTRY <= broadcast_bytes:
-        held = spark.sparkContext.broadcast([r.asDict() for r in index.collect()])  # at most broadcast_bytes
-
-        def run(batches):
-            shard = {r["shard"]: Shard.of(r) for r in held.value}
-            yield from kept(batches, lambda h, doc_id, _: dropped_by(shard, shards, h, np.full(len(h), doc_id, np.int64)))
-
-        return rows.mapInArrow(run, schema)
-
-    found = found_hashes(keyed.withColumnRenamed("id", "doc_id"), stored(index, "index"), shards, min_chars).withColumnRenamed("doc_id", "id")
-    joined = rows.join(found, F.coalesce("doc_id", F.lit(_LEAST_ID)) == F.col("id"), "left").select("doc_id", "text", "found")
-
-    def match(batches):
-        def drops(h, _, found):
-            gone = {(x["h1"], x["h2"]) for x in found or ()}
-            return np.fromiter(((a, b) in gone for a, b in h.view(np.int64).tolist()), bool, len(h))
-
-        yield from kept(batches, drops)
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "kept_text", "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(match, schema)
+    return joined.mapInArrow(run, "doc_id long, kept_text string, n_lines long, n_dropped long")
