@@ -1,16 +1,14 @@
 """Passages that occur earlier in the corpus, by Rabin-Karp hashes of word windows.
 
-A window is a fixed number of consecutive words of one document. Its hash is two
-polynomials over the words' 64-bit hashes, each rolled over the document by prefix sums:
-128 bits that stand for the word sequence. Spark counts the hashes and keeps for each the
-first window; every other window of the hash marks its words, and marked words that touch
-merge into maximal intervals, which are removed.
-
-Windows need counting only where something repeats. In each window the shorter run of
-words with the least hash is its anchor; equal windows have equal anchors, so a window
-whose anchor occurs once in the corpus is alone and is left out. About one word in six is
-an anchor. The anchors that occur again go to all tasks while they stay under a bound in
-bytes, checked beforehand; beyond it they are joined back to their documents.
+A window is a fixed number of consecutive words of one row. Its hash is two polynomials
+over the words' 64-bit hashes, each rolled over the row by prefix sums; 64 bits of the
+one and 32 of the other stand for the word sequence. Every window of every row is hashed.
+A task keeps of the equal windows in a batch of rows the first, since the others have an
+earlier one for certain. The rest are shuffled by their hash, once, and counted in Spark in
+the order of document, start and row: all but the first are repeated. Windows that go
+merge with those that touch them into maximal intervals, which are removed.
+
+Nothing is broadcast by the operator, and it does the same at every size.
 """
 
 from __future__ import annotations
@@ -18,18 +16,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import BROADCAST_BYTES, small_batches, stored
+from quire.llm.common import drop_stored, placed, small_batches, stored
 
 #: Odd multipliers of the two polynomials, modulo 2**64, and their inverses.
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
-#: Words of an anchor, as a share of the window.
-ANCHOR_SHARE = 0.5
-#: Windows (start from 0), and runs of windows that have an earlier one (start -1).
-WINDOWS = "h1 long, h2 long, doc_id long, start int, runs binary"
+#: A row's name: its doc_id and, where that is null or not its own, its place (else zeros).
+NAME = ("doc_id", "file", "row")
+#: Windows, and runs of windows that have an earlier one in their batch (start -1).
+WINDOWS = "h1 long, h2 int, doc_id long, start int, file long, row long, runs binary"
 #: Stands for a null doc_id: after all others.
 _NO_ID = (1 << 63) - 1
 
@@ -49,7 +47,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Rabin-Karp hashes of all runs of ``size`` words, with powers kept for the longest document so far."""
+    """Rabin-Karp hashes of all runs of ``size`` words, with powers kept for the longest row so far."""
 
     def __init__(self):
         self.up, self.down = [_powers(b, 1) for b in _BASES], [_powers(b, 1) for b in _INVERSES]
@@ -66,154 +64,77 @@ class Rolling:
         return h * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _extremes(values: np.ndarray, span: int, pick) -> np.ndarray:
-    """pick (minimum or maximum) of every ``span`` values in a row, by doubling."""
-    have = 1
-    while have < span and len(values):
-        step = min(have, span - have)
-        values = pick(values[:-step], values[step:])
-        have += step
-    return values
-
-
-def anchors(words: np.ndarray, window: int, size: int, roll: Rolling) -> np.ndarray:
-    """The anchor of each window: the least hash of a run of ``size`` words in it."""
-    runs = roll(words, size, 0)
-    return _extremes(runs, window - size + 1, np.minimum) if len(words) >= window else runs[:0]
-
-
-def anchor_places(words: np.ndarray, window: int, size: int, roll: Rolling) -> np.ndarray:
-    """The hash of each run of words that is the anchor of a window around it; equal runs at several places come several times."""
-    least = anchors(words, window, size, roll)
-    if not len(least):
-        return least
-    span = window - size + 1
-    edge = np.zeros(span - 1, np.uint64)
-    runs = roll(words, size, 0)
-    return runs[_extremes(np.concatenate((edge, least, edge)), span, np.maximum) == runs]
-
-
-def repeated_anchors(rows: DataFrame, window: int, size: int) -> DataFrame:
-    """(anchor, n, docs): anchors that occur more than once."""
-
-    def run(batches):
-        roll = Rolling()
-        for b in batches:
-            out = []
-            for text in b.column(0).to_pylist():
-                out.append(anchor_places(word_hashes(words_of(text)), window, size, roll))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64) if out else [], pa.int64())], ["anchor"])
-
-    return rows.select("text").mapInArrow(run, "anchor long").groupBy("anchor").count().where("count > 1").select("anchor")
-
+def runs_of(starts: np.ndarray) -> np.ndarray:
+    """(first, last) of each run of consecutive starts."""
+    at = np.unique(starts.astype("<i4"))
+    turn = np.flatnonzero(np.diff(at) > 1)
+    return np.stack([at[np.concatenate(([0], turn + 1))], at[np.concatenate((turn, [len(at) - 1]))]], axis=1)
 
-def _windows(b, texts_at: int, window: int, size: int, roll: Rolling, wanted):
-    """WINDOWS of a batch, for the windows whose anchors are wanted.
 
-    Of equal windows in the batch only the first goes on as a window; the others have an
-    earlier one for certain and become runs of their documents, so that a window which
-    many documents share is one row a batch. Runs get keys that spread.
-    """
-    parts = [[], [], [], []]
-    ids, texts = b.column(0).to_pylist(), b.column(texts_at).to_pylist()
-    for i in sorted(range(len(ids)), key=ids.__getitem__):
-        words = word_hashes(words_of(texts[i]))
-        a = anchors(words, window, size, roll)
-        start = np.flatnonzero(wanted(a, i)) if len(a) else a[:0].astype(np.int64)
-        if len(start):
-            parts[0].append(roll(words, window, 0)[start])
-            parts[1].append(roll(words, window, 1)[start])
-            parts[2].append(np.full(len(start), ids[i], np.int64))
-            parts[3].append(start.astype(np.int32))
-    h1, h2, doc, start = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts)
-    order = np.argsort(h1, kind="stable")  # rows are by document and start
-    again = np.zeros(len(order), bool)
-    if len(order):
-        x, y = h1[order], h2[order]
-        new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
-        first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        again[order] = ~new & ((doc[order] != doc[first]) | (start[order] != start[first]))
-    owners = doc[again]
-    edges = np.flatnonzero(np.concatenate(([True], owners[1:] != owners[:-1]))) if len(owners) else []
-    blobs = [runs_of(s).tobytes() for s in np.split(start[again], edges[1:])] if len(owners) else []
-    own = owners[edges] if len(owners) else owners
-    spread = np.array([xxhash.xxh64_intdigest(blob) for blob in blobs], np.uint64)
-    one = ~again
+def _of_batch(names: np.ndarray, texts: list[str | None], window: int, roll: Rolling) -> pa.RecordBatch:
+    """WINDOWS of some rows; names (rows, 3) tell them apart."""
+    h1, h2, size = [], [], np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        words = word_hashes(words_of(text))
+        h1.append(roll(words, window, 0))
+        h2.append((roll(words, window, 1) >> np.uint64(32)).astype(np.uint32))
+        size[i] = len(h1[-1])
+    a, b = (np.concatenate(h) if h else np.zeros(0, np.uint64) for h in (h1, h2))
+    owner = np.repeat(np.arange(len(texts)), size)
+    start = np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size)
+    # in the order of hash, then document, start and row: the first of each hash goes on
+    place = np.empty(len(texts), np.int64)
+    place[np.lexsort(names.T[::-1])] = np.arange(len(texts))
+    doc = names[:, 0][owner] if len(a) else start
+    order = np.argsort(a, kind="stable")
+    x, y = a[order], b[order]
+    twin = np.flatnonzero(x[1:] == x[:-1]) if len(a) else start
+    again = np.zeros(len(a), bool)
+    if len(twin):  # only these need the full order
+        some = order[np.union1d(twin, twin + 1)]
+        some = some[np.lexsort((place[owner[some]], start[some], doc[some], b[some], a[some]))]
+        again[some[1:]] = (a[some[1:]] == a[some[:-1]]) & (b[some[1:]] == b[some[:-1]])
+    del x, y, order
+    own = owner[again]
+    edges = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+    blobs = [runs_of(s).tobytes() for s in np.split(start[again], edges[1:])] if len(own) else []
+    spread = np.array([xxhash.xxh64_intdigest(blob) for blob in blobs], np.uint64)  # keys that spread
+    whose, one = np.concatenate([owner[~again], own[edges]]), ~again
     columns = [
-        pa.array(np.concatenate([h1[one].astype(np.uint64), spread]).view(np.int64)), pa.array(np.concatenate([h2[one].astype(np.uint64), own.astype(np.int64).view(np.uint64)]).view(np.int64)),
-        pa.array(np.concatenate([doc[one], own]).astype(np.int64)), pa.array(np.concatenate([start[one], np.full(len(own), -1)]).astype(np.int32)),
+        pa.array(np.concatenate([a[one], spread]).view(np.int64)), pa.array(np.concatenate([b[one].astype(np.uint32), np.zeros(len(blobs), np.uint32)]).view(np.int32)),
+        pa.array(names[whose, 0]), pa.array(np.concatenate([start[one], np.full(len(blobs), -1)]).astype(np.int32)), pa.array(names[whose, 1]), pa.array(names[whose, 2]),
         pa.array([None] * int(one.sum()) + blobs, pa.binary()),
     ]
-    return pa.RecordBatch.from_arrays(columns, ["h1", "h2", "doc_id", "start", "runs"])
-
+    return pa.RecordBatch.from_arrays(columns, ["h1", "h2", "doc_id", "start", "file", "row", "runs"])
 
-def candidate_windows(rows: DataFrame, window: int, broadcast_bytes: int) -> DataFrame:
-    """WINDOWS: every window that may occur twice, and runs of those that do."""
-    spark = rows.sparkSession
-    size = max(1, int(window * ANCHOR_SHARE))
-    again = stored(repeated_anchors(rows, window, size), "anchors")
-    if 8 * again.count() <= broadcast_bytes:
-        held = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in again.toLocalIterator()], np.int64).view(np.uint64)))  # at most broadcast_bytes
 
-        def run(batches):
-            roll, known = Rolling(), held.value
+def windows_of(rows: DataFrame, window: int) -> DataFrame:
+    """WINDOWS of rows (doc_id, file, row, text)."""
 
-            def wanted(a, _):
-                at = np.minimum(np.searchsorted(known, a), max(0, len(known) - 1))
-                return known[at] == a if len(known) else np.zeros(len(a), bool)
-
-            for b in batches:
-                yield _windows(b, 1, window, size, roll, wanted)
-
-        return rows.select("doc_id", "text").mapInArrow(run, WINDOWS)
-
-    def of_docs(batches):
-        roll = Rolling()
-        for b in batches:
-            out = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                a = np.unique(anchors(word_hashes(words_of(text)), window, size, roll))
-                out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(a), doc_id, np.int64)), pa.array(a.view(np.int64))], ["doc_id", "anchor"]))
-            yield from out
-
-    per_doc = rows.select("doc_id", "text").mapInArrow(of_docs, "doc_id long, anchor long").join(again, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("wanted"))
-
-    def of_joined(batches):
+    def run(batches):
         roll = Rolling()
         for b in batches:
-            sets = b.column(2).to_pylist()
-            yield _windows(b, 1, window, size, roll, lambda a, i, sets=sets: np.isin(a, np.array(sets[i], np.int64).view(np.uint64)))
+            names = np.stack([b.column(i).to_numpy() for i in range(3)], axis=1)
+            yield _of_batch(names, b.column(3).to_pylist(), window, roll)
 
-    return rows.select("doc_id", "text").join(per_doc, "doc_id").mapInArrow(of_joined, WINDOWS)
+    return rows.select(*NAME, "text").mapInArrow(run, WINDOWS)
 
 
 def later_windows(windows: DataFrame) -> DataFrame:
-    """(doc_id, runs binary): by document, the runs of windows whose hash has an earlier one.
-
-    Each hash's first window comes from partial minima; the join back is one of equal
-    keys with one row a hash on its right, which splits where a hash is hot.
-    """
-    place = F.struct("doc_id", "start")
-    first = windows.where("start >= 0").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = windows.join(first, ["h1", "h2"], "left").where((F.col("start") < 0) | (place > F.col("first")))
+    """(doc_id, file, row, runs binary): by row, the runs of windows whose hash has an earlier one."""
+    order = Window.partitionBy("h1", "h2").orderBy("doc_id", "start", "file", "row")
+    later = windows.withColumn("nth", F.row_number().over(order)).where("nth > 1 or start < 0")
 
     def run(batches):
         for b in batches:
             blobs = []
-            for starts, runs in zip((s.values for s in b.column(1)), b.column(2).to_pylist(), strict=True):
+            for starts, runs in zip((s.values for s in b.column(3)), b.column(4).to_pylist(), strict=True):
                 known = [np.arange(a, z + 1) for blob in runs for a, z in np.frombuffer(blob, "<i4").reshape(-1, 2)]
                 blobs.append(runs_of(np.concatenate([starts.to_numpy(zero_copy_only=False), *known])).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())], ["doc_id", "runs"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(blobs, pa.binary())], [*NAME, "runs"])
 
     starts = F.collect_list(F.when(F.col("start") >= 0, F.col("start")))
-    return later.groupBy("doc_id").agg(starts.alias("starts"), F.collect_list("runs").alias("runs")).mapInArrow(run, "doc_id long, runs binary")
-
-
-def runs_of(starts: np.ndarray) -> np.ndarray:
-    """(first, last) of each run of consecutive starts."""
-    at = np.unique(starts.astype("<i4"))
-    turn = np.flatnonzero(np.diff(at) > 1)
-    return np.stack([at[np.concatenate(([0], turn + 1))], at[np.concatenate((turn, [len(at) - 1]))]], axis=1)
+    return later.groupBy(*NAME).agg(starts.alias("starts"), F.collect_list("runs").alias("runs")).mapInArrow(run, "doc_id long, file long, row long, runs binary")
 
 
 def covered(runs: bytes | None, n: int, window: int) -> np.ndarray:
@@ -221,28 +142,48 @@ def covered(runs: bytes | None, n: int, window: int) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
     if runs:
         pairs = np.frombuffer(runs, "<i4").reshape(-1, 2)
-        pairs = pairs[pairs[:, 0] + window <= n]  # rows that share a doc_id may differ in length
         np.add.at(edge, pairs[:, 0], 1)
-        np.subtract.at(edge, np.minimum(pairs[:, 1] + window, n), 1)
+        np.subtract.at(edge, pairs[:, 1] + window, 1)
     return np.cumsum(edge)[:n] > 0
 
 
-def dedup_substrings(docs: DataFrame, window: int = 20, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def named_rows(docs: DataFrame) -> DataFrame:
+    """own (doc_id as it is), NAME and text of each row of docs.
+
+    Ids that several rows share are found first; they are few as a rule, and then the join
+    takes them to all tasks. Null ids need no join.
+    """
+    found = placed(docs, ["doc_id", "text"], "at").withColumn("doc_id", F.col("doc_id").cast("long"))
+    shared = stored(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "shared")
+    alone = F.lit(False)
+    if shared.isEmpty():
+        drop_stored(shared)
+    else:
+        found = found.join(shared.withColumn("shared", F.lit(True)), "doc_id", "left")
+        alone = F.coalesce("shared", alone)
+    by_place = alone | F.col("doc_id").isNull()
+    part = [F.when(by_place, F.col(f"at.{c}")).otherwise(F.lit(0)).cast("long").alias(c) for c in NAME[1:]]
+    return found.select(F.col("doc_id").alias("own"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), *part, "text")
+
+
+def dedup_substrings(docs: DataFrame, window: int = 20) -> DataFrame:
     """doc_id, kept_text, n_words, n_removed and removed of every row of docs (doc_id, text).
 
     Words are runs of other characters than white space. A word goes if a window that
-    covers it also starts earlier: in a smaller doc_id, or earlier in the same
-    document; all windows are judged on the input. kept_text is the rest, joined by one
-    space; removed holds the maximal intervals [start, end) of words that went. Null
-    texts have no words; texts shorter than a window stay. Rows of the same doc_id are
-    one document: they lose the same positions. A null doc_id comes after all others.
-    No rows: no rows. Other columns are not read.
+    covers it also starts earlier: in a smaller doc_id, or earlier in the same document;
+    all windows are judged on the input, and of each word sequence one window stays.
+    Rows that share a doc_id are one document with several rows: a window is judged by
+    (doc_id, start), equal ones by the row's place, and only the row that holds it loses
+    its words; so of repeated rows one stays whole. A null doc_id comes after all others.
+    kept_text is the rest, joined by one space; removed holds the maximal intervals
+    [start, end) of words that went. Null and empty texts have no words; texts shorter
+    than a window stay. Texts of any length are read whole, a batch of rows at a time. No
+    rows: no rows. Other columns are not read.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), "text")
-    later = stored(later_windows(candidate_windows(rows, window, broadcast_bytes)), "later")
-    size = later.agg(F.sum(F.length("runs") + 32)).first()[0] or 0
-    joined = rows.join(F.broadcast(later) if size <= broadcast_bytes else later, "doc_id", "left").select("own", "text", "runs")
+    rows = named_rows(docs)
+    later = stored(later_windows(windows_of(rows, window)), "later")
+    joined = rows.join(later, [*NAME], "left").select("own", "text", "runs")
 
     def run(batches):
         for b in batches:
