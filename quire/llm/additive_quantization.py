@@ -1,15 +1,17 @@
 """Nearest neighbours by inner product over additively quantised vectors.
 
-A vector is encoded as one entry from each of several codebooks whose entries have all
-its dimensions; their sum approximates it. The codebooks start as k-means of what the
-codebooks before leave over, on a bounded sample, and are then fitted together by least
-squares. Every vector is encoded by a beam search that keeps the best sums so far.
-
-Queries come in blocks of bounded size. A query's inner products with all entries form
-its tables, so a candidate's score is a sum of look-ups; with the stored norms the same
-tables rank by distance or cosine. In each block of candidates the best by look-up are
-scored again on the original vectors, in double precision. Equal vectors are one candidate
-with their smallest vec_ids, so that copies crowd no other vector out of a block's best.
+A vector's direction is encoded as one entry from each of several codebooks whose entries
+have all its dimensions; their sum approximates it. The codebooks start as k-means of what
+the codebooks before leave over, on a bounded sample, and are then fitted together by least
+squares. Every direction is encoded by a beam search that keeps the best sums so far. With
+the codes goes a stored norm: the vector's norm over that of its sum, in double precision,
+so that neither huge nor tiny vectors disturb the codebooks or each other.
+
+Queries come in blocks of bounded size. The inner products of a query's direction with all
+entries form its tables; a candidate's look-up score is its sum of look-ups times its
+stored norm. In each block of candidates the best by that score are scored again on the
+original vectors, in double precision. Equal vectors are one candidate with their smallest
+vec_ids, so that copies crowd no other vector out of a block's best.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import BROADCAST_BYTES, new_path, stored
+from quire.llm.common import BROADCAST_BYTES, drop_stored, new_path, stored
 
 BOOKS = 16
 ENTRIES = 128
@@ -50,13 +52,21 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors float32, norms) of finite vectors other than zero, whatever their scale."""
+    most = np.abs(x).max(axis=1, keepdims=True)
+    scaled = np.ldexp(x, -np.frexp(most)[1])  # exact, and neither overflows nor vanishes
+    size = np.sqrt(np.einsum("ij,ij->i", scaled, scaled))
+    with np.errstate(over="ignore"):
+        return (scaled / size[:, None]).astype(np.float32), np.ldexp(size, np.frexp(most[:, 0])[1])
+
+
 @dataclass
 class Quantizer:
     books: np.ndarray  # (BOOKS, entries, dim) float32
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """(codes, squared norms of the sums): the best sums a beam search finds."""
-        x = x.astype(np.float32)
+        """(codes, norms of the sums): the best sums a beam search finds for directions x."""
         n, dim = x.shape
         codes = np.zeros((n, 1, 0), np.uint8)
         left = x[:, None, :]
@@ -73,19 +83,19 @@ class Quantizer:
         best = (left * left).sum(axis=2).argmin(axis=1)
         rows = np.arange(n)
         made = x - left[rows, best]
-        return codes[rows, best], (made * made).sum(axis=1)
+        return codes[rows, best], np.sqrt((made * made).sum(axis=1))
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """(BOOKS, entries, queries): inner products of all entries with all queries."""
-        return np.einsum("bed,qd->beq", self.books, q.astype(np.float32), optimize=True)
+        """(BOOKS, entries, queries): inner products of all entries with the directions of all queries."""
+        return np.einsum("bed,qd->beq", self.books, directions(q)[0], optimize=True)
 
     @staticmethod
-    def scores(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """(candidates, queries): sums of look-ups."""
+    def scores(tables: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        """(candidates, queries): sums of look-ups, times the stored norms."""
         out = tables[0][codes[:, 0]]
         for book in range(1, len(tables)):
             out += tables[book][codes[:, book]]
-        return out
+        return out * norms[:, None]
 
 
 def _means(x: np.ndarray, entries: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -101,6 +111,7 @@ def _means(x: np.ndarray, entries: int, rng: np.random.Generator, rounds: int =
 
 
 def fit(sample: np.ndarray, books: int = BOOKS, entries: int = ENTRIES, rounds: int = 2, seed: int = 3) -> Quantizer:
+    """Codebooks for directions, from a sample of them."""
     x = sample.astype(np.float32)
     rng = np.random.default_rng(seed)
     entries = min(entries, max(1, len(x)))
@@ -142,19 +153,21 @@ def query_blocks(queries: DataFrame, dim: int, k: int, bound: int) -> Iterator[t
 
 
 def encoded(vectors: DataFrame, quantizer: Quantizer) -> DataFrame:
-    """vec_ids, embedding, codes and norm of every vector."""
+    """vec_ids, embedding, codes and stored norm of every vector."""
     held = vectors.sparkSession.sparkContext.broadcast(quantizer.books)
 
     def run(batches):
         books = Quantizer(held.value)
         for b in batches:
             x = matrix(b.column(1), books.books.shape[2])
-            parts = [books.encode(x[at : at + 256]) for at in range(0, len(x), 256)]
+            unit, norms = directions(x)
+            parts = [books.encode(unit[at : at + 256]) for at in range(0, len(x), 256)]
             codes = [c.tobytes() for part, _ in parts for c in part]
-            norms = np.concatenate([n for _, n in parts]) if parts else np.zeros(0, np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.binary()), pa.array(norms, pa.float32())], ["vec_ids", "embedding", "codes", "norm"])
+            sums = np.concatenate([n for _, n in parts]) if parts else np.zeros(0)
+            norms = np.minimum(norms / np.maximum(sums, 1e-3), np.finfo(float).max)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.binary()), pa.array(norms)], ["vec_ids", "embedding", "codes", "norm"])
 
-    return vectors.mapInArrow(run, "vec_ids array<long>, embedding array<double>, codes binary, norm float")
+    return vectors.mapInArrow(run, "vec_ids array<long>, embedding array<double>, codes binary, norm double")
 
 
 def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
@@ -177,50 +190,58 @@ def id_matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def best_of_tasks(index: DataFrame, held: Broadcast, k: int, rerank: int) -> DataFrame:
-    """FOUND: for each query of the block that held carries, its k best among each task's candidates."""
+    """FOUND: for each query of the block that held carries, its k best among each task's candidates.
+
+    Slots that no candidate fills yet are told by ``real``, not by their score, which may be infinite.
+    """
 
-    def search(cand: np.ndarray, real: np.ndarray, codes: np.ndarray, x: np.ndarray, ids: np.ndarray, best: np.ndarray):
+    def search(cand: np.ndarray, real: np.ndarray, codes: np.ndarray, norms: np.ndarray, x: np.ndarray, ids: np.ndarray, best: np.ndarray, filled: np.ndarray):
         entries, qids, q = held.value
         books = Quantizer(entries)
         for at in range(0, len(q), QUERY_ROWS):
             part = slice(at, at + QUERY_ROWS)
             some, some_ids = q[part], qids[part]
-            rough = books.scores(books.tables(some), codes).T
+            rough = books.scores(books.tables(some), codes, norms).T
             alone = (some_ids[:, None] == cand[:, 0]) & ~real[:, 1]
             rough[alone] = -np.inf
             n = min(rerank, len(cand))
             near = np.argpartition(-rough, n - 1, axis=1)[:, :n]
-            exact = np.einsum("qd,qnd->qn", some, x[near])
-            exact[np.take_along_axis(alone, near, axis=1)] = -np.inf
+            with np.errstate(over="ignore", invalid="ignore"):
+                exact = np.einsum("qd,qnd->qn", some, x[near])
+            exact[np.isnan(exact)] = -np.inf
+            alone = np.take_along_axis(alone, near, axis=1)
             first = np.where(cand[near, 0] == some_ids[:, None], cand[near, 1], cand[near, 0])
-            lead = np.lexsort((first, -exact), axis=1)[:, :k]  # each has an id to give, so k vectors are enough
+            lead = np.lexsort((first, -exact, alone), axis=1)[:, :k]  # each has an id to give, so k vectors are enough
             near, exact = np.take_along_axis(near, lead, axis=1), np.take_along_axis(exact, lead, axis=1)
-            given = np.where(real[near] & (cand[near] != some_ids[:, None, None]), exact[:, :, None], -np.inf)
-            score, found = np.concatenate([best[part], given.reshape(len(some), -1)], axis=1), np.concatenate([ids[part], cand[near].reshape(len(some), -1)], axis=1)
-            order = np.lexsort((found, -score), axis=1)[:, :k]
-            best[part], ids[part] = np.take_along_axis(score, order, axis=1), np.take_along_axis(found, order, axis=1)
+            given = real[near] & (cand[near] != some_ids[:, None, None])
+            score = np.concatenate([best[part], np.repeat(exact, given.shape[2], axis=1)], axis=1)
+            found = np.concatenate([ids[part], cand[near].reshape(len(some), -1)], axis=1)
+            sound = np.concatenate([filled[part], given.reshape(len(some), -1)], axis=1)
+            order = np.lexsort((found, -score, ~sound), axis=1)[:, :k]
+            best[part], ids[part], filled[part] = (np.take_along_axis(v, order, axis=1) for v in (score, found, sound))
 
     def run(batches):
         kept, n = [], 0
         entries, qids, q = held.value
-        ids, best = np.zeros((len(q), k), np.int64), np.full((len(q), k), -np.inf)
+        ids, best, filled = np.zeros((len(q), k), np.int64), np.zeros((len(q), k)), np.zeros((len(q), k), bool)
 
         def block():
             codes = np.frombuffer(b"".join(c for b in kept for c in b.column(2).to_pylist()), np.uint8).reshape(-1, len(entries))
-            return *id_matrix(pa.concat_arrays([b.column(0) for b in kept])), codes, np.concatenate([matrix(b.column(1), q.shape[1]) for b in kept])
+            norms = np.concatenate([b.column(3).to_numpy() for b in kept])
+            return *id_matrix(pa.concat_arrays([b.column(0) for b in kept])), codes, norms, np.concatenate([matrix(b.column(1), q.shape[1]) for b in kept])
 
         for b in batches:
             for at in range(0, b.num_rows, BLOCK):
                 kept.append(b.slice(at, BLOCK))
                 n += kept[-1].num_rows
                 if n >= BLOCK:
-                    search(*block(), ids, best)
+                    search(*block(), ids, best, filled)
                     kept, n = [], 0
         if n:
-            search(*block(), ids, best)
+            search(*block(), ids, best, filled)
         for at in range(0, len(q), QUERY_ROWS):
             part = slice(at, at + QUERY_ROWS)
-            real = np.isfinite(best[part])
+            real = filled[part]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[part], real.sum(axis=1))), pa.array(ids[part][real]), pa.array(best[part][real])], ["query_id", "vec_id", "score"])
 
     return index.mapInArrow(run, FOUND)
@@ -234,8 +255,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, rerank: int = RERA
     or hold null or non-finite components take no part, nor do those without a vec_id
     or of another length than most (ties: the shorter). Rows that repeat a vec_id and
     vector count once; of rows that share only a vec_id each is a candidate, and the
-    vector that sorts first is the query. Fewer than k candidates: all of them. No rows:
-    no rows. Other columns are not read.
+    vector that sorts first is the query. Vectors of any scale take part alike; inner
+    products beyond double precision are infinite, undefined ones the least. Fewer than k
+    candidates: all of them. No rows: no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
     sound = usable(vectors)
@@ -247,8 +269,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, rerank: int = RERA
     distinct = stored(distinct_vectors(rows, k + 1), "vectors")
     first = F.col("vec_ids")[0]
     sample = distinct.orderBy(F.xxhash64(first), first, "embedding").limit(SAMPLE).select("embedding").collect()  # at most SAMPLE rows
-    quantizer = fit(np.array([r[0] for r in sample]))
+    quantizer = fit(directions(np.array([r[0] for r in sample]))[0])
     index = stored(encoded(distinct, quantizer), "index")
+    drop_stored(distinct)
     queries = stored(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
     path = new_path(spark, "found")
     spark.createDataFrame([], FOUND).write.parquet(path)
@@ -256,6 +279,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, rerank: int = RERA
         held = spark.sparkContext.broadcast((quantizer.books, ids, block))
         best_of_tasks(index, held, k, rerank).write.mode("append").parquet(path)
         held.destroy()
+    drop_stored(index, queries)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = spark.read.schema(FOUND).parquet(path)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
