@@ -101,7 +101,7 @@ class Pieces:
         return self.block.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def edges(self, block: str, end: int):
-        """(start, score, piece or None for bytes) of the edges that end here."""
+        """(start, score, piece or None for bytes) of the edges that end here, by start."""
         for start in range(max(0, end - self.longest), end):
             if (score := self.scores.get(block[start:end])) is not None:
                 yield start, score, block[start:end]
@@ -109,11 +109,30 @@ class Pieces:
             yield end - 1, self.fallback, None
 
     def forward(self, block: str) -> list[int]:
-        best = [0] + [LOW] * len(block)
+        edges, best = self.all_edges(block), [0]
         for end in range(1, len(block) + 1):
-            best[end] = max(best[start] + score for start, score, _ in self.edges(block, end))
+            best.append(max(best[start] + score for start, score in edges(end)))
         return best
 
+    def all_edges(self, block: str):
+        """A function from an end to the (start, score) of the edges that end there, by start; all are looked up at once."""
+        size = len(block)
+        chars = np.frombuffer(block.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+        h, ends, starts, scores = np.zeros(size, np.uint64), [], [], []
+        for length in range(1, min(self.longest, size) + 1):
+            h = h[: size - length + 1] * _MULTIPLIER + chars[length - 1 :]
+            ids = self.found(h)
+            at = np.arange(len(h)) if length == 1 else np.flatnonzero(ids >= 0)
+            ids = ids[at]
+            starts.append(at)
+            ends.append(at + length)
+            scores.append(np.where(ids >= 0, self.score_of[ids], self.fallback))
+        end, start, score = map(np.concatenate, (ends, starts, scores))
+        order = np.lexsort((start, end))
+        cut = memoryview(np.searchsorted(end[order], np.arange(size + 2)))
+        start, score = memoryview(start[order]), memoryview(score[order])
+        return lambda at: zip(start[cut[at] : cut[at + 1]], score[cut[at] : cut[at + 1]])
+
     def ids_of(self, pieces: list[str]) -> list[int]:
         out = []
         for p in pieces:
@@ -121,25 +140,60 @@ class Pieces:
         return out
 
     def search(self, block: str, n: int, heuristic: list[int] | None = None) -> list[tuple[int, list[str]]]:
-        """The n best segmentations, best first; ties: the one with the later starts of its last pieces, then of those before."""
+        """The n best segmentations, best first. Of equal ones that comes first which was
+        branched off last: the best has the latest starts of its pieces, seen from the end.
+
+        Paths that leave the best one at different edges differ, so the n - 1 least losses
+        among those edges bound what the others can lose, and nothing beyond is queued. Time
+        and memory grow with the block's length.
+        """
+        edges = self.all_edges(block)
         best = heuristic or self.forward(block)
+        most = self._bound(edges, best, n)
         found, serial = [], 0
-        queue = [(-best[-1], (), len(block), 0, ())]
+        queue = [(-best[-1], 0, len(block), 0, ())]  # -score, serial, place, score from there on, starts from there on
         while queue and len(found) < n:
-            cost, ties, at, done, path = heapq.heappop(queue)
-            if at == 0:
-                pieces = []
-                while path:
-                    piece, path = path
-                    pieces.append(piece)
-                found.append((done, pieces))
-                continue
-            for start, score, _ in self.edges(block, at):
-                if best[start] > LOW:
-                    serial += 1
-                    heapq.heappush(queue, (-(best[start] + score + done), (*ties, -start), start, done + score, (block[start:at], path)))
+            cost, _, at, done, path = heapq.heappop(queue)
+            while at:  # of the edges that lose nothing the latest would come off the queue next
+                on = None
+                for start, score in edges(at):  # later starts get the smaller serial
+                    whole = best[start] + score + done
+                    if whole == -cost:
+                        if on:
+                            serial -= 1
+                            heapq.heappush(queue, (cost, serial, on[0], on[1], (on[0], path)))
+                        on = start, done + score
+                    elif best[start] > LOW and (most is None or best[-1] - whole <= most):
+                        serial -= 1
+                        heapq.heappush(queue, (-whole, serial, start, done + score, (start, path)))
+                at, done = on
+                path = (at, path)
+            starts = []
+            while path:
+                start, path = path
+                starts.append(start)
+            found.append((done, [block[a:b] for a, b in zip(starts, [*starts[1:], len(block)])]))
         return found
 
+    @staticmethod
+    def _bound(edges, best: list[int], n: int) -> int | None:
+        """What the n-th best segmentation loses at most; None if unknown."""
+        least: list[int] = []  # negated: the n - 1 least losses
+        at = len(best) - 1
+        while at:
+            on = None
+            for start, score in reversed([*edges(at)]):  # the later start first
+                loss = best[at] - best[start] - score
+                if on is None and not loss:
+                    on = start
+                elif best[start] > LOW:
+                    if len(least) < n - 1:
+                        heapq.heappush(least, -loss)
+                    elif least and -loss > least[0]:
+                        heapq.heapreplace(least, -loss)
+            at = on
+        return (-least[0] if least else 0) if len(least) == n - 1 else None
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, bytes read as UTF-8, marks as spaces, the first one dropped."""
         raw = b"".join(map(self.raw.__getitem__, ids))
@@ -199,13 +253,16 @@ class Pieces:
         loss = np.where(second > LOW // 2, best - second, -1)
         return list(zip(made, best.tolist(), loss.tolist()))
 
-    def best_paths(self, blocks: list[str]) -> list[tuple[list[int], int, int]]:
+    def best_paths(self, blocks: list[str], n: int = 2, searched: dict[int, list[tuple[int, list[int]]]] | None = None) -> list[tuple[list[int], int, int]]:
+        """(ids, score, loss) of each block's best path, see _many(). Long blocks are searched at once for their n best, which go to ``searched``."""
         out: list = [None] * len(blocks)
         sizes: dict[int, list[int]] = {}
         for i, b in enumerate(blocks):
             if len(b) > LONG:
-                two = self.search(b, 2)
-                out[i] = (self.ids_of(two[0][1]), two[0][0], two[0][0] - two[1][0] if len(two) > 1 else -1)
+                made = [(s, self.ids_of(p)) for s, p in self.search(b, max(2, n))]
+                out[i] = (made[0][1], made[0][0], made[0][0] - made[1][0] if len(made) > 1 else -1)
+                if searched is not None:
+                    searched[i] = made
             else:
                 sizes.setdefault(len(b), []).append(i)
         for places in sizes.values():
@@ -249,13 +306,13 @@ def segment(pieces: Pieces, texts: list[str], n: int) -> list[tuple[list[int], i
         for b in blocks:
             number.setdefault(b, len(number))
     known = list(number)
-    paths = pieces.best_paths(known)
+    searched: dict[int, list[tuple[int, list[int]]]] = {}
+    paths = pieces.best_paths(known, n, searched)
     score = np.array([s for _, s, _ in paths], np.int64)
     loss = np.array([x if x >= 0 else np.iinfo(np.int64).max for _, _, x in paths], np.int64)
     sizes = np.array([len(i) for i, _, _ in paths], np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes)))
     flat = np.array([i for ids, _, _ in paths for i in ids], np.int32)
-    searched: dict[int, list[tuple[int, list[int]]]] = {}
     out = []
     for blocks in cut:
         if not blocks:
@@ -279,7 +336,7 @@ def segment(pieces: Pieces, texts: list[str], n: int) -> list[tuple[list[int], i
                 b = int(of[place])
                 if b not in searched:
                     searched[b] = [(s, pieces.ids_of(p)) for s, p in pieces.search(known[b], n)]
-                options.append((place, [searched[b][0][0] - s for s, _ in searched[b][1:]]))
+                options.append((place, [searched[b][0][0] - s for s, _ in searched[b][1:n]]))
             for lose, chosen in combine(options, n)[1:]:
                 changes = [(int(ends[p] - size[p]), int(size[p]), searched[int(of[p])][a][1]) for p, a in chosen]
                 others.append((total - lose, changes))
@@ -297,7 +354,8 @@ def encode_nbest(docs: DataFrame, n: int = 4, model: str = "piece_bpe_32k.model"
     as its score and what it changes in ids; fewer where the lattice has fewer paths.
     round_trip says that decoding ids gives the text; only a text that holds the mark
     U+2581 itself, which decodes to a space, fails. Null and empty texts have no ids and
-    score 0. Repeated rows get a row each. No rows: no rows. Other columns are not read.
+    score 0. Whole texts are encoded, in time and memory that grow with their length, also
+    without any space. Repeated rows get a row each. No rows: no rows. Other columns are not read.
     ``model`` names a file of the public tokenizers, or is a path.
     """
     small_batches(docs.sparkSession, 2500)
