@@ -50,20 +50,56 @@ ENCODINGS = (
     ("mixed", "", _UPPER + _UPPER.lower() + _DIGITS + "+/-_"),
 )
 BINS = 50
+#: Characters of a long text that are redacted at once.
+CHUNK = 4096
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start int, end int, found string>> of the leftmost matches, in code points."""
-    between = F.transform(F.split(text, pattern, -1), F.length)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.transform(found, F.length)
+def let(value: Column, use) -> Column:
+    """use(value), with value evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def chunked(items: Column) -> Column:
+    """items in chunks of about the square root of their number, in order."""
+    size = F.greatest(F.ceil(F.sqrt(F.size(items).cast("double"))), F.lit(1)).cast("int")
+    return let(size, lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / c).cast("int")), lambda k: F.slice(items, k * c + 1, c)))
+
+
+def total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def sums_before(numbers: Column) -> Column:
+    """The sum of the numbers (some) before each: by chunk, then within it, so n of them take n ** 1.5 steps."""
+
+    def within(chunks):
+        totals = F.transform(chunks, total)
+        return let(
+            totals,
+            lambda t: F.flatten(F.transform(chunks, lambda chunk, k: let(total(F.slice(t, 1, k)), lambda base: F.transform(chunk, lambda _, j: base + total(F.slice(chunk, 1, j)))))),
+        )
+
+    return let(chunked(numbers), within)
+
+
+def with_matches(rows: DataFrame, text: str, name: str, pattern: str) -> DataFrame:
+    """rows and ``name``: array<struct<start int, end int, found string>> of the leftmost matches in text, in code points.
+
+    Step by step in columns of their own, so that nothing is evaluated once a match.
+    """
+    found, gaps, before = (F.col(f"{name}_{part}") for part in ("found", "gaps", "before"))
+    numbers = F.array().cast("array<int>")
+    hit = F.when(F.col(text).rlike(pattern), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn(f"{name}_found", hit)
+    rows = rows.withColumn(f"{name}_gaps", F.when(F.size(found) > 0, F.transform(F.split(F.col(text), pattern, -1), F.length)).otherwise(numbers))
+    rows = rows.withColumn(f"{name}_steps", let(gaps, lambda g: F.transform(found, lambda one, i: g[i] + F.length(one))))
+    rows = rows.withColumn(f"{name}_before", F.when(F.size(found) > 0, let(F.col(f"{name}_steps"), sums_before)).otherwise(numbers))
 
-    def at(one, i):
-        start = F.aggregate(F.slice(between, 1, i + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x)
-        return F.struct(start.alias("start"), (start + F.length(one)).alias("end"), one.alias("found"))
+    def placed(known):
+        return F.transform(found, lambda one, i: let(known["before"][i] + known["gaps"][i], lambda start: F.struct(start.alias("start"), (start + F.length(one)).alias("end"), one.alias("found"))))
 
-    none = F.lit(None).cast("array<struct<start:int,end:int,found:string>>")
-    return F.coalesce(F.when(text.rlike(pattern), F.transform(found, at)).otherwise(none), F.array().cast("array<struct<start:int,end:int,found:string>>"))
+    rows = rows.withColumn(name, let(F.struct(before.alias("before"), gaps.alias("gaps")), placed))
+    return rows.drop(*(f"{name}_{part}" for part in ("found", "gaps", "steps", "before")))
 
 
 def of_kind(kind: str, hits: Column) -> Column:
@@ -71,14 +107,13 @@ def of_kind(kind: str, hits: Column) -> Column:
     return F.transform(hits, lambda h: F.struct(h["start"].alias("start"), F.lit(KINDS.index(kind)).alias("order"), h["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def base_spans(text: Column) -> Column:
-    assign = F.filter(matches(text, ASSIGN), lambda h: F.length(F.regexp_extract(h["found"], ASSIGN, 2)) >= ASSIGN_LEAST)
-    return F.concat(of_kind("assign", assign), of_kind("access", matches(text, ACCESS)), of_kind("hex", matches(text, HEX)))
-
-
-def let(value: Column, use) -> Column:
-    """use(value), with value evaluated once."""
-    return F.transform(F.array(value), use)[0]
+def with_base(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """rows and ``name``: the base spans in text, sorted."""
+    for kind, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX)):
+        rows = with_matches(rows, text, f"{name}_{kind}", pattern)
+    assign = F.filter(f"{name}_assign", lambda h: F.length(F.regexp_extract(h["found"], ASSIGN, 2)) >= ASSIGN_LEAST)
+    base = F.array_sort(F.concat(of_kind("assign", assign), of_kind("access", F.col(f"{name}_access")), of_kind("hex", F.col(f"{name}_hex"))))
+    return rows.withColumn(name, base).drop(f"{name}_assign", f"{name}_access", f"{name}_hex")
 
 
 def upper_tail(z: Column) -> Column:
@@ -157,8 +192,8 @@ def encoding_of(body: Column) -> Column:
     return found
 
 
-def tested_tokens(text: Column) -> Column:
-    """array<struct<start, end, encoding, size, token, p>>: every candidate token with its class, hash and p-value."""
+def with_tested(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """rows and ``name``: array<struct<start, end, encoding, size, token, p>>, every candidate token in text with its class, hash and p-value."""
     names, alphabets = F.array(*(F.lit(name) for name, _, _ in ENCODINGS)), F.array(*(F.lit(letters) for _, _, letters in ENCODINGS))
 
     def one(h):
@@ -174,7 +209,8 @@ def tested_tokens(text: Column) -> Column:
 
         return let(F.rtrim(h["found"], F.lit("=")), of)
 
-    return F.transform(matches(text, TOKEN), one)
+    rows = with_matches(rows, text, f"{name}_tokens", TOKEN)
+    return rows.withColumn(name, F.transform(f"{name}_tokens", one)).drop(f"{name}_tokens")
 
 
 def thresholds(docs: DataFrame, fdr: float) -> dict[str, float]:
@@ -182,7 +218,7 @@ def thresholds(docs: DataFrame, fdr: float) -> dict[str, float]:
 
     A token counts once, however often it occurs: copies are no further draws.
     """
-    tokens = docs.select(F.explode(tested_tokens(text_column())).alias("t"))
+    tokens = with_tested(docs.select(text_column().alias("text")), "text", "tested").select(F.explode("tested").alias("t"))
     distinct = tokens.select("t.encoding", "t.size", "t.token", F.least(F.floor(F.col("t.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).distinct()
     bins = distinct.groupBy("encoding", "size", "bin").count()
     classes: dict[str, list[int]] = {}
@@ -200,15 +236,28 @@ def thresholds(docs: DataFrame, fdr: float) -> dict[str, float]:
     return found
 
 
-def all_spans(text: Column, least: dict[str, float]) -> tuple[Column, Column]:
-    """Base spans, and all spans: base ones and reported tokens that overlap none of them."""
-    base = F.array_sort(base_spans(text))
+def with_spans(rows: DataFrame, text: str, base: str, spans: str, least: dict[str, float]) -> DataFrame:
+    """rows, their base spans, and all spans: base ones and reported tokens that overlap none of them."""
+    rows = with_base(rows, text, base)
     if not least:
-        return base, base
+        return rows.withColumn(spans, F.col(base))
     cut = F.create_map(*(F.lit(x) for pair in sorted(least.items()) for x in pair))
-    reported = F.filter(tested_tokens(text), lambda t: t["p"] >= F.coalesce(cut[F.concat_ws(" ", t["encoding"], t["size"].cast("string"))], F.lit(2.0)))
-    alone = F.filter(reported, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return base, F.array_sort(F.concat(base, of_kind("random", alone)))
+    reported = lambda t: t["p"] >= F.coalesce(cut[F.concat_ws(" ", t["encoding"], t["size"].cast("string"))], F.lit(2.0))
+    rows = with_tested(rows, text, spans).withColumn(spans, F.filter(spans, reported)).withColumn(spans, apart(F.col(spans), F.col(base)))
+    return rows.withColumn(spans, F.array_sort(F.concat(F.col(base), of_kind("random", F.col(spans)))))
+
+
+def apart(hits: Column, spans: Column) -> Column:
+    """The hits that overlap none of spans (sorted by start); chunks of spans are passed over by their range."""
+
+    def overlap(x, y):
+        return (x["start"] < y["end"]) & (y["start"] < x["end"])
+
+    def by_chunk(chunks):
+        ranges = F.transform(chunks, lambda c: F.struct(c[0]["start"].alias("start"), F.array_max(F.transform(c, lambda b: b["end"])).alias("end"), c.alias("of")))
+        return let(ranges, lambda r: F.filter(hits, lambda h: ~F.exists(r, lambda x: overlap(x, h) & F.exists(x["of"], lambda b: overlap(b, h)))))
+
+    return F.when(F.size(spans) == 0, hits).otherwise(let(chunked(spans), by_chunk))
 
 
 def listed(spans: Column) -> Column:
@@ -219,30 +268,46 @@ def scan_secrets(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
     """The rows of docs (doc_id, text) as doc_id, text, base and spans, one for one.
 
     base and spans are array<struct<start, order, end, kind>> in code points, sorted by
-    start, then kind. Null and empty texts have none; repeated rows get a row each; no
-    rows: no rows. Other columns are not read.
+    start, then kind. Null and empty texts have none. Whole texts are scanned; n matches in
+    one text take n ** 1.5 steps. Repeated rows get a row each; no rows: no rows. Other
+    columns are not read.
     """
-    rows = docs.select("doc_id", "text")
-    base, spans = all_spans(text_column(), thresholds(rows, fdr))
-    return rows.select("doc_id", "text", base.alias("base"), spans.alias("spans"))
+    rows = docs.select("doc_id", "text", text_column().alias("whole"))
+    return with_spans(rows, "whole", "base", "spans", thresholds(rows, fdr)).drop("whole")
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """text with each span replaced; overlapping spans are replaced together."""
+    """text with each of spans (sorted) replaced; overlapping spans are replaced together.
+
+    Done by chunks of CHUNK characters, so no step copies the whole of a long text.
+    """
 
-    def step(done, s):
-        before = F.substring(text, done["at"] + 1, s["start"] - done["at"])
-        added = F.when(s["start"] >= done["at"], F.concat(before, F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.concat(done["out"], added).alias("out"))
+    def of_chunk(chunk, first):
+        def step(done, s):
+            start = F.greatest(s["start"] - first, F.lit(0))
+            before = F.substring(chunk, done["at"] + 1, start - done["at"])
+            opens = F.when((s["start"] >= first) & (start >= done["at"]), F.lit(mark)).otherwise(F.lit(""))
+            out = F.when(start >= done["at"], F.concat(done["out"], before, opens)).otherwise(done["out"])
+            return F.struct(F.greatest(done["at"], s["end"] - first).alias("at"), out.alias("out"))
 
-    whole = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+        here = F.filter(spans, lambda s: (s["start"] < first + CHUNK) & (s["end"] > first))
+        whole = lambda some: F.aggregate(some, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda d: F.concat(d["out"], F.substring(chunk, d["at"] + 1, F.lit(CHUNK))))
+        return let(here, lambda some: F.when(F.size(some) > 0, whole(some)).otherwise(chunk))
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, F.array_join(F.transform(chunks, lambda c, k: of_chunk(c, k * CHUNK)), "")).otherwise(text)
 
 
 def without_secrets(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
-    """The rows of docs with their columns, secrets replaced in text and n_chars counted anew where something was."""
-    text = text_column()
-    _, spans = all_spans(text, thresholds(docs.select("text"), fdr))
-    clean = let(spans, lambda s: redacted(F.col("text"), s))
-    changed = docs.withColumns({"text": clean})
-    return changed.withColumns({"n_chars": F.length("text").cast("long")}) if "n_chars" in docs.columns else changed
+    """The rows of docs with all their columns, one for one, with the secrets in text replaced.
+
+    Null and empty texts stay as they are. A column n_chars is counted anew, null for a null
+    text. Texts of any length are scanned whole; a redacted one is put together by chunks.
+    Ids may be null or repeat. No rows: no rows.
+    """
+    whole, base, spans = "quire_whole", "quire_base", "quire_spans"
+    found = with_spans(docs.withColumn(whole, text_column()), whole, base, spans, thresholds(docs.select("text"), fdr))
+    changed = found.withColumn("text", redacted(F.col("text"), F.col(spans)))
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.length("text").cast("long"))
+    return changed.select(*docs.columns)
