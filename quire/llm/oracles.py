@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm.url_reputation import LEVELS, LONG_SUFFIXES, RULES, STRENGTH
+from quire.llm.url_reputation import IP, IPV4, IPV6, LEVELS, RULES, SECOND_LABELS, SITE_SUFFIXES, STRENGTH
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -64,7 +64,8 @@ def urls(limit: float = 0.5, bound: float = 1.645) -> str:
     def tail(k: int) -> str:
         return f"array_to_string(list_slice(parts, greatest(len(parts) - {k - 1}, 1), len(parts)), '.')"
 
-    long = f"{tail(2)} IN ({', '.join(map(repr, LONG_SUFFIXES))})"
+    long = f"({tail(2)} IN ({', '.join(map(repr, SITE_SUFFIXES))}) OR regexp_matches({tail(2)}, '^({'|'.join(SECOND_LABELS)})\\.[a-z][a-z]$'))"
+    address = f"(regexp_matches(host, '{IPV4}') OR regexp_matches(host, '{IPV6}'))"
     cases = {"rule": [], "verdict": []}
     for text, says in sorted(RULES, key=lambda r: (len(r[0]), r[0]), reverse=True):
         site, start = text[: text.find("/")], text[text.find("/") :]
@@ -93,14 +94,17 @@ WITH u AS (
          coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages
 ), known AS (
   SELECT doc_id AS page_id, greatest(max(1 - quality), max(toxic)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING bad IN (0, 1)
+), named AS (
+  SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '\\.?(:[0-9]*)?$', '') AS site FROM u
 ), counts AS (
-  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, string_split(host, '.') AS parts FROM u LEFT JOIN known USING (page_id) WHERE host <> '' GROUP BY host
+  SELECT site AS host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, string_split(site, '.') AS parts FROM named LEFT JOIN known USING (page_id) WHERE named.host <> '' GROUP BY site
 ), hosts AS (
-  SELECT host, n, bad, CASE WHEN {long} THEN {tail(2)} ELSE {tail(1)} END AS suffix, CASE WHEN {long} THEN {tail(3)} ELSE {tail(2)} END AS domain FROM counts
+  SELECT host, n, bad, CASE WHEN {address} THEN '{IP}' WHEN {long} THEN {tail(2)} ELSE {tail(1)} END AS suffix,
+         CASE WHEN {address} THEN host WHEN {long} THEN {tail(3)} ELSE {tail(2)} END AS domain FROM counts
 ), total AS (
   SELECT CAST(coalesce(sum(n), 0) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad FROM hosts
 ), {", ".join(steps)}, f AS (
-  SELECT u.*, mean - {bound} * sqrt(mean * (1 - mean) / (n + strength + 1)) AS score FROM u LEFT JOIN {above} USING (host)
+  SELECT named.page_id, named.host, path, mean - {bound} * sqrt(mean * (1 - mean) / (n + strength + 1)) AS score FROM named LEFT JOIN {above} ON {above}.host = site
 )
 SELECT page_id, host, path, CASE {" ".join(cases["rule"])} END AS rule,
        CASE {" ".join(cases["verdict"])} WHEN score > {limit} THEN 'block' ELSE 'allow' END AS verdict, round(score, 6) AS reputation

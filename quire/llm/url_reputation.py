@@ -17,8 +17,13 @@ from quire.llm.common import stored
 
 #: (host and path prefix, verdict); a rule fits its host and all hosts below it.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Suffixes of two labels, under which the registered domain has three.
-LONG_SUFFIXES = ("ac.uk", "co.jp", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
+# Second labels that are part of the public suffix where the first level is a country's
+# (two letters), and hosts of users' own sites, which are suffixes too.
+SECOND_LABELS = ("ac", "co", "com", "edu", "gob", "gov", "gouv", "govt", "go", "id", "info", "ltd", "me", "mil", "name", "ne", "net", "nom", "or", "org", "plc", "sch")
+SITE_SUFFIXES = ("appspot.com", "blogspot.com", "github.io", "herokuapp.com", "netlify.app", "pages.dev", "vercel.app", "web.app")
+#: What a host that is an IP address has for a suffix.
+IP = "ip"
+IPV4, IPV6 = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$", r"^\[[0-9a-f:.]+\]$"
 LEVELS = ("suffix", "domain", "host")
 STRENGTH = (1.0, 1000.0)
 
@@ -45,22 +50,32 @@ def url_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def site(host: Column) -> Column:
+    """host without user info, port and final dot."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r"\.?(:[0-9]*)?$", "")
+
+
 def levels(host: Column) -> dict[str, Column]:
-    """suffix, domain and host."""
-    labels = F.split(host, r"\.")
+    """suffix, domain and host. An IP address is its own domain; a suffix by itself is, too."""
+    name = site(host)
+    labels = F.split(name, r"\.")
     n = F.size(labels)
     tail = lambda k: F.concat_ws(".", F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k))
-    long = tail(2).isin(*LONG_SUFFIXES)
-    return {"suffix": F.when(long, tail(2)).otherwise(tail(1)), "domain": F.when(long, tail(3)).otherwise(tail(2)), "host": host}
+    long = tail(2).isin(*SITE_SUFFIXES) | tail(2).rlike(rf"^({'|'.join(SECOND_LABELS)})\.[a-z][a-z]$")
+    address = name.rlike(IPV4) | name.rlike(IPV6)
+    suffix = F.when(address, F.lit(IP)).when(long, tail(2)).otherwise(tail(1))
+    return {"suffix": suffix, "domain": F.when(address, name).when(long, tail(3)).otherwise(tail(2)), "host": name}
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
     """(host, n, bad, mean, deviation) of outcomes (host, bad 0, 1 or null): counts, and the posterior of the bad share.
 
+    Hosts that differ in user info or port only are one, named without these.
+
     Counts are summed before every shuffle, so a host with most of the pages is one row
     a task. The driver gets one row for each level.
     """
-    counts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    counts = outcomes.groupBy(site(F.col("host")).alias("host")).agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     names = levels(F.col("host"))
     hosts = stored(counts.select(names["suffix"].alias("suffix"), names["domain"].alias("domain"), "host", "n", "bad"), "hosts")
     total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
@@ -88,8 +103,9 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, limit: float =
 
     labels (doc_id, quality, toxic) carries the outcome of the page of the same id: bad
     if its quality is 0 or it is toxic; rows with both null count for nothing. A host
-    without outcomes has the reputation of its registered domain. Null and unreadable
-    URLs have a null reputation and are allowed. Repeated labels count once, the worst.
+    without outcomes has the reputation of its registered domain; user info and ports make
+    no other host, and IP addresses are domains of their own. Long URLs are read whole. Null and
+    unreadable URLs have a null reputation and are allowed. Repeated labels count once, the worst.
     Repeated pages get a row each. No rows: no rows. Other columns are not read.
     """
     url = F.col("url")
@@ -99,7 +115,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, limit: float =
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(worst.alias("bad")).where("bad in (0, 1)").select(F.col("doc_id").alias("page_id"), "bad")
     outcomes = rows.where("host <> ''").join(known, "page_id", "left").select("host", "bad")
     score = (F.col("mean") - F.lit(bound) * F.col("deviation")).alias("reputation")
-    found = rows.join(host_reputation(outcomes).select(F.col("host").alias("of"), score), F.col("host") == F.col("of"), "left")
+    found = rows.join(host_reputation(outcomes).select(F.col("host").alias("of"), score), site(F.col("host")) == F.col("of"), "left")
     rule, verdict = url_rule(F.col("host"), F.col("path"), rules)
     said = F.coalesce(verdict, F.when(F.col("reputation") > limit, F.lit("block")).otherwise(F.lit("allow")))
     return found.select("page_id", "host", "path", rule.alias("rule"), said.alias("verdict"), "reputation")
