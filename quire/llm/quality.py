@@ -33,8 +33,10 @@ WINDOW = 2
 WIDTH = 2 * DIM + 2
 #: Buckets in one row of the summed vectors.
 RANGE = 256
-#: Labelled rows that training takes at most.
+#: Labelled documents that training takes at most, one row of each.
 SAMPLE = 20_000
+#: Tasks that sum up context vectors at most, for each core.
+TASKS_A_CORE = 4
 HIDDEN = 32
 #: Tokens that are added up at once.
 CHUNK = 1 << 18
@@ -112,7 +114,8 @@ def context_sums(docs: DataFrame) -> DataFrame:
 
     schema = "range int, sums binary"
     n = min(partitions(docs.sparkSession), BUCKETS // RANGE)
-    return docs.select("text").mapInArrow(run, schema).repartition(n, "range").mapInArrow(add, schema)
+    few = docs.select("text").coalesce(TASKS_A_CORE * docs.sparkSession.sparkContext.defaultParallelism)  # each task sends one set of sums
+    return few.mapInArrow(run, schema).repartition(n, "range").mapInArrow(add, schema)
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -211,10 +214,16 @@ def held_out(doc_id="doc_id"):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """(text, y) of at most bound rows of docs that have one quality label and are not held out."""
+    """(text, y) of at most bound documents that have one quality label and are not held out.
+
+    The labelled ids that docs hold are taken in the order of their hash; of rows that share
+    an id the text that sorts first stands for it. Where rows lie makes no difference.
+    """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("other"))
-    chosen = known.where("y = other").select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
+    there = known.where("y = other").join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen = there.select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most bound rows
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[np.ndarray, Network]:
@@ -228,10 +237,11 @@ def fitted(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> tuple[np.
             xs = [pooled(t, shared.value, known).tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), batch.column(1).cast(pa.int32())], ["x", "y"])
 
-    rows = labelled_sample(docs, labels, bound).mapInArrow(run, "x binary, y int").limit(2 * bound).collect()
+    rows = labelled_sample(docs, labels, bound).mapInArrow(run, "x binary, y int").collect()  # at most bound rows
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float64).reshape(-1, WIDTH)
-    order = np.lexsort(x.T) if len(x) else []
-    return vectors, train(x[order], np.array([r["y"] for r in rows], np.float64)[order])
+    y = np.array([r["y"] for r in rows], np.float64)
+    order = np.lexsort((y, *x.T)) if len(x) else []
+    return vectors, train(x[order], y[order])
 
 
 def scorer(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE):
@@ -254,13 +264,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, bo
     labels has doc_id and quality; other values than 0 and 1 and contradictory labels
     are left out. Null and empty texts have no tokens and get the score of the zero
     vector. Without labels, or with labels of one kind, all scores are the share of
-    ones (0.5 without any). Repeated rows get a row each; a null doc_id counts as the
-    text '' for the fold. No rows: no rows. Other columns are not read.
+    ones (0.5 without any). Texts of any length are pooled whole, CHUNK tokens at a time.
+    Repeated rows get a row each; a null doc_id counts as the text '' for the fold. No rows:
+    no rows. Other columns are not read.
     """
     score = scorer(docs, labels, bound)("text")
     return docs.select("doc_id", held_out().alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, bound: int = SAMPLE) -> DataFrame:
-    """The rows of docs, with all their columns, that score_quality() predicts 1 for."""
+    """The rows of docs, with all their columns, that score_quality() predicts 1 for.
+
+    Null, empty and long texts, odd labels, null and repeated ids: see score_quality(). Equal
+    texts go or stay together. No rows: no rows.
+    """
     return docs.where(scorer(docs, labels, bound)("text") >= threshold)
