@@ -8,7 +8,8 @@ under a variant are compared in full. Links join into components.
 
 The index holds distinct fingerprints only: copies are one entry. A variant with many
 fingerprints is searched outwards from one of them at a time, over those not yet
-reached, so it yields fewer links than members and never all pairs.
+reached, so it yields fewer links than members and never all pairs. One with very many
+is cut into tiles first, which tasks search one by one.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import partitions, placed, small_batches, stored
+from quire.llm.common import partitions, placed, small_batches, stored, tiled
 from quire.llm.components import connected_components
 
 BITS = 64
@@ -28,8 +29,10 @@ SEED = 42
 CUTS = (0, 21, 42, 64)
 #: Of variants with up to so many fingerprints all pairs are compared.
 SMALL = 16
-#: Rows of the index that one task holds at once, besides those of its largest variant.
+#: Rows of the index that one task holds at once.
 CHUNK = 1 << 20
+#: Fingerprints of one variant that a task searches at once; variants with more are tiled.
+TILE = 1 << 14
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -111,10 +114,10 @@ def forest(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
-def links_of(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows that are sorted by key, within each key."""
+def links_of(keys: np.ndarray, fps: np.ndarray, most: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links among rows that are sorted by key, within each key, and the keys of more than largest rows, which are passed over."""
     if len(keys) < 2:
-        return fps[:0], fps[:0]
+        return fps[:0], fps[:0], keys[:0]
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.append(starts, len(keys)))
     left, right = [], []
@@ -127,58 +130,78 @@ def links_of(keys: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray,
         near = same & (np.bitwise_count(f[d:] ^ f[:-d]) <= most)
         left.append(f[:-d][near])
         right.append(f[d:][near])
-    for s, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
+    dense = (sizes > SMALL) & (sizes <= largest)
+    for s, n in zip(starts[dense], sizes[dense]):
         a, b = forest(fps[s : s + n], most)
         left.append(a)
         right.append(b)
+    over = keys[starts[sizes > largest]]
     if not left:
-        return fps[:0], fps[:0]
+        return fps[:0], fps[:0], over
     a, b = np.concatenate(left), np.concatenate(right)
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return pairs[:, 0].copy(), pairs[:, 1].copy()
+    return pairs[:, 0].copy(), pairs[:, 1].copy(), over
 
 
-def find_links(fps: DataFrame, most_bits: int) -> DataFrame:
-    """(a, b): links between distinct fingerprints, enough to connect all that are connected."""
+def _links(index: DataFrame, most_bits: int, largest: int) -> DataFrame:
+    """(a, b): links within each key of index (key, fp); (key, null) for keys of more than largest rows."""
 
     def run(batches):
-        keys, values, held = [], [], 0
+        keys, values, held, skip = [], [], 0, None
 
         def out(last: bool):
-            nonlocal keys, values, held
+            nonlocal keys, values, held, skip
             k, f = np.concatenate(keys), np.concatenate(values)
             cut = len(k) if last else int(np.searchsorted(k, k[-1]))
-            a, b = links_of(k[:cut], f[:cut], most_bits)
-            keys, values = [k[cut:]], [f[cut:]]
-            held = len(k) - cut
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            a, b, over = links_of(k[:cut], f[:cut], most_bits, largest)
+            k, f = k[cut:], f[cut:]
+            if len(k) > largest:  # the key under way is too large already: the rest of it needn't be held
+                skip = int(k[0])
+                over, k, f = np.append(over, skip), k[:0], f[:0]
+            keys, values, held = [k], [f], len(k)
+            both = [pa.array(np.concatenate([a.view(np.int64), over])), pa.array([*b.view(np.int64).tolist(), *[None] * len(over)], pa.int64())]
+            return pa.RecordBatch.from_arrays(both, ["a", "b"])
 
-        grown = CHUNK
         for batch in batches:
-            keys.append(batch.column(0).to_numpy())
-            values.append(batch.column(1).to_numpy().view(np.uint64))  # bitwise_count takes the absolute value of signed numbers
-            held += batch.num_rows
-            if held >= grown:
+            k, f = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
+            if skip is not None:
+                k, f = k[k != skip], f[k != skip]
+            keys.append(k)
+            values.append(f)
+            held += len(k)
+            if held >= CHUNK:
                 yield out(False)
-                grown = max(CHUNK, 2 * held)
         if held:
             yield out(True)
 
-    n = partitions(fps.sparkSession)
-    index = variants(fps).repartition(n, "key").sortWithinPartitions("key")
-    return index.mapInArrow(run, "a long, b long").distinct()
+    n = partitions(index.sparkSession)
+    return index.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def rooted(marks: DataFrame, least: Column, most_bits: int) -> DataFrame:
+def find_links(fps: DataFrame, most_bits: int, tile: int = TILE) -> DataFrame:
+    """(a, b): links between distinct fingerprints, enough to connect all that are connected."""
+    found = stored(_links(variants(fps), most_bits, tile), "links")
+    links = found.where("b is not null").select("a", "b")
+    over = found.where("b is null").select(F.col("a").alias("key")).distinct()
+    if over.isEmpty():
+        return links.distinct()
+    rows = variants(fps).join(over, "key", "left_semi")
+    parts = tiled(rows, rows.groupBy("key").agg(F.count("*").alias("n")), "key", "fp", tile)
+    # keys that should share a hash are compared together, which links nothing wrong
+    more = _links(parts.select(F.xxhash64("key", "tile").alias("key"), "fp"), most_bits, 1 << 62)
+    return links.union(more).distinct()
+
+
+def rooted(marks: DataFrame, least: Column, most_bits: int, tile: int = TILE) -> DataFrame:
     """(fp, least, root) of each distinct fingerprint of marks; linked fingerprints have the same root."""
     if not 0 <= most_bits <= 4:
         raise ValueError("three segments cover up to 4 differing bits")
     distinct = stored(marks.groupBy("fp").agg(least.alias("least")), "distinct")
-    roots = connected_components(find_links(distinct.select("fp"), most_bits))
+    roots = connected_components(find_links(distinct.select("fp"), most_bits, tile))
     return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, most_bits: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, most_bits: int = 4, tile: int = TILE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of docs (doc_id, text).
 
     Fingerprints link at ``most_bits`` (at most 4) or fewer differing bits;
@@ -186,11 +209,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, most_bits: int = 4) -> Data
     Null and empty texts, and those of white space only, have fingerprint zero and
     link like any other. Fewer words than a shingle: the whole sequence is the one
     shingle. A null doc_id gets a row and takes part, but names no component unless
-    all others are null too. Repeated rows get a row each. No rows: no rows. Other
-    columns are not read.
+    all others are null too. Repeated rows get a row each. Texts of any length are read
+    whole. No rows: no rows. Other columns are not read.
     """
     marks = stored(fingerprints(docs, words), "marks")
-    labelled = rooted(marks, F.min("doc_id"), most_bits)
+    labelled = rooted(marks, F.min("doc_id"), most_bits, tile)
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of = labelled.select("fp", "root").join(least, "root").select("fp", "component_id")
     return marks.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
