@@ -142,8 +142,8 @@ def pack(docs: DataFrame, size: int = 1024, tokenizer=ByteBpe) -> DataFrame:
     """PIECES, sequence_id and offset of every piece of docs (doc_id, text).
 
     Null texts count as empty: such a document is its closing id alone. A null doc_id
-    stays null; repeated rows are packed one by one. No rows: no rows. Other columns
-    are not read. sequence_id runs from 0 without gaps; a sequence's pieces follow one
+    stays null; repeated rows are packed one by one. Texts of any length are tokenised
+    whole. No rows: no rows. Other columns are not read. sequence_id runs from 0 without gaps; a sequence's pieces follow one
     another from offset 0.
     """
     spark = docs.sparkSession

@@ -1,6 +1,7 @@
 """The operators against brute force, and on nulls, empty texts, ties, repeats, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quire.llm import additive_quantization, components, exact_dedup, line_dedup, nbest, packing, quality, secret_scan, shingle_dedup, simhash, substring_dedup, url_reputation
@@ -41,8 +43,8 @@ def lower(s):
     return s.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
-@pytest.mark.parametrize("bound", [64 << 20, 0])
-def test_line_dedup(docs, rows, bound):
+@pytest.mark.parametrize("part, shard", [(line_dedup.PART, line_dedup.SHARD), (40, 300)])
+def test_line_dedup(docs, rows, part, shard):
     holders = defaultdict(set)
     for i, t in rows:
         for line in (t or "").split("\n"):
@@ -53,16 +55,35 @@ def test_line_dedup(docs, rows, bound):
         lines = (t or "").split("\n")
         kept = [x for x in lines if len(k := lower(x.strip(WS))) < 20 or len(holders[k]) < 3 or max(holders[k]) == key(i)]
         expected.append((str(i), "\n".join(kept), len(lines), len(lines) - len(kept)))
-    found = line_dedup.dedup_lines(docs, broadcast_bytes=bound).collect()
+    found = line_dedup.dedup_lines(docs, part=part, shard=shard).collect()
     assert sorted((str(r.doc_id), r.kept_text, r.n_lines, r.n_dropped) for r in found) == sorted(expected)
 
 
-def test_perfect_hash():
+@pytest.mark.parametrize("least", [3, 300])
+def test_perfect_hash(least):
     h = np.unique(np.random.default_rng(0).integers(0, 1 << 63, (5000, 2)).astype(np.uint64), axis=0)
-    shard = line_dedup.Shard.build(h, np.arange(len(h)), np.arange(len(h)))
-    n = shard.probe(h)
-    assert sorted(n) == list(range(len(h))) and (shard.last[n] == np.arange(len(h))).all()
-    assert (shard.probe(h + np.uint64(1)) == -1).all()
+    h[4999, 0] = h[0, 0]  # these two can't be placed
+    n = np.arange(5000) % 500
+    shard = line_dedup.Shard.of(line_dedup.Shard.build(h, n, np.arange(5000), least).row(0))
+    at = shard.probe(h)
+    assert sorted(at) == list(range(5000)) and len(shard.rest) == 2
+    assert (shard.counts[at] == np.minimum(n, 255 if least < 256 else n)).all()
+    assert (shard.probe(h ^ np.uint64(1 << 40)) == -1).all()
+    assert (shard.dropped(h, np.full(5000, -1)) == (n >= least)).all() and not shard.dropped(h, np.arange(5000)).any()
+
+
+def test_line_index_holds_all_lines(docs, rows):
+    """Counts of all distinct lines, also of those that no threshold keeps."""
+    holders = defaultdict(set)
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            if len(k := lower(line.strip(WS))) >= 20:
+                holders[k].add(key(i))
+    held = line_dedup.held_lines(docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text"), 20)
+    lines = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
+    shards = [line_dedup.Shard.of(r.asDict()) for r in line_dedup.line_index(lines, 3, 3).collect()]
+    assert sum(len(x.counts) for x in shards) == len(holders) and len(shards) == 3
+    assert sorted(int(c) for x in shards for c in x.counts) == sorted(min(255, len(v)) for v in holders.values())
 
 
 @pytest.mark.parametrize("bits", [256, 3])
@@ -79,6 +100,36 @@ def test_exact_dedup(docs, rows, bits):
     assert sum(r.kept for r in found) == len(groups)
 
 
+def shown(found):
+    return sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in found)
+
+
+def test_exact_dedup_of_derived_rows(spark, tmp_path):
+    """Rows that come from one row of a file are rows of their own; batches go on where the last one ended."""
+    rows = [(1, "alpha"), (2, "beta"), (3, "be ta"), (None, None), (4, ""), (2, "beta"), (5, "gamma " * 200000)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    plain = spark.read.parquet(f"{tmp_path}/docs")
+
+    def expected(rows):
+        groups = defaultdict(list)
+        for i, t in rows:
+            groups[re.sub(r"\s", "", t or "")].append((-len(t or ""), i is None, i or 0, i))
+        return sorted((str(i), str(min(g)[3]), len(g)) for i, t in rows for g in [groups[re.sub(r"\s", "", t or "")]])
+
+    exploded = plain.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    path = f"{tmp_path}/docs"
+    for docs, times in ((plain, 1), (exploded, 3), (plain.join(spark.range(2)), 2), (spark.read.parquet(path, path), 2)):
+        found = exact_dedup.exact_duplicates(docs).collect()
+        assert shown(found) == expected(rows * times) and sum(r.kept for r in found) == 4
+        assert len({r["at"] for r in found}) == len(found)
+    assert sorted(str(r.doc_id) for r in exact_dedup.kept_rows(exploded, ["doc_id", "text"]).collect()) == ["1", "3", "4", "5"]
+    assert simhash.kept_rows(exploded, ["doc_id", "text"]).count() == 5
+    more = [(9, "alpha  "), (10, "delta"), (11, "beta")]
+    later = spark.createDataFrame(more, "doc_id long, text string")
+    for docs, batch, seen in ((plain, "a", rows), (later, "b", rows + more), (later, "b", rows + more)):
+        assert shown(exact_dedup.exact_duplicates(docs, folder=f"{tmp_path}/state", batch=batch).collect()) == expected(seen)
+
+
 def test_simhash(docs, rows):
     fps = [(i, simhash.simhash(simhash.shingle_hashes(t, 4))) for i, t in rows]
     root = list(range(len(fps)))
@@ -97,8 +148,9 @@ def test_simhash(docs, rows):
         if i is not None:
             least[find(n)].append(i)
     expected = sorted((str(i), f"{fp:016x}", str(min(least[find(n)], default=None))) for n, (i, fp) in enumerate(fps))
-    found = simhash.near_duplicates(docs, 4, 4).collect()
-    assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in found) == expected
+    for tile in (simhash.TILE, 4):  # as it is, and with all but the smallest variants in tiles
+        found = simhash.near_duplicates(docs, 4, 4, tile).collect()
+        assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in found) == expected
 
 
 def test_dense_variants_connect_alike():
@@ -114,6 +166,29 @@ def test_components(spark):
     assert {(r.node, r.root) for r in found.collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
 
 
+def made_words():
+    rng = random.Random(8)
+    return [(i, ["".join(rng.choice("abcdeinorstu.é") for _ in range(rng.randint(1, 20))) for _ in range(20)]) for i in range(10)]
+
+
+def test_nbest_of_long_texts():
+    """No space at all: blocks beyond those that are scored together, of equal and of random characters."""
+    import public_tokenizers
+
+    pieces, rng = nbest.Pieces(public_tokenizers.path("piece_bpe_32k.model")), random.Random(9)
+    for text in ("a" * 100_001, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000))):
+        ids, score, others = nbest.segment(pieces, [text], 4)[0]
+        assert pieces.decode(list(ids)) == text and score == sum(pieces.score_of[i] for i in ids) == pieces.forward(nbest.MARK + text)[-1]
+        known = {tuple(ids)}
+        for s, changes in others:
+            other = list(ids)
+            for at, drop, new in sorted(changes, reverse=True):
+                other[at : at + drop] = new
+            assert pieces.decode(other) == text and s == sum(pieces.score_of[i] for i in other) <= score
+            known.add(tuple(other))
+        assert len(known) == 4
+
+
 def test_nbest(spark):
     import public_tokenizers
 
@@ -137,6 +212,12 @@ def test_nbest(spark):
             assert pieces.decode(other) == t and s <= score
     found = nbest.encode_nbest(made(spark, [(1, "hello world"), (2, None), (3, ""), (3, "")])).collect()
     assert {(r.doc_id, r.round_trip, len(r.ids) > 0) for r in found} == {(1, True, True), (2, True, False), (3, True, False)}
+    for words in ({w for _, t in made_words() for w in t}, {"aaaa", "aaaaa", "hello", "é", "\n"}):
+        for w in words:  # the best of many blocks at once is that of the search
+            for block in pieces.blocks(w):
+                two = pieces.search(block, 2)
+                loss = two[0][0] - two[1][0] if len(two) > 1 else -1
+                assert pieces._many([block])[0] == (pieces.ids_of(two[0][1]), two[0][0], loss)
     assert {r.text for r in nbest.decode_ids(nbest.encode_nbest(made(spark, [(1, "a  b\té")]))).collect()} == {"a  b\té"}
 
 
@@ -152,24 +233,47 @@ def test_url_filter(spark):
     mean = {r.host: r["mean"] for r in url_reputation.host_reputation(outcomes).collect()}
     assert mean["good.example.org"] < 0.05 < 0.5 < mean["new.example.com"] < mean["bad.example.com"]
     assert url_reputation.filter_urls(pages.limit(0), labels.limit(0)).count() == 0
+    hosts = {"a.b.co.uk": "co.uk b.co.uk", "x@y.com:80": "com y.com", "192.168.0.1:8080": "ip 192.168.0.1", "[::1]:80": "ip [::1]", "joe.github.io": "github.io joe.github.io", "com": "com com", "a.com.": "com a.com", "sub.a.de": "de a.de"}
+    made_of = url_reputation.levels(F.col("h"))
+    for r in spark.createDataFrame([(h,) for h in hosts], "h string").select("h", made_of["suffix"].alias("s"), made_of["domain"].alias("d")).collect():
+        assert f"{r.s} {r.d}" == hosts[r.h]
 
 
-@pytest.mark.parametrize("bound", [64 << 20, 0])
-def test_substring_dedup(docs, rows, bound):
-    first, removed = {}, {}
-    texts = [(1 << 63 if i is None else i, t) for i, t in rows]
-    for i, t in sorted(dict(texts).items()):
-        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
-        gone = [False] * len(words)
-        for k in range(len(words) - 19):
-            if first.setdefault(tuple(words[k : k + 20]), (i, k)) != (i, k):
-                gone[k : k + 20] = [True] * 20
-        removed[i] = (" ".join(w for w, g in zip(words, gone) if not g), len(words), sum(gone))
-    found = substring_dedup.dedup_substrings(docs, 20, bound).collect()
-    assert len(found) == len(rows)
-    for r in found:
-        assert (r.kept_text, r.n_words, r.n_removed) == removed[1 << 63 if r.doc_id is None else r.doc_id]
-        assert sum(b - a for a, b in r.removed) == r.n_removed
+def without_repeats(rows):
+    """(id, kept text, words, removed) of rows, by (id, start, order of the rows); null ids last."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    gone, first = [[False] * len(w) for w in words], set()
+    for _, k, n in sorted((1 << 63 if i is None else i, k, n) for n, (i, _) in enumerate(rows) for k in range(len(words[n]) - 19)):
+        w = tuple(words[n][k : k + 20])
+        if w in first:
+            gone[n][k : k + 20] = [True] * 20
+        first.add(w)
+    return sorted((str(i), " ".join(w for w, g in zip(words[n], gone[n]) if not g), len(words[n]), sum(gone[n])) for n, (i, _) in enumerate(rows))
+
+
+def test_substring_dedup(spark, docs, rows):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("w", 40), ("x", 60), ("y", 30)))
+    shared = [(1, a), (2, a), (2, b), (3, f"{b} {b}"), (None, b), (None, b), (4, f"{b} {a}"), (8, c), (8, c), (9, f"{c} {c}"), (9, f"{a} {c}"), (5, None), (6, ""), (7, "a " * 500)]
+    for given, frame in ((rows, docs), (shared, made(spark, shared).repartition(3))):
+        found = substring_dedup.dedup_substrings(frame, 20).collect()
+        assert sorted((str(r.doc_id), r.kept_text, r.n_words, r.n_removed) for r in found) == without_repeats(given)
+        assert all(sum(b - a for a, b in r.removed) == r.n_removed for r in found)
+
+
+def test_repeated_rows_against_the_sql(spark):
+    """Unlike rows with one id, and rows that repeat: the same rows come out as from DuckDB."""
+    import duckdb
+
+    from quire.llm import oracles
+
+    a, b = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
+    rows = [(1, a), (2, a), (2, b), (3, b), (3, b), (4, f"{a}\n{b}"), (4, f"{a}\n{b}")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    expected = con.sql(f"SELECT doc_id, n_words, n_removed, kept_sha256 FROM ({oracles.substrings(20)})").fetchall()
+    found = substring_dedup.dedup_substrings(made(spark, rows), 20).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256))
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
 
 
 def test_nearest(spark):
@@ -192,6 +296,25 @@ def test_nearest(spark):
     assert additive_quantization.nearest(vectors.where("vec_id < 3")).count() == 2
 
 
+@pytest.mark.parametrize("kind", ["outliers", "scales"])
+def test_nearest_at_any_scale(spark, kind):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "outliers":
+        x[[7, 100]] *= 1e39
+        x[40] *= 1e-39
+    else:
+        x *= np.exp(3 * rng.normal(size=(3000, 1)))
+    found = defaultdict(list)
+    for r in additive_quantization.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
+        found[r.query_id].append(r.vec_id)
+    hits = sum(len({*[i for i in np.lexsort((np.arange(3000), -(x @ x[q]))) if i != q][:20]} & {*found[q]}) for q in range(0, 3000, 20))
+    assert hits >= 0.95 * 150 * 20 and all(len(v) == 20 for v in found.values())
+    huge = spark.createDataFrame([(i, [s * 1e300, 1e300]) for i, s in enumerate((1.0, 1.0, -1.0, 0.5))], "vec_id long, embedding array<double>")
+    assert {(r.query_id, r["rank"]): r.vec_id for r in additive_quantization.nearest(huge, every=1, k=2).collect()}[(0, 1)] == 1
+
+
 def test_nearest_with_equal_vectors(spark):
     """A third of the vectors are equal: ties go to the smaller vec_id, and no other neighbour is crowded out."""
     rng = np.random.default_rng(5)
@@ -244,7 +367,7 @@ def test_repeated_tokens_set_no_threshold(spark):
     def frame(found):
         return spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
 
-    tested = frame(tokens).select("doc_id", secret_scan.tested_tokens(F.col("text"))[0]["p"].alias("p")).collect()
+    tested = secret_scan.with_tested(frame(tokens), "text", "t").select("doc_id", F.col("t")[0]["p"].alias("p")).collect()
     low = tokens[next(r.doc_id for r in tested if 0.2 < r.p < 0.4)]
     least = secret_scan.thresholds(frame(tokens), 0.05)
     copied = frame(tokens + [low] * 200)
@@ -252,6 +375,54 @@ def test_repeated_tokens_set_no_threshold(spark):
     assert all(r.n for r in secret_scan.scan_secrets(copied).where("doc_id >= 400").select(F.size("spans").alias("n")).collect())
 
 
+def independent_p(token, alphabet):
+    """The three tests and Fisher's method by their formulas, with the standard library alone."""
+    x, n, k = [alphabet.index(c) for c in token], len(token), len(alphabet)
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    stat = sum((token.count(c) - n / k) ** 2 / (n / k) for c in alphabet)
+    freedom = (k - 1) * n / (n - 1)  # the statistic's mean is k - 1; scaled so that mean and variance fit
+    z1 = ((stat / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * freedom))) / math.sqrt(2 / (9 * freedom))
+    high = [2 * v >= k for v in x]
+    runs, h = 1 + sum(a != b for a, b in zip(high, high[1:])), sum(high)
+    due = 1 + 2 * h * (n - h) / n
+    z2 = (runs - due) / math.sqrt((due - 1) * (due - 2) / (n - 1))
+    mean = sum(x) / n
+    r = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / sum((a - mean) ** 2 for a in x)
+    z3 = (r + 1 / n) * math.sqrt(n)
+    half = -sum(math.log(p) for p in (tail(z1), 2 * tail(abs(z2)), 2 * tail(abs(z3))))
+    return math.exp(-half) * (1 + half + half * half / 2)
+
+
+def test_p_values(spark):
+    rng = random.Random(10)
+    alphabets = {name: letters for name, _, letters in secret_scan.ENCODINGS}
+    tokens = []
+    for name in ("hex", "base36", "base62", "base64", "letters"):
+        for n in (20, 33, 64, 150):
+            tokens += [(name, "".join(rng.choice(alphabets[name]) for _ in range(n))) for _ in range(5)]
+    rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(tokens)], "doc_id long, text string")
+    ps = []
+    for r in secret_scan.with_tested(rows, "text", "t").select("doc_id", F.col("t")[0].alias("t")).collect():
+        assert abs(r.t.p - independent_p(tokens[r.doc_id][1], alphabets[r.t.encoding])) < 1e-4
+        ps.append(r.t.p)
+    assert 0.3 < np.mean(ps) < 0.7  # uniform, for random tokens
+
+
+def test_secrets_in_a_long_text(spark):
+    """Thousands of matches in one text, over several chunks and with characters beyond the basic plane."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(24, 40))) if rng.random() < 0.5 else rng.choice(["é😀", "password=abcdefg1", "plain"]) for _ in range(6000)]
+    text = " ".join(words)
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "plain " * 20000)], "doc_id long, text string")
+    spans = {r.doc_id: [(s["start"], s["end"]) for s in r.spans] for r in secret_scan.scan_secrets(rows).collect()}
+    clean = {r.doc_id: r.text for r in secret_scan.without_secrets(rows).collect()}
+    at, out = 0, []
+    for a, b in spans[1]:
+        out += [text[at:a] + "[SECRET]"] if a >= at else []
+        at = max(at, b)
+    assert len(spans[1]) > 3000 and clean == {1: "".join(out) + text[at:], 2: None, 3: "plain " * 20000}
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
     import public_tokenizers
@@ -288,6 +459,48 @@ def test_quality(spark):
     assert quality.score_quality(odd.limit(0), none).count() == 0
 
 
+def test_quality_against_brute_force(spark):
+    """Contexts counted one by one, pooled token by token, and the network applied by hand."""
+    t = {n: spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels")}
+    docs = {r.doc_id: r.text for r in t["documents"].collect()} | {9001: None, 9002: "", 9003: "word " * 300_000}
+    places, signs = quality.index_vectors()
+    sums, cut = np.zeros((quality.BUCKETS, quality.DIM)), {}
+    for i, text in docs.items():
+        cut[i] = [xxhash.xxh64_intdigest(w) % quality.BUCKETS for w in quality.TOKEN.findall(text or "")]
+        for a, b in enumerate(cut[i]):
+            for c in cut[i][max(0, a - quality.WINDOW) : a] + cut[i][a + 1 : a + 1 + quality.WINDOW]:
+                for place, sign in zip(places[c], signs):
+                    sums[b, place] += sign
+    vectors = np.sign(sums) * np.sqrt(np.abs(sums))
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
+
+    def pooled(ids):
+        if not ids:
+            return np.zeros(quality.WIDTH)
+        rows = vectors[ids]
+        like = (rows[1:] * rows[:-1]).sum(axis=1) if len(ids) > 1 else np.zeros(1)
+        return np.concatenate([rows.mean(axis=0), rows.std(axis=0), [like.mean(), like.std()]])
+
+    found = t["documents"].select("doc_id", "text").unionByName(spark.createDataFrame([(i, docs[i]) for i in (9001, 9002, 9003)], "doc_id long, text string"))
+    made_vectors, net = quality.fitted(found, t["labels"])
+    assert np.abs(made_vectors - vectors).max() < 1e-5
+    known = {r.doc_id: r.quality for r in t["labels"].collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    assert quality.labelled_sample(found, t["labels"]).count() == len(known.keys() & docs.keys())
+    for r in quality.score_quality(found, t["labels"]).collect():
+        x = (pooled(cut[r.doc_id]) - net.mean) / net.scale
+        logit = np.tanh(x @ net.w1 + net.b1) @ net.w2 + net.b2[0]
+        assert abs(r.score - 1 / (1 + math.exp(-logit / net.temperature))) < 1e-2 and r.predicted == (r.score >= 0.3)
+
+
+def test_quality_sample_is_fixed(spark):
+    """Repeated ids, and whatever partitions the rows lie in: the same documents are learned from."""
+    docs = spark.createDataFrame([(i % 50, f"text {i}") for i in range(400)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, 0), (4, None)], "doc_id long, quality int")
+    first = sorted(map(tuple, quality.labelled_sample(docs, labels, 20).collect()))
+    assert len(first) == 20 and first == sorted(map(tuple, quality.labelled_sample(docs.repartition(7), labels, 20).collect()))
+
+
 def test_empty_tables(spark):
     none = made(spark, [])
     for run in (line_dedup.dedup_lines, exact_dedup.exact_duplicates, simhash.near_duplicates, nbest.encode_nbest, substring_dedup.dedup_substrings, secret_scan.scan_secrets, packing.pack):
@@ -331,6 +544,8 @@ def test_near_copies_by_shingles(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     kept = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
     assert sorted(kept) == sorted({*root})
+    tiles = shingle_dedup.kept_rows(docs, corpus_pipeline.COLUMNS, tile=2).collect()
+    assert sorted(r.doc_id for r in tiles) == sorted(kept)
 
 
 @pytest.mark.parametrize("bound", [64 << 20, 0])
@@ -371,3 +586,35 @@ def test_pipeline(spark):
         docs = stage(spark, docs, labels_dir)
         assert docs.columns == corpus_pipeline.COLUMNS and docs.count() > 150
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_clusters_name_a_shared_folder(spark):
+    """Without spark.checkpoint.dir, nothing is written where only one machine sees it."""
+    from quire.llm import common
+
+    assert common.shared_dir(spark)
+    setting = spark.conf.get("spark.checkpoint.dir", None)
+    scala = spark.sparkContext._jsc.sc()
+
+    class Cluster:
+        def getCheckpointDir(self):
+            return type("None_", (), {"isEmpty": staticmethod(lambda: True)})
+
+        def isLocal(self):
+            return False
+
+    if setting is None:
+        fake = type("Session", (), {"conf": spark.conf, "sparkContext": type("Context", (), {"_jsc": type("J", (), {"sc": staticmethod(Cluster)})})})
+        with pytest.raises(ValueError):
+            common.shared_dir(fake)
+    assert scala.isLocal()
+
+
+def test_stored_tables_are_deleted(spark):
+    from quire.llm import common
+
+    table = common.stored(spark.range(5).toDF("n"), "try")
+    folder = table.inputFiles()[0].rsplit("/", 1)[0]
+    assert common.exists(spark, folder) and common.is_plain_scan(table)
+    common.drop_stored(table)
+    assert not common.exists(spark, folder)
