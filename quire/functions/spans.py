@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import EXPANSIONS, fold
 
+
 def ngram_positions(texts: DataFrame, grams: list[str], key: str) -> DataFrame:
     """(key, start, stop): all places of the grams in texts (key, text), overlapping ones too.
 
@@ -37,9 +38,9 @@ def fuse_spans(spans: DataFrame, *key: str) -> DataFrame:
 def shift_spans(spans: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     """Spans (key, start, stop) of folded texts, as spans of the texts (key, text) they come from.
 
-    Only texts with a character that folds to several need a map of their characters.
+    Only texts with a span and a character that folds to several need a map of their characters.
     """
-    longer = texts.where(F.col("text").rlike("[" + "".join(EXPANSIONS) + "]"))
+    longer = texts.where(F.col("text").rlike("[" + "".join(EXPANSIONS) + "]")).join(spans.select(key).distinct(), key, "left_semi")
     chars = longer.select(key, F.posexplode(F.split("text", "")).alias("raw", "c")).where("c <> ''")
     each = Window.partitionBy(key).orderBy("raw").rowsBetween(Window.unboundedPreceding, 0)
     size = F.length(fold(F.col("c")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,13 +13,19 @@ from pyspark.sql import functions as F
 EXPANSIONS = {
     "ß": "ss", "œ": "oe", "Œ": "OE", "æ": "ae", "Æ": "AE", "þ": "th", "Þ": "Th", "…": "...", "€": "EUR",
     "°": "deg", "«": "<<", "»": ">>", "—": "--", "ﬁ": "fi", "ﬂ": "fl",
+    "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "iu", "я": "ia", "ё": "io", "θ": "th", "φ": "ph", "χ": "kh", "ψ": "ps",
 }
+EXPANSIONS |= {c.upper(): ascii_form.capitalize() for c, ascii_form in EXPANSIONS.items() if c in "жхцчшщюяёθφχψ"}
+# Cyrillic and Greek letters and their ASCII forms, in the order of the alphabets.
+ALPHABETS = (("абвгдезийклмнопрстуфыэьъ", "abvgdeziiklmnoprstufye'\""), ("αβγδεζηικλμνξοπρστυωςάέήίόύώ", "abgdeziiklmnxoprstuosaeiiouo"))
 SINGLES = {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ı": "i", "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", " ": " "}
 
 
 def _folded() -> tuple[str, str]:
     """Letters and their bases, wherever a compatibility decomposition starts with an ASCII letter."""
     pairs = dict(SINGLES)
+    for letters, forms in ALPHABETS:
+        pairs |= dict(zip(letters, forms, strict=True)) | {c.upper(): f.upper() for c, f in zip(letters, forms) if len(c.upper()) == 1 and c != "ς"}
     for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
         c = chr(code)
         base = unicodedata.normalize("NFKD", c)
@@ -29,12 +37,23 @@ def _folded() -> tuple[str, str]:
 FROM, TO = _folded()
 
 
+_LONG = "[" + "".join(EXPANSIONS) + "]"
+_FOLDED = str.maketrans(dict(zip(FROM, TO)) | EXPANSIONS)
+
+
 def fold(text: Column) -> Column:
-    """ASCII form of accented letters, ligatures and typographic signs; other characters stay."""
-    out = F.translate(text, FROM, TO)
-    for c, ascii_form in EXPANSIONS.items():
-        out = F.replace(out, F.lit(c), F.lit(ascii_form))
-    return out
+    """ASCII form of accented, Greek and Cyrillic letters, ligatures and typographic signs; other characters stay.
+
+    Most texts need few of the steps: ASCII ones none, those without characters that expand no replacement.
+    """
+    short = F.translate(text, FROM, TO)
+    whole = reduce(lambda out, e: F.replace(out, F.lit(e[0]), F.lit(e[1])), EXPANSIONS.items(), short)
+    return F.when(F.octet_length(text) == F.length(text), text).when(text.rlike(_LONG), whole).otherwise(short)
+
+
+def folded(text: str) -> str:
+    """fold() of one text on the driver."""
+    return text.translate(_FOLDED)
 
 
 #: . , : that are not between digits
@@ -66,6 +85,13 @@ def normalize(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.translate(bare, _OPEN + _CLOSE, "()"), " +", " ")))
 
 
+def normalized(text: str) -> str:
+    """normalize() of one text on the driver, by the same patterns; for queries."""
+    marked = re.sub(KEPT_PARENS, f"{_OPEN}\\1{_CLOSE}", folded(text).translate(str.maketrans(_OPEN + _CLOSE, "  ")))
+    bare = re.sub(rf"[^A-Za-z0-9.,:'\-{_OPEN}{_CLOSE}]|{LOOSE_NUMERIC}|{LOOSE_WORD}", " ", marked)
+    return " ".join(bare.translate(str.maketrans(_OPEN + _CLOSE, "()")).split()).lower()
+
+
 def words(text: Column) -> Column:
     """Array of the words of text; null and empty texts have none."""
     return F.filter(F.split(normalize(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")

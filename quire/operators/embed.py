@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import PCA, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.vectors import sif, unit, without
@@ -35,6 +35,29 @@ def first_component(vectors: DataFrame, column: str = "vec") -> list[float]:
     return [float(x) for x in model.pc.toArray()[:, 0]]
 
 
+def dimension(word_vectors: DataFrame) -> int:
+    row = word_vectors.select(F.size("vec").alias("n")).first()
+    return row["n"] if row else 0
+
+
+def component_rows(spark: SparkSession, component: list[float]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(component)), "dim int, value double")
+
+
+def component_values(component: DataFrame) -> list[float]:
+    return [r["value"] for r in component.orderBy("dim").collect()]  # one row a dimension
+
+
+def query_vectors(vocab: DataFrame, word_vectors: DataFrame, component: list[float], queries: list[list[str]], total: int | None = None) -> list[list[float]]:
+    """The vector of each query (its words), made as a page's: weighted mean, less the component, at unit length; zeros without a known word."""
+    spark = vocab.sparkSession
+    asked = spark.createDataFrame([(i, w) for i, words in enumerate(queries) for w in words], "page_idx long, word string")
+    total = total or vocab.agg(F.sum("cnt")).first()[0] or 1
+    few = vocab.join(F.broadcast(asked.select("word").distinct()), "word", "left_semi")
+    found = {r["page_idx"]: r["vec"] for r in page_vectors(sif_vectors(asked, few, word_vectors, len(component), total=total), component).collect()}  # a row a query
+    return [list(found.get(i) or [0.0] * len(component)) for i in range(len(queries))]
+
+
 def page_vectors(means: DataFrame, component: list[float]) -> DataFrame:
     """means (.., vec) less the component, at unit length; zero vectors stay."""
     u = F.array(*(F.lit(x) for x in component))

@@ -1,31 +1,27 @@
-"""The index: pages, documents, tokens, vocabulary and postings as DataFrames."""
+"""The index: pages, documents, tokens, vocabulary, postings and page vectors as DataFrames."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import words
-from quire.operators.ranks import running
-
-#: Rows are ranked in parts: words by their first characters, positions without their last bits.
-WORD_PREFIX, PART_BITS = 3, 16
+from quire.operators import embed, segment
+from quire.operators.ranks import running, shuffle_partitions, written
 
 
 def number_pages(pages: DataFrame) -> DataFrame:
     """(doc_name, page_key, text) with doc_idx, page_no and page_idx, all from 0.
 
-    Pages are numbered within their document; documents, in the order of their names,
-    add the pages before them. No window spans the pages of more than one document.
+    Pages are numbered in the order of document and key, documents in that of their names.
     """
-    numbered = pages.withColumn("page_no", F.row_number().over(Window.partitionBy("doc_name").orderBy("page_key")) - 1)
-    docs = pages.groupBy("doc_name").agg(F.count("*").alias("n_pages"))
-    before = Window.orderBy("doc_name").rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.select("doc_name", (F.row_number().over(Window.orderBy("doc_name")) - 1).alias("doc_idx"), F.coalesce(F.sum("n_pages").over(before), F.lit(0)).alias("page_start"))
+    numbered = running(pages.select("doc_name", "page_key", "text"), [F.col("doc_name"), F.col("page_key")])
+    names = numbered.groupBy("doc_name").agg(F.min("row_before").alias("page_start"))
+    docs = running(names, [F.col("doc_name")]).withColumnRenamed("row_before", "doc_idx")
     joined = numbered.join(docs, "doc_name")
-    return joined.select("doc_name", "doc_idx", "page_no", (F.col("page_start") + F.col("page_no")).alias("page_idx"), "page_key", "text")
+    return joined.select("doc_name", "doc_idx", (F.col("row_before") - F.col("page_start")).alias("page_no"), F.col("row_before").alias("page_idx"), "page_key", "text")
 
 
 def doc_dim(numbered: DataFrame) -> DataFrame:
@@ -34,38 +30,43 @@ def doc_dim(numbered: DataFrame) -> DataFrame:
     )
 
 
-def page_dim(numbered: DataFrame) -> DataFrame:
-    """page_idx, doc_idx, page_no, n_tokens and sidx_start, the tokens before the page: sums by document, then by page."""
-    counted = numbered.select("page_idx", "doc_idx", "page_no", F.size(words(F.col("text"))).cast("long").alias("n_tokens"))
-    before = Window.orderBy("doc_idx").rowsBetween(Window.unboundedPreceding, -1)
-    docs = counted.groupBy("doc_idx").agg(F.sum("n_tokens").alias("n")).select("doc_idx", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("doc_start"))
-    inside = Window.partitionBy("doc_idx").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)) + F.col("doc_start")
-    return counted.join(docs, "doc_idx").select("page_idx", "doc_idx", "page_no", "n_tokens", start.alias("sidx_start"))
+def tokenised(numbered: DataFrame) -> DataFrame:
+    """(doc_idx, page_no, page_idx, tokens): every page with its words.
+
+    Written, so that the texts are normalised once, whoever reads the tokens.
+    """
+    return written(numbered.select("doc_idx", "page_no", "page_idx", words(F.col("text")).alias("tokens")), "tokens")
+
+
+def page_dim(pages: DataFrame) -> DataFrame:
+    """page_idx, doc_idx, page_no, n_tokens and sidx_start, the tokens before the page, of tokenised pages."""
+    counted = pages.select("page_idx", "doc_idx", "page_no", F.size("tokens").cast("long").alias("n_tokens"))
+    return running(counted, [F.col("page_idx")], "n_tokens").select("page_idx", "doc_idx", "page_no", "n_tokens", F.col("sum_before").alias("sidx_start"))
 
 
-def page_tokens(numbered: DataFrame) -> DataFrame:
-    """(doc_idx, page_idx, pos, word)."""
-    return numbered.select("doc_idx", "page_idx", F.posexplode(words(F.col("text"))).alias("pos", "word"))
+def page_tokens(pages: DataFrame) -> DataFrame:
+    """(doc_idx, page_idx, pos, word) of tokenised pages."""
+    return pages.select("doc_idx", "page_idx", F.posexplode("tokens").alias("pos", "word"))
 
 
-def postings(numbered: DataFrame) -> DataFrame:
-    """(word, page_idx, doc_idx, pos, sidx): one row a token."""
-    starts = page_dim(numbered).select("page_idx", "sidx_start")
-    return page_tokens(numbered).join(starts, "page_idx").select("word", "page_idx", "doc_idx", "pos", (F.col("sidx_start") + F.col("pos")).alias("sidx"))
+def postings(pages: DataFrame, dim: DataFrame | None = None) -> DataFrame:
+    """(word, page_idx, doc_idx, pos, sidx) of tokenised pages: one row a token. dim: their page_dim(), if there."""
+    starts = (page_dim(pages) if dim is None else dim).select("page_idx", "sidx_start")
+    placed = pages.join(starts, "page_idx").select("doc_idx", "page_idx", "sidx_start", F.posexplode("tokens").alias("pos", "word"))
+    return placed.select("word", "page_idx", "doc_idx", "pos", (F.col("sidx_start") + F.col("pos")).alias("sidx"))
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
     """(word, cnt, widxord, cumcnt): ranks by falling count, then word; counts up to and with the word."""
     counts = tokens.groupBy("word").agg(F.count("*").alias("cnt"))
-    ranked = running(counts, [F.asc("word")], [(F.col("cnt"), True), (F.left("word", F.lit(WORD_PREFIX)), False)], "cnt")
+    ranked = running(counts, [F.desc("cnt"), F.asc("word")], "cnt")
     return ranked.select("word", "cnt", F.col("row_before").alias("widxord"), (F.col("sum_before") + F.col("cnt")).alias("cumcnt"))
 
 
 def first_seen(posting_rows: DataFrame) -> DataFrame:
     """(word, widx): words by their first place in the corpus."""
     first = posting_rows.groupBy("word").agg(F.min("sidx").alias("first"))
-    return running(first, [F.asc("first")], [(F.shiftright("first", PART_BITS), False)]).select("word", F.col("row_before").alias("widx"))
+    return running(first, [F.col("first")]).select("word", F.col("row_before").alias("widx"))
 
 
 def pages_of_positions(positions: DataFrame, pages: DataFrame, width: int = 4096) -> DataFrame:
@@ -85,31 +86,66 @@ def integrity(posting_rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """A built index; each part is a DataFrame."""
+    """A built index; each part is a DataFrame. The vectors are there if it was built or opened with them."""
 
     pages: DataFrame
     page_dim: DataFrame
     doc_dim: DataFrame
     postings: DataFrame
     vocab: DataFrame
+    word_vectors: DataFrame | None = None
+    page_vectors: DataFrame | None = None
+    component: DataFrame | None = None
 
     PARTS = ("pages", "page_dim", "doc_dim", "postings", "vocab")
+    VECTORS = ("word_vectors", "page_vectors", "component")
+    #: Rows of page vectors in a file, at most.
+    FILE_ROWS = 1_000_000
 
     def save(self, path: str) -> None:
-        """Parquet; postings lie by word, so a lookup reads few row groups."""
-        for part in self.PARTS:
+        """Parquet, over what is there; postings lie by word, so a lookup reads few row groups.
+
+        Vectors of an index that has none any more are emptied.
+        """
+        for part in (*self.PARTS, *self.VECTORS):
             df = getattr(self, part)
+            if df is None:
+                df = self.pages.sparkSession.createDataFrame([], "none int")
             if part == "postings":
-                df = df.repartitionByRange("word").sortWithinPartitions("word", "sidx")
-            df.write.mode("overwrite").parquet(f"{path}/{part}")
+                df = df.repartitionByRange(shuffle_partitions(df.sparkSession), "word", "sidx").sortWithinPartitions("word", "sidx")
+            df.write.mode("overwrite").option("maxRecordsPerFile", self.FILE_ROWS if part in self.VECTORS else 0).parquet(f"{path}/{part}")
 
 
-def build_index(raw_pages: DataFrame) -> Index:
-    """Index of raw_pages (doc_name, page_key, text)."""
+def build_index(raw_pages: DataFrame, dictionary: DataFrame | None = None, segmented: bool = False) -> Index:
+    """Index of raw_pages (doc_name, page_key, text).
+
+    segmented: pages hold their sentences, one a line, and what is no sentence goes;
+    dictionary (word) says which lines and sentences count, without one any letter does.
+    """
     numbered = number_pages(raw_pages)
-    posted = postings(numbered)
-    return Index(numbered, page_dim(numbered), doc_dim(numbered), posted, vocabulary(posted))
+    if segmented:
+        lines = segment.segmented_pages(numbered, segment.segment(numbered, dictionary))
+        numbered = numbered.drop("text").join(lines, ["doc_idx", "page_no"])
+    tokens = tokenised(numbered)
+    dim = page_dim(tokens)
+    return Index(numbered, dim, doc_dim(numbered), postings(tokens, dim), vocabulary(page_tokens(tokens)))
+
+
+def embed_pages(made: Index, word_vectors: DataFrame | None = None, component: list[float] | None = None, **training) -> Index:
+    """made with vectors of words (word, vec), trained unless given, and of its pages, less their first component.
+
+    training: see embed.train_word_vectors(). The component is that of the pages unless given.
+    """
+    if word_vectors is None:
+        sentences = made.pages.select(words(F.col("text")).alias("tokens"))
+        word_vectors = embed.train_word_vectors(sentences, **training)
+    means = written(embed.sif_vectors(made.postings, made.vocab, word_vectors, embed.dimension(word_vectors)), "means")
+    found = embed.first_component(means) if component is None else component
+    rows = embed.component_rows(made.pages.sparkSession, found)
+    return replace(made, word_vectors=word_vectors, page_vectors=embed.page_vectors(means, found), component=rows)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{part}") for part in Index.PARTS))
+    """The index that was saved at path; nothing is read before it is asked for."""
+    parts = {part: spark.read.parquet(f"{path}/{part}") for part in (*Index.PARTS, *Index.VECTORS)}
+    return Index(**{part: None if df.columns == ["none"] else df for part, df in parts.items()})

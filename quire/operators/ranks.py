@@ -2,29 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: monotonically_increasing_id() counts a partition's rows in its lower bits.
+_ROW_BITS = 33
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir), deleted when the driver ends.
+
+    Without the setting a folder of this machine serves only where all executors are in this process.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.gettempdir()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/quire-{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to a scratch path and read again: evaluated once, whoever reads it and however often."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, over all cores if it is so small that a scan may leave them idle."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores << 24 else df
+
 
-def running(rows: DataFrame, order: list[Column], coarse: list[tuple[Column, bool]], value: str | None = None) -> DataFrame:
+def running(rows: DataFrame, order: list[Column], value: str | None = None) -> DataFrame:
     """rows with ``row_before`` and, of a value column, ``sum_before``: rows and sum ahead of each row in the order.
 
-    coarse: (expression, falling) pairs that part the rows in the same order. Rows are
-    sorted within a part only; each part is then shifted by the counts of those ahead,
-    which are one row a part. ``order`` decides within a part and leaves no ties. Coarse
-    expressions hold no nulls.
+    The rows are parted by ranges of the order and numbered in their part; what a part
+    holds is then added to those after it. Parts are of about one size and as many as there
+    are shuffle partitions, so no task sees more than its share, whatever key is hot. The
+    numbered rows are written once, so all readers see the same parts. ``order`` leaves no ties.
     """
-    keys = [f"_part{i}" for i in range(len(coarse))]
-    parted = rows.withColumns(dict(zip(keys, (c for c, _ in coarse))))
+    n = shuffle_partitions(rows.sparkSession)
+    at = F.monotonically_increasing_id()
+    sorted_rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    numbered = written(sorted_rows.withColumn("_part", F.shiftright(at, _ROW_BITS)).withColumn("_row", at.bitwiseAND(F.lit((1 << _ROW_BITS) - 1))), "ranks")
     sums = [F.count("*").alias("_rows"), *([F.sum(value).alias("_sum")] if value else [])]
-    ahead = Window.orderBy(*(F.desc(k) if falling else F.asc(k) for k, (_, falling) in zip(keys, coarse))).rowsBetween(Window.unboundedPreceding, -1)
-    parts = parted.groupBy(*keys).agg(*sums)
-    shifts = parts.select(*keys, *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_ahead") for c in parts.columns if c not in keys))
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    found = parted.withColumn("row_before", F.row_number().over(inside) - 1)
-    if value:
-        found = found.withColumn("sum_before", F.coalesce(F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    found = found.join(shifts, keys).withColumn("row_before", F.col("row_before") + F.col("_rows_ahead"))
-    if value:
-        found = found.withColumn("sum_before", F.col("sum_before") + F.col("_sum_ahead"))
-    return found.select(*rows.columns, "row_before", *(["sum_before"] if value else []))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    parts = numbered.groupBy("_part").agg(*sums)
+    shifts = parts.select("_part", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_ahead") for c in parts.columns[1:]))
+    found = numbered.join(F.broadcast(shifts), "_part").withColumn("row_before", F.col("_row") + F.col("_rows_ahead"))  # as many rows as shuffle partitions
+    if not value:
+        return found.select(*rows.columns, "row_before")
+    inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("sum_before", F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col("_sum_ahead"))
+    return found.select(*rows.columns, "row_before", "sum_before")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
-from quire.functions.text import FROM, TO
-from quire.operators.language import STOPWORDS, folded
+from quire.functions.text import normalized
+from quire.operators.language import stop_words
 
 _QUOTES = str.maketrans({"“": '"', "”": '"', "«": '"', "»": '"'})
 
@@ -20,21 +19,19 @@ class Term:
 
 
 def plain_words(text: str) -> list[str]:
-    """Words of a query part, by the rules of the index's tokens."""
-    t = text.translate(str.maketrans(FROM, TO))
-    t = re.sub(r"[^A-Za-z0-9.,:'\-]|(?<![0-9])[.,:]|[.,:](?![0-9])|(?<![A-Za-z])['\-]|['\-](?![A-Za-z])", " ", t)
-    return t.lower().split()
+    """Words of a query part, by the rules of the index's tokens (text.normalize)."""
+    return normalized(text).split()
 
 
-def parse(query: str, lang: str = "en") -> list[Term]:
+def parse(query: str, lang: str = "en", lists: dict[str, list[str]] | None = None) -> list[Term]:
     """Terms in order of keywords, then phrases. Typographic quotes count as quotes; of an odd
-    number the last is dropped; stop words go outside quotes only; empty phrases go."""
+    number the last is dropped; stop words (lists, by language) go outside quotes only; empty phrases go."""
     text = query.translate(_QUOTES)
     if text.count('"') % 2:
         at = text.rfind('"')
         text = text[:at] + text[at + 1 :]
     parts = text.split('"')
-    stop = {folded(w) for w in STOPWORDS.get(lang, [])}
+    stop = stop_words(lang, lists)
     keywords = [Term((w,), False) for part in parts[::2] for w in plain_words(part) if w not in stop]
     phrases = [Term(tuple(w), True) for w in map(plain_words, parts[1::2]) if w]
     return keywords + phrases

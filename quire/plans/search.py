@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.vectors import dot
+from quire.operators import embed
 from quire.operators.index import Index
-from quire.operators.language import translate_words
-from quire.plans.parser import Term, parse
+from quire.operators.language import Translator, translate_words
+from quire.operators.ranks import running
+from quire.plans.parser import Term, parse, plain_words
 
 TERMS = "lang_no int, term_no int, offset int, word string, term_len int"
 
@@ -19,9 +21,22 @@ def term_rows(spark: SparkSession, variants: list[list[Term]]) -> DataFrame:
     return spark.createDataFrame(rows, TERMS)
 
 
-def query_variants(query: str, langs: list[str]) -> list[list[Term]]:
-    """The query's terms in its own language, then translated into the others."""
-    return [parse(query if lang == langs[0] else translate_words(query, langs[0], lang), lang) for lang in langs]
+def query_texts(query: str, langs: list[str], translate: Translator | None = None) -> list[str]:
+    """The query in its own language, the first, and translated into the others."""
+    to = translate or translate_words
+    return [query if lang == langs[0] else to(query, langs[0], lang) for lang in langs]
+
+
+def query_variants(query: str, langs: list[str], translate: Translator | None = None, stop_lists: dict[str, list[str]] | None = None) -> list[list[Term]]:
+    """The terms of the query in each language."""
+    return [parse(text, lang, stop_lists) for text, lang in zip(query_texts(query, langs, translate), langs)]
+
+
+def known_terms(vocab: DataFrame, variants: list[list[Term]]) -> list[list[Term]]:
+    """The terms without keywords that the index doesn't hold; a phrase with an unknown word stays and matches nothing."""
+    asked = sorted({w for terms in variants for t in terms if not t.phrase for w in t.words})
+    known = {r["word"] for r in vocab.where(F.col("word").isin(asked)).select("word").collect()} if asked else set()  # at most the query's words
+    return [[t for t in terms if t.phrase or t.words[0] in known] for terms in variants]
 
 
 def term_pages(postings: DataFrame, terms: DataFrame) -> DataFrame:
@@ -49,12 +64,14 @@ def page_grep(page_dim: DataFrame, found: DataFrame, sizes: list[int]) -> DataFr
 def rank(scored: DataFrame) -> DataFrame:
     """scored pages (grep, distance) with rank_in_doc, and doc_rank by each document's best page.
 
-    The window over documents sees one row a document.
+    Both are running ranks over equal parts, so neither many documents nor one with most of the pages fill a task.
     """
     order = [F.desc("grep"), F.desc("distance"), F.asc("page_idx")]
-    inside = scored.withColumn("rank_in_doc", F.row_number().over(Window.partitionBy("doc_idx").orderBy(*order)))
-    docs = inside.where("rank_in_doc = 1").select("doc_idx", F.row_number().over(Window.orderBy(*order)).alias("doc_rank"))
-    return inside.join(docs, "doc_idx")
+    inside = running(scored, [F.asc("doc_idx"), *order])
+    first = inside.groupBy("doc_idx").agg(F.min("row_before").alias("first"))
+    ranked = inside.join(first, "doc_idx").withColumn("rank_in_doc", F.col("row_before") - F.col("first") + 1).drop("row_before", "first")
+    best = running(ranked.where("rank_in_doc = 1").select("doc_idx", "grep", "distance", "page_idx"), order)
+    return ranked.join(best.select("doc_idx", (F.col("row_before") + 1).alias("doc_rank")), "doc_idx")
 
 
 def nested(ranked: DataFrame) -> DataFrame:
@@ -70,9 +87,10 @@ def nested(ranked: DataFrame) -> DataFrame:
 
 
 def result_counts(ranked: DataFrame) -> DataFrame:
-    """Documents whose best page holds all terms, some, and all documents."""
-    best = ranked.where("rank_in_doc = 1")
-    return best.agg(F.count_if((F.col("matched") == F.col("n_terms")) & (F.col("matched") > 0)).alias("n_full"), F.count_if(F.col("matched") > 0).alias("n_some"), F.count("*").alias("n_docs"))
+    """Documents whose best page holds all terms, some, and all documents; an empty query (n_terms null) finds all in full."""
+    best, empty = ranked.where("rank_in_doc = 1"), F.col("n_terms").isNull()
+    full = empty | ((F.col("matched") == F.col("n_terms")) & (F.col("matched") > 0))
+    return best.agg(F.count_if(full).alias("n_full"), F.count_if(empty | (F.col("matched") > 0)).alias("n_some"), F.count("*").alias("n_docs"))
 
 
 def answers_csv(answers: DataFrame, docs: DataFrame, n_full: int) -> DataFrame:
@@ -83,19 +101,36 @@ def answers_csv(answers: DataFrame, docs: DataFrame, n_full: int) -> DataFrame:
     return head.unionByName(lines)
 
 
-def search(index: Index, query: str, langs: list[str] | None = None, docs: list[str] | None = None, page_vectors: DataFrame | None = None, query_vectors: list[list[float]] | None = None) -> DataFrame:
-    """Ranked pages of a query; see rank().
-
-    docs: names of documents to search, all without; unknown names are ignored. The
-    distance is the best cosine of the page's vector with a language's query vector, 0
-    without vectors. A query without terms ranks by distance alone, then page.
+def search(
+    index: Index, query: str, langs: list[str] | None = None, docs: list[str] | None = None, page_vectors: DataFrame | None = None, query_vectors: list[list[float]] | None = None,
+    translate: Translator | None = None, stop_lists: dict[str, list[str]] | None = None,
+) -> DataFrame:
+    """Ranked pages of a query; see rank(), nested() and result_counts().
+
+    langs: the query's language, then those it is translated into (translate: by this
+    function instead of the glossary). stop_lists: stop words by language instead of the
+    library's. docs: names of documents to search, all without; unknown names are ignored.
+    Keywords that the index doesn't hold are left out and count for nothing; so do the stop
+    words. The distance is the best cosine of the page's vector with the vector of the
+    query in a language, 0 without vectors; they are the index's own, if it has any, unless
+    given. A query without terms left ranks by distance alone, then page. One without
+    any word finds all pages in order, and n_terms is null then.
     """
-    variants = query_variants(query, langs or ["en"])
+    langs = langs or ["en"]
     pages = index.page_dim
     if docs is not None:
         pages = pages.join(F.broadcast(index.doc_dim.where(F.col("doc_name").isin(docs)).select("doc_idx")), "doc_idx", "left_semi")
+    if not plain_words(query):
+        found = pages.select("page_idx", "doc_idx", "page_no", F.lit(0).cast("long").alias("matched"), F.lit(None).cast("long").alias("n_terms"), F.lit(0.0).alias("grep"), F.lit(0.0).alias("distance"))
+        return rank(found)
+    variants = known_terms(index.vocab, query_variants(query, langs, translate, stop_lists))
     found = term_pages(index.postings, term_rows(pages.sparkSession, variants))
     scored = page_grep(pages, found, [len(v) for v in variants])
+    if page_vectors is None:
+        page_vectors = index.page_vectors
+    if query_vectors is None and index.word_vectors is not None:
+        words = [plain_words(text) for text in query_texts(query, langs, translate)]
+        query_vectors = embed.query_vectors(index.vocab, index.word_vectors, embed.component_values(index.component), words)
     if page_vectors is None or not query_vectors:
         return rank(scored.withColumn("distance", F.lit(0.0)))
     cosines = [dot(F.col("vec"), F.array(*map(F.lit, q))) for q in query_vectors]
@@ -103,6 +138,12 @@ def search(index: Index, query: str, langs: list[str] | None = None, docs: list[
     return rank(scored.join(near, "page_idx", "left").withColumn("distance", F.coalesce("distance", F.lit(0.0))))
 
 
+def answer(index: Index, query: str, **how) -> tuple[DataFrame, DataFrame]:
+    """(answers, counts) of a query, see nested() and result_counts(); how: as search() takes it."""
+    ranked = search(index, query, **how)
+    return nested(ranked), result_counts(ranked)
+
+
 def empty_query(doc_dim: DataFrame) -> DataFrame:
     """Every document in order, its first page best and all others after it."""
     last = F.col("n_pages").cast("int") - 1

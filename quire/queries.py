@@ -17,6 +17,8 @@ from quire.plans import highlight, parser, search
 from quire.sources import pages as sources
 
 KEYWORDS = 'the heed "of the" ing'
+#: Stands for a translator.
+TRANSLATIONS = {"heed": "eau", "ing": "ment"}
 LANGS = ["en", "fr"]
 DOCS = ["src1", "src3", "src7", "nowhere"]
 GRAMS = ["the", "he", "and"]
@@ -84,6 +86,7 @@ PG = (
     "pg AS (SELECT source AS doc_name, doc_id AS page_key, text, dense_rank() OVER (ORDER BY source) - 1 AS doc_idx,"
     " row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page_no, row_number() OVER (ORDER BY source, doc_id) - 1 AS page_idx FROM documents)"
 )
+_CLASS = quoted("[" + "".join(text.EXPANSIONS) + "]")
 WL = f"{PG}, wl AS MATERIALIZED (SELECT *, {sql_words('text')} AS l FROM pg)"
 PD = f"{WL}, pd AS (SELECT page_idx, doc_idx, page_no, len(l) AS n_tokens, CAST(coalesce(sum(len(l)) OVER (ORDER BY page_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS sidx_start FROM wl)"
 TK = f"{WL}, tk AS MATERIALIZED (SELECT doc_idx, page_idx, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS pos FROM wl)"
@@ -91,9 +94,13 @@ PO = TK + PD.removeprefix(WL) + ", po AS MATERIALIZED (SELECT word, page_idx, tk
 VO = ", vo AS (SELECT word, cnt, row_number() OVER (ORDER BY cnt DESC, word) - 1 AS widxord, CAST(sum(cnt) OVER (ORDER BY cnt DESC, word ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cumcnt FROM (SELECT word, count(*) AS cnt FROM tk GROUP BY word))"
 
 
+def documents(t):
+    return ranks.spread(t("documents"))
+
+
 def flat(t):
     docs = t("documents").select("doc_id", "text")
-    return docs.unionByName(docs.sparkSession.createDataFrame(SAMPLES, "doc_id long, text string"))
+    return ranks.spread(docs.unionByName(docs.sparkSession.createDataFrame(SAMPLES, "doc_id long, text string")))
 
 
 def low(t):
@@ -101,17 +108,25 @@ def low(t):
 
 
 def raw(t):
-    return t("documents").select(F.col("source").alias("doc_name"), F.col("doc_id").alias("page_key"), "text")
+    return documents(t).select(F.col("source").alias("doc_name"), F.col("doc_id").alias("page_key"), "text")
 
 
 def numbered(t):
     return index.number_pages(raw(t))
 
 
+def tokens(t):
+    return index.tokenised(numbered(t))
+
+
 def built(t):
     return index.build_index(raw(t))
 
 
+def translate(query, source, target):
+    return language.translate_words(query, source, target, TRANSLATIONS)
+
+
 # --- text
 
 @query(f"WITH {FLAT} SELECT doc_id, {sql_norm('text')} AS norm FROM flat")
@@ -141,7 +156,7 @@ def tokenize(t):
 
 @query(f"SELECT word, count(*) AS cnt FROM (SELECT unnest({sql_words('text')}) AS word FROM documents) GROUP BY word")
 def word_count(t):
-    return t("documents").select(F.explode(text.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
+    return documents(t).select(F.explode(text.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
 
 
 @query(f"WITH {FLAT} SELECT doc_id, len(string_split(text, chr(12))) AS n_pages FROM flat")
@@ -154,18 +169,21 @@ def empty_docs(t):
     return flat(t).where(F.size(text.words(F.col("text"))) == 0).select("doc_id")
 
 
-_HITS = ", ".join(f"len(list_filter(l, lambda w: list_contains([{', '.join(quoted(language.folded(w)) for w in ws)}], w))) AS {lang}" for lang, ws in sorted(language.STOPWORDS.items()))
+_HITS = ", ".join(f"len(list_filter(l, lambda w: list_contains([{', '.join(map(quoted, sorted(language.stop_words(lang))))}], w))) AS {lang}" for lang in sorted(language.STOPWORDS))
 _BEST = " ".join(f"WHEN {lang} > 0 AND {lang} = greatest({', '.join(sorted(language.STOPWORDS))}) THEN '{lang}'" for lang in sorted(language.STOPWORDS))
 
 
-@query(f"SELECT doc_id, CASE {_BEST} ELSE 'en' END AS detected FROM (SELECT doc_id, {_HITS} FROM (SELECT doc_id, {sql_words('left(text, 5000)')} AS l FROM documents))")
+@query(f"SELECT doc_id, CASE {_BEST} ELSE 'en' END AS detected FROM (SELECT doc_id, {_HITS} FROM (SELECT doc_id, {sql_words('text')} AS l FROM documents))")
 def detect_lang(t):
-    return t("documents").select("doc_id", language.detect_language(F.col("text"), longest=5000).alias("detected"))
+    return documents(t).select("doc_id", language.detect_language(F.col("text")).alias("detected"))
 
 
-@query(f"SELECT doc_id, CASE {_BEST} ELSE 'en' END AS detected FROM (SELECT doc_id, {_HITS} FROM (SELECT doc_id, {sql_words('text')} AS l FROM documents))")
-def detect_lang_whole(t):
-    return t("documents").select("doc_id", language.detect_language(F.col("text")).alias("detected"))
+@query(
+    f"WITH {WL}, hi AS (SELECT doc_idx, page_no, {_HITS} FROM wl), su AS (SELECT doc_idx, {', '.join(f'coalesce(sum({lang}) FILTER (page_no >= 1), 0) AS {lang}' for lang in sorted(language.STOPWORDS))} FROM hi GROUP BY doc_idx)"
+    f" SELECT doc_idx, CASE {_BEST} ELSE 'en' END AS lang FROM su"
+)
+def document_languages(t):
+    return language.document_languages(numbered(t))
 
 
 def sql_spans(rows: str, grams: list[str]) -> str:
@@ -182,11 +200,12 @@ _FUSE = (
     " (SELECT *, CASE WHEN start > max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS opens FROM (SELECT DISTINCT * FROM sp))) GROUP BY doc_id, island)"
 )
 LOW = f"lo AS MATERIALIZED (SELECT doc_id, text, lower({sql_fold('text')}) AS low FROM flat)"
-_SHIFT = (
-    "ch AS (SELECT doc_id, i - 1 AS raw, length(" + sql_fold("substring(text, i, 1)") + ") AS n FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM lo WHERE length(low) <> length(text)) ),"
-    " pl AS (SELECT doc_id, raw, unnest(range(CAST(e - n AS BIGINT), CAST(e AS BIGINT))) AS at FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY raw) AS e FROM ch)),"
-    " sh AS (SELECT s.doc_id, coalesce(a.raw, s.start) AS start, coalesce(b.raw + 1, s.stop) AS stop FROM fu s"
-    " LEFT JOIN pl a ON a.doc_id = s.doc_id AND a.at = s.start LEFT JOIN pl b ON b.doc_id = s.doc_id AND b.at = s.stop - 1)"
+_SHIFT = (  # only characters that fold to several move what follows
+    f"e0 AS (SELECT doc_id, unnest(regexp_extract_all(text, {_CLASS})) AS c, unnest(list_slice(string_split_regex(text, {_CLASS}), 1, -2)) AS part, generate_subscripts(regexp_extract_all(text, {_CLASS}), 1) AS i"
+    f" FROM lo WHERE regexp_matches(text, {_CLASS}) AND doc_id IN (SELECT doc_id FROM fu)), e1 AS (SELECT doc_id, i, length({sql_fold('c')}) AS n, length(part) AS before FROM e0),"
+    " ex AS (SELECT doc_id, n, sum(before + n) OVER (PARTITION BY doc_id ORDER BY i) - n AS ofs FROM e1),"
+    " sh AS (SELECT doc_id, CAST(start - coalesce(sum(least(greatest(start - ofs, 0), n - 1)), 0) AS BIGINT) AS start, CAST(stop - coalesce(sum(least(greatest(stop - 1 - ofs, 0), n - 1)), 0) AS BIGINT) AS stop"
+    " FROM fu LEFT JOIN ex USING (doc_id) GROUP BY doc_id, fu.start, fu.stop)"
 )
 
 
@@ -215,10 +234,10 @@ def highlight_spans(t):
     return highlight.highlight(flat(t), highlight.highlight_terms(KEYWORDS), "doc_id")
 
 
-@query(f"WITH {FLAT}, {LOW} SELECT doc_id, round((contains(low, 'heed')::INT + contains(low, 'ing')::INT) / 2.0::DOUBLE, 6) AS en, round((contains(low, 'eau')::INT + contains(low, 'aux')::INT) / 2.0::DOUBLE, 6) AS fr FROM lo")
+@query(f"WITH {FLAT}, {LOW} SELECT doc_id, round((contains(low, 'heed')::INT + contains(low, 'ing')::INT) / 2.0::DOUBLE, 6) AS en, round((contains(low, 'eau')::INT + contains(low, 'ment')::INT) / 2.0::DOUBLE, 6) AS fr FROM lo")
 def lang_score(t):
     page = F.col("text")
-    return flat(t).select("doc_id", F.round(language.contains_share(page, ["heed", "ing"]), 6).alias("en"), F.round(language.contains_share(page, ["eau", "aux"]), 6).alias("fr"))
+    return flat(t).select("doc_id", F.round(language.contains_share(page, ["heed", "ing"]), 6).alias("en"), F.round(language.contains_share(page, ["eau", "ment"]), 6).alias("fr"))
 
 
 # --- index
@@ -230,7 +249,7 @@ def doc_dim(t):
 
 @query(f"WITH {PD} SELECT page_idx, doc_idx, page_no, n_tokens, sidx_start FROM pd")
 def page_breaks(t):
-    return index.page_dim(numbered(t))
+    return index.page_dim(tokens(t))
 
 
 @query(f"WITH {PG} SELECT doc_idx, min(page_idx) AS first_page FROM pg GROUP BY doc_idx")
@@ -240,55 +259,52 @@ def doc_breaks(t):
 
 @query(f"WITH {PO} SELECT word, row_number() OVER (ORDER BY min(sidx)) - 1 AS widx FROM po GROUP BY word")
 def vocab_first_seen(t):
-    return index.first_seen(index.postings(numbered(t)))
+    return index.first_seen(index.postings(tokens(t)))
 
 
 @query(f"WITH {TK}{VO} SELECT word, cnt, widxord FROM vo")
 def vocab_rank(t):
-    return index.vocabulary(index.page_tokens(numbered(t))).select("word", "cnt", "widxord")
+    return index.vocabulary(index.page_tokens(tokens(t))).select("word", "cnt", "widxord")
 
 
 @query(f"WITH {TK}{VO} SELECT word, cumcnt FROM vo")
 def vocab_cumcount(t):
-    return index.vocabulary(index.page_tokens(numbered(t))).select("word", "cumcnt")
+    return index.vocabulary(index.page_tokens(tokens(t))).select("word", "cumcnt")
 
 
 @query(f"WITH {TK}{VO} SELECT word, cnt FROM vo WHERE cnt >= {MIN_COUNT}")
 def embedding_vocab(t):
-    return index.vocabulary(index.page_tokens(numbered(t))).where(F.col("cnt") >= MIN_COUNT).select("word", "cnt")
+    return index.vocabulary(index.page_tokens(tokens(t))).where(F.col("cnt") >= MIN_COUNT).select("word", "cnt")
 
 
 @query(f"WITH {PO} SELECT word, page_idx, string_agg(sidx::VARCHAR, ' ' ORDER BY sidx) AS positions FROM po GROUP BY word, page_idx")
 def inverted_index(t):
-    found = index.postings(numbered(t)).groupBy("word", "page_idx").agg(F.array_sort(F.collect_list("sidx")).alias("p"))
+    found = index.postings(tokens(t)).groupBy("word", "page_idx").agg(F.array_sort(F.collect_list("sidx")).alias("p"))
     return found.select("word", "page_idx", F.array_join(F.col("p").cast("array<string>"), " ").alias("positions"))
 
 
 @query(f"WITH {PO} SELECT page_idx, pos, sidx FROM po WHERE word = 'heed'")
 def posting_lookup(t):
-    return index.postings(numbered(t)).where("word = 'heed'").select("page_idx", "pos", "sidx")
+    """From a saved index: what is read of the sorted postings are the row groups that may hold the word."""
+    made, spark = built(t), t("region").sparkSession
+    path = ranks.scratch_path(spark, "index")
+    made.save(path)
+    return index.open_index(spark, path).postings.where("word = 'heed'").select("page_idx", "pos", "sidx")
 
 
 @query(f"WITH {PO} SELECT count(*) AS n_postings, count(DISTINCT sidx) AS n_positions, max(sidx) AS last, count(*) = count(DISTINCT sidx) AND count(*) = max(sidx) + 1 AS sound FROM po")
 def index_integrity(t):
-    return index.integrity(index.postings(numbered(t)))
+    return index.integrity(index.postings(tokens(t)))
 
 
 @query(f"WITH {WL} SELECT page_idx, array_to_string(l, ' ') AS tokens, len(l) AS n FROM wl")
 def page_tokens(t):
-    return numbered(t).select("page_idx", F.array_join(text.words(F.col("text")), " ").alias("tokens"), F.size(text.words(F.col("text"))).alias("n"))
-
-
-@query(f"WITH {PO} SELECT sidx, page_idx FROM po WHERE sidx % 1000 = 0")
-def asof_page_lookup(t):
-    dim = index.page_dim(numbered(t))
-    total = dim.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    return index.pages_of_positions(dim.sparkSession.range(0, total, 1000).withColumnRenamed("id", "sidx"), dim)
+    return tokens(t).select("page_idx", F.array_join("tokens", " ").alias("tokens"), F.size("tokens").alias("n"))
 
 
 @query(f"WITH {PO} SELECT sidx, page_idx FROM po")
-def asof_all_positions(t):
-    dim = index.page_dim(numbered(t))
+def asof_page_lookup(t):
+    dim = index.page_dim(tokens(t))
     total = dim.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     return index.pages_of_positions(dim.sparkSession.range(0, total).withColumnRenamed("id", "sidx"), dim)
 
@@ -300,13 +316,14 @@ def page_to_doc(t):
 
 # --- query and search
 
-_TERMS = "tm(lang_no, term_no, ofs, word, term_len) AS (VALUES (0, 0, 0, 'heed', 1), (0, 1, 0, 'ing', 1), (0, 2, 0, 'of', 2), (0, 2, 1, 'the', 2), (1, 0, 0, 'the', 1), (1, 1, 0, 'eau', 1), (1, 2, 0, 'aux', 1), (1, 3, 0, 'of', 2), (1, 3, 1, 'the', 2))"
+_TERMS = "tm(lang_no, term_no, ofs, word, term_len) AS (VALUES (0, 0, 0, 'heed', 1), (0, 1, 0, 'ing', 1), (0, 2, 0, 'of', 2), (0, 2, 1, 'the', 2), (1, 0, 0, 'the', 1), (1, 1, 0, 'eau', 1), (1, 2, 0, 'ment', 1), (1, 3, 0, 'of', 2), (1, 3, 1, 'the', 2))"
 _TP = f"{_TERMS}, tp AS (SELECT DISTINCT lang_no, term_no, page_idx FROM (SELECT lang_no, term_no, term_len, page_idx, pos - ofs AS s, count(DISTINCT ofs) AS n FROM po JOIN tm USING (word) GROUP BY ALL) WHERE n = term_len)"
+_KT = ", kt AS (SELECT lang_no, count(DISTINCT term_no) AS n FROM tm WHERE lang_no < {n} AND (term_len > 1 OR word IN (SELECT word FROM tk)) GROUP BY lang_no)"
 _GREP = (
-    ", gr AS (SELECT page_idx, max(struct_pack(grep := matched / n_terms, matched := matched, n_terms := n_terms)) AS b FROM (SELECT lang_no, page_idx, count(*) AS matched, CASE WHEN lang_no = 0 THEN 3::BIGINT ELSE 4::BIGINT END AS n_terms FROM tp WHERE lang_no < {n} GROUP BY ALL) GROUP BY page_idx)"
-    ", sc AS (SELECT page_idx, doc_idx, page_no, coalesce(b.matched, 0) AS matched, coalesce(b.n_terms, {most}) AS n_terms, coalesce(b.grep, 0.0) AS grep FROM pd LEFT JOIN gr USING (page_idx))"
+    _KT + ", gr AS (SELECT page_idx, max(struct_pack(grep := matched / n, matched := matched, n_terms := n)) AS b FROM (SELECT lang_no, page_idx, count(*) AS matched, any_value(n) AS n FROM tp JOIN kt USING (lang_no) GROUP BY ALL) GROUP BY page_idx)"
+    ", sc AS (SELECT page_idx, doc_idx, page_no, coalesce(b.matched, 0) AS matched, coalesce(b.n_terms, (SELECT max(n) FROM kt)) AS n_terms, coalesce(b.grep, 0.0) AS grep FROM pd LEFT JOIN gr USING (page_idx))"
 )
-_ONE, _TWO = _GREP.format(n=1, most=3), _GREP.format(n=2, most=4)
+_ONE, _TWO = _GREP.format(n=1), _GREP.format(n=2)
 _RANK = (
     ", ra AS (SELECT *, row_number() OVER (PARTITION BY doc_idx ORDER BY grep DESC, {d} page_idx) AS rank_in_doc FROM sc),"
     " rd AS (SELECT doc_idx, row_number() OVER (ORDER BY grep DESC, {d} page_idx) AS doc_rank FROM ra WHERE rank_in_doc = 1), rk AS (SELECT * FROM ra JOIN rd USING (doc_idx))"
@@ -319,15 +336,18 @@ _LISTS = (
 
 
 def terms(t, langs=("en",)):
-    return search.term_rows(t("region").sparkSession, search.query_variants(KEYWORDS, list(langs)))
+    return search.term_rows(t("region").sparkSession, search.query_variants(KEYWORDS, list(langs), translate))
 
 
 def hits(t, langs=("en",)):
-    return search.term_pages(index.postings(numbered(t)), terms(t, langs))
+    return search.term_pages(index.postings(tokens(t)), terms(t, langs))
 
 
 def grep(t, langs=("en",)):
-    return search.page_grep(index.page_dim(numbered(t)), hits(t, langs), [len(v) for v in search.query_variants(KEYWORDS, list(langs))])
+    made = built(t)
+    variants = search.known_terms(made.vocab, search.query_variants(KEYWORDS, list(langs), translate))
+    found = search.term_pages(made.postings, search.term_rows(made.vocab.sparkSession, variants))
+    return search.page_grep(made.page_dim, found, [len(v) for v in variants])
 
 
 def ranked(t, docs=None):
@@ -339,20 +359,30 @@ def joined(answers):
     return answers.select("doc_rank", "doc_idx", "best", *lists)
 
 
-@query()
+QUERIES = ("“of the” heed and « ing » the \"odd", KEYWORDS, '""', 'cœur "Straße employe(e)" 1.2 a.b', 'the of and', '" "heed" the" and "ing', "l’été co-operate (x", "", '"')
+_PARSE = (
+    "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {quoted(q)})" for i, q in enumerate(QUERIES)) + ") v(query_no, query)), q1 AS (SELECT query_no, translate(query, '“”«»', '\"\"\"\"') AS s FROM q),"
+    " q2 AS (SELECT query_no, CASE WHEN (length(s) - length(replace(s, '\"', ''))) % 2 = 1 THEN left(s, length(s) - strpos(reverse(s), '\"')) || right(s, strpos(reverse(s), '\"') - 1) ELSE s END AS s FROM q1),"
+    " q3 AS (SELECT query_no, unnest(string_split(s, '\"')) AS part, generate_subscripts(string_split(s, '\"'), 1) AS i FROM q2), q4 AS (SELECT query_no, i, " + sql_words("part") + " AS l FROM q3),"
+    " kw AS (SELECT query_no, false AS phrase, i, generate_subscripts(l, 1) AS j, unnest(l) AS words FROM q4 WHERE i % 2 = 1),"
+    " al AS (SELECT * FROM kw WHERE words NOT IN (" + ", ".join(map(quoted, sorted(language.stop_words("en")))) + ") UNION ALL SELECT query_no, true, i, 0, array_to_string(l, ' ') FROM q4 WHERE i % 2 = 0 AND len(l) > 0)"
+)
+
+
+@query(f"WITH {_PARSE} SELECT query_no, row_number() OVER (PARTITION BY query_no ORDER BY phrase, i, j) - 1 AS term_no, words, phrase FROM al")
 def parse_query(t):
-    rows = [(i, " ".join(x.words), x.phrase) for i, x in enumerate(parser.parse("“of the” heed and « ing » the \"odd"))]
-    return t("region").sparkSession.createDataFrame(rows, "term_no long, words string, phrase boolean")
+    rows = [(n, i, " ".join(x.words), x.phrase) for n, q in enumerate(QUERIES) for i, x in enumerate(parser.parse(q))]
+    return t("region").sparkSession.createDataFrame(rows, "query_no long, term_no long, words string, phrase boolean")
 
 
 @query(f"WITH {_TERMS} SELECT lang_no, term_no, ofs AS \"offset\", word, term_len FROM tm WHERE word IN (SELECT unnest({sql_words('text')}) FROM documents)")
 def query_terms(t):
-    return terms(t, LANGS).join(index.page_tokens(numbered(t)).select("word"), "word", "left_semi").select("lang_no", "term_no", "offset", "word", "term_len")
+    return terms(t, LANGS).join(index.page_tokens(tokens(t)).select("word"), "word", "left_semi").select("lang_no", "term_no", "offset", "word", "term_len")
 
 
-@query("SELECT * FROM (VALUES ('en', 'the heed \"of the\" ing'), ('fr', 'the eau \"of the\" aux')) v(lang, query)")
+@query("SELECT * FROM (VALUES ('en', 'the heed \"of the\" ing'), ('fr', 'the eau \"of the\" ment')) v(lang, query)")
 def translate_query(t):
-    rows = [(lang, KEYWORDS if lang == "en" else language.translate_words(KEYWORDS, "en", lang)) for lang in LANGS]
+    rows = [(lang, KEYWORDS if lang == "en" else translate(KEYWORDS, "en", lang)) for lang in LANGS]
     return t("region").sparkSession.createDataFrame(rows, "lang string, query string")
 
 
@@ -363,14 +393,14 @@ def term_pages(t):
 
 @query(f"WITH {PO} SELECT a.page_idx, count(*) AS n FROM po a JOIN po b ON a.page_idx = b.page_idx AND b.pos = a.pos + 1 WHERE a.word = 'of' AND b.word = 'the' GROUP BY a.page_idx")
 def phrase_search(t):
-    p = index.postings(numbered(t))
+    p = index.postings(tokens(t))
     both = p.where("word = 'of'").select("page_idx", (F.col("pos") + 1).alias("pos")).join(p.where("word = 'the'").select("page_idx", "pos"), ["page_idx", "pos"])
     return both.groupBy("page_idx").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {TK}{VO} SELECT arg_min(word, struct_pack(cnt := cnt, word := word)) AS word, min(cnt) AS cnt FROM vo WHERE word IN ('heed', 'ing', 'of', 'the')")
 def rarest_term(t):
-    counts = index.page_tokens(numbered(t)).where(F.col("word").isin("heed", "ing", "of", "the")).groupBy("word").agg(F.count("*").alias("cnt"))
+    counts = index.page_tokens(tokens(t)).where(F.col("word").isin("heed", "ing", "of", "the")).groupBy("word").agg(F.count("*").alias("cnt"))
     return counts.agg(F.min_by("word", F.struct("cnt", "word")).alias("word"), F.min("cnt").alias("cnt"))
 
 
@@ -387,8 +417,8 @@ def pages_any_term(t):
 @query(f"WITH {TK} SELECT page_idx, round((2 * max((word = 'heed')::INT) + max((word = 'ing')::INT)) / 3.0::DOUBLE, 6) AS grep FROM tk WHERE word IN ('heed', 'ing') GROUP BY page_idx")
 def dup_terms(t):
     variants = [parser.parse("heed heed ing")]
-    found = search.term_pages(index.postings(numbered(t)), search.term_rows(t("region").sparkSession, variants))
-    return search.page_grep(index.page_dim(numbered(t)), found, [3]).where("matched > 0").select("page_idx", F.round("grep", 6).alias("grep"))
+    found = search.term_pages(index.postings(tokens(t)), search.term_rows(t("region").sparkSession, variants))
+    return search.page_grep(index.page_dim(tokens(t)), found, [3]).where("matched > 0").select("page_idx", F.round("grep", 6).alias("grep"))
 
 
 @query(f"WITH {PO}, {_TP}{_ONE} SELECT page_idx, matched, n_terms, round(grep, 6) AS grep FROM sc")
@@ -401,15 +431,16 @@ def multilang_grep(t):
     return grep(t, LANGS).select("page_idx", "matched", "n_terms", F.round("grep", 6).alias("grep"))
 
 
-@query(f"WITH {PO}, {_TP}{_ONE} SELECT page_idx, round(grep, 6) AS grep FROM sc ORDER BY sc.grep DESC, page_idx LIMIT 100")
+@query(f"WITH {PO}, {_TP}{_ONE} SELECT page_idx, row_number() OVER (ORDER BY sc.grep DESC, page_idx) AS page_rank, round(grep, 6) AS grep FROM sc")
 def ranked_pages(t):
-    return grep(t).orderBy(F.desc("grep"), "page_idx").limit(100).select("page_idx", F.round("grep", 6).alias("grep"))
+    pages = ranks.running(grep(t), [F.desc("grep"), F.asc("page_idx")])
+    return pages.select("page_idx", (F.col("row_before") + 1).alias("page_rank"), F.round("grep", 6).alias("grep"))
 
 
-@query(f"WITH {PO}, {_TP}{_ONE} SELECT page_idx, row_number() OVER (ORDER BY sc.grep DESC, page_idx) AS page_rank, round(grep, 6) AS grep FROM sc")
-def all_ranked_pages(t):
-    pages = ranks.running(grep(t), [F.col("page_idx")], [(F.col("grep"), True), (F.floor(F.col("page_idx") / 4096), False)])
-    return pages.select("page_idx", (F.col("row_before") + 1).alias("page_rank"), F.round("grep", 6).alias("grep"))
+@query(f"WITH {PO} SELECT count(*) FILTER (words = 2) AS n_full, count(*) AS n_docs FROM (SELECT doc_idx, max(w) AS words FROM (SELECT doc_idx, page_idx, count(DISTINCT word) FILTER (word IN ('heed', 'ing')) AS w FROM pd LEFT JOIN po USING (page_idx, doc_idx) GROUP BY ALL) GROUP BY doc_idx)")
+def unknown_words(t):
+    """A keyword that no page holds doesn't keep documents from holding all terms."""
+    return search.result_counts(search.search(built(t), "heed zzqqzz ing")).select("n_full", "n_docs")
 
 
 @query(f"WITH {PO}, {_TP}{_ONE}{_R} SELECT doc_idx, doc_rank, page_idx AS best_page, matched FROM rk WHERE rank_in_doc = 1")
@@ -445,12 +476,18 @@ def filtered_search(t):
 
 @query(f"WITH {PG} SELECT doc_idx + 1 AS doc_rank, doc_idx, 0::BIGINT AS best, '' AS matching, coalesce(string_agg(page_no::VARCHAR, '/' ORDER BY page_no) FILTER (page_no > 0), '') AS rest FROM pg GROUP BY doc_idx")
 def empty_query(t):
-    return joined(search.empty_query(index.doc_dim(numbered(t))))
+    return joined(search.answer(built(t), " ,")[0])
 
 
-@query()
-def stopword_query(t):
-    return search.search(built(t), "the of and").where("rank_in_doc = 1").select("doc_rank", "doc_idx", "page_idx", "matched")
+@query(f"WITH {PG} SELECT count(DISTINCT doc_idx) AS n_full, count(DISTINCT doc_idx) AS n_some, count(DISTINCT doc_idx) AS n_docs FROM pg")
+def empty_query_counts(t):
+    return search.answer(built(t), "")[1]
+
+
+@query(f"WITH {FLAT}, {LOW}, hi AS (SELECT doc_id, {_HITS} FROM (SELECT doc_id, {sql_words('text')} AS l FROM flat)), sa AS (SELECT doc_id, contains(low, 'heed')::INT + contains(low, 'ing')::INT AS e, contains(low, 'eau')::INT + contains(low, 'ment')::INT AS f, CASE {_BEST} ELSE 'en' END AS own FROM lo JOIN hi USING (doc_id)) SELECT doc_id, CASE WHEN e > f THEN 'en' WHEN f > e THEN 'fr' WHEN own IN ('en', 'fr') THEN own ELSE 'en' END AS lang FROM sa")
+def display_language(t):
+    texts = {"en": "heed ing", "fr": "eau ment"}
+    return flat(t).select("doc_id", highlight.page_language(F.col("text"), texts, "en").alias("lang"))
 
 
 @query(
@@ -487,10 +524,9 @@ def rounded(df, *keys):
     return df.select(*keys, F.posexplode("vec").alias("dim", "x")).select(*keys, "dim", F.round("x", 5).alias("x"))
 
 
-def means(t, tokens=None):
-    tokens = index.page_tokens(numbered(t)) if tokens is None else tokens
-    vocab = index.vocabulary(tokens)
-    return embed.sif_vectors(tokens, vocab, word_vectors(t, vocab), DIM)
+def means(t):
+    made = built(t)
+    return embed.sif_vectors(made.postings, made.vocab, word_vectors(t, made.vocab), DIM)
 
 
 @query(f"WITH {_U} SELECT vec_id, round({_DOT.format(a='embedding', b='u')}, 6) AS score FROM embeddings, u WHERE vec_id <> 0 ORDER BY score DESC, vec_id LIMIT 20")
@@ -513,7 +549,7 @@ def remove_component(t):
 
 @query(f"WITH {TK}{VO} SELECT word, round(0.001 / (0.001 + cnt / (SELECT sum(cnt) FROM vo)::DOUBLE), 6) AS weight FROM vo")
 def sif_weight(t):
-    vocab = index.vocabulary(index.page_tokens(numbered(t)))
+    vocab = index.vocabulary(index.page_tokens(tokens(t)))
     total = vocab.agg(F.coalesce(F.sum("cnt"), F.lit(1))).first()[0]
     return vocab.select("word", F.round(vectors.sif(F.col("cnt"), F.lit(float(total))), 6).alias("weight"))
 
@@ -523,15 +559,13 @@ def sif_page_vector(t):
     return rounded(means(t), "page_idx").withColumn("x", F.col("x") + 0.0)
 
 
-_QV = "tk0(doc_idx, page_idx, word) AS (VALUES (0, 0, 'heed'), (0, 0, 'ing'), (0, 0, 'of'), (0, 0, 'the'))"
+_QV = "tk0(word) AS (VALUES {words})"
+_ASKED = "('the'), ('heed'), ('of'), ('the'), ('ing')"
 
 
-def query_vectors(t, tokens=None):
-    vocab = index.vocabulary(index.page_tokens(numbered(t)) if tokens is None else tokens)
-    total = vocab.agg(F.coalesce(F.sum("cnt"), F.lit(1))).first()[0]
-    asked = terms(t).select(F.lit(0).alias("page_idx"), "word")
-    found = embed.sif_vectors(asked, vocab, word_vectors(t, vocab), DIM, total=total)
-    return embed.page_vectors(found, component(t))
+def query_vector_of(t, query):
+    vocab = index.vocabulary(index.page_tokens(tokens(t)))
+    return embed.query_vectors(vocab, word_vectors(t, vocab), component(t), [parser.plain_words(query)])[0]
 
 
 _QU = (
@@ -541,9 +575,10 @@ _QU = (
 )
 
 
-@query(f"WITH {TK}{VO}{_WV}{_QU} SELECT unnest(range({DIM})) AS dim, round(unnest(q), 5) + 0.0 AS x FROM qv")
+@query(f"WITH {TK}{VO}{_WV}{_QU.format(words=_ASKED)} SELECT unnest(range({DIM})) AS dim, round(unnest(q), 5) + 0.0 AS x FROM qv")
 def query_vector(t):
-    return rounded(query_vectors(t)).withColumn("x", F.col("x") + 0.0)
+    found = query_vector_of(t, KEYWORDS)
+    return t("region").sparkSession.createDataFrame(list(enumerate(found)), "dim long, x double").select("dim", (F.round("x", 5) + 0.0).alias("x"))
 
 
 _DIST = (
@@ -552,15 +587,17 @@ _DIST = (
 )
 
 
+def embedded(t):
+    made = built(t)
+    return index.embed_pages(made, word_vectors(t, made.vocab), component(t))
+
+
 @query(
-    f"WITH {PO}{VO}{_WV}{_DIST}, {_TP}{_ONE}{_RANK.format(d='distance DESC,').replace('FROM sc)', 'FROM (SELECT sc.*, coalesce(distance, 0.0) AS distance FROM sc LEFT JOIN ds USING (page_idx)))')}"
+    f"WITH {PO}{VO}{_WV}{_DIST.format(words=_ASKED)}, {_TP}{_ONE}{_RANK.format(d='distance DESC,').replace('FROM sc)', 'FROM (SELECT sc.*, coalesce(distance, 0.0) AS distance FROM sc LEFT JOIN ds USING (page_idx)))')}"
     " SELECT doc_rank, rank_in_doc, doc_idx, page_idx, matched, distance + 0.0 AS distance FROM rk"
 )
 def search_pages(t):
-    u, made = component(t), built(t)
-    made.postings.persist()  # read by the terms, the vocabulary and the page vectors; spills to disk
-    found = [[float(x) for x in r["vec"]] for r in query_vectors(t, made.postings).collect()]  # one row
-    out = search.search(made, KEYWORDS, page_vectors=embed.page_vectors(means(t, made.postings), u), query_vectors=found)
+    out = search.search(embedded(t), KEYWORDS)
     return out.select("doc_rank", "rank_in_doc", "doc_idx", "page_idx", "matched", (F.col("distance") + 0.0).alias("distance"))
 
 
@@ -568,15 +605,36 @@ FOUND["search"] = FOUND.pop("search_pages")
 SQL["search"] = SQL.pop("search_pages")
 
 
-@query()
+_STOP = "('the'), ('of'), ('and')"
+
+
+@query(
+    f"WITH {PO}{VO}{_WV}{_DIST.format(words=_STOP)}, sc AS (SELECT page_idx, doc_idx, 0::BIGINT AS matched, coalesce(distance, 0.0) AS distance FROM pd LEFT JOIN ds USING (page_idx))"
+    f"{_RANK.format(d='distance DESC,').replace('grep DESC, ', '')} SELECT doc_rank, doc_idx, page_idx, matched, distance + 0.0 AS distance FROM rk WHERE rank_in_doc = 1"
+)
+def stopword_query(t):
+    """Stop words alone: pages are ranked by the cosine of their vectors with that of the query."""
+    found = search.search(embedded(t), "the of and").where("rank_in_doc = 1")
+    return found.select("doc_rank", "doc_idx", "page_idx", "matched", (F.col("distance") + 0.0).alias("distance"))
+
+
+_PCA = (  # the power method on the covariance matrix
+    f"WITH RECURSIVE dv AS MATERIALIZED (SELECT vec_id, unnest(range({DIM})) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), mu AS (SELECT dim, avg(x) AS m FROM dv GROUP BY dim), ce AS MATERIALIZED (SELECT vec_id, dim, x - m AS x FROM dv JOIN mu USING (dim)),"
+    " co AS MATERIALIZED (SELECT a.dim AS i, b.dim AS j, sum(a.x * b.x) AS c FROM ce a JOIN ce b USING (vec_id) GROUP BY ALL), ro AS (SELECT i, list(c ORDER BY j) AS r FROM co GROUP BY i), ma AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM ro),"
+    f" it(k, v) AS (SELECT 0, list_transform(range({DIM}), lambda i: 1.0::DOUBLE + i / 100.0) UNION ALL SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM (SELECT k, list_transform(m, lambda r: list_dot_product(r, v)) AS w FROM it, ma WHERE k < 3000))"
+    f" SELECT unnest(range({DIM})) AS dim, round(abs(unnest(v)), 4) AS size FROM it WHERE k = 3000"
+)
+
+
+@query(_PCA)
 def pca_component(t):
     found = embed.first_component(t("embeddings"), "embedding")
-    return t("region").sparkSession.createDataFrame([(i, abs(x)) for i, x in enumerate(found)], "dim long, size double")
+    return t("region").sparkSession.createDataFrame([(i, abs(x)) for i, x in enumerate(found)], "dim long, size double").withColumn("size", F.round("size", 4))
 
 
 @query()
 def word2vec(t):
-    sentences = numbered(t).select(text.words(F.col("text")).alias("tokens"))
+    sentences = tokens(t).select("tokens")
     return embed.train_word_vectors(sentences, min_count=MIN_COUNT)
 
 

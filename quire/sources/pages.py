@@ -54,6 +54,16 @@ def read_documents(spark: SparkSession, path: str, extractor: Callable[[bytes],
     return files.mapInArrow(run, PAGES)
 
 
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Add extracted PAGES to the Parquet files at path; with done_documents() a later run skips them."""
+    pages.write.mode("append").parquet(path)
+
+
+def done_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_name) of the documents that write_pages() has written to path."""
+    return spark.read.schema(PAGES).parquet(path).select("doc_name").distinct()
+
+
 def page_count(text):
     """Pages of a text whose pages form feeds part; none if it is null."""
     return F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\f")))

@@ -21,7 +21,19 @@ def append_tokens(tokens: DataFrame, output: str, checkpoint: str) -> StreamingQ
     return tokens.writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def count_words(tokens: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Running counts by word, in the memory table ``name``."""
+def count_words(tokens: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
+    """Running counts by word: each batch writes the counts it changed to ``output``, one folder a batch; see latest_counts().
+
+    A batch that is run again after a failure writes its folder anew.
+    """
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{output}/batch={batch}")
+
     counts = tokens.groupBy("word").agg(F.count("*").alias("cnt"))
-    return counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return counts.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_counts(spark: SparkSession, output: str) -> DataFrame:
+    """(word, cnt): what the last batch that changed a word says."""
+    return spark.read.parquet(output).groupBy("word").agg(F.max_by("cnt", "batch").alias("cnt"))
