@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -60,11 +61,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Values of the session while the block runs."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: cuts lineage, and survives lost executors."""
+    """df, written to the shared folder and read again: cuts lineage, and survives lost executors.
+
+    What was shuffled for it is deleted once it is written.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -115,12 +136,23 @@ def placed(docs: DataFrame, columns: list[str], name: str) -> DataFrame:
     return stored(docs.select(*columns), "content").select(*columns, place)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what an Arrow batch of whole texts can hold."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Bound what an Arrow batch of whole texts can hold: in rows, and in bytes but for its last text."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
         spark.conf.set(key, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of n hash partitions an int that lies there, so that what is spread over them is spread evenly."""
+    found, size = {}, 32 * n
+    while len(found) < n:
+        ids = spark.range(size).select(F.col("id").cast("int").alias("key"))
+        found = {r["at"]: r["key"] for r in ids.groupBy(F.pmod(F.hash("key"), F.lit(n)).alias("at")).agg(F.min("key").alias("key")).collect()}  # n rows
+        size *= 2
+    return [found[at] for at in range(n)]
 
 
 def partitions(spark: SparkSession) -> int:

@@ -11,17 +11,23 @@ their texts stay there. Everything is DataFrame and SQL functions.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACE_CLASS, drop_path, drop_stored, exists, new_path, placed, stored, text_column
+from quire.llm.common import SPACE_CLASS, drop_path, drop_stored, exists, new_path, placed, settings, stored, text_column
 
 #: A keeper's text is copied once for so many rows that are held against it.
 ROWS_A_COPY = 2000
 #: Files that a micro-batch of the stream reads at least, and micro-batches that a call makes at most.
 FILES, BATCHES = 64, 32
+#: Only texts of rows that hit a digest are shuffled, but for false hits of a Bloom filter of at most 8 MB.
+_BLOOM = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1024TB",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": "67108864",
+}
 _KEYED = "sha binary, doc_id long, n_chars long, at struct<file: long, row: long>, digest binary"
 
 _STATE = {
@@ -33,21 +39,6 @@ _STATE = {
 }
 
 
-@contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
-
-
 def normalised(text="text"):
     return F.regexp_replace(text_column(text), SPACE_CLASS + "+", "")
 
@@ -75,7 +66,7 @@ def digest_state(spark: SparkSession, source: str, checkpoint: str, files: int)
 
     Files that a run before with this checkpoint has read are not read again.
     """
-    with _settings(spark, _STATE):
+    with settings(spark, _STATE):
         stream = spark.readStream.schema(_KEYED).option("maxFilesPerTrigger", max(FILES, files // BATCHES + 1)).parquet(source)
         query = (
             stream.groupBy("digest").agg(F.min(rank()).alias("best"), F.count("*").alias("n"))
@@ -142,11 +133,14 @@ def exact_duplicates(docs: DataFrame, digest_bits: int = 256, folder: str | None
         files, checkpoint = keyed.inputFiles(), new_path(spark, "state")
         state = digest_state(spark, files[0].rsplit("/", 1)[0], checkpoint, len(files))
         drop_path(spark, checkpoint)
-    slim = keyed.join(state.select("digest", F.col("best.at").alias("keeper"), F.col("best.doc_id").alias("keep_id"), "n"), "digest")
+    best = state.select("digest", F.col("best.at").alias("keeper"), F.col("best.doc_id").alias("keep_id"), "n")
+    slim = stored(keyed.join(best, "digest").select("at", "doc_id", "sha", "keeper", "keep_id", "n"), "slim")
+    drop_stored(state)
     copies = (F.col("n") / ROWS_A_COPY).cast("long") + 1
-    unlike = stored(unlike_keeper(texts, slim.where("n > 1").select("at", "keeper", copies.alias("copies"))), "unlike")
+    with settings(spark, _BLOOM):
+        unlike = stored(unlike_keeper(texts, slim.where("n > 1").select("at", "keeper", copies.alias("copies"))), "unlike")
     if unlike.isEmpty():
-        drop_stored(unlike)
+        drop_stored(unlike, *([] if folder else [keyed]))
         whole = slim.select("*", F.col("n").alias("group_size"))
     else:
         apart = unlike.groupBy("keeper").agg(F.count("*").alias("apart"))
