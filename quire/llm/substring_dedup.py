@@ -2,13 +2,18 @@
 
 A window is a fixed number of consecutive words of one row. Its hash is two polynomials
 over the words' 64-bit hashes, each rolled over the row by prefix sums; 64 bits of the
-one and 32 of the other stand for the word sequence. Every window of every row is hashed.
-A task keeps of the equal windows in a batch of rows the first, since the others have an
-earlier one for certain. The rest are shuffled by their hash, once, and counted in Spark in
-the order of document, start and row: all but the first are repeated. Windows that go
-merge with those that touch them into maximal intervals, which are removed.
-
-Nothing is broadcast by the operator, and it does the same at every size.
+one and 32 of the other stand for the word sequence. Two passes see every window of every
+row. In the first all are counted in Spark by 64 bits of their hash. Hashes that occur
+again set bits of a filter of fixed size; a window whose bit is unset is alone.
+
+In the second pass a task keeps of the equal windows in a batch of rows the first, since
+the others have an earlier one for certain. The rest are shuffled by their whole hash and
+numbered in the order of document, start and row: all but the first are repeated. Windows
+that go merge with those that touch them into maximal intervals, which are removed.
+
+The filter saves shuffling; it decides nothing, and as it fills up just more windows are
+shuffled whole. At the end what was found goes to the rows: to all tasks while it is under
+a checked bound, else by a shuffle.
 """
 
 from __future__ import annotations
@@ -19,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import drop_stored, placed, small_batches, stored
+from quire.llm.common import BROADCAST_BYTES, drop_stored, partition_keys, partitions, placed, small_batches, stored
 
 #: Odd multipliers of the two polynomials, modulo 2**64, and their inverses.
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
+#: Bits of the filter: 32 MB, whatever the size of the input.
+FILTER_BITS = 28
 #: A row's name: its doc_id and, where that is null or not its own, its place (else zeros).
 NAME = ("doc_id", "file", "row")
 #: Windows, and runs of windows that have an earlier one in their batch (start -1).
@@ -71,24 +78,68 @@ def runs_of(starts: np.ndarray) -> np.ndarray:
     return np.stack([at[np.concatenate(([0], turn + 1))], at[np.concatenate((turn, [len(at) - 1]))]], axis=1)
 
 
-def _of_batch(names: np.ndarray, texts: list[str | None], window: int, roll: Rolling) -> pa.RecordBatch:
-    """WINDOWS of some rows; names (rows, 3) tell them apart."""
-    h1, h2, size = [], [], np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
+def hashes_of(rows: DataFrame, window: int, keys: list[int]) -> DataFrame:
+    """(bucket, hashes array<long>): 64 bits of the hash of each window of rows (text), by range of the hash, each with one of keys.
+
+    A batch names each hash once, or twice where it occurs more often; arrays keep what is
+    shuffled at eight bytes a window.
+    """
+
+    def run(batches):
+        roll, buckets = Rolling(), len(keys)
+        edges, names = np.array([-(-(i << 64) // buckets) for i in range(buckets)], np.uint64), np.array(keys, np.int32)
+        for b in batches:
+            found = [roll(word_hashes(words_of(text)), window, 0) for text in b.column(0).to_pylist()]
+            h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            h = np.repeat(h, np.minimum(n, 2))
+            cut = np.append(np.searchsorted(h, edges), len(h)).astype(np.int32)
+            some = np.flatnonzero(np.diff(cut))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(cut[some], len(h)).astype(np.int32)), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[some]), lists], ["bucket", "hashes"])
+
+    return rows.select("text").mapInArrow(run, "bucket int, hashes array<long>")
+
+
+def repeated_filter(rows: DataFrame, window: int, bits: int = FILTER_BITS) -> np.ndarray:
+    """Bytes of a filter by the first bits of the hashes that more than one window has."""
+    n = partitions(rows.sparkSession)
+    each = hashes_of(rows, window, partition_keys(rows.sparkSession, n)).repartition(n, "bucket").select("bucket", F.explode("hashes").alias("h"))
+    again = each.groupBy("bucket", "h").count().where("count > 1")  # where the bucket lies, so nothing is shuffled again
+    bit = F.shiftrightunsigned("h", 64 - bits) + 1
+    parts = stored(again.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")), "filter")
+    found = np.zeros((1 << bits) // 8, np.uint8)
+    for part, some in parts.toLocalIterator():  # 4 KB each, together the filter
+        some = np.frombuffer(bytes(some), np.uint8)[: len(found)]
+        found[(part - 1) * 4096 :][: len(some)] = some
+    drop_stored(parts)
+    return found
+
+
+def passes(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    bit = h >> np.uint64(64 - 3 - len(known).bit_length() + 1)
+    return (known[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _of_batch(names: np.ndarray, texts: list[str | None], window: int, roll: Rolling, known: np.ndarray) -> pa.RecordBatch:
+    """WINDOWS of some rows that pass the filter; names (rows, 3) tell the rows apart."""
+    h1, h2, at = [], [], []
+    for text in texts:
         words = word_hashes(words_of(text))
-        h1.append(roll(words, window, 0))
-        h2.append((roll(words, window, 1) >> np.uint64(32)).astype(np.uint32))
-        size[i] = len(h1[-1])
-    a, b = (np.concatenate(h) if h else np.zeros(0, np.uint64) for h in (h1, h2))
+        h = roll(words, window, 0)
+        some = np.flatnonzero(passes(known, h))
+        h1.append(h[some])
+        h2.append((roll(words, window, 1)[some] >> np.uint64(32)).astype(np.uint32) if len(some) else np.zeros(0, np.uint32))
+        at.append(some)
+    a, b, start = (np.concatenate(h) if h else np.zeros(0, np.uint64) for h in (h1, h2, at))
+    size = np.array([len(x) for x in at], np.int64)
     owner = np.repeat(np.arange(len(texts)), size)
-    start = np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size)
     # in the order of hash, then document, start and row: the first of each hash goes on
     place = np.empty(len(texts), np.int64)
     place[np.lexsort(names.T[::-1])] = np.arange(len(texts))
-    doc = names[:, 0][owner] if len(a) else start
+    doc = names[owner, 0]
     order = np.argsort(a, kind="stable")
     x, y = a[order], b[order]
-    twin = np.flatnonzero(x[1:] == x[:-1]) if len(a) else start
+    twin = np.flatnonzero(x[1:] == x[:-1])
     again = np.zeros(len(a), bool)
     if len(twin):  # only these need the full order
         some = order[np.union1d(twin, twin + 1)]
@@ -108,14 +159,15 @@ def _of_batch(names: np.ndarray, texts: list[str | None], window: int, roll: Rol
     return pa.RecordBatch.from_arrays(columns, ["h1", "h2", "doc_id", "start", "file", "row", "runs"])
 
 
-def windows_of(rows: DataFrame, window: int) -> DataFrame:
-    """WINDOWS of rows (doc_id, file, row, text)."""
+def windows_of(rows: DataFrame, window: int, bits: int) -> DataFrame:
+    """WINDOWS of rows (doc_id, file, row, text) that may occur twice."""
+    held = rows.sparkSession.sparkContext.broadcast(repeated_filter(rows, window, bits))  # of fixed size
 
     def run(batches):
-        roll = Rolling()
+        roll, known = Rolling(), held.value
         for b in batches:
             names = np.stack([b.column(i).to_numpy() for i in range(3)], axis=1)
-            yield _of_batch(names, b.column(3).to_pylist(), window, roll)
+            yield _of_batch(names, b.column(3).to_pylist(), window, roll, known)
 
     return rows.select(*NAME, "text").mapInArrow(run, WINDOWS)
 
@@ -166,7 +218,7 @@ def named_rows(docs: DataFrame) -> DataFrame:
     return found.select(F.col("doc_id").alias("own"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), *part, "text")
 
 
-def dedup_substrings(docs: DataFrame, window: int = 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 20, bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, kept_text, n_words, n_removed and removed of every row of docs (doc_id, text).
 
     Words are runs of other characters than white space. A word goes if a window that
@@ -182,8 +234,9 @@ def dedup_substrings(docs: DataFrame, window: int = 20) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows = named_rows(docs)
-    later = stored(later_windows(windows_of(rows, window)), "later")
-    joined = rows.join(later, [*NAME], "left").select("own", "text", "runs")
+    later = stored(later_windows(windows_of(rows, window, bits)), "later")
+    size = later.agg(F.sum(F.length("runs") + 32)).first()[0] or 0
+    joined = rows.join(F.broadcast(later) if size <= BROADCAST_BYTES else later, [*NAME], "left").select("own", "text", "runs")
 
     def run(batches):
         for b in batches:

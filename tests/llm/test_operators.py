@@ -254,8 +254,8 @@ def without_repeats(rows):
 def test_substring_dedup(spark, docs, rows):
     a, b, c = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("w", 40), ("x", 60), ("y", 30)))
     shared = [(1, a), (2, a), (2, b), (3, f"{b} {b}"), (None, b), (None, b), (4, f"{b} {a}"), (8, c), (8, c), (9, f"{c} {c}"), (9, f"{a} {c}"), (5, None), (6, ""), (7, "a " * 500)]
-    for given, frame in ((rows, docs), (shared, made(spark, shared).repartition(3))):
-        found = substring_dedup.dedup_substrings(frame, 20).collect()
+    for given, frame, bits in ((rows, docs, 28), (shared, made(spark, shared).repartition(3), 28), (shared, made(spark, shared), 10)):  # the last filter lets nearly all pass
+        found = substring_dedup.dedup_substrings(frame, 20, bits).collect()
         assert sorted((str(r.doc_id), r.kept_text, r.n_words, r.n_removed) for r in found) == without_repeats(given)
         assert all(sum(b - a for a, b in r.removed) == r.n_removed for r in found)
 
