@@ -29,6 +29,10 @@ def without(a: Column, u: Column) -> Column:
     return _once(dot(a, u), lambda along: F.zip_with(a, u, lambda x, y: x.cast("double") - y.cast("double") * along))
 
 
-def sif(count: Column, total: Column, a: float = 1e-3) -> Column:
+#: How much common words count for less.
+SIF_A = 1e-3
+
+
+def sif(count: Column, total: Column, a: float = SIF_A) -> Column:
     """Weight of a word by its share of all tokens."""
     return F.lit(a) / (F.lit(a) + count / total)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.feature import PCA, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.vectors import sif, unit, without
+from quire.functions.vectors import SIF_A, sif, unit, without
 
 
 def train_word_vectors(sentences: DataFrame, iterations: int = 5, dim: int = 100, min_count: int = 30, window: int = 7, seed: int = 23) -> DataFrame:
@@ -50,12 +51,18 @@ def component_values(component: DataFrame) -> list[float]:
 
 def query_vectors(vocab: DataFrame, word_vectors: DataFrame, component: list[float], queries: list[list[str]], total: int | None = None) -> list[list[float]]:
     """The vector of each query (its words), made as a page's: weighted mean, less the component, at unit length; zeros without a known word."""
-    spark = vocab.sparkSession
-    asked = spark.createDataFrame([(i, w) for i, words in enumerate(queries) for w in words], "page_idx long, word string")
     total = total or vocab.agg(F.sum("cnt")).first()[0] or 1
-    few = vocab.join(F.broadcast(asked.select("word").distinct()), "word", "left_semi")
-    found = {r["page_idx"]: r["vec"] for r in page_vectors(sif_vectors(asked, few, word_vectors, len(component), total=total), component).collect()}  # a row a query
-    return [list(found.get(i) or [0.0] * len(component)) for i in range(len(queries))]
+    asked = sorted({w for words in queries for w in words})
+    rows = vocab.where(F.col("word").isin(asked)).join(word_vectors, "word").select("word", "cnt", "vec").collect() if asked else []  # at most the queries' words
+    weighted = {r["word"]: SIF_A / (SIF_A + r["cnt"] / total) * np.array(r["vec"], float) for r in rows}
+    u, found = np.array(component), []
+    for words in queries:
+        known = [weighted[w] for w in words if w in weighted]
+        v = np.mean(known, axis=0) if known else np.zeros(len(u))
+        v = v - u * (u @ v)
+        size = np.sqrt(v @ v)
+        found.append((v / size if size > 0 else v).tolist())
+    return found
 
 
 def page_vectors(means: DataFrame, component: list[float]) -> DataFrame:

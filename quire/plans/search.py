@@ -42,7 +42,7 @@ def known_terms(vocab: DataFrame, variants: list[list[Term]]) -> list[list[Term]
 def term_pages(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """(lang_no, term_no, page_idx): pages that hold a keyword, or a phrase's words one after another.
 
-    Terms are few, so they are broadcast, and postings are filtered where they are read.
+    Terms are few, a row for each word of the query, so they are broadcast.
     A phrase's start is its word's position less the offset; it is found where all offsets meet.
     """
     hits = postings.select("word", "page_idx", "pos").join(F.broadcast(terms), "word")
@@ -124,13 +124,14 @@ def search(
         found = pages.select("page_idx", "doc_idx", "page_no", F.lit(0).cast("long").alias("matched"), F.lit(None).cast("long").alias("n_terms"), F.lit(0.0).alias("grep"), F.lit(0.0).alias("distance"))
         return rank(found)
     variants = known_terms(index.vocab, query_variants(query, langs, translate, stop_lists))
-    found = term_pages(index.postings, term_rows(pages.sparkSession, variants))
+    words = sorted({w for terms in variants for t in terms for w in t.words})
+    found = term_pages(index.postings.where(F.col("word").isin(words)), term_rows(pages.sparkSession, variants))  # reaches the scan of a saved index
     scored = page_grep(pages, found, [len(v) for v in variants])
     if page_vectors is None:
         page_vectors = index.page_vectors
     if query_vectors is None and index.word_vectors is not None:
-        words = [plain_words(text) for text in query_texts(query, langs, translate)]
-        query_vectors = embed.query_vectors(index.vocab, index.word_vectors, embed.component_values(index.component), words)
+        asked = [plain_words(text) for text in query_texts(query, langs, translate)]
+        query_vectors = embed.query_vectors(index.vocab, index.word_vectors, embed.component_values(index.component), asked)
     if page_vectors is None or not query_vectors:
         return rank(scored.withColumn("distance", F.lit(0.0)))
     cosines = [dot(F.col("vec"), F.array(*map(F.lit, q))) for q in query_vectors]
