@@ -105,18 +105,20 @@ class Pieces:
         for start in range(max(0, end - self.longest), end):
             if (score := self.scores.get(block[start:end])) is not None:
                 yield start, score, block[start:end]
-        if block[end - 1] not in self.scores:
+        if end and block[end - 1] not in self.scores:
             yield end - 1, self.fallback, None
 
-    def forward(self, block: str) -> list[int]:
-        edges, best = self.all_edges(block), [0]
+    def forward(self, block: str, edges=None) -> list[int]:
+        edges, best = edges or self.all_edges(block), [0]
         for end in range(1, len(block) + 1):
             best.append(max(best[start] + score for start, score in edges(end)))
         return best
 
     def all_edges(self, block: str):
-        """A function from an end to the (start, score) of the edges that end there, by start; all are looked up at once."""
+        """A function from an end to the (start, score) of the edges that end there, by start; those of long blocks are looked up at once."""
         size = len(block)
+        if size <= LONG:
+            return [[(start, score) for start, score, _ in self.edges(block, end)] for end in range(size + 1)].__getitem__
         chars = np.frombuffer(block.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
         h, ends, starts, scores = np.zeros(size, np.uint64), [], [], []
         for length in range(1, min(self.longest, size) + 1):
@@ -148,7 +150,7 @@ class Pieces:
         and memory grow with the block's length.
         """
         edges = self.all_edges(block)
-        best = heuristic or self.forward(block)
+        best = heuristic or self.forward(block, edges)
         most = self._bound(edges, best, n)
         found, serial = [], 0
         queue = [(-best[-1], 0, len(block), 0, ())]  # -score, serial, place, score from there on, starts from there on
