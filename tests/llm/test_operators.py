@@ -548,6 +548,41 @@ def test_near_copies_by_shingles(spark):
     assert sorted(r.doc_id for r in tiles) == sorted(kept)
 
 
+def test_near_copies_meet_under_deletion_variants(spark):
+    """What connects the entries is what brute force over keys and bits connects, and sets of similarity 0.8 are among it."""
+    rng, texts = random.Random(7), []
+    for _ in range(30):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(20, 400))]
+        texts += [" ".join("new" + w if rng.random() < share else w for w in words) for share in (0, 0.005, 0.01, 0.02, 0.04, 0.08)]
+    base = [f"b{i}" for i in range(300)]
+    texts += [" ".join([*base, f"end{i}"]) for i in range(40)]  # more than are compared in pairs
+    found = {shingle_dedup.set_hash(s): s for s in (shingle_dedup.shingle_set(t, 5) for t in texts)}
+    fps, sets = list(found), list(found.values())
+    marks = np.frombuffer(b"".join(map(shingle_dedup.mark, sets)), shingle_dedup._MARK)
+    keys, checks = [{*k} for k in shingle_dedup.variant_keys(marks).tolist()], marks["check"]
+    assert {len(k) for k in keys} == {shingle_dedup.SEGMENTS * shingle_dedup.FREE}
+    root = list(range(len(fps)))
+    for a in range(len(fps)):
+        for b in range(a):
+            meet = keys[a] & keys[b] and np.bitwise_count(checks[a] ^ checks[b]).sum() <= shingle_dedup.MOST
+            common = len(np.intersect1d(sets[a], sets[b]))
+            assert meet or common * 5 < 4 * (len(sets[a]) + len(sets[b]) - common)
+            if meet:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if x == old else x for x in root]
+    groups = defaultdict(set)
+    for fp, x in zip(fps, root, strict=True):
+        groups[x].add(fp)
+    expected = {frozenset(g) for g in groups.values() if len(g) > 1}
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    entries = spark.createDataFrame([(fp, bytearray(m.tobytes())) for fp, m in zip(signed, marks, strict=True)] + [(0, None)], "fp long, mark binary").repartition(3)
+    for dense in (shingle_dedup.DENSE, 4):  # as it is, and with all but the smallest variants in tiles
+        of = defaultdict(set)
+        for r in components.connected_components(shingle_dedup.find_links(entries, dense)).collect():
+            of[r.root].add(r.node % (1 << 64))
+        assert {frozenset(g) for g in of.values()} == expected, dense
+
+
 @pytest.mark.parametrize("bound", [64 << 20, 0])
 def test_ranks_in_parts(spark, bound):
     pieces = spark.createDataFrame([(i if i % 5 else None, 0, 1 + i % 3, i % 7, 9) for i in range(500)], packing.PIECES)
