@@ -10,9 +10,10 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quire.llm import additive_quantization, components, exact_dedup, line_dedup, nbest, packing, quality, secret_scan, shingle_dedup, simhash, substring_dedup, url_reputation
+from quire.llm import additive_quantization, common, components, exact_dedup, line_dedup, nbest, packing, quality, secret_scan, shingle_dedup, simhash, substring_dedup, url_reputation
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, found string, n_lines int, at string, fp int, spans int, start int, kept int"
@@ -507,6 +508,18 @@ def test_empty_tables(spark):
         assert run(none).count() == 0, run
 
 
+def test_the_filter_of_texts_is_small(spark, tmp_path):
+    """The driver holds dozens of copies of the Bloom filter: it takes 1 MB at most, and is in use."""
+    made(spark, [(i, f"text {i % 5}") for i in range(20)]).write.parquet(f"{tmp_path}/docs")
+    texts = exact_dedup.located(spark.read.parquet(f"{tmp_path}/docs"))
+    texts.select("at", F.first("at").over(Window.partitionBy("text").orderBy("doc_id")).alias("keeper"), F.lit(1).cast("long").alias("copies")).write.parquet(f"{tmp_path}/rows")
+    with common.settings(spark, exact_dedup._BLOOM | {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        found = exact_dedup.unlike_keeper(texts, spark.read.parquet(f"{tmp_path}/rows").where("copies > 0"))
+        bits = re.findall(r"bloom_filter_agg\(.*?, (\d+), (\d+), \d+, \d+\)", found._jdf.queryExecution().optimizedPlan().toString())
+        assert bits and all(int(b) <= 8 << 20 for _, b in bits)
+        assert found.count() == 0
+
+
 def test_near_copies_that_stay(spark):
     """One row a group, also where ids are null or repeat."""
     base = [f"word{i}" for i in range(300)]
