@@ -172,8 +172,28 @@ def forest(checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.empty(0, np.int64), *left]), np.concatenate([np.empty(0, np.int64), *right])
 
 
-def links_of(keys: np.ndarray, fps: np.ndarray, checks: np.ndarray, largest: int) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs of fps, keys of more than largest rows): links among rows that are sorted by key, within each other key."""
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node that links (a, b) connect to lesser ones, and the least of them."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = at[: len(a)], at[len(a) :]
+    least = np.arange(len(nodes))
+    while True:
+        now = least.copy()
+        low = np.minimum(least[left], least[right])
+        for ends in (left, right, least[left], least[right]):
+            np.minimum.at(now, ends, low)
+        now = now[now]
+        if (now == least).all():
+            return nodes[least != np.arange(len(nodes))], nodes[least[least != np.arange(len(nodes))]]
+        least = now
+
+
+def links_of(keys: np.ndarray, fps: np.ndarray, checks: np.ndarray, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, keys of more than largest rows) of rows that are sorted by key: what links within the other keys connect, as stars.
+
+    The keys of a group of near copies hold different parts of it; as stars over all keys at
+    hand they name about one link a member, not one a member and key.
+    """
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
     sizes = np.diff(np.append(starts, len(keys)))
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -192,13 +212,11 @@ def links_of(keys: np.ndarray, fps: np.ndarray, checks: np.ndarray, largest: int
         a, b = forest(checks[s : s + n])
         left.append(fps[s + a])
         right.append(fps[s + b])
-    a, b = np.concatenate(left), np.concatenate(right)
-    pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
-    return pairs[pairs[:, 0] != pairs[:, 1]], keys[starts[sizes > largest]]
+    return *stars(np.concatenate(left), np.concatenate(right)), keys[starts[sizes > largest]]
 
 
 def _links(index: DataFrame, largest: int) -> DataFrame:
-    """(a, b): links within each key of index (key, fp, c0, c1); (key, null) for keys of more than largest rows."""
+    """(a, b): what links within each key of index (key, fp, c0, c1) connect; (key, null) for keys of more than largest rows."""
 
     def run(batches):
         parts, held, skip = [], 0, None
@@ -207,14 +225,14 @@ def _links(index: DataFrame, largest: int) -> DataFrame:
             nonlocal parts, held, skip
             k, f, c = (np.concatenate(p) for p in zip(*parts, strict=True))
             cut = len(k) if last else int(np.searchsorted(k, k[-1]))
-            pairs, over = links_of(k[:cut], f[:cut], c[:cut], largest)
+            a, b, over = links_of(k[:cut], f[:cut], c[:cut], largest)
             k, f, c = k[cut:], f[cut:], c[cut:]
             if len(k) > largest:  # the key under way is too large already: the rest of it needn't be held
                 skip = int(k[0])
                 over, k, f, c = np.append(over, skip), k[:0], f[:0], c[:0]
             parts, held = [(k, f, c)], len(k)
-            b = pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), pa.nulls(len(over), pa.int64())])
-            return pa.RecordBatch.from_arrays([pa.array(np.append(pairs[:, 0], over), pa.int64()), b], ["a", "b"])
+            b = pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(len(over), pa.int64())])
+            return pa.RecordBatch.from_arrays([pa.array(np.append(a, over), pa.int64()), b], ["a", "b"])
 
         for batch in batches:
             k, f, *c = (column.to_numpy() for column in batch.columns)
@@ -234,7 +252,7 @@ def _links(index: DataFrame, largest: int) -> DataFrame:
 
 
 def find_links(entries: DataFrame, dense: int = DENSE) -> DataFrame:
-    """(a, b): links between entries (fp, mark) that meet under a variant, enough to connect all that are connected."""
+    """(a, b): links between entries (fp, mark), just enough to connect all that are connected by links under a variant."""
     found = stored(_links(variants(entries), dense), "links")
     links = found.where("b is not null")
     over = found.where("b is null").select(F.col("a").alias("key")).distinct()
