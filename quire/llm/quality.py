@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import partitions, small_batches
@@ -213,13 +213,14 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """(text, y) of at most bound documents that have one quality label and are not held out.
+def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, label: str = "quality", left_out: Column | None = None) -> DataFrame:
+    """(text, y) of at most bound documents that have one label, 0 or 1, and are not left out (held_out() unless given).
 
     The labelled ids that docs hold are taken in the order of their hash; of rows that share
     an id the text that sorts first stands for it. Where rows lie makes no difference.
     """
-    known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("other"))
+    aside = held_out() if left_out is None else left_out
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).where(~aside).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("other"))
     there = known.where("y = other").join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen = there.select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most bound rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import additive_quantization, exact_dedup, line_dedup, nbest, oracles, packing, quality, secret_scan, simhash, substring_dedup, url_reputation
+from quire.llm import additive_quantization, conversation_repair, exact_dedup, filtering_lloyd, line_dedup, nbest, oracles, packing, quality, secret_scan, simhash, substring_dedup, toxicity, url_reputation
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,26 @@ def op10_quality(spark, sf_dir):
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op11_vector_codes(spark, sf_dir):
+    made = filtering_lloyd.compress(_table(spark, sf_dir, "embeddings"), keep=("label",), parts=16, entries=64, rounds=2, scale=256)
+    found = filtering_lloyd.with_label_errors(made.codes)
+    return found.select("vec_id", "code", "error", "label_error", F.lit(made.digest()).alias("codebooks_sha256"))
+
+
+def op12_conversation_repair(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations")
+    made = conversation_repair.repair(conversation_repair.damaged(turns))
+    every, counted = turns.select("conv_id").distinct(), made.conversations.withColumnRenamed("conv_id", "_conv")
+    hashed = made.transcripts().withColumnRenamed("conv_id", "_hashed")
+    found = every.join(counted, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").join(hashed, F.col("conv_id").eqNullSafe(F.col("_hashed")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def queries():
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -75,6 +95,9 @@ def queries():
         "op8_secret_scan": op8_secret_scan,
         "op9_packing": op9_packing,
         "op10_quality": op10_quality,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_toxicity": op13_toxicity,
     }
 
 
@@ -84,4 +107,6 @@ def oracle_sql():
         "op2_exact_dedup": oracles.EXACT,
         "op5_url_filter": oracles.urls(),
         "op6_substring_dedup": oracles.substrings(window=20),
+        "op11_vector_codes": oracles.codes(),
+        "op12_conversation_repair": oracles.repairs(),
     }
