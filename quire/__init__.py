@@ -1,0 +1,10 @@
+"""Search of paged documents and preparation of training text on Spark.
+
+Functions that run on executors travel by value, so executors need no copy of this repository.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -3,20 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.feature import PCA, Word2Vec
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.vectors import SIF_A, sif, unit, without
 
 
-def train_word_vectors(sentences: DataFrame, iterations: int = 5, dim: int = 100, min_count: int = 30, window: int = 7, seed: int = 23) -> DataFrame:
-    """(word, vec) from sentences (tokens array)."""
-    model = Word2Vec(vectorSize=dim, minCount=min_count, windowSize=window, maxIter=iterations, seed=seed, inputCol="tokens", outputCol="v").fit(sentences)
-    return model.getVectors().select("word", vector_to_array("vector").alias("vec"))
-
-
 def sif_vectors(tokens: DataFrame, vocab: DataFrame, word_vectors: DataFrame, dim: int, key: str = "page_idx", total: int | None = None) -> DataFrame:
     """(key, vec): mean of the known tokens' vectors, each weighted by its rarity; keys without any are left out.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import words
 from quire.operators import embed, segment
 from quire.operators.ranks import running, shuffle_partitions, written
+from quire.operators.word_vectors import train_word_vectors
 
 
 def number_pages(pages: DataFrame) -> DataFrame:
@@ -131,14 +132,18 @@ def build_index(raw_pages: DataFrame, dictionary: DataFrame | None = None, segme
     return Index(numbered, dim, doc_dim(numbered), postings(tokens, dim), vocabulary(page_tokens(tokens)))
 
 
+def page_sentences(pages: DataFrame) -> DataFrame:
+    """(tokens): the words of each line of pages (text), one row a line; a segmented index has a sentence a line."""
+    return pages.select(F.explode(F.split("text", "\n")).alias("line")).select(words(F.col("line")).alias("tokens"))
+
+
 def embed_pages(made: Index, word_vectors: DataFrame | None = None, component: list[float] | None = None, **training) -> Index:
     """made with vectors of words (word, vec), trained unless given, and of its pages, less their first component.
 
-    training: see embed.train_word_vectors(). The component is that of the pages unless given.
+    training: see word_vectors.train_word_vectors(). The component is that of the pages unless given.
     """
     if word_vectors is None:
-        sentences = made.pages.select(words(F.col("text")).alias("tokens"))
-        word_vectors = embed.train_word_vectors(sentences, **training)
+        word_vectors = train_word_vectors(page_sentences(made.pages), **training)
     means = written(embed.sif_vectors(made.postings, made.vocab, word_vectors, embed.dimension(word_vectors)), "means")
     found = embed.first_component(means) if component is None else component
     rows = embed.component_rows(made.pages.sparkSession, found)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import spans, text, vectors
 from quire.operators import embed, index, language, ranks, segment
+from quire.operators import word_vectors as word_vectors_of
 from quire.plans import highlight, parser, search
 from quire.sources import pages as sources
 
@@ -634,8 +635,9 @@ def pca_component(t):
 
 @query()
 def word2vec(t):
-    sentences = tokens(t).select("tokens")
-    return embed.train_word_vectors(sentences, min_count=MIN_COUNT)
+    """From the sentences of the segmented documents."""
+    sentences = segment.segment(numbered(t)).select(text.words(F.col("sentence")).alias("tokens"))
+    return word_vectors_of.train_word_vectors(sentences, min_count=MIN_COUNT)
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

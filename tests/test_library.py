@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quire.functions import spans, text
-from quire.operators import embed, index, segment
+from quire.operators import embed, index, segment, word_vectors
 from quire.plans import highlight, parser, search
 from quire.sources import pages
 from quire.streaming import ingest
@@ -105,15 +105,39 @@ def test_index_with_vectors(spark, tmp_path):
     assert index.open_index(spark, str(tmp_path / "i")).page_vectors is None
 
 
-def test_trained_vectors_tell_topics_apart(spark):
-    rng = random.Random(1)
+def topic_sentences(spark, n, seed=1):
+    rng = random.Random(seed)
     topics = [[f"{t}{i}" for i in range(8)] for t in "ab"]
-    sentences = spark.createDataFrame([([rng.choice(topics[n % 2]) for _ in range(20)],) for n in range(600)], "tokens array<string>").repartition(1)
-    vec = {r.word: r.vec for r in embed.train_word_vectors(sentences, dim=16, min_count=1, iterations=10).collect()}
+    return topics, spark.createDataFrame([([rng.choice(topics[k % 2]) for _ in range(20)],) for k in range(n)] + [(None,), ([],), (["alone"],)], "tokens array<string>")
+
+
+@pytest.mark.parametrize("part_tokens", [word_vectors.PART_TOKENS, 1500])
+def test_trained_vectors_tell_topics_apart(spark, part_tokens):
+    topics, sentences = topic_sentences(spark, 600)
+    found = word_vectors.train_word_vectors(sentences, dim=16, min_count=1, part_tokens=part_tokens)
+    vec = {r.word: r.vec for r in found.collect()}
+    assert set(vec) == {w for t in topics for w in t}
     cosine = lambda x, y: sum(a * b for a, b in zip(vec[x], vec[y])) / (sum(a * a for a in vec[x]) * sum(b * b for b in vec[y])) ** 0.5
     same = [cosine(a, b) for t in topics for a in t for b in t if a < b]
     other = [cosine(a, b) for a in topics[0] for b in topics[1]]
-    assert sum(same) / len(same) > sum(other) / len(other) + 0.3
+    assert sum(same) / len(same) > sum(other) / len(other) + 0.5
+
+
+def test_vectors_are_trained_in_many_tasks_of_bounded_size(spark):
+    topics, sentences = topic_sentences(spark, 300)
+    dealt, parts = word_vectors.dealt_sentences(sentences, part_tokens=600)
+    sizes = [r["count"] for r in dealt.groupBy("part").count().collect()]
+    assert parts == 10 and len(sizes) == 10 and max(sizes) < 60 and sum(sizes) == 300
+    words = word_vectors.part_words(dealt, 200)
+    counts = {r.word: r.cnt for r in words.select("word", "cnt").distinct().collect()}
+    told = {}
+    for r in sentences.collect():
+        for w in r.tokens or []:
+            told[w] = told.get(w, 0) + 1
+    assert counts == {w: n for w, n in told.items() if n >= 200}
+    model = word_vectors.train_round(dealt, words, None, sum(counts.values()), 4, 3, 1, 0)
+    assert {r.word for r in model.collect()} == set(counts) and all(len(r.vec) == len(r.out) == 16 for r in model.collect())
+    assert word_vectors.train_word_vectors(sentences.limit(0), dim=4).count() == 0
 
 
 def test_display(spark):
