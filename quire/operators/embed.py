@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 from quire.functions.vectors import SIF_A, sif, unit, without
 
 
-def sif_vectors(tokens: DataFrame, vocab: DataFrame, word_vectors: DataFrame, dim: int, key: str = "page_idx", total: int | None = None) -> DataFrame:
-    """(key, vec): mean of the known tokens' vectors, each weighted by its rarity; keys without any are left out.
+def sif_vectors(counted: DataFrame, vocab: DataFrame, word_vectors: DataFrame, dim: int, key: str = "page_idx", total: int | None = None) -> DataFrame:
+    """(key, vec): mean of the known tokens' vectors, each weighted by its rarity; keys without any are left out. counted: (key, word, n).
 
     One sum for each dimension, so nothing is exploded.
     """
     total = total or vocab.agg(F.sum("cnt")).first()[0] or 1
     weighted = vocab.join(word_vectors, "word").select("word", sif(F.col("cnt"), F.lit(float(total))).alias("w"), "vec")
-    counted = tokens.groupBy(key, "word").agg(F.count("*").alias("n"))
     sums = [F.sum(F.col("n") * F.col("w") * F.col("vec")[i].cast("double")).alias(f"s{i}") for i in range(dim)]
     summed = counted.join(weighted, "word").groupBy(key).agg(F.sum("n").alias("n"), *sums)
     return summed.select(key, F.array(*(F.col(f"s{i}") / F.col("n") for i in range(dim))).alias("vec"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import words
 from quire.operators import embed, segment
+from quire.operators.blocks import posting_blocks, word_pages, word_places
 from quire.operators.ranks import running, shuffle_partitions, written
 from quire.operators.word_vectors import train_word_vectors
 
@@ -32,17 +33,18 @@ def doc_dim(numbered: DataFrame) -> DataFrame:
 
 
 def tokenised(numbered: DataFrame) -> DataFrame:
-    """(doc_idx, page_no, page_idx, tokens): every page with its words.
+    """(doc_idx, page_no, page_idx, n_tokens, tokens, sidx_start): every page with its words and how many tokens come before it.
 
-    Written, so that the texts are normalised once, whoever reads the tokens.
+    Written in the order of pages, so that the texts are normalised once, whoever reads the tokens.
     """
-    return written(numbered.select("doc_idx", "page_no", "page_idx", words(F.col("text")).alias("tokens")), "tokens")
+    rows = numbered.select("doc_idx", "page_no", "page_idx", words(F.col("text")).alias("tokens"))
+    counted = rows.select("doc_idx", "page_no", "page_idx", F.size("tokens").cast("long").alias("n_tokens"), "tokens")
+    return running(counted, [F.col("page_idx")], "n_tokens").drop("row_before").withColumnRenamed("sum_before", "sidx_start")
 
 
 def page_dim(pages: DataFrame) -> DataFrame:
     """page_idx, doc_idx, page_no, n_tokens and sidx_start, the tokens before the page, of tokenised pages."""
-    counted = pages.select("page_idx", "doc_idx", "page_no", F.size("tokens").cast("long").alias("n_tokens"))
-    return running(counted, [F.col("page_idx")], "n_tokens").select("page_idx", "doc_idx", "page_no", "n_tokens", F.col("sum_before").alias("sidx_start"))
+    return pages.select("page_idx", "doc_idx", "page_no", "n_tokens", "sidx_start")
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
@@ -50,16 +52,12 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     return pages.select("doc_idx", "page_idx", F.posexplode("tokens").alias("pos", "word"))
 
 
-def postings(pages: DataFrame, dim: DataFrame | None = None) -> DataFrame:
-    """(word, page_idx, doc_idx, pos, sidx) of tokenised pages: one row a token. dim: their page_dim(), if there."""
-    starts = (page_dim(pages) if dim is None else dim).select("page_idx", "sidx_start")
-    placed = pages.join(starts, "page_idx").select("doc_idx", "page_idx", "sidx_start", F.posexplode("tokens").alias("pos", "word"))
-    return placed.select("word", "page_idx", "doc_idx", "pos", (F.col("sidx_start") + F.col("pos")).alias("sidx"))
+def vocabulary(rows: DataFrame) -> DataFrame:
+    """(word, cnt, widxord, cumcnt): ranks by falling count, then word; counts up to and with the word.
 
-
-def vocabulary(tokens: DataFrame) -> DataFrame:
-    """(word, cnt, widxord, cumcnt): ranks by falling count, then word; counts up to and with the word."""
-    counts = tokens.groupBy("word").agg(F.count("*").alias("cnt"))
+    rows: one a token (word), or blocks of postings or the like, which say how many they stand for (n).
+    """
+    counts = rows.groupBy("word").agg((F.sum("n") if "n" in rows.columns else F.count("*")).cast("long").alias("cnt"))
     ranked = running(counts, [F.desc("cnt"), F.asc("word")], "cnt")
     return ranked.select("word", "cnt", F.col("row_before").alias("widxord"), (F.col("sum_before") + F.col("cnt")).alias("cumcnt"))
 
@@ -87,24 +85,38 @@ def integrity(posting_rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """A built index; each part is a DataFrame. The vectors are there if it was built or opened with them."""
+    """A built index; each part is a DataFrame. The vectors are there if it was built or opened with them.
+
+    blocks are the posting lists, see operators/blocks.py.
+    """
 
     pages: DataFrame
     page_dim: DataFrame
     doc_dim: DataFrame
-    postings: DataFrame
+    blocks: DataFrame
     vocab: DataFrame
     word_vectors: DataFrame | None = None
     page_vectors: DataFrame | None = None
     component: DataFrame | None = None
 
-    PARTS = ("pages", "page_dim", "doc_dim", "postings", "vocab")
+    PARTS = ("pages", "page_dim", "doc_dim", "blocks", "vocab")
     VECTORS = ("word_vectors", "page_vectors", "component")
     #: Rows of page vectors in a file, at most.
     FILE_ROWS = 1_000_000
+    #: Bytes of a row group of blocks: what a reader can skip.
+    GROUP_BYTES = 2 << 20
+
+    @property
+    def postings(self) -> DataFrame:
+        """(word, page_idx, pos, sidx) of all tokens."""
+        return word_places(self.blocks)
+
+    def lookup(self, *asked: str) -> DataFrame:
+        """(word, page_idx, pos, sidx) of the words asked for; what is read of a saved index are the row groups that may hold them."""
+        return word_places(self.blocks.where(F.col("word").isin(*asked)))
 
     def save(self, path: str) -> None:
-        """Parquet, over what is there; postings lie by word, so a lookup reads few row groups.
+        """Parquet, over what is there; blocks lie by word and page in small row groups, so a lookup reads few of them.
 
         Vectors of an index that has none any more are emptied.
         """
@@ -112,9 +124,10 @@ class Index:
             df = getattr(self, part)
             if df is None:
                 df = self.pages.sparkSession.createDataFrame([], "none int")
-            if part == "postings":
-                df = df.repartitionByRange(shuffle_partitions(df.sparkSession), "word", "sidx").sortWithinPartitions("word", "sidx")
-            df.write.mode("overwrite").option("maxRecordsPerFile", self.FILE_ROWS if part in self.VECTORS else 0).parquet(f"{path}/{part}")
+            if part == "blocks":
+                df = df.repartitionByRange(shuffle_partitions(df.sparkSession), "word", "first_page").sortWithinPartitions("word", "first_page")
+            writer = df.write.mode("overwrite").option("maxRecordsPerFile", self.FILE_ROWS if part in self.VECTORS else 0)
+            (writer.option("parquet.block.size", self.GROUP_BYTES) if part == "blocks" else writer).parquet(f"{path}/{part}")
 
 
 def build_index(raw_pages: DataFrame, dictionary: DataFrame | None = None, segmented: bool = False) -> Index:
@@ -128,8 +141,8 @@ def build_index(raw_pages: DataFrame, dictionary: DataFrame | None = None, segme
         lines = segment.segmented_pages(numbered, segment.segment(numbered, dictionary))
         numbered = numbered.drop("text").join(lines, ["doc_idx", "page_no"])
     tokens = tokenised(numbered)
-    dim = page_dim(tokens)
-    return Index(numbered, dim, doc_dim(numbered), postings(tokens, dim), vocabulary(page_tokens(tokens)))
+    lists = written(posting_blocks(tokens), "blocks")
+    return Index(numbered, page_dim(tokens), doc_dim(numbered), lists, vocabulary(lists))
 
 
 def page_sentences(pages: DataFrame) -> DataFrame:
@@ -144,7 +157,7 @@ def embed_pages(made: Index, word_vectors: DataFrame | None = None, component: l
     """
     if word_vectors is None:
         word_vectors = train_word_vectors(page_sentences(made.pages), **training)
-    means = written(embed.sif_vectors(made.postings, made.vocab, word_vectors, embed.dimension(word_vectors)), "means")
+    means = written(embed.sif_vectors(word_pages(made.blocks), made.vocab, word_vectors, embed.dimension(word_vectors)), "means")
     found = embed.first_component(means) if component is None else component
     rows = embed.component_rows(made.pages.sparkSession, found)
     return replace(made, word_vectors=word_vectors, page_vectors=embed.page_vectors(means, found), component=rows)

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: monotonically_increasing_id() counts a partition's rows in its lower bits.
 _ROW_BITS = 33
@@ -55,24 +60,40 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def running(rows: DataFrame, order: list[Column], value: str | None = None) -> DataFrame:
-    """rows with ``row_before`` and, of a value column, ``sum_before``: rows and sum ahead of each row in the order.
+    """rows with ``row_before`` and, of a value column of whole numbers, ``sum_before``: rows and sum ahead of each row in the order.
 
-    The rows are parted by ranges of the order and numbered in their part; what a part
-    holds is then added to those after it. Parts are of about one size and as many as there
-    are shuffle partitions, so no task sees more than its share, whatever key is hot. The
-    numbered rows are written once, so all readers see the same parts. ``order`` leaves no ties.
+    The rows are parted by ranges of the order and numbered, and summed up, in their part;
+    what a part holds is then added to those after it. Parts are of about one size and as
+    many as there are shuffle partitions, so no task sees more than its share, whatever key
+    is hot. The numbered rows are written once, so all readers see the same parts, each in
+    the order. ``order`` leaves no ties.
     """
     n = shuffle_partitions(rows.sparkSession)
     at = F.monotonically_increasing_id()
-    sorted_rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    numbered = written(sorted_rows.withColumn("_part", F.shiftright(at, _ROW_BITS)).withColumn("_row", at.bitwiseAND(F.lit((1 << _ROW_BITS) - 1))), "ranks")
-    sums = [F.count("*").alias("_rows"), *([F.sum(value).alias("_sum")] if value else [])]
+    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = placed.withColumn("_part", F.shiftright(at, _ROW_BITS)).withColumn("_row", at.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
+    if value:
+        placed = _summed(placed, value)
+    numbered = written(placed, "ranks")
+    sums = [F.count("*").alias("_rows"), *([F.max(F.col("_sum") + F.coalesce(value, F.lit(0))).alias("_sums")] if value else [])]
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
     parts = numbered.groupBy("_part").agg(*sums)
     shifts = parts.select("_part", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_ahead") for c in parts.columns[1:]))
     found = numbered.join(F.broadcast(shifts), "_part").withColumn("row_before", F.col("_row") + F.col("_rows_ahead"))  # as many rows as shuffle partitions
     if not value:
         return found.select(*rows.columns, "row_before")
-    inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("sum_before", F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col("_sum_ahead"))
-    return found.select(*rows.columns, "row_before", "sum_before")
+    return found.select(*rows.columns, "row_before", (F.col("_sum") + F.col("_sums_ahead")).alias("sum_before"))
+
+
+def _summed(rows: DataFrame, value: str) -> DataFrame:
+    """rows and _sum, the values ahead of each row in its task; values are not negative."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ahead = 0
+        for batch in batches:
+            own = np.cumsum(pc.fill_null(batch.column(value).cast(pa.int64()), 0).to_numpy(zero_copy_only=False))
+            before = pa.array(np.append(0, own)[:-1] + ahead if len(own) else own)
+            ahead += int(own[-1]) if len(own) else 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, before], [*batch.schema.names, "_sum"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("_sum", LongType())]))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.vectors import dot
 from quire.operators import embed
+from quire.operators.blocks import in_ranges, page_ranges, word_pages, word_places
 from quire.operators.index import Index
 from quire.operators.language import Translator, translate_words
 from quire.operators.ranks import running
@@ -39,15 +42,50 @@ def known_terms(vocab: DataFrame, variants: list[list[Term]]) -> list[list[Term]
     return [[t for t in terms if t.phrase or t.words[0] in known] for terms in variants]
 
 
-def term_pages(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """(lang_no, term_no, page_idx): pages that hold a keyword, or a phrase's words one after another.
+#: A phrase's rarest word whose pages are collected, as ranges that the other words' blocks are read by; beyond it all their blocks are.
+FEW_PLACES = 100_000
+
+
+def phrase_places(lists: DataFrame, words: Sequence[str], few: int = FEW_PLACES) -> DataFrame:
+    """(page_idx, pos): where the words stand one after another in a page; lists: blocks of postings.
+
+    The rarest word comes first: the other words' blocks are read only where they may hold
+    its pages (those ranges reach the scan), then places meet, rarer words before others.
+    """
+    spark, asked = lists.sparkSession, sorted(set(words))
+    known = {r["word"]: r["n"] for r in lists.where(F.col("word").isin(asked)).groupBy("word").agg(F.sum("n").alias("n")).collect()}  # at most the phrase's words
+    if len(known) < len(asked):
+        return spark.createDataFrame([], "page_idx long, pos int")
+    order = sorted(range(len(words)), key=lambda at: (known[words[at]], at))
+    places = lambda at, own: word_places(own.where(F.col("word") == words[at])).select("page_idx", (F.col("pos") - at).alias("pos"))
+    found, near = places(order[0], lists), lists
+    if known[words[order[0]]] <= few and len(asked) > 1:
+        pages = word_pages(lists.where(F.col("word") == words[order[0]])).select("page_idx").collect()  # at most few rows
+        near = lists.where(in_ranges(page_ranges([r["page_idx"] for r in pages])))
+    for at in order[1:]:
+        found = found.join(places(at, near), ["page_idx", "pos"])
+    return found
+
+
+def term_pages(lists: DataFrame, variants: list[list[Term]]) -> DataFrame:
+    """(lang_no, term_no, page_idx): pages that hold a keyword, or a phrase's words one after another; lists: blocks of postings.
 
     Terms are few, a row for each word of the query, so they are broadcast.
-    A phrase's start is its word's position less the offset; it is found where all offsets meet.
     """
-    hits = postings.select("word", "page_idx", "pos").join(F.broadcast(terms), "word")
-    starts = hits.groupBy("lang_no", "term_no", "term_len", "page_idx", (F.col("pos") - F.col("offset")).alias("start")).agg(F.countDistinct("offset").alias("found"))
-    return starts.where("found = term_len").select("lang_no", "term_no", "page_idx").distinct()
+    spark = lists.sparkSession
+    single = [(lang, no, t.words[0]) for lang, terms in enumerate(variants) for no, t in enumerate(terms) if len(t.words) == 1]
+    keys = spark.createDataFrame(single, "lang_no int, term_no int, word string")
+    found = word_pages(lists.where(F.col("word").isin(sorted({w for _, _, w in single})))).join(F.broadcast(keys), "word").select("lang_no", "term_no", "page_idx")
+    phrases: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+    for lang, terms in enumerate(variants):
+        for no, t in enumerate(terms):
+            if len(t.words) > 1:
+                phrases.setdefault(t.words, []).append((lang, no))
+    for words, terms in phrases.items():
+        each = F.array(*(F.struct(F.lit(lang).alias("lang_no"), F.lit(no).alias("term_no")) for lang, no in terms))
+        pages = phrase_places(lists, words).select("page_idx").distinct()
+        found = found.unionByName(pages.select(F.explode(each).alias("t"), "page_idx").select("t.lang_no", "t.term_no", "page_idx"))
+    return found
 
 
 def page_grep(page_dim: DataFrame, found: DataFrame, sizes: list[int]) -> DataFrame:
@@ -124,8 +162,7 @@ def search(
         found = pages.select("page_idx", "doc_idx", "page_no", F.lit(0).cast("long").alias("matched"), F.lit(None).cast("long").alias("n_terms"), F.lit(0.0).alias("grep"), F.lit(0.0).alias("distance"))
         return rank(found)
     variants = known_terms(index.vocab, query_variants(query, langs, translate, stop_lists))
-    words = sorted({w for terms in variants for t in terms for w in t.words})
-    found = term_pages(index.postings.where(F.col("word").isin(words)), term_rows(pages.sparkSession, variants))  # reaches the scan of a saved index
+    found = term_pages(index.blocks, variants)
     scored = page_grep(pages, found, [len(v) for v in variants])
     if page_vectors is None:
         page_vectors = index.page_vectors

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import spans, text, vectors
-from quire.operators import embed, index, language, ranks, segment
+from quire.operators import blocks, embed, index, language, ranks, segment
 from quire.operators import word_vectors as word_vectors_of
 from quire.plans import highlight, parser, search
 from quire.sources import pages as sources
@@ -120,6 +120,16 @@ def tokens(t):
     return index.tokenised(numbered(t))
 
 
+def lists(t, stored=False):
+    """Posting blocks; stored: written, for those who read them several times."""
+    found = blocks.posting_blocks(tokens(t))
+    return ranks.written(found, "blocks") if stored else found
+
+
+def places(t):
+    return blocks.word_places(lists(t))
+
+
 def built(t):
     return index.build_index(raw(t))
 
@@ -260,42 +270,41 @@ def doc_breaks(t):
 
 @query(f"WITH {PO} SELECT word, row_number() OVER (ORDER BY min(sidx)) - 1 AS widx FROM po GROUP BY word")
 def vocab_first_seen(t):
-    return index.first_seen(index.postings(tokens(t)))
+    return index.first_seen(places(t))
 
 
 @query(f"WITH {TK}{VO} SELECT word, cnt, widxord FROM vo")
 def vocab_rank(t):
-    return index.vocabulary(index.page_tokens(tokens(t))).select("word", "cnt", "widxord")
+    return index.vocabulary(lists(t)).select("word", "cnt", "widxord")
 
 
 @query(f"WITH {TK}{VO} SELECT word, cumcnt FROM vo")
 def vocab_cumcount(t):
-    return index.vocabulary(index.page_tokens(tokens(t))).select("word", "cumcnt")
+    return index.vocabulary(lists(t)).select("word", "cumcnt")
 
 
 @query(f"WITH {TK}{VO} SELECT word, cnt FROM vo WHERE cnt >= {MIN_COUNT}")
 def embedding_vocab(t):
-    return index.vocabulary(index.page_tokens(tokens(t))).where(F.col("cnt") >= MIN_COUNT).select("word", "cnt")
+    return index.vocabulary(lists(t)).where(F.col("cnt") >= MIN_COUNT).select("word", "cnt")
 
 
 @query(f"WITH {PO} SELECT word, page_idx, string_agg(sidx::VARCHAR, ' ' ORDER BY sidx) AS positions FROM po GROUP BY word, page_idx")
 def inverted_index(t):
-    found = index.postings(tokens(t)).groupBy("word", "page_idx").agg(F.array_sort(F.collect_list("sidx")).alias("p"))
-    return found.select("word", "page_idx", F.array_join(F.col("p").cast("array<string>"), " ").alias("positions"))
+    return blocks.page_lists(lists(t)).select("word", "page_idx", F.array_join(F.col("sidx").cast("array<string>"), " ").alias("positions"))
 
 
 @query(f"WITH {PO} SELECT page_idx, pos, sidx FROM po WHERE word = 'heed'")
 def posting_lookup(t):
-    """From a saved index: what is read of the sorted postings are the row groups that may hold the word."""
+    """From a saved index: what is read of the posting blocks are the row groups that may hold the word."""
     made, spark = built(t), t("region").sparkSession
     path = ranks.scratch_path(spark, "index")
     made.save(path)
-    return index.open_index(spark, path).postings.where("word = 'heed'").select("page_idx", "pos", "sidx")
+    return index.open_index(spark, path).lookup("heed").select("page_idx", "pos", "sidx")
 
 
 @query(f"WITH {PO} SELECT count(*) AS n_postings, count(DISTINCT sidx) AS n_positions, max(sidx) AS last, count(*) = count(DISTINCT sidx) AND count(*) = max(sidx) + 1 AS sound FROM po")
 def index_integrity(t):
-    return index.integrity(index.postings(tokens(t)))
+    return index.integrity(places(t))
 
 
 @query(f"WITH {WL} SELECT page_idx, array_to_string(l, ' ') AS tokens, len(l) AS n FROM wl")
@@ -341,13 +350,13 @@ def terms(t, langs=("en",)):
 
 
 def hits(t, langs=("en",)):
-    return search.term_pages(index.postings(tokens(t)), terms(t, langs))
+    return search.term_pages(lists(t), search.query_variants(KEYWORDS, list(langs), translate))
 
 
 def grep(t, langs=("en",)):
     made = built(t)
     variants = search.known_terms(made.vocab, search.query_variants(KEYWORDS, list(langs), translate))
-    found = search.term_pages(made.postings, search.term_rows(made.vocab.sparkSession, variants))
+    found = search.term_pages(made.blocks, variants)
     return search.page_grep(made.page_dim, found, [len(v) for v in variants])
 
 
@@ -394,14 +403,12 @@ def term_pages(t):
 
 @query(f"WITH {PO} SELECT a.page_idx, count(*) AS n FROM po a JOIN po b ON a.page_idx = b.page_idx AND b.pos = a.pos + 1 WHERE a.word = 'of' AND b.word = 'the' GROUP BY a.page_idx")
 def phrase_search(t):
-    p = index.postings(tokens(t))
-    both = p.where("word = 'of'").select("page_idx", (F.col("pos") + 1).alias("pos")).join(p.where("word = 'the'").select("page_idx", "pos"), ["page_idx", "pos"])
-    return both.groupBy("page_idx").agg(F.count("*").alias("n"))
+    return search.phrase_places(lists(t, True), ("of", "the")).groupBy("page_idx").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {TK}{VO} SELECT arg_min(word, struct_pack(cnt := cnt, word := word)) AS word, min(cnt) AS cnt FROM vo WHERE word IN ('heed', 'ing', 'of', 'the')")
 def rarest_term(t):
-    counts = index.page_tokens(tokens(t)).where(F.col("word").isin("heed", "ing", "of", "the")).groupBy("word").agg(F.count("*").alias("cnt"))
+    counts = lists(t).where(F.col("word").isin("heed", "ing", "of", "the")).groupBy("word").agg(F.sum("n").alias("cnt"))
     return counts.agg(F.min_by("word", F.struct("cnt", "word")).alias("word"), F.min("cnt").alias("cnt"))
 
 
@@ -418,8 +425,9 @@ def pages_any_term(t):
 @query(f"WITH {TK} SELECT page_idx, round((2 * max((word = 'heed')::INT) + max((word = 'ing')::INT)) / 3.0::DOUBLE, 6) AS grep FROM tk WHERE word IN ('heed', 'ing') GROUP BY page_idx")
 def dup_terms(t):
     variants = [parser.parse("heed heed ing")]
-    found = search.term_pages(index.postings(tokens(t)), search.term_rows(t("region").sparkSession, variants))
-    return search.page_grep(index.page_dim(tokens(t)), found, [3]).where("matched > 0").select("page_idx", F.round("grep", 6).alias("grep"))
+    made = tokens(t)
+    found = search.term_pages(blocks.posting_blocks(made), variants)
+    return search.page_grep(index.page_dim(made), found, [3]).where("matched > 0").select("page_idx", F.round("grep", 6).alias("grep"))
 
 
 @query(f"WITH {PO}, {_TP}{_ONE} SELECT page_idx, matched, n_terms, round(grep, 6) AS grep FROM sc")
@@ -527,7 +535,7 @@ def rounded(df, *keys):
 
 def means(t):
     made = built(t)
-    return embed.sif_vectors(made.postings, made.vocab, word_vectors(t, made.vocab), DIM)
+    return embed.sif_vectors(blocks.word_pages(made.blocks), made.vocab, word_vectors(t, made.vocab), DIM)
 
 
 @query(f"WITH {_U} SELECT vec_id, round({_DOT.format(a='embedding', b='u')}, 6) AS score FROM embeddings, u WHERE vec_id <> 0 ORDER BY score DESC, vec_id LIMIT 20")
@@ -550,7 +558,7 @@ def remove_component(t):
 
 @query(f"WITH {TK}{VO} SELECT word, round(0.001 / (0.001 + cnt / (SELECT sum(cnt) FROM vo)::DOUBLE), 6) AS weight FROM vo")
 def sif_weight(t):
-    vocab = index.vocabulary(index.page_tokens(tokens(t)))
+    vocab = index.vocabulary(lists(t))
     total = vocab.agg(F.coalesce(F.sum("cnt"), F.lit(1))).first()[0]
     return vocab.select("word", F.round(vectors.sif(F.col("cnt"), F.lit(float(total))), 6).alias("weight"))
 
@@ -565,7 +573,7 @@ _ASKED = "('the'), ('heed'), ('of'), ('the'), ('ing')"
 
 
 def query_vector_of(t, query):
-    vocab = index.vocabulary(index.page_tokens(tokens(t)))
+    vocab = index.vocabulary(lists(t))
     return embed.query_vectors(vocab, word_vectors(t, vocab), component(t), [parser.plain_words(query)])[0]
 
 
