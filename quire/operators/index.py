@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import words
 from quire.operators import embed, segment
 from quire.operators.blocks import posting_blocks, word_pages, word_places
+from quire.operators.matrix import vector_blocks, vector_rows
 from quire.operators.ranks import running, shuffle_partitions, written
 from quire.operators.word_vectors import train_word_vectors
 
@@ -87,7 +88,7 @@ def integrity(posting_rows: DataFrame) -> DataFrame:
 class Index:
     """A built index; each part is a DataFrame. The vectors are there if it was built or opened with them.
 
-    blocks are the posting lists, see operators/blocks.py.
+    blocks are the posting lists, see operators/blocks.py; vector_blocks the page vectors, see operators/matrix.py.
     """
 
     pages: DataFrame
@@ -96,16 +97,21 @@ class Index:
     blocks: DataFrame
     vocab: DataFrame
     word_vectors: DataFrame | None = None
-    page_vectors: DataFrame | None = None
+    vector_blocks: DataFrame | None = None
     component: DataFrame | None = None
 
     PARTS = ("pages", "page_dim", "doc_dim", "blocks", "vocab")
-    VECTORS = ("word_vectors", "page_vectors", "component")
-    #: Rows of page vectors in a file, at most.
+    VECTORS = ("word_vectors", "vector_blocks", "component")
+    #: Rows of word vectors in a file, at most.
     FILE_ROWS = 1_000_000
     #: Bytes of a row group of blocks: what a reader can skip.
     GROUP_BYTES = 2 << 20
 
+    @property
+    def page_vectors(self) -> DataFrame | None:
+        """(page_idx, vec) of the pages that have a vector."""
+        return None if self.vector_blocks is None else vector_rows(self.vector_blocks)
+
     @property
     def postings(self) -> DataFrame:
         """(word, page_idx, pos, sidx) of all tokens."""
@@ -126,8 +132,8 @@ class Index:
                 df = self.pages.sparkSession.createDataFrame([], "none int")
             if part == "blocks":
                 df = df.repartitionByRange(shuffle_partitions(df.sparkSession), "word", "first_page").sortWithinPartitions("word", "first_page")
-            writer = df.write.mode("overwrite").option("maxRecordsPerFile", self.FILE_ROWS if part in self.VECTORS else 0)
-            (writer.option("parquet.block.size", self.GROUP_BYTES) if part == "blocks" else writer).parquet(f"{path}/{part}")
+            writer = df.write.mode("overwrite").option("maxRecordsPerFile", self.FILE_ROWS if part == "word_vectors" else 0)
+            (writer.option("parquet.block.size", self.GROUP_BYTES) if part.endswith("blocks") else writer).parquet(f"{path}/{part}")
 
 
 def build_index(raw_pages: DataFrame, dictionary: DataFrame | None = None, segmented: bool = False) -> Index:
@@ -160,7 +166,9 @@ def embed_pages(made: Index, word_vectors: DataFrame | None = None, component: l
     means = written(embed.sif_vectors(word_pages(made.blocks), made.vocab, word_vectors, embed.dimension(word_vectors)), "means")
     found = embed.first_component(means) if component is None else component
     rows = embed.component_rows(made.pages.sparkSession, found)
-    return replace(made, word_vectors=word_vectors, page_vectors=embed.page_vectors(means, found), component=rows)
+    spark = made.pages.sparkSession
+    ordered = means.repartitionByRange(shuffle_partitions(spark), "page_idx").sortWithinPartitions("page_idx")
+    return replace(made, word_vectors=word_vectors, vector_blocks=vector_blocks(embed.page_vectors(ordered, found)), component=rows)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:

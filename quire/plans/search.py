@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.functions.vectors import dot
-from quire.operators import embed
-from quire.operators.blocks import in_ranges, page_ranges, word_pages, word_places
+from quire.operators import embed, matrix
+from quire.operators.blocks import RANGES, in_ranges, page_ranges, word_pages, word_places
 from quire.operators.index import Index
 from quire.operators.language import Translator, translate_words
 from quire.operators.ranks import running
@@ -88,15 +87,23 @@ def term_pages(lists: DataFrame, variants: list[list[Term]]) -> DataFrame:
     return found
 
 
-def page_grep(page_dim: DataFrame, found: DataFrame, sizes: list[int]) -> DataFrame:
-    """(page_idx, doc_idx, page_no, matched, n_terms, grep): for every page the best language's share of terms."""
+def page_shares(found: DataFrame, sizes: list[int]) -> DataFrame:
+    """(page_idx, matched, n_terms, grep) of the pages that found (lang_no, term_no, page_idx) holds: the best language's share of terms."""
     counts = found.groupBy("lang_no", "page_idx").agg(F.count("*").alias("matched"))
     of = F.element_at(F.array(*(F.lit(n) for n in sizes or [0])), F.col("lang_no") + 1)
     best = counts.withColumn("n_terms", of).groupBy("page_idx").agg(F.max(F.struct((F.col("matched") / F.col("n_terms")).alias("grep"), "matched", "n_terms")).alias("b"))
-    return page_dim.select("page_idx", "doc_idx", "page_no").join(best, "page_idx", "left").select(
-        "page_idx", "doc_idx", "page_no", F.coalesce("b.matched", F.lit(0)).cast("long").alias("matched"),
-        F.coalesce("b.n_terms", F.lit(max(sizes, default=0))).cast("long").alias("n_terms"), F.coalesce("b.grep", F.lit(0.0)).alias("grep"),
-    )
+    return best.select("page_idx", F.col("b.matched").cast("long").alias("matched"), F.col("b.n_terms").cast("long").alias("n_terms"), F.col("b.grep").alias("grep"))
+
+
+def page_grep(page_dim: DataFrame, found: DataFrame, sizes: list[int]) -> DataFrame:
+    """(page_idx, doc_idx, page_no, matched, n_terms, grep): for every page the best language's share of terms."""
+    return with_shares(page_dim, page_shares(found, sizes), sizes)
+
+
+def with_shares(page_dim: DataFrame, shares: DataFrame, sizes: list[int]) -> DataFrame:
+    none = {"matched": F.lit(0).cast("long"), "n_terms": F.lit(max(sizes, default=0)).cast("long"), "grep": F.lit(0.0)}
+    rows = page_dim.select("page_idx", "doc_idx", "page_no").join(shares, "page_idx", "left")
+    return rows.select("page_idx", "doc_idx", "page_no", *(F.coalesce(c, n).alias(c) for c, n in none.items()))
 
 
 def rank(scored: DataFrame) -> DataFrame:
@@ -139,9 +146,137 @@ def answers_csv(answers: DataFrame, docs: DataFrame, n_full: int) -> DataFrame:
     return head.unionByName(lines)
 
 
+#: Pages of a top answer's documents that are ranked by a window; more of them are ranked in parts.
+WINDOW_PAGES = 1_000_000
+#: Blocks of vectors that are scored first when distances alone decide.
+FIRST_BLOCKS = 32
+#: Distances are compared to so many places: sums of the same numbers in another order are ties.
+PLACES = 12
+
+
+class Scores:
+    """A query over an index: pages with their shares of terms and distances, in whole or for ranges of pages."""
+
+    def __init__(self, index: Index, pages: DataFrame, variants: list[list[Term]], vectors: DataFrame | None, queries: list[list[float]] | None):
+        """vectors: blocks of page vectors, see operators/matrix.py; queries: the query's vector in each language."""
+        self.index, self.pages, self.variants = index, pages, variants
+        self.sizes = [len(v) for v in variants]
+        self.vectors, self.queries = (vectors, queries) if vectors is not None and queries else (None, None)
+
+    def shares(self, ranges: list[tuple[int, int]] | None = None) -> DataFrame:
+        lists = self.index.blocks if ranges is None else self.index.blocks.where(in_ranges(ranges))
+        return page_shares(term_pages(lists, self.variants), self.sizes)
+
+    def with_distance(self, rows: DataFrame, ranges: list[tuple[int, int]] | None = None) -> DataFrame:
+        """rows (page_idx, ..) with distance: 0 for pages without a vector."""
+        if self.vectors is None:
+            return rows.withColumn("distance", F.lit(0.0))
+        near = self.vectors if ranges is None else self.vectors.where(in_ranges(ranges))
+        found = matrix.scores(near, self.queries).select("page_idx", F.round("score", PLACES).alias("distance"))
+        return rows.join(found, "page_idx", "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
+
+    def every(self) -> DataFrame:
+        """All pages."""
+        return self.with_distance(with_shares(self.pages, self.shares(), self.sizes))
+
+    def first_documents(self, limit: int) -> list:
+        """(doc_idx, ..) of the first documents by their best page: at most limit rows.
+
+        Only pages whose share of terms reaches the level that holds enough documents are
+        looked at; where no page has a term and distances decide, only blocks of vectors
+        whose bound reaches the distance found so far.
+        """
+        dim = self.pages.select("page_idx", "doc_idx")
+        if any(self.sizes):
+            hits = self.shares().join(dim, "page_idx").persist()
+            levels = hits.groupBy("doc_idx").agg(F.max("grep").alias("grep")).groupBy("grep").count().orderBy(F.desc("grep")).collect()  # as many rows as shares of terms
+            seen, least = 0, None
+            for r in levels:
+                seen, least = seen + r["count"], r["grep"]
+                if seen >= limit:
+                    break
+            if seen >= limit:
+                found = _first(self._near(hits.where(F.col("grep") >= least)), limit)
+                hits.unpersist()
+                return found
+            hits.unpersist()
+        elif self.vectors is not None and (found := self._first_by_bounds(dim, limit)) is not None:
+            return found
+        return _first(self.every(), limit)
+
+    def _near(self, rows: DataFrame) -> DataFrame:
+        """rows with their distances; of few rows the pages choose the blocks that are read."""
+        if self.vectors is None:
+            return self.with_distance(rows)
+        some = rows.select("page_idx").limit(FEW_PLACES + 1).collect()  # at most FEW_PLACES + 1 rows
+        return self.with_distance(rows, page_ranges([r["page_idx"] for r in some]) if len(some) <= FEW_PLACES else None)
+
+    def _first_by_bounds(self, dim: DataFrame, limit: int) -> list | None:
+        """The first documents by distance, all shares being 0; None if bounds can't tell."""
+        most = matrix.bounds(self.vectors, self.queries)
+        best = most.orderBy(F.desc("bound")).limit(FIRST_BLOCKS).collect()
+        rows = lambda ranges: self.with_distance(dim.join(_pages_in(dim, ranges), "page_idx", "left_semi").withColumn("grep", F.lit(0.0)), ranges)
+        found = _first(rows([(r["first_page"], r["last_page"]) for r in best]), limit)
+        least = found[-1]["distance"] if len(found) == limit else 0.0
+        if least <= 0:  # pages without a vector may come before
+            return None
+        left = most.where(F.col("bound") >= least).select("first_page", "last_page").limit(FEW_PLACES + 1).collect()  # at most FEW_PLACES + 1 rows
+        if len(left) > FEW_PLACES:
+            return None
+        return _first(rows(merged([(r["first_page"], r["last_page"]) for r in left])), limit)
+
+    def top(self, limit: int) -> DataFrame:
+        """The pages of the first documents, as rank() has them; nothing is written and no order of all pages is made."""
+        spark = self.pages.sparkSession
+        first = [(r["doc_idx"], at + 1) for at, r in enumerate(self.first_documents(limit))]
+        ids = [doc for doc, _ in first]
+        docs = self.index.doc_dim.where(F.col("doc_idx").isin(ids)).select("page_start", "page_end", "n_pages").collect() if ids else []  # at most limit rows
+        ranges = merged([(r["page_start"], r["page_end"] - 1) for r in docs])
+        pages = self.pages.where(F.col("doc_idx").isin(ids)) if ids else self.pages.limit(0)
+        shares = self.shares(ranges) if any(self.sizes) else None
+        if shares is None:
+            rows = pages.select("page_idx", "doc_idx", "page_no", F.lit(0).cast("long").alias("matched"), F.lit(max(self.sizes, default=0)).cast("long").alias("n_terms"), F.lit(0.0).alias("grep"))
+        else:
+            rows = with_shares(pages, shares, self.sizes)
+        scored = self.with_distance(rows, ranges)
+        ranks = F.broadcast(spark.createDataFrame(first, "doc_idx long, doc_rank long"))
+        if sum(r["n_pages"] for r in docs) > WINDOW_PAGES:
+            return rank(scored).drop("doc_rank").join(ranks, "doc_idx")
+        inside = Window.partitionBy("doc_idx").orderBy(F.desc("grep"), F.desc("distance"), F.asc("page_idx"))
+        return scored.withColumn("rank_in_doc", F.row_number().over(inside).cast("long")).join(ranks, "doc_idx")
+
+
+def merged(ranges: list[tuple[int, int]], most: int = RANGES) -> list[tuple[int, int]]:
+    """Ranges that hold all of the given ones, at most so many: those with the least between them are joined."""
+    found: list[list[int]] = []
+    for a, b in sorted(ranges):
+        if found and a <= found[-1][1] + 1:
+            found[-1][1] = max(found[-1][1], b)
+        else:
+            found.append([a, b])
+    gaps = sorted(((y[0] - x[1], i) for i, (x, y) in enumerate(zip(found, found[1:]))), reverse=True)
+    cuts = sorted(i for _, i in gaps[: most - 1])
+    ends = [*cuts, len(found) - 1] if found else []
+    return [(found[a][0], found[b][1]) for a, b in zip([0, *(c + 1 for c in cuts)], ends)]
+
+
+def _pages_in(dim: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
+    inside = F.lit(False)
+    for a, b in ranges:
+        inside = inside | F.col("page_idx").between(a, b)
+    return dim.select("page_idx").where(inside)
+
+
+def _first(scored: DataFrame, limit: int) -> list:
+    """doc_idx, grep, distance and page_idx of the first documents by their best page; each task keeps limit of its own."""
+    best = scored.groupBy("doc_idx").agg(F.max(F.struct("grep", "distance", (-F.col("page_idx")).alias("before"))).alias("b"))
+    rows = best.select("doc_idx", "b.grep", "b.distance", (-F.col("b.before")).alias("page_idx"))
+    return rows.orderBy(F.desc("grep"), F.desc("distance"), F.asc("page_idx")).limit(limit).collect()  # at most limit rows
+
+
 def search(
     index: Index, query: str, langs: list[str] | None = None, docs: list[str] | None = None, page_vectors: DataFrame | None = None, query_vectors: list[list[float]] | None = None,
-    translate: Translator | None = None, stop_lists: dict[str, list[str]] | None = None,
+    translate: Translator | None = None, stop_lists: dict[str, list[str]] | None = None, limit: int | None = None,
 ) -> DataFrame:
     """Ranked pages of a query; see rank(), nested() and result_counts().
 
@@ -153,27 +288,27 @@ def search(
     query in a language, 0 without vectors; they are the index's own, if it has any, unless
     given. A query without terms left ranks by distance alone, then page. One without
     any word finds all pages in order, and n_terms is null then.
+
+    limit: the pages of the first so many documents only, with the same ranks. They are
+    found without ranking all pages, see Scores.top(). Without it all pages are ranked, by
+    tables in the shared folder that stay until the driver ends.
     """
     langs = langs or ["en"]
     pages = index.page_dim
     if docs is not None:
-        pages = pages.join(F.broadcast(index.doc_dim.where(F.col("doc_name").isin(docs)).select("doc_idx")), "doc_idx", "left_semi")
+        pages = pages.join(index.doc_dim.where(F.col("doc_name").isin(docs)).select("doc_idx"), "doc_idx", "left_semi")
     if not plain_words(query):
+        if limit is not None:
+            pages = pages.where(F.col("doc_idx").isin([r["doc_idx"] for r in pages.select("doc_idx").distinct().orderBy("doc_idx").limit(limit).collect()]))  # at most limit rows
         found = pages.select("page_idx", "doc_idx", "page_no", F.lit(0).cast("long").alias("matched"), F.lit(None).cast("long").alias("n_terms"), F.lit(0.0).alias("grep"), F.lit(0.0).alias("distance"))
         return rank(found)
     variants = known_terms(index.vocab, query_variants(query, langs, translate, stop_lists))
-    found = term_pages(index.blocks, variants)
-    scored = page_grep(pages, found, [len(v) for v in variants])
-    if page_vectors is None:
-        page_vectors = index.page_vectors
+    blocks = index.vector_blocks if page_vectors is None else matrix.vector_blocks(page_vectors)
     if query_vectors is None and index.word_vectors is not None:
         asked = [plain_words(text) for text in query_texts(query, langs, translate)]
         query_vectors = embed.query_vectors(index.vocab, index.word_vectors, embed.component_values(index.component), asked)
-    if page_vectors is None or not query_vectors:
-        return rank(scored.withColumn("distance", F.lit(0.0)))
-    cosines = [dot(F.col("vec"), F.array(*map(F.lit, q))) for q in query_vectors]
-    near = page_vectors.select("page_idx", F.round(F.greatest(*cosines) if len(cosines) > 1 else cosines[0], 6).alias("distance"))
-    return rank(scored.join(near, "page_idx", "left").withColumn("distance", F.coalesce("distance", F.lit(0.0))))
+    scores = Scores(index, pages, variants, blocks, query_vectors)
+    return rank(scores.every()) if limit is None else scores.top(limit)
 
 
 def answer(index: Index, query: str, **how) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import spans, text, vectors
-from quire.operators import blocks, embed, index, language, ranks, segment
+from quire.operators import blocks, embed, index, language, matrix, ranks, segment
 from quire.operators import word_vectors as word_vectors_of
 from quire.plans import highlight, parser, search
 from quire.sources import pages as sources
@@ -475,7 +475,8 @@ def result_id(t):
 
 @query(f"WITH {PO}, {_TP}{_ONE}{_R}{_LISTS} SELECT doc_rank, doc_idx, best FROM ne ORDER BY doc_rank LIMIT 10")
 def top_answers(t):
-    return search.nested(ranked(t)).orderBy("doc_rank").limit(10).select("doc_rank", "doc_idx", "best")
+    """Without an order of all pages."""
+    return search.nested(search.search(built(t), KEYWORDS, limit=10)).select("doc_rank", "doc_idx", "best")
 
 
 @query(f"WITH {PO}, {_TP}{_ONE}{_RANK.format(d='').replace('FROM sc)', 'FROM sc WHERE doc_idx IN (SELECT doc_idx FROM pg WHERE doc_name IN (' + ', '.join(map(quoted, DOCS)) + ')))')}{_LISTS} SELECT * FROM ne")
@@ -540,8 +541,8 @@ def means(t):
 
 @query(f"WITH {_U} SELECT vec_id, round({_DOT.format(a='embedding', b='u')}, 6) AS score FROM embeddings, u WHERE vec_id <> 0 ORDER BY score DESC, vec_id LIMIT 20")
 def cosine_topk(t):
-    u = F.array(*(F.lit(x) for x in component(t)))
-    return t("embeddings").where("vec_id <> 0").select("vec_id", F.round(vectors.dot(F.col("embedding"), u), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(20)
+    found = matrix.top_rows(t("embeddings").where("vec_id <> 0"), component(t), 20)
+    return found.select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT vec_id, unnest(range({DIM})) AS dim, round(unnest({_UNIT.format(v='v')}), 5) AS x FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE * 9))) AS n FROM embeddings)")
@@ -592,7 +593,7 @@ def query_vector(t):
 
 _DIST = (
     f"{_PV}{_QU}, pr AS (SELECT page_idx, list_transform(list_zip(vec, u, list_resize(list_value({_DOT.format(a='vec', b='u')}), {DIM}, {_DOT.format(a='vec', b='u')})), lambda x: x[1] - x[2] * x[3]) AS v FROM pv, u),"
-    f" ds AS (SELECT page_idx, round(CASE WHEN n > 0 THEN {_DOT.format(a='v', b='q')} / n ELSE 0 END, 6) AS distance FROM (SELECT page_idx, v, sqrt({_DOT.format(a='v', b='v')}) AS n FROM pr), qv)"
+    f" ds AS (SELECT page_idx, round(CASE WHEN n > 0 THEN {_DOT.format(a='v', b='q')} / n ELSE 0 END, 12) AS distance FROM (SELECT page_idx, v, sqrt({_DOT.format(a='v', b='v')}) AS n FROM pr), qv)"
 )
 
 
@@ -603,11 +604,11 @@ def embedded(t):
 
 @query(
     f"WITH {PO}{VO}{_WV}{_DIST.format(words=_ASKED)}, {_TP}{_ONE}{_RANK.format(d='distance DESC,').replace('FROM sc)', 'FROM (SELECT sc.*, coalesce(distance, 0.0) AS distance FROM sc LEFT JOIN ds USING (page_idx)))')}"
-    " SELECT doc_rank, rank_in_doc, doc_idx, page_idx, matched, distance + 0.0 AS distance FROM rk"
+    " SELECT doc_rank, rank_in_doc, doc_idx, page_idx, matched, round(distance, 6) + 0.0 AS distance FROM rk"
 )
 def search_pages(t):
     out = search.search(embedded(t), KEYWORDS)
-    return out.select("doc_rank", "rank_in_doc", "doc_idx", "page_idx", "matched", (F.col("distance") + 0.0).alias("distance"))
+    return out.select("doc_rank", "rank_in_doc", "doc_idx", "page_idx", "matched", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
 FOUND["search"] = FOUND.pop("search_pages")
@@ -617,14 +618,34 @@ SQL["search"] = SQL.pop("search_pages")
 _STOP = "('the'), ('of'), ('and')"
 
 
+@query(
+    f"WITH {PO}{VO}{_WV}{_DIST.format(words=_ASKED)}, {_TP}{_ONE}{_RANK.format(d='distance DESC,').replace('FROM sc)', 'FROM (SELECT sc.*, coalesce(distance, 0.0) AS distance FROM sc LEFT JOIN ds USING (page_idx)))')}"
+    " SELECT doc_rank, rank_in_doc, doc_idx, page_idx, matched, round(distance, 6) + 0.0 AS distance FROM rk WHERE doc_rank <= 10"
+)
+def search_top(t):
+    """The pages of the first ten documents, found without an order of all pages."""
+    out = search.search(embedded(t), KEYWORDS, limit=10)
+    return out.select("doc_rank", "rank_in_doc", "doc_idx", "page_idx", "matched", (F.round("distance", 6) + 0.0).alias("distance"))
+
+
+@query(
+    f"WITH {PO}{VO}{_WV}{_DIST.format(words=_STOP)}, sc AS (SELECT page_idx, doc_idx, 0::BIGINT AS matched, coalesce(distance, 0.0) AS distance FROM pd LEFT JOIN ds USING (page_idx))"
+    f"{_RANK.format(d='distance DESC,').replace('grep DESC, ', '')} SELECT doc_rank, rank_in_doc, doc_idx, page_idx, round(distance, 6) + 0.0 AS distance FROM rk WHERE doc_rank <= 5"
+)
+def stopword_top(t):
+    """Of the first five documents by distance alone: blocks of vectors whose bound is too low are not read."""
+    found = search.search(embedded(t), "the of and", limit=5)
+    return found.select("doc_rank", "rank_in_doc", "doc_idx", "page_idx", (F.round("distance", 6) + 0.0).alias("distance"))
+
+
 @query(
     f"WITH {PO}{VO}{_WV}{_DIST.format(words=_STOP)}, sc AS (SELECT page_idx, doc_idx, 0::BIGINT AS matched, coalesce(distance, 0.0) AS distance FROM pd LEFT JOIN ds USING (page_idx))"
-    f"{_RANK.format(d='distance DESC,').replace('grep DESC, ', '')} SELECT doc_rank, doc_idx, page_idx, matched, distance + 0.0 AS distance FROM rk WHERE rank_in_doc = 1"
+    f"{_RANK.format(d='distance DESC,').replace('grep DESC, ', '')} SELECT doc_rank, doc_idx, page_idx, matched, round(distance, 6) + 0.0 AS distance FROM rk WHERE rank_in_doc = 1"
 )
 def stopword_query(t):
     """Stop words alone: pages are ranked by the cosine of their vectors with that of the query."""
     found = search.search(embedded(t), "the of and").where("rank_in_doc = 1")
-    return found.select("doc_rank", "doc_idx", "page_idx", "matched", (F.col("distance") + 0.0).alias("distance"))
+    return found.select("doc_rank", "doc_idx", "page_idx", "matched", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
 _PCA = (  # the power method on the covariance matrix
