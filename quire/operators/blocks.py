@@ -67,22 +67,12 @@ def _heads(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
-def slice_blocks(pages: np.ndarray, starts: np.ndarray, sizes: np.ndarray, tokens: pa.Array, block: int = BLOCK) -> pa.RecordBatch | None:
-    """The blocks of some pages in order: their numbers, positions of their first tokens, numbers of tokens, and all tokens."""
-    if not len(tokens):
-        return None
-    encoded = tokens.dictionary_encode()
-    word = encoded.indices.to_numpy()
-    order = np.argsort(word, kind="stable")
-    word = word[order]
-    page_at = np.repeat(np.arange(len(pages)), sizes)[order]
-    place = (np.arange(len(order)) - np.repeat(_heads(sizes), sizes))[order]
-    head = np.flatnonzero(np.concatenate([[True], (np.diff(word) != 0) | (np.diff(page_at) != 0)]))  # a word in a page
-    count = np.diff(np.append(head, len(word)))
-    own_word, own_page = word[head], pages[page_at[head]]
-    first_of_word = np.flatnonzero(np.concatenate([[True], np.diff(own_word) != 0]))
+def _blocks_of(names: pa.Array, word: np.ndarray, page: np.ndarray, start: np.ndarray, count: np.ndarray, place: np.ndarray, block: int) -> pa.RecordBatch:
+    """Blocks of words in pages, in the order of word (an index of names) and page; place: those of each word in a page, one after another."""
+    head = _heads(count)
+    first_of_word = np.flatnonzero(np.concatenate([[True], np.diff(word) != 0]))
     before = head - np.repeat(head[first_of_word], np.diff(np.append(first_of_word, len(head))))
-    cut = np.flatnonzero(np.concatenate([[True], (np.diff(own_word) != 0) | (np.diff(before // block) != 0)]))  # first page of each block
+    cut = np.flatnonzero(np.concatenate([[True], (np.diff(word) != 0) | (np.diff(before // block) != 0)]))  # first page of each block
     n_pages = np.diff(np.append(cut, len(head)))
     n = np.add.reduceat(count, cut)
     total = 3 * n_pages + n
@@ -90,18 +80,74 @@ def slice_blocks(pages: np.ndarray, starts: np.ndarray, sizes: np.ndarray, token
     numbers = np.zeros(int(total.sum()), np.int64)
     at = np.repeat(base, n_pages) + inside
     width = np.repeat(n_pages, n_pages)
-    numbers[at] = _differences(own_page, cut, False)
-    numbers[at + width] = _differences(starts[page_at[head]], cut, True)
+    numbers[at] = _differences(page, cut, False)
+    numbers[at + width] = _differences(start, cut, True)
     numbers[at + 2 * width] = count
-    numbers[np.repeat(base + 3 * n_pages, n) + np.arange(len(word)) - np.repeat(_heads(n), n)] = _differences(place, head, True)
+    numbers[np.repeat(base + 3 * n_pages, n) + np.arange(len(place)) - np.repeat(_heads(n), n)] = _differences(place, head, True)
     data, size = coded(numbers)
     ends = np.cumsum(np.add.reduceat(size, base))
     binary = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
-    names = encoded.dictionary.take(pa.array(own_word[cut]))
-    columns = [names, pa.array(own_page[cut]), pa.array(own_page[cut + n_pages - 1]), pa.array(n_pages.astype(np.int32)), pa.array(n.astype(np.int32)), binary]
+    columns = [names.take(pa.array(word[cut])), pa.array(page[cut]), pa.array(page[cut + n_pages - 1]), pa.array(n_pages.astype(np.int32)), pa.array(n.astype(np.int32)), binary]
     return pa.RecordBatch.from_arrays(columns, ["word", "first_page", "last_page", "n_pages", "n", "data"])
 
 
+def slice_blocks(pages: np.ndarray, starts: np.ndarray, sizes: np.ndarray, tokens: pa.Array, block: int = BLOCK) -> pa.RecordBatch | None:
+    """The blocks of some pages in order: their numbers, positions of their first tokens, numbers of tokens, and all tokens."""
+    if not len(tokens):
+        return None
+    encoded = tokens.dictionary_encode()
+    word = encoded.indices.to_numpy()
+    order = np.argsort(word, kind="stable")
+    word = word[order]
+    page_at = np.repeat(np.arange(len(pages)), sizes)[order]
+    place = (np.arange(len(order)) - np.repeat(_heads(sizes), sizes))[order]
+    head = np.flatnonzero(np.concatenate([[True], (np.diff(word) != 0) | (np.diff(page_at) != 0)]))  # a word in a page
+    return _blocks_of(encoded.dictionary, word[head], pages[page_at[head]], starts[page_at[head]], np.diff(np.append(head, len(word))), place, block)
+
+
+def moved_blocks(blocks: DataFrame, moves: DataFrame, block: int = BLOCK, size: int = SLICE) -> DataFrame:
+    """SCHEMA of blocks, with pages numbered anew: moves (page_idx, new_page, new_start) says the pages that stay and where; no text is read.
+
+    A row for each word in a page goes to the range of its new page, and is coded again there.
+    """
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n_pages, page, _, count, place = _unpacked(batch)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(place))
+                yield pa.RecordBatch.from_arrays([batch.column("word").take(pa.array(np.repeat(np.arange(batch.num_rows), n_pages))), pa.array(page), lists], ["word", "page_idx", "places"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            encoded = table.column("word").combine_chunks().dictionary_encode()
+            word, page = encoded.indices.to_numpy(), table.column("new_page").to_numpy()
+            order = np.lexsort((page, word))
+            lists = table.column("places").combine_chunks().take(pa.array(order))
+            return _blocks_of(encoded.dictionary, word[order], page[order], table.column("new_start").to_numpy()[order], np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), block)
+
+        for batch in batches:
+            if n >= size and batch.num_rows and held:  # a page's words stay together
+                last = held[-1].column("new_page")[-1].as_py()
+                same = int((batch.column("new_page").to_numpy() == last).sum())
+                if same:
+                    held.append(batch.slice(0, same))
+                yield out()
+                held, n, batch = [], 0, batch.slice(same)
+            if batch.num_rows:
+                held.append(batch)
+                n += len(batch.column("places").flatten())
+        if held:
+            yield out()
+
+    rows = _few_rows(blocks).mapInArrow(unpacked, "word string, page_idx long, places array<long>").join(moves, "page_idx").select("word", "new_page", "new_start", "places")
+    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(n, "new_page").sortWithinPartitions("new_page").mapInArrow(run, SCHEMA)
+
+
 def posting_blocks(pages: DataFrame, block: int = BLOCK, size: int = SLICE) -> DataFrame:
     """SCHEMA from pages (page_idx, sidx_start, tokens); best in the order of pages, as index.tokenised() writes them."""
 

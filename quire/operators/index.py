@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import words
 from quire.operators import embed, segment
-from quire.operators.blocks import posting_blocks, word_pages, word_places
+from quire.operators.blocks import moved_blocks, posting_blocks, word_pages, word_places
 from quire.operators.matrix import vector_blocks, vector_rows
 from quire.operators.ranks import running, shuffle_partitions, written
 from quire.operators.word_vectors import train_word_vectors
@@ -175,3 +176,44 @@ def open_index(spark: SparkSession, path: str) -> Index:
     """The index that was saved at path; nothing is read before it is asked for."""
     parts = {part: spark.read.parquet(f"{path}/{part}") for part in (*Index.PARTS, *Index.VECTORS)}
     return Index(**{part: None if df.columns == ["none"] else df for part, df in parts.items()})
+
+
+def merged(parts: list[Index], gone: DataFrame | None = None) -> Index:
+    """One index of parts that were built or opened on their own, as if it had been built of all their pages at once.
+
+    Documents of a later part replace those of the same name; those that gone (doc_name)
+    names go. Documents are numbered anew by running ranks of their names, and pages and
+    places move with them; neither texts nor tokens are read, only posting blocks are coded
+    again. Page vectors hang on the counts of all words: embed_pages() makes them for the
+    whole, word_vectors of the first part that has some are kept for that.
+    """
+    spark = parts[0].pages.sparkSession
+    own = [p.doc_dim.select(F.lit(i).alias("part"), "doc_name", F.col("doc_idx").alias("old_doc"), F.col("page_start").alias("old_start"), "n_pages") for i, p in enumerate(parts)]
+    every = reduce(DataFrame.unionByName, own)
+    last = every.groupBy("doc_name").agg(F.max("part").alias("part"))
+    stay = every.join(last, ["doc_name", "part"])
+    if gone is not None:
+        stay = stay.join(gone.select("doc_name"), "doc_name", "left_anti")
+    docs = running(stay, [F.col("doc_name")], "n_pages").withColumnRenamed("row_before", "doc_idx").withColumnRenamed("sum_before", "page_start")
+    dims = [
+        p.page_dim.select(F.col("page_idx").alias("old_page"), F.col("doc_idx").alias("old_doc"), "page_no", "n_tokens")
+        .join(docs.where(F.col("part") == i).select("part", "old_doc", "doc_idx", "page_start"), "old_doc") for i, p in enumerate(parts)
+    ]
+    numbered = reduce(DataFrame.unionByName, dims).select("part", "old_page", (F.col("page_start") + F.col("page_no")).alias("page_idx"), "doc_idx", "page_no", "n_tokens")
+    dim = running(numbered, [F.col("page_idx")], "n_tokens").drop("row_before").withColumnRenamed("sum_before", "sidx_start")
+    moves = lambda i: dim.where(F.col("part") == i).select(F.col("old_page").alias("page_idx"), F.col("page_idx").alias("new_page"), F.col("sidx_start").alias("new_start"))
+    lists = written(reduce(DataFrame.unionByName, [moved_blocks(p.blocks, moves(i)) for i, p in enumerate(parts)]), "blocks")
+    names = docs.select("doc_name", "part", "doc_idx", "page_start")
+    texts = [p.pages.select("doc_name", "page_no", "page_key", "text").withColumn("part", F.lit(i)) for i, p in enumerate(parts)]
+    pages = reduce(DataFrame.unionByName, texts).join(names, ["doc_name", "part"]).select("doc_name", "doc_idx", "page_no", (F.col("page_start") + F.col("page_no")).alias("page_idx"), "page_key", "text")
+    bounds = docs.select("doc_idx", "doc_name", "page_start", (F.col("page_start") + F.col("n_pages")).alias("page_end"), "n_pages")
+    known = next((p.word_vectors for p in parts if p.word_vectors is not None), None)
+    return Index(pages, dim.select("page_idx", "doc_idx", "page_no", "n_tokens", "sidx_start"), bounds, lists, vocabulary(lists), known)
+
+
+def open_segments(spark: SparkSession, path: str, gone: DataFrame | None = None) -> Index:
+    """merged() of the indexes in the folders ``segment=N`` of path, later ones last; see streaming.ingest.append_segments()."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = [s.getPath().toString() for s in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)]
+    numbered = sorted((int(f.rsplit("=", 1)[1]), f) for f in found if "/segment=" in f)
+    return merged([open_index(spark, f) for _, f in numbered], gone)

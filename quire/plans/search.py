@@ -298,10 +298,14 @@ def search(
     if docs is not None:
         pages = pages.join(index.doc_dim.where(F.col("doc_name").isin(docs)).select("doc_idx"), "doc_idx", "left_semi")
     if not plain_words(query):
-        if limit is not None:
-            pages = pages.where(F.col("doc_idx").isin([r["doc_idx"] for r in pages.select("doc_idx").distinct().orderBy("doc_idx").limit(limit).collect()]))  # at most limit rows
         found = pages.select("page_idx", "doc_idx", "page_no", F.lit(0).cast("long").alias("matched"), F.lit(None).cast("long").alias("n_terms"), F.lit(0.0).alias("grep"), F.lit(0.0).alias("distance"))
-        return rank(found)
+        ranked = found.withColumn("rank_in_doc", F.col("page_no") + 1)
+        if docs is None:
+            ranked = ranked.withColumn("doc_rank", F.col("doc_idx") + 1)
+        else:
+            ids = sorted(r["doc_idx"] for r in index.doc_dim.where(F.col("doc_name").isin(docs)).select("doc_idx").collect())  # at most the names given
+            ranked = ranked.join(F.broadcast(pages.sparkSession.createDataFrame([(doc, at + 1) for at, doc in enumerate(ids)], "doc_idx long, doc_rank long")), "doc_idx")
+        return ranked if limit is None else ranked.where(F.col("doc_rank") <= limit)
     variants = known_terms(index.vocab, query_variants(query, langs, translate, stop_lists))
     blocks = index.vector_blocks if page_vectors is None else matrix.vector_blocks(page_vectors)
     if query_vectors is None and index.word_vectors is not None:

@@ -293,6 +293,14 @@ def inverted_index(t):
     return blocks.page_lists(lists(t)).select("word", "page_idx", F.array_join(F.col("sidx").cast("array<string>"), " ").alias("positions"))
 
 
+@query(f"WITH {PO} SELECT word, page_idx, string_agg(sidx::VARCHAR, ' ' ORDER BY sidx) AS positions FROM po GROUP BY word, page_idx")
+def merged_index(t):
+    """The same from two indexes, each of the sources whose names hash alike, that are merged without their texts."""
+    pages = raw(t).withColumn("half", F.pmod(F.crc32(F.col("doc_name").cast("binary")), F.lit(2)))
+    whole = index.merged([index.build_index(pages.where(F.col("half") == half).drop("half")) for half in (0, 1)])
+    return blocks.page_lists(whole.blocks).select("word", "page_idx", F.array_join(F.col("sidx").cast("array<string>"), " ").alias("positions"))
+
+
 @query(f"WITH {PO} SELECT page_idx, pos, sidx FROM po WHERE word = 'heed'")
 def posting_lookup(t):
     """From a saved index: what is read of the posting blocks are the row groups that may hold the word."""

@@ -1,4 +1,4 @@
-"""Continuous ingest: new page files become tokens and running word counts."""
+"""Continuous ingest: new page files become tokens, running word counts and parts of an index."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quire.functions.text import words
+from quire.operators.index import build_index
 from quire.sources.pages import PAGES
 
 
@@ -37,3 +38,16 @@ def count_words(tokens: DataFrame, output: str, checkpoint: str) -> StreamingQue
 def latest_counts(spark: SparkSession, output: str) -> DataFrame:
     """(word, cnt): what the last batch that changed a word says."""
     return spark.read.parquet(output).groupBy("word").agg(F.max_by("cnt", "batch").alias("cnt"))
+
+
+def append_segments(spark: SparkSession, path: str, output: str, checkpoint: str) -> StreamingQuery:
+    """Index the Parquet files of PAGES that are new: each batch becomes an index of its own in ``output``, see index.open_segments().
+
+    A batch that is run again after a failure writes its folder anew; what is there already is not read.
+    """
+
+    def write(pages: DataFrame, batch: int) -> None:
+        build_index(pages).save(f"{output}/segment={batch}")
+
+    pages = spark.readStream.schema(PAGES).parquet(path)
+    return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

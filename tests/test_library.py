@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quire.functions import spans, text
-from quire.operators import embed, index, segment, word_vectors
+from quire.operators import blocks, embed, index, matrix, ranks, segment, word_vectors
 from quire.plans import highlight, parser, search
 from quire.sources import pages
 from quire.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations region".split()
-ORACLES = "normalize_text normalize_parens inverted_index vocab_cumcount asof_page_lookup answers_nested answers_csv multilang_grep search seg_pages span_shift highlight_spans obsolete_docs asof_page_lookup ranked_pages detect_lang parse_query stopword_query unknown_words empty_query_counts document_languages display_language pca_component".split()
+ORACLES = "normalize_text normalize_parens inverted_index vocab_cumcount asof_page_lookup answers_nested answers_csv multilang_grep search seg_pages span_shift highlight_spans obsolete_docs asof_page_lookup ranked_pages detect_lang parse_query stopword_query unknown_words empty_query_counts document_languages display_language pca_component phrase_search posting_lookup term_pages rarest_term top_answers search_top stopword_top cosine_topk merged_index".split()
 
 
 @pytest.mark.parametrize(
@@ -230,5 +230,135 @@ def test_language_of_a_long_text(spark):
 def test_saved_postings_are_pruned(spark, tmp_path):
     raw = spark.createDataFrame([("a", i, " ".join(f"w{i % 7}{k}" for k in range(50))) for i in range(40)], "doc_name string, page_key long, text string")
     index.build_index(raw).save(str(tmp_path / "i"))
-    plan = index.open_index(spark, str(tmp_path / "i")).postings.where("word = 'w35'").select("page_idx")._jdf.queryExecution().toString()
+    opened = index.open_index(spark, str(tmp_path / "i"))
+    plan = opened.lookup("w35").select("page_idx")._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(word), EqualTo(word,w35)]" in plan and "Window" not in plan
+    assert sorted(r.page_idx for r in opened.lookup("w35").collect()) == [i for i in range(40) if i % 7 == 3]
+
+
+@pytest.mark.parametrize("block, size", [(4096, 1_000_000), (1, 7), (5, 40)])
+def test_blocks_hold_all_places(spark, block, size):
+    rng = random.Random(block)
+    pages = [[rng.choice("abcdefg") for _ in range(rng.choice([0, 1, 5, 40]))] for _ in range(60)]
+    rows, start = [], 1 << 40
+    for i, p in enumerate(pages):
+        rows.append((3 * i, start, p))
+        start += len(p)
+    made = blocks.posting_blocks(spark.createDataFrame(rows, "page_idx long, sidx_start long, tokens array<string>").repartition(3, "page_idx"), block, size)
+    expected = sorted((w, i, at, s + at) for i, s, p in rows for at, w in enumerate(p))
+    assert sorted(map(tuple, blocks.word_places(made).collect())) == expected
+    counts = {}
+    for w, i, _, sidx in expected:
+        counts.setdefault((w, i), []).append(sidx)
+    assert sorted(map(tuple, blocks.word_pages(made).collect())) == sorted((w, i, len(s)) for (w, i), s in counts.items())
+    assert sorted((r.word, r.page_idx, r.sidx) for r in blocks.page_lists(made).collect()) == sorted((w, i, s) for (w, i), s in counts.items())
+    assert all(r.n <= block or r.n_pages == 1 or r.n - counts[r.word, r.last_page].__len__() < block for r in made.collect())
+    assert blocks.posting_blocks(spark.createDataFrame([], "page_idx long, sidx_start long, tokens array<string>")).count() == 0
+
+
+def test_ranges():
+    assert blocks.page_ranges([9, 1, 2, 50, 3, 51], 2) == [(1, 9), (50, 51)] and blocks.page_ranges([], 3) == [] and blocks.page_ranges([7]) == [(7, 7)]
+    assert search.merged([(5, 9), (0, 2), (3, 4), (20, 30)], 64) == [(0, 9), (20, 30)] and search.merged([(0, 1), (5, 6), (50, 60)], 2) == [(0, 6), (50, 60)] and search.merged([]) == []
+
+
+def test_rare_words_choose_the_blocks_of_frequent_ones(spark, tmp_path):
+    """The rarer the other word, the fewer rows of "the" are read; the ranges reach the scan."""
+    raw = [("d", i, "the " * 30 + ("seldom " if i == 700 else "") + ("sometimes the " if i % 100 == 0 else "") + "often the end") for i in range(1000)]
+    made = index.build_index(spark.createDataFrame(raw, "doc_name string, page_key long, text string"))
+    small = blocks.posting_blocks(made.page_dim.join(spark.createDataFrame([(i, t.split()) for _, i, t in raw], "page_idx long, tokens array<string>"), "page_idx"), 100)
+    small.repartitionByRange(2, "word", "first_page").sortWithinPartitions("word", "first_page").write.parquet(str(tmp_path / "b"))
+    lists = spark.read.parquet(str(tmp_path / "b"))
+    total = lists.where("word = 'the'").count()
+    read = {}
+    for word in ("seldom", "sometimes", "often"):
+        pages = [r.page_idx for r in blocks.word_pages(lists.where(F.col("word") == word)).collect()]
+        near = lists.where(blocks.in_ranges(blocks.page_ranges(pages))).where("word = 'the'")
+        read[word] = near.count()
+        assert "GreaterThanOrEqual(last_page" in near._jdf.queryExecution().toString().replace(" ", "")
+        places = {(r.page_idx, r.pos) for r in search.phrase_places(lists, (word, "the")).collect()}
+        assert places == {(i, t.split().index(word)) for _, i, t in raw if f"{word} the" in t}
+    assert read["seldom"] <= 2 < read["sometimes"] < read["often"] == total > 200
+    assert search.phrase_places(lists, ("the", "nowhere")).count() == 0
+    assert search.phrase_places(lists, ("the", "the"), few=0).count() == 1000 * 29
+    bytes_a_token = lists.agg(F.sum(F.length("data")) / F.sum("n")).first()[0]
+    assert bytes_a_token < 2
+
+
+def test_scores_of_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(i // 50, 1) for _ in range(6)]) for i in range(300)]
+    asked = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(2)]
+    expected = {i: max(sum(a * b for a, b in zip(v, q)) for q in asked) for i, v in rows}
+    monkeypatch.setattr(matrix, "ROWS", 7)
+    made = matrix.vector_blocks(spark.createDataFrame(rows, "page_idx long, vec array<double>").repartitionByRange(3, "page_idx").sortWithinPartitions("page_idx"))
+    assert {r.page_idx: r.vec for r in matrix.vector_rows(made).collect()} == dict(rows)
+    found = {r.page_idx: r.score for r in matrix.scores(made, asked).collect()}
+    assert found.keys() == expected.keys() and all(abs(found[i] - expected[i]) < 1e-9 for i in found)
+    for r in matrix.bounds(made, asked).collect():
+        assert r.n_pages <= 7 and max(expected[i] for i in range(r.first_page, r.last_page + 1)) <= r.bound
+    table = spark.createDataFrame([(i, v) for i, v in rows] + [(1000 + i, v) for i, v in rows[:20]], "vec_id long, embedding array<float>").repartition(5)
+    one = lambda v: sum(__import__("struct").unpack("f", __import__("struct").pack("f", a))[0] * b for a, b in zip(v, asked[0]))
+    best = sorted(((-round(one(v), 9), i) for i, v in [*rows, *((1000 + i, v) for i, v in rows[:20])]))[:25]
+    assert [r.vec_id for r in matrix.top_rows(table, asked[0], 25).collect()] == [i for _, i in best]
+
+
+@pytest.mark.parametrize("query", ["alpha beta", 'beta "gamma alpha"', "the of", "rare", "alpha zzqq"])
+def test_first_documents_equal_the_whole_order(spark, monkeypatch, query):
+    rng = random.Random(9)
+    vocabulary = ["alpha", "beta", "gamma", "delta", "the", "of", "and"]
+    raw = [(f"d{rng.randint(0, 25)}", i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 12))) + (" rare" if i % 97 == 5 else "")) for i in range(400)] + [("d3", 999, ""), ("hot", 1, "")] + [("hot", i, "alpha beta the") for i in range(2, 60)]
+    vectors = spark.createDataFrame([(w, [rng.gauss(0, 1) for _ in range(5)]) for w in vocabulary[:-1]], "word string, vec array<double>")
+    monkeypatch.setattr(matrix, "ROWS", 9)
+    monkeypatch.setattr(search, "FIRST_BLOCKS", 3)
+    made = index.build_index(spark.createDataFrame(raw, "doc_name string, page_key long, text string"))
+    with_vectors = index.embed_pages(made, vectors)
+    for own, how, limits in ((with_vectors, {}, (4, 100)), (made, {"docs": ["d1", "d2", "hot"]}, (1,))):
+        whole = search.search(own, query, **how).collect()
+        for limit in limits:
+            monkeypatch.setattr(search, "WINDOW_PAGES", 1_000_000 if limit > 1 else 0)
+            top = search.search(own, query, limit=limit, **how)
+            assert sorted(map(tuple, top.select(*whole[0].__fields__).collect())) == sorted(tuple(r) for r in whole if r.doc_rank <= limit)
+
+
+def test_a_search_for_few_writes_nothing(spark, tmp_path, monkeypatch):
+    raw = spark.createDataFrame([(f"d{i % 9}", i, f"alpha {'beta ' * (i % 4)}") for i in range(60)], "doc_name string, page_key long, text string")
+    index.build_index(raw).save(str(tmp_path / "i"))
+    opened = index.open_index(spark, str(tmp_path / "i"))
+    monkeypatch.setattr(ranks, "scratch_path", lambda *_: pytest.fail("a table is written"))
+    assert {r.doc_rank for r in search.search(opened, "alpha beta", limit=3).collect()} == {1, 2, 3}
+    assert [(r.doc_rank, r.rank_in_doc) for r in search.search(opened, " ", limit=2, docs=["d8", "d3", "d5"]).orderBy("page_idx").collect()] == [(d, n) for d, m in ((1, 7), (2, 7)) for n in range(1, m + 1)]
+    assert {r.doc_rank for r in search.search(opened, " ").collect()} == set(range(1, 10))
+
+
+def parts_of(made):
+    """All parts of an index as plain rows, whatever their order."""
+    frames = (made.pages.select("doc_name", "doc_idx", "page_no", "page_idx", "page_key", "text"), made.page_dim, made.doc_dim, made.postings, made.vocab)
+    return [sorted(map(str, map(tuple, f.select(*sorted(f.columns)).collect()))) for f in frames]
+
+
+def test_merged_indexes_equal_one_of_all_pages(spark, tmp_path):
+    rng = random.Random(5)
+    page = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "the", "of"]) for _ in range(rng.choice([0, 3, 30])))
+    rows = [(f"d{rng.randint(0, 9)}", i, page()) for i in range(80)]
+    schema = "doc_name string, page_key long, text string"
+    made = lambda keep: index.build_index(spark.createDataFrame([r for r in rows if keep(r[0])], schema))
+    old = [("d2", 7, "an older text of the document")]
+    a, b = index.build_index(spark.createDataFrame([r for r in rows if r[0] in ("d1", "d4", "d7", "d9")] + old, schema)), made(lambda d: d not in ("d1", "d4", "d7", "d9"))
+    a.save(str(tmp_path / "a"))
+    opened = index.open_index(spark, str(tmp_path / "a"))
+    whole = index.merged([opened, b])
+    assert parts_of(whole) == parts_of(made(lambda d: True))
+    assert index.integrity(whole.postings).first()["sound"]
+    gone = spark.createDataFrame([("d4",), ("d0",), ("nowhere",)], "doc_name string")
+    assert parts_of(index.merged([whole], gone)) == parts_of(made(lambda d: d not in ("d4", "d0")))
+    plan = str(index.merged([opened, b]).blocks._jdf.queryExecution().toString())
+    assert "text" not in plan
+
+
+def test_segments_of_a_stream(spark, tmp_path):
+    batches = [[("b", 0, "of the of"), ("a", 0, "the sea")], [("c", 0, "of and"), ("b", 0, "the newer text")]]
+    for rows in batches:
+        spark.createDataFrame(rows, pages.PAGES).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest.append_segments(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    found = index.open_segments(spark, str(tmp_path / "out"))
+    assert parts_of(found) == parts_of(index.build_index(spark.createDataFrame([("a", 0, "the sea"), ("b", 0, "the newer text"), ("c", 0, "of and")], pages.PAGES)))
