@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from quire.functions.text import words
 from quire.operators import embed, segment
@@ -16,16 +20,53 @@ from quire.operators.ranks import running, shuffle_partitions, written
 from quire.operators.word_vectors import train_word_vectors
 
 
-def number_pages(pages: DataFrame) -> DataFrame:
-    """(doc_name, page_key, text) with doc_idx, page_no and page_idx, all from 0.
+def number_pages(pages: DataFrame, tokens: bool = False) -> DataFrame:
+    """(doc_name, page_key, text) with doc_idx, page_no, page_idx and page_start, the document's first page, all from 0.
 
     Pages are numbered in the order of document and key, documents in that of their names.
+    tokens: also what tokenised() makes, in the same pass. Pages are dealt out by ranges of
+    that order and numbered in their part; where a document runs on from part to part is
+    told by one row a part, so no document, however long, meets in one task.
     """
-    numbered = running(pages.select("doc_name", "page_key", "text"), [F.col("doc_name"), F.col("page_key")])
-    names = numbered.groupBy("doc_name").agg(F.min("row_before").alias("page_start"))
-    docs = running(names, [F.col("doc_name")]).withColumnRenamed("row_before", "doc_idx")
-    joined = numbered.join(docs, "doc_name")
-    return joined.select("doc_name", "doc_idx", (F.col("row_before") - F.col("page_start")).alias("page_no"), F.col("row_before").alias("page_idx"), "page_key", "text")
+    order = [F.col("doc_name"), F.col("page_key")]
+    rows = pages.select("doc_name", "page_key", "text").repartitionByRange(shuffle_partitions(pages.sparkSession), *order).sortWithinPartitions(*order)
+    if tokens:
+        rows = _with_tokens(rows)  # after the shuffle, whose sampling would normalise all texts once more
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, doc, start, ahead, last, first = 0, 0, 0, 0, None, True
+        for batch in batches:
+            names = batch.column("doc_name").to_pylist()
+            docs, starts = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+            for i, name in enumerate(names):
+                if not first and name != last:
+                    doc, start = doc + 1, row + i
+                first, last, docs[i], starts[i] = False, name, doc, start
+            sizes = np.cumsum(batch.column("n_tokens").to_numpy()) if tokens else np.zeros(len(names), np.int64)
+            before = np.append(0, sizes)[: len(names)] + ahead
+            ahead += int(sizes[-1]) if len(sizes) else 0
+            extra = [docs, starts, np.arange(row, row + len(names)), before]
+            row += len(names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, extra)], [*batch.schema.names, "_doc", "_doc_row", "_row", "_sum"])
+
+    schema = StructType([*rows.schema.fields, StructField("_part", IntegerType()), *(StructField(c, LongType()) for c in ("_doc", "_doc_row", "_row", "_sum"))])
+    placed = written(rows.withColumn("_part", F.spark_partition_id()).mapInArrow(run, schema), "pages")
+    size = F.max(F.col("_sum") + F.col("n_tokens")) if tokens else F.lit(0)
+    parts = placed.groupBy("_part").agg(
+        F.count("*").alias("rows"), (F.max("_doc") + 1).alias("docs"), F.min_by("doc_name", "_row").alias("first"), F.max_by("doc_name", "_row").alias("last"),
+        F.max("_doc_row").alias("last_start"), size.alias("sums"),
+    )
+    by = Window.orderBy("_part")  # a row a part
+    earlier = by.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    parts = parts.withColumn("on", F.coalesce((F.lag("_part").over(by).isNotNull() & F.col("first").eqNullSafe(F.lag("last").over(by))).cast("int"), F.lit(0)))
+    parts = parts.withColumn("rows_ahead", ahead("rows")).withColumn("sums_ahead", ahead("sums")).withColumn("docs_ahead", ahead(F.col("docs") - F.col("on")) - F.col("on"))
+    parts = parts.withColumn("open", F.when((F.col("docs") > 1) | (F.col("on") == 0), F.col("rows_ahead") + F.col("last_start")))
+    parts = parts.withColumn("first_start", F.when(F.col("on") == 1, F.last("open", True).over(earlier)).otherwise(F.col("rows_ahead")))
+    found = placed.join(F.broadcast(parts.select("_part", "rows_ahead", "sums_ahead", "docs_ahead", "first_start")), "_part")  # as many rows as shuffle partitions
+    page, start = F.col("_row") + F.col("rows_ahead"), F.when(F.col("_doc") == 0, F.col("first_start")).otherwise(F.col("_doc_row") + F.col("rows_ahead"))
+    made = [F.col("n_tokens"), F.col("tokens"), (F.col("_sum") + F.col("sums_ahead")).alias("sidx_start")] if tokens else []
+    return found.select("doc_name", (F.col("_doc") + F.col("docs_ahead")).alias("doc_idx"), (page - start).alias("page_no"), page.alias("page_idx"), start.alias("page_start"), "page_key", "text", *made)
 
 
 def doc_dim(numbered: DataFrame) -> DataFrame:
@@ -34,14 +75,22 @@ def doc_dim(numbered: DataFrame) -> DataFrame:
     )
 
 
+def _with_tokens(rows: DataFrame) -> DataFrame:
+    """rows (text, ..) with n_tokens and tokens."""
+    return rows.withColumn("tokens", words(F.col("text"))).withColumn("n_tokens", F.size("tokens").cast("long"))
+
+
 def tokenised(numbered: DataFrame) -> DataFrame:
     """(doc_idx, page_no, page_idx, n_tokens, tokens, sidx_start): every page with its words and how many tokens come before it.
 
     Written in the order of pages, so that the texts are normalised once, whoever reads the tokens.
     """
-    rows = numbered.select("doc_idx", "page_no", "page_idx", words(F.col("text")).alias("tokens"))
-    counted = rows.select("doc_idx", "page_no", "page_idx", F.size("tokens").cast("long").alias("n_tokens"), "tokens")
-    return running(counted, [F.col("page_idx")], "n_tokens").drop("row_before").withColumnRenamed("sum_before", "sidx_start")
+    columns = ["doc_idx", "page_no", "page_idx", "n_tokens", "tokens", "sidx_start"]
+    if "tokens" in numbered.columns:
+        return numbered.select(*columns)
+    rows = numbered.select("doc_idx", "page_no", "page_idx", "text")
+    counted = running(rows, [F.col("page_idx")], "n_tokens", lambda df: _with_tokens(df).drop("text"))
+    return counted.withColumnRenamed("sum_before", "sidx_start").select(*columns)
 
 
 def page_dim(pages: DataFrame) -> DataFrame:
@@ -143,13 +192,14 @@ def build_index(raw_pages: DataFrame, dictionary: DataFrame | None = None, segme
     segmented: pages hold their sentences, one a line, and what is no sentence goes;
     dictionary (word) says which lines and sentences count, without one any letter does.
     """
-    numbered = number_pages(raw_pages)
+    numbered = number_pages(raw_pages, tokens=not segmented)
     if segmented:
         lines = segment.segmented_pages(numbered, segment.segment(numbered, dictionary))
         numbered = numbered.drop("text").join(lines, ["doc_idx", "page_no"])
     tokens = tokenised(numbered)
     lists = written(posting_blocks(tokens), "blocks")
-    return Index(numbered, page_dim(tokens), doc_dim(numbered), lists, vocabulary(lists))
+    pages = numbered.select("doc_name", "doc_idx", "page_no", "page_idx", "page_key", "text")
+    return Index(pages, page_dim(tokens), doc_dim(numbered), lists, vocabulary(lists))
 
 
 def page_sentences(pages: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,18 +59,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores << 24 else df
 
 
-def running(rows: DataFrame, order: list[Column], value: str | None = None) -> DataFrame:
+def running(rows: DataFrame, order: list[Column], value: str | None = None, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """rows with ``row_before`` and, of a value column of whole numbers, ``sum_before``: rows and sum ahead of each row in the order.
 
     The rows are parted by ranges of the order and numbered, and summed up, in their part;
     what a part holds is then added to those after it. Parts are of about one size and as
     many as there are shuffle partitions, so no task sees more than its share, whatever key
     is hot. The numbered rows are written once, so all readers see the same parts, each in
-    the order. ``order`` leaves no ties.
+    the order. ``order`` leaves no ties. then: a projection of the rows in their parts, made
+    after the shuffle, whose sampling reads what comes before it twice.
     """
     n = shuffle_partitions(rows.sparkSession)
     at = F.monotonically_increasing_id()
     placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = then(placed) if then else placed
+    columns = placed.columns
     placed = placed.withColumn("_part", F.shiftright(at, _ROW_BITS)).withColumn("_row", at.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
     if value:
         placed = _summed(placed, value)
@@ -81,8 +84,8 @@ def running(rows: DataFrame, order: list[Column], value: str | None = None) -> D
     shifts = parts.select("_part", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_ahead") for c in parts.columns[1:]))
     found = numbered.join(F.broadcast(shifts), "_part").withColumn("row_before", F.col("_row") + F.col("_rows_ahead"))  # as many rows as shuffle partitions
     if not value:
-        return found.select(*rows.columns, "row_before")
-    return found.select(*rows.columns, "row_before", (F.col("_sum") + F.col("_sums_ahead")).alias("sum_before"))
+        return found.select(*columns, "row_before")
+    return found.select(*columns, "row_before", (F.col("_sum") + F.col("_sums_ahead")).alias("sum_before"))
 
 
 def _summed(rows: DataFrame, value: str) -> DataFrame:

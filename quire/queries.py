@@ -117,7 +117,7 @@ def numbered(t):
 
 
 def tokens(t):
-    return index.tokenised(numbered(t))
+    return index.tokenised(index.number_pages(raw(t), tokens=True))
 
 
 def lists(t, stored=False):

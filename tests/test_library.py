@@ -362,3 +362,21 @@ def test_segments_of_a_stream(spark, tmp_path):
         ingest.append_segments(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     found = index.open_segments(spark, str(tmp_path / "out"))
     assert parts_of(found) == parts_of(index.build_index(spark.createDataFrame([("a", 0, "the sea"), ("b", 0, "the newer text"), ("c", 0, "of and")], pages.PAGES)))
+
+
+@pytest.mark.parametrize("tokens", [False, True])
+def test_numbers_of_a_document_over_many_parts(spark, tokens):
+    rng = random.Random(6)
+    rows = [("hot" if i % 3 else f"d{rng.randint(0, 30)}", i, "a b " * rng.randint(0, 3)) for i in range(600)] + [("alone", 1, "x"), ("zz", 5, None)]
+    given = spark.createDataFrame(rows, "doc_name string, page_key long, text string").repartition(4)
+    found = index.number_pages(given, tokens).orderBy("page_idx").collect()
+    docs, start, expected, before = {}, {}, [], 0
+    for at, (name, key, text) in enumerate(sorted(rows, key=lambda r: (r[0], r[1]))):
+        docs.setdefault(name, len(docs))
+        start.setdefault(name, at)
+        n = len((text or "").split())
+        expected.append((name, docs[name], at - start[name], at, start[name], key, *((n, before) if tokens else ())))
+        before += n
+    columns = ["doc_name", "doc_idx", "page_no", "page_idx", "page_start", "page_key", *(("n_tokens", "sidx_start") if tokens else ())]
+    assert [tuple(r[c] for c in columns) for r in found] == expected
+    assert index.number_pages(given.limit(0), tokens).count() == 0
