@@ -734,7 +734,7 @@ def seg_filter(t):
 
 @query(f"WITH {_CV}{_FR}{_DICT}{_KE}{_MF} SELECT doc_idx, page_no, frag_no, soft_end, hard_end, soft_start, hard_start, very_hard_start, merge FROM mf")
 def seg_merge_flags(t):
-    return segment.merge_flags(kept(t), dictionary(t)).drop("frag")
+    return segment.scanned(kept(t), dictionary(t)).drop("frag", "sent_no")
 
 
 @query(f"WITH {_CV}{_FR}{_DICT}{_KE}{_MF}{_SE} SELECT * FROM se")

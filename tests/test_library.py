@@ -380,3 +380,38 @@ def test_numbers_of_a_document_over_many_parts(spark, tokens):
     columns = ["doc_name", "doc_idx", "page_no", "page_idx", "page_start", "page_key", *(("n_tokens", "sidx_start") if tokens else ())]
     assert [tuple(r[c] for c in columns) for r in found] == expected
     assert index.number_pages(given.limit(0), tokens).count() == 0
+
+
+@pytest.mark.parametrize("size", [segment.BROADCAST_BYTES, 0])
+def test_segmentation_of_a_document_over_many_parts(spark, monkeypatch, size):
+    """Against a plain loop; most fragments are of one document, and ranges begin anywhere in sentences."""
+    monkeypatch.setattr(segment, "BROADCAST_BYTES", size)
+    rng = random.Random(11)
+    pieces = ["And then", "the end.", "went home", "1234", "(see", "below):", "Next day", "so,", "house", "The big", "zz q", "of", "x", "\"quoted\""]
+    rows = [(7 if i % 4 else rng.randint(0, 20), i, "\n".join(rng.choice(pieces) for _ in range(rng.randint(0, 5)))) for i in range(500)]
+    known = {"the", "end", "of", "day", "house", "big", "so", "then"}
+    table = spark.createDataFrame([(w,) for w in known], "word string")
+    given = spark.createDataFrame(rows, "doc_idx long, page_no long, text string").repartition(3)
+    runs = lambda s: __import__("re").findall("[a-z]+", s.lower())
+    expected, state = [], {}
+    for doc, page, whole in sorted(rows):
+        for frag in whole.split("\n"):
+            if not any(r in known for r in runs(frag)):
+                continue
+            last, open_ = state.get(doc, ("", 0))
+            soft_end, hard_end = last.isalnum(), bool(last) and (last.islower() or last in "-):;,\"'")
+            head = frag.split(" ")[0]
+            soft, hard = frag[0].isalnum() or frag[0] in "($\"'", frag[0].islower()
+            merge = (hard and len(head) > 1 and head in known) or (soft and hard_end) or (hard and soft_end)
+            number = open_ + (not merge)
+            state[doc] = (frag[-1], number)
+            expected.append((doc, number, page, frag))
+    found = {}
+    for doc, number, page, frag in expected:
+        first, said = found.get((doc, number), (page, []))
+        found[doc, number] = (first, [*said, frag])
+    sentences = sorted((d, n, page, " ".join(said)) for (d, n), (page, said) in found.items() if any(r in known and len(r) > 1 for r in runs(" ".join(said))))
+    assert sorted((r.doc_idx, r.sent_no, r.page_no, r.sentence) for r in segment.segment(given, table).collect()) == sentences
+    kept = segment.with_known_words(segment.fragments(given), "frag", table)
+    assert sorted((r.doc_idx, r.sent_no, r.page_no, r.frag) for r in segment.scanned(kept, table).collect()) == sorted(expected)
+    assert segment.segment(given.limit(0), table).count() == 0
