@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +26,78 @@ def sif_vectors(counted: DataFrame, vocab: DataFrame, word_vectors: DataFrame, d
     return summed.select(key, F.array(*(F.col(f"s{i}") / F.col("n") for i in range(dim))).alias("vec"))
 
 
+@dataclass
+class Moments:
+    """Number, mean and squared deviations of vectors; those of two sets give those of both, so batches equal the whole up to rounding."""
+
+    n: int
+    mean: np.ndarray
+    squares: np.ndarray
+
+    def merged(self, other: Moments) -> Moments:
+        if not self.n or not other.n:
+            return self if self.n else other
+        apart, n = other.mean - self.mean, self.n + other.n
+        return Moments(n, self.mean + apart * (other.n / n), self.squares + other.squares + np.outer(apart, apart) * (self.n * other.n / n))
+
+    def component(self) -> list[float]:
+        """First principal component; its sign is arbitrary. Zeros if all vectors are equal."""
+        if not self.n or not self.squares.any():
+            return [0.0] * len(self.mean)
+        return np.linalg.eigh(self.squares)[1][:, -1].tolist()
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(self.n, self.mean.tolist(), self.squares.ravel().tolist())], "n long, mean array<double>, squares array<double>")
+
+    @staticmethod
+    def of_rows(rows: DataFrame) -> Moments:
+        r = rows.first()  # one row
+        return Moments(r["n"], np.array(r["mean"]), np.array(r["squares"]).reshape(len(r["mean"]), -1))
+
+
+#: Tasks that add up the moments of all others.
+MERGERS = 16
+
+
+def vector_moments(vectors: DataFrame, column: str = "vec") -> Moments:
+    """Moments of an array column: each task sums up its own, MERGERS tasks theirs; MERGERS matrices of dim x dim meet on the driver."""
+
+    def packed(m: Moments) -> pa.RecordBatch:
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId() % MERGERS
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([m.n], pa.int64()), pa.array([m.mean.tobytes()], pa.binary()), pa.array([m.squares.tobytes()], pa.binary())], ["at", "n", "mean", "squares"])
+
+    def unpacked(n: int, mean: bytes, squares: bytes) -> Moments:
+        middle = np.frombuffer(mean)
+        return Moments(n, middle, np.frombuffer(squares).reshape(len(middle), -1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = Moments(0, np.zeros(0), np.zeros((0, 0)))
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                mean = x.mean(axis=0)
+                total = total.merged(Moments(len(x), mean, (x - mean).T @ (x - mean)))
+        if total.n:
+            yield packed(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = Moments(0, np.zeros(0), np.zeros((0, 0)))
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                total = total.merged(unpacked(*row))
+        if total.n:
+            yield packed(total)
+
+    schema = "at int, n long, mean binary, squares binary"
+    found = vectors.select(column).where(F.col(column).isNotNull()).mapInArrow(run, schema).repartition(MERGERS, "at").mapInArrow(add, schema).collect()  # at most MERGERS rows
+    return reduce(Moments.merged, (unpacked(r["n"], bytes(r["mean"]), bytes(r["squares"])) for r in found), Moments(0, np.zeros(0), np.zeros((0, 0))))
+
+
 def first_component(vectors: DataFrame, column: str = "vec") -> list[float]:
     """First principal component; its sign is arbitrary."""
-    model = PCA(k=1, inputCol="v", outputCol="p").fit(vectors.select(array_to_vector(F.col(column).cast("array<double>")).alias("v")))
-    return [float(x) for x in model.pc.toArray()[:, 0]]
+    return vector_moments(vectors, column).component()
 
 
 def dimension(word_vectors: DataFrame) -> int:

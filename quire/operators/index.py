@@ -149,9 +149,10 @@ class Index:
     word_vectors: DataFrame | None = None
     vector_blocks: DataFrame | None = None
     component: DataFrame | None = None
+    moments: DataFrame | None = None
 
     PARTS = ("pages", "page_dim", "doc_dim", "blocks", "vocab")
-    VECTORS = ("word_vectors", "vector_blocks", "component")
+    VECTORS = ("word_vectors", "vector_blocks", "component", "moments")
     #: Rows of word vectors in a file, at most.
     FILE_ROWS = 1_000_000
     #: Bytes of a row group of blocks: what a reader can skip.
@@ -207,19 +208,25 @@ def page_sentences(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode(F.split("text", "\n")).alias("line")).select(words(F.col("line")).alias("tokens"))
 
 
-def embed_pages(made: Index, word_vectors: DataFrame | None = None, component: list[float] | None = None, **training) -> Index:
+def embed_pages(made: Index, word_vectors: DataFrame | None = None, component: list[float] | None = None, earlier: embed.Moments | None = None, **training) -> Index:
     """made with vectors of words (word, vec), trained unless given, and of its pages, less their first component.
 
-    training: see word_vectors.train_word_vectors(). The component is that of the pages unless given.
+    training: see word_vectors.train_word_vectors(). The component is that of the pages
+    unless given; earlier: moments of pages indexed before, which it then covers too. The
+    moments of all are kept with the index.
     """
     if word_vectors is None:
         word_vectors = train_word_vectors(page_sentences(made.pages), **training)
-    means = written(embed.sif_vectors(word_pages(made.blocks), made.vocab, word_vectors, embed.dimension(word_vectors)), "means")
-    found = embed.first_component(means) if component is None else component
-    rows = embed.component_rows(made.pages.sparkSession, found)
     spark = made.pages.sparkSession
+    means = written(embed.sif_vectors(word_pages(made.blocks), made.vocab, word_vectors, embed.dimension(word_vectors)), "means")
+    moments = None
+    if component is None:
+        moments = embed.vector_moments(means)
+        moments = moments if earlier is None else earlier.merged(moments)
+        component = moments.component()
     ordered = means.repartitionByRange(shuffle_partitions(spark), "page_idx").sortWithinPartitions("page_idx")
-    return replace(made, word_vectors=word_vectors, vector_blocks=vector_blocks(embed.page_vectors(ordered, found)), component=rows)
+    blocks = vector_blocks(embed.page_vectors(ordered, component))
+    return replace(made, word_vectors=word_vectors, vector_blocks=blocks, component=embed.component_rows(spark, component), moments=moments and moments.rows(spark))
 
 
 def open_index(spark: SparkSession, path: str) -> Index:

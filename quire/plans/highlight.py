@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.spans import fuse_spans, ngram_positions, shift_spans
-from quire.functions.text import fold
+from quire.functions.spans import folded_spans
 from quire.operators.index import Index
 from quire.operators.language import Translator, contains_share, detect_language
 from quire.plans.parser import parse, plain_words
@@ -20,9 +19,7 @@ def highlight_terms(query: str, lang: str = "en", shortest: int = 3, stop_lists:
 
 def highlight(texts: DataFrame, terms: list[str], key: str) -> DataFrame:
     """(key, start, stop): merged places of the terms in texts (key, text), as substrings of the folded lower-case text."""
-    rows = texts.select(key, "text")
-    low = rows.select(key, F.lower(fold(F.col("text"))).alias("text"))
-    return shift_spans(fuse_spans(ngram_positions(low, terms, key), key), rows, key)
+    return folded_spans(texts, terms, key)
 
 
 def page_language(text: Column, texts: dict[str, str], default: str | None = None) -> Column:

@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -415,3 +416,47 @@ def test_segmentation_of_a_document_over_many_parts(spark, monkeypatch, size):
     kept = segment.with_known_words(segment.fragments(given), "frag", table)
     assert sorted((r.doc_idx, r.sent_no, r.page_no, r.frag) for r in segment.scanned(kept, table).collect()) == sorted(expected)
     assert segment.segment(given.limit(0), table).count() == 0
+
+
+def test_moments_of_batches_equal_the_whole(spark):
+    rng = random.Random(3)
+    rows = [([rng.gauss(5, 3), rng.gauss(0, 1), rng.gauss(-2, 0.5), rng.gauss(0, 0.1)],) for _ in range(900)]
+    frame = lambda some: spark.createDataFrame(some, "vec array<double>").repartition(40)
+    whole = embed.vector_moments(frame(rows))
+    parts = embed.vector_moments(frame(rows[:100])).merged(embed.vector_moments(frame(rows[100:] + [(None,)])))
+    x = np.array([r[0] for r in rows])
+    for m in (whole, parts):
+        assert m.n == 900 and np.allclose(m.mean, x.mean(axis=0), atol=1e-12) and np.allclose(m.squares, (x - x.mean(axis=0)).T @ (x - x.mean(axis=0)), rtol=1e-10, atol=1e-9)
+        assert abs(np.dot(m.component(), whole.component())) > 1 - 1e-12
+    assert embed.Moments.of_rows(parts.rows(spark)).component() == parts.component()
+    assert embed.vector_moments(frame(rows[:5]).limit(0)).component() == [] and embed.vector_moments(frame(rows[:1] * 3)).component() == [0.0] * 4
+
+
+def test_spans_of_many_terms_in_one_scan(spark):
+    rng = random.Random(12)
+    texts = [(i, "".join(rng.choice(["a", "b", "ß", "Œ", "x", " ", "…", "é"]) for _ in range(rng.randint(0, 40)))) for i in range(60)] + [(100, None)]
+    terms = ["a", "ss", "ab", "oe", "s", "b x", "..", "e"]
+    df = spark.createDataFrame(texts, "id long, text string")
+    found = highlight.highlight(df, terms, "id")
+    assert "Window" not in found._jdf.queryExecution().toString() and found._jdf.queryExecution().toString().count("MapInArrow") <= 4
+    expected = set()
+    for i, raw in texts:
+        raw = raw or ""
+        at = [k for k, c in enumerate(raw) for _ in text.folded(c)]
+        low = text.folded(raw).lower()
+        marked = [False] * len(low)
+        for t in terms:
+            for s in range(len(low)):
+                if low.startswith(t, s):
+                    marked[s : s + len(t)] = [True] * len(t)
+        s = 0
+        while s < len(low):
+            if marked[s]:
+                e = s
+                while e < len(low) and marked[e]:
+                    e += 1
+                expected.add((i, at[s], at[e - 1] + 1))
+                s = e
+            s += 1
+    assert {tuple(r) for r in found.collect()} == expected
+    assert spans.ngram_positions(df, [], "id").count() == 0
