@@ -62,11 +62,8 @@ def keyed_rows(texts: DataFrame, digest_bits: int) -> DataFrame:
     return found.withColumn("digest", F.col("sha") if digest_bits == 256 else short)
 
 
-def digest_state(spark: SparkSession, source: str, checkpoint: str, files: int) -> DataFrame:
-    """(digest, best, n): the state of the stream over _KEYED files in source, after all that lie there.
-
-    Files that a run before with this checkpoint has read are not read again.
-    """
+def run_stream(spark: SparkSession, source: str, checkpoint: str, files: int) -> None:
+    """Take the _KEYED files in source into the state; those that a run before with this checkpoint has read are not read again."""
     with settings(spark, _STATE):
         stream = spark.readStream.schema(_KEYED).option("maxFilesPerTrigger", max(FILES, files // BATCHES + 1)).parquet(source)
         query = (
@@ -75,6 +72,11 @@ def digest_state(spark: SparkSession, source: str, checkpoint: str, files: int)
             .option("checkpointLocation", checkpoint).start()
         )
         query.awaitTermination()
+
+
+def digest_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(digest, best, n): the state of the stream."""
+    with settings(spark, _STATE):
         found = spark.read.format("statestore").load(checkpoint)
         state = found.select("key.digest", *(F.col(f"value.{name}").alias(to) for name, to in zip(found.schema["value"].dataType.names, ("best", "n"), strict=True)))
         return stored(state, "digests")
@@ -86,15 +88,27 @@ def _once(df: DataFrame, path: str) -> None:
         df.write.mode("overwrite").parquet(path)
 
 
+def _in_batches(rows: DataFrame) -> DataFrame:
+    """doc_id, text and a locator that tells batch, file and row by their names there, wherever the folder lies."""
+    name = F.regexp_extract("_metadata.file_path", "([^/]+/[^/]+)$", 1)
+    return rows.select("doc_id", "text", F.struct(F.xxhash64(name).alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"))
+
+
 def continued(docs: DataFrame, folder: str, batch: str, digest_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(texts, keyed, state) of all batches in folder, docs among them; see exact_duplicates()."""
+    """(texts, keyed, state) of all batches in folder, docs among them; see exact_duplicates().
+
+    The stream reads the new batch alone, once: that it is done is noted by the batch's
+    name, so the folder may be moved, or named otherwise, between calls.
+    """
     spark = docs.sparkSession
-    content = f"{folder}/content/{batch}"
+    content, keys, done = (f"{folder}/{part}/{batch}" for part in ("content", "keyed", "done"))
     _once(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), content)
-    _once(keyed_rows(located(spark.read.parquet(content)), digest_bits), f"{folder}/keyed/{batch}")
+    _once(keyed_rows(_in_batches(spark.read.parquet(content)), digest_bits), keys)
+    if not exists(spark, f"{done}/_SUCCESS"):
+        run_stream(spark, f"{keys}/*", f"{folder}/state", len(spark.read.schema(_KEYED).parquet(keys).inputFiles()))
+        _once(spark.range(0), done)
     keyed = spark.read.schema(_KEYED).parquet(f"{folder}/keyed/*")
-    state = digest_state(spark, f"{folder}/keyed/*", f"{folder}/state", len(keyed.inputFiles()))
-    return located(spark.read.parquet(f"{folder}/content/*")), keyed, state
+    return _in_batches(spark.read.parquet(f"{folder}/content/*")), keyed, digest_state(spark, f"{folder}/state")
 
 
 def unlike_keeper(texts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -121,7 +135,9 @@ def exact_duplicates(docs: DataFrame, digest_bits: int = 256, folder: str | None
 
     With a ``folder`` (shared by driver and executors) docs are the stream's next batch,
     named ``batch``: groups span all batches there, and the result has the rows of all of
-    them. A batch that is there already, say before a failure, is not added again.
+    them. A batch that is there already, say before a failure, is not added again. The
+    folder may have moved since; if a text that a row must be held against is not there,
+    the call fails.
     """
     spark = docs.sparkSession
     if folder:
@@ -132,7 +148,8 @@ def exact_duplicates(docs: DataFrame, digest_bits: int = 256, folder: str | None
         texts = located(docs)
         keyed = stored(keyed_rows(texts, digest_bits), "keyed")
         files, checkpoint = keyed.inputFiles(), new_path(spark, "state")
-        state = digest_state(spark, files[0].rsplit("/", 1)[0], checkpoint, len(files))
+        run_stream(spark, files[0].rsplit("/", 1)[0], checkpoint, len(files))
+        state = digest_state(spark, checkpoint)
         drop_path(spark, checkpoint)
     best = state.select("digest", F.col("best.at").alias("keeper"), F.col("best.doc_id").alias("keep_id"), "n")
     slim = stored(keyed.join(best, "digest").select("at", "doc_id", "sha", "keeper", "keep_id", "n"), "slim")
@@ -140,6 +157,8 @@ def exact_duplicates(docs: DataFrame, digest_bits: int = 256, folder: str | None
     copies = (F.col("n") / ROWS_A_COPY).cast("long") + 1
     with settings(spark, _BLOOM):
         unlike = stored(unlike_keeper(texts, slim.where("n > 1").select("at", "keeper", copies.alias("copies"))), "unlike")
+    if folder and not slim.where("at = keeper").join(texts.select("at"), "at", "left_anti").isEmpty():
+        raise ValueError(f"{folder} lacks texts of earlier batches")
     if unlike.isEmpty():
         drop_stored(unlike, *([] if folder else [keyed]))
         whole = slim.select("*", F.col("n").alias("group_size"))

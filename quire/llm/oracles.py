@@ -30,7 +30,7 @@ WITH d AS (
 ), k AS (
   SELECT *, {_LOWER.format(f"trim(line, {_BLANKS})")} AS key FROM l
 ), h AS (
-  SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= {min_chars} GROUP BY key HAVING count(DISTINCT doc_id) >= {min_docs}
+  SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= {min_chars} GROUP BY key HAVING count(DISTINCT doc_id) + bool_or(doc_id IS NULL)::INT >= {min_docs}
 ), m AS (
   SELECT k.*, h.key IS NOT NULL AND k.doc_id IS DISTINCT FROM h.last AS gone FROM k LEFT JOIN h USING (key)
 )

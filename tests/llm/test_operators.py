@@ -131,6 +131,36 @@ def test_exact_dedup_of_derived_rows(spark, tmp_path):
         assert shown(exact_dedup.exact_duplicates(docs, folder=f"{tmp_path}/state", batch=batch).collect()) == expected(seen)
 
 
+def test_exact_dedup_goes_on_in_a_moved_folder(spark, tmp_path):
+    import shutil
+
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    exact_dedup.exact_duplicates(docs([(1, "alpha"), (2, "beta"), (3, "beta")]), folder=f"{tmp_path}/p", batch="a").collect()
+    shutil.move(f"{tmp_path}/p", f"{tmp_path}/q")
+    found = exact_dedup.exact_duplicates(docs([(4, "beta"), (5, "gamma")]), folder=f"{tmp_path}/q", batch="b", digest_bits=256).collect()
+    assert shown(found) == [("1", "1", 1), ("2", "2", 3), ("3", "2", 3), ("4", "2", 3), ("5", "5", 1)]
+    again = exact_dedup.exact_duplicates(docs([(4, "beta"), (5, "gamma")]), folder=f"{tmp_path}/q", batch="b").collect()
+    assert shown(again) == shown(found)
+    shutil.rmtree(f"{tmp_path}/q/content/a")
+    with pytest.raises(ValueError, match="lacks texts"):
+        exact_dedup.exact_duplicates(docs([(6, "beta")]), folder=f"{tmp_path}/q", batch="c").collect()
+
+
+def test_lines_against_the_sql_on_odd_rows(spark):
+    import duckdb
+
+    from quire.llm import oracles
+
+    line = "a line of more than twenty characters"
+    rows = [(None, line), (1, line), (2, f"{line}\nrest"), (None, "another line that two rows without a number hold"), (None, "another line that two rows without a number hold"), (3, "another line that two rows without a number hold"), (4, None), (5, "")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    expected = con.sql(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({oracles.lines()})").fetchall()
+    found = line_dedup.dedup_lines(made(spark, rows)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256))
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, expected))
+
+
 def test_simhash(docs, rows):
     fps = [(i, simhash.simhash(simhash.shingle_hashes(t, 4))) for i, t in rows]
     root = list(range(len(fps)))
@@ -167,6 +197,17 @@ def test_components(spark):
     assert {(r.node, r.root) for r in found.collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
 
 
+@pytest.mark.parametrize("neighbours", [components.NEIGHBOURS, 3])
+def test_components_of_hot_nodes(spark, monkeypatch, neighbours):
+    """A centre with most of the links, whatever its number, and chains between stars."""
+    monkeypatch.setattr(components, "NEIGHBOURS", neighbours)
+    rng = random.Random(4)
+    edges = [(500, i) for i in range(400, 600)] + [(1000, i) for i in range(1000, 1200)] + [(i, 2000) for i in range(1900, 2000)] + [(1150, 450), (3000, 3001)]
+    edges = [rng.choice([(a, b), (b, a)]) for a, b in edges]
+    found = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {i: 400 for i in [*range(400, 600), *range(1000, 1200)]} | {i: 1900 for i in range(1900, 2001)} | {3000: 3000, 3001: 3000}
+
+
 def made_words():
     rng = random.Random(8)
     return [(i, ["".join(rng.choice("abcdeinorstu.é") for _ in range(rng.randint(1, 20))) for _ in range(20)]) for i in range(10)]
