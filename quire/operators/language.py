@@ -70,6 +70,14 @@ def translate_words(text: str, source: str, target: str, glossary: dict[str, str
     return " ".join('"'.join(known.get(part, part) for part in word.split('"')) for word in text.split(" "))
 
 
+def translated(text: Column, glossary: dict[str, str]) -> Column:
+    """translate_words() of a column."""
+    known = F.create_map(*(F.lit(x) for pair in glossary.items() for x in pair)) if glossary else None
+    one = lambda part: part if known is None else F.coalesce(F.try_element_at(known, part), part)
+    word = lambda w: F.array_join(F.transform(F.split(w, '"', -1), one), '"')
+    return F.array_join(F.transform(F.split(text, " ", -1), word), " ")
+
+
 #: (text, source, target) to the text in the target language.
 Translator = Callable[[str, str, str], str]
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import spans, text, vectors
-from quire.operators import blocks, embed, index, language, matrix, ranks, segment
+from quire.operators import blocks, embed, index, language, language_model, matrix, ranks, segment
 from quire.operators import word_vectors as word_vectors_of
 from quire.plans import highlight, parser, search
 from quire.sources import pages as sources
@@ -197,6 +197,14 @@ def document_languages(t):
     return language.document_languages(numbered(t))
 
 
+@query()
+def detect_lang_model(t):
+    """By character n-grams, fitted on rows whose crc32(doc_id) leaves a remainder when divided by 5; the others are held out."""
+    docs, held = documents(t), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = language_model.fit_languages(docs.where(~held))
+    return docs.select("doc_id", held.alias("held_out"), model.detect(F.col("text")).alias("detected"))
+
+
 def sql_spans(rows: str, grams: list[str]) -> str:
     """sp: all places of grams in rows (doc_id, low); none of these grams overlaps itself."""
     each = " UNION ALL ".join(
@@ -235,11 +243,6 @@ def span_shift(t):
     return highlight.highlight(flat(t), ["ass", "oe"], "doc_id")
 
 
-@query("SELECT * FROM (VALUES (0, 'heed'), (1, 'ing'), (2, 'of the')) v(term_no, term)")
-def highlight_terms(t):
-    return t("region").sparkSession.createDataFrame(list(enumerate(highlight.highlight_terms(KEYWORDS))), "term_no long, term string")
-
-
 @query(f"WITH {FLAT}, {LOW}, {sql_spans('lo', ['heed', 'ing', 'of the'])}, {_FUSE}, {_SHIFT} SELECT * FROM sh")
 def highlight_spans(t):
     return highlight.highlight(flat(t), highlight.highlight_terms(KEYWORDS), "doc_id")
@@ -378,8 +381,11 @@ def joined(answers):
 
 
 QUERIES = ("“of the” heed and « ing » the \"odd", KEYWORDS, '""', 'cœur "Straße employe(e)" 1.2 a.b', 'the of and', '" "heed" the" and "ing', "l’été co-operate (x", "", '"')
+_ASK = (  # every turn of a conversation is a query; each sentence end but the last opens or closes a quote
+    "q AS (SELECT conv_id * 1000 + turn AS query_no, replace(text, '. ', '\" ') AS query FROM conversations UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - i}, {quoted(q)})" for i, q in enumerate(QUERIES)) + ") v(query_no, query))"
+)
 _PARSE = (
-    "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {quoted(q)})" for i, q in enumerate(QUERIES)) + ") v(query_no, query)), q1 AS (SELECT query_no, translate(query, '“”«»', '\"\"\"\"') AS s FROM q),"
+    _ASK + ", q1 AS (SELECT query_no, translate(query, '“”«»', '\"\"\"\"') AS s FROM q),"
     " q2 AS (SELECT query_no, CASE WHEN (length(s) - length(replace(s, '\"', ''))) % 2 = 1 THEN left(s, length(s) - strpos(reverse(s), '\"')) || right(s, strpos(reverse(s), '\"') - 1) ELSE s END AS s FROM q1),"
     " q3 AS (SELECT query_no, unnest(string_split(s, '\"')) AS part, generate_subscripts(string_split(s, '\"'), 1) AS i FROM q2), q4 AS (SELECT query_no, i, " + sql_words("part") + " AS l FROM q3),"
     " kw AS (SELECT query_no, false AS phrase, i, generate_subscripts(l, 1) AS j, unnest(l) AS words FROM q4 WHERE i % 2 = 1),"
@@ -389,8 +395,13 @@ _PARSE = (
 
 @query(f"WITH {_PARSE} SELECT query_no, row_number() OVER (PARTITION BY query_no ORDER BY phrase, i, j) - 1 AS term_no, words, phrase FROM al")
 def parse_query(t):
-    rows = [(n, i, " ".join(x.words), x.phrase) for n, q in enumerate(QUERIES) for i, x in enumerate(parser.parse(q))]
-    return t("region").sparkSession.createDataFrame(rows, "query_no long, term_no long, words string, phrase boolean")
+    return parser.parse_rows(asked(t))
+
+
+def asked(t):
+    """Every turn of a conversation as a query with quotes, and queries that show every rule."""
+    turns = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_no"), F.replace("text", F.lit(". "), F.lit('" ')).alias("query"))
+    return turns.unionByName(turns.sparkSession.createDataFrame([(-1 - i, q) for i, q in enumerate(QUERIES)], "query_no long, query string"))
 
 
 @query(f"WITH {_TERMS} SELECT lang_no, term_no, ofs AS \"offset\", word, term_len FROM tm WHERE word IN (SELECT unnest({sql_words('text')}) FROM documents)")
@@ -398,10 +409,17 @@ def query_terms(t):
     return terms(t, LANGS).join(index.page_tokens(tokens(t)).select("word"), "word", "left_semi").select("lang_no", "term_no", "offset", "word", "term_len")
 
 
-@query("SELECT * FROM (VALUES ('en', 'the heed \"of the\" ing'), ('fr', 'the eau \"of the\" ment')) v(lang, query)")
+@query(f"WITH {_PARSE} SELECT query_no, words AS term FROM al WHERE phrase OR length(words) >= 3")
+def highlight_terms(t):
+    return highlight.highlight_term_rows(asked(t))
+
+
+_WORDS = "CASE p " + " ".join(f"WHEN {quoted(a)} THEN {quoted(b)}" for a, b in TRANSLATIONS.items()) + " ELSE p END"
+
+
+@query(f"WITH {_ASK} SELECT query_no, array_to_string(list_transform(string_split(query, ' '), lambda w: array_to_string(list_transform(string_split(w, '\"'), lambda p: {_WORDS}), '\"')), ' ') AS query FROM q")
 def translate_query(t):
-    rows = [(lang, KEYWORDS if lang == "en" else translate(KEYWORDS, "en", lang)) for lang in LANGS]
-    return t("region").sparkSession.createDataFrame(rows, "lang string, query string")
+    return asked(t).select("query_no", language.translated(F.col("query"), TRANSLATIONS).alias("query"))
 
 
 @query(f"WITH {PO}, {_TP} SELECT term_no, page_idx FROM tp WHERE lang_no = 0")
@@ -682,9 +700,10 @@ def pending_docs(t):
     return sources.pending(t("documents"), t("labels"), "doc_id")
 
 
-@query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+@query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT page_id FROM pages)")
 def obsolete_docs(t):
-    return sources.pending(t("labels"), t("documents").where("lang = 'en'"), "doc_id")
+    """Outputs (vectors) whose input (the page of the same number) is gone."""
+    return sources.pending(t("embeddings"), t("pages").withColumnRenamed("page_id", "vec_id"), "vec_id")
 
 
 # --- segmentation of conversations (a page is a turn); the dictionary is the benchmark's words

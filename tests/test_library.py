@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from quire.functions import spans, text
-from quire.operators import blocks, embed, index, matrix, ranks, segment, word_vectors
+from quire.operators import blocks, embed, index, language_model, matrix, ranks, segment, word_vectors
 from quire.plans import highlight, parser, search
 from quire.sources import pages
 from quire.streaming import ingest
@@ -460,3 +460,48 @@ def test_spans_of_many_terms_in_one_scan(spark):
             s += 1
     assert {tuple(r) for r in found.collect()} == expected
     assert spans.ngram_positions(df, [], "id").count() == 0
+
+
+def test_languages_of_held_out_and_short_texts(spark):
+    """Better than lists of frequent words on pieces of a few words, from documents that the model has not seen."""
+    from quire.operators.language import detect_language
+
+    found = __spark_entry__.queries()["detect_lang_model"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    held = found.where("held_out").collect()
+    assert len(held) > 25 and sum(r.detected == r.lang for r in held) >= 0.97 * len(held)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    model = language_model.fit_languages(docs.where("not held"), bound=300)
+    pieces = docs.where("held").select("lang", F.explode(F.slice(F.regexp_extract_all("text", F.lit(r"\S+ \S+ \S+"), F.lit(0)), 1, 20)).alias("text"))
+    right = pieces.select((model.detect(F.col("text")) == F.col("lang")).cast("int").alias("m"), (detect_language(F.col("text")) == F.col("lang")).cast("int").alias("l")).agg(F.avg("m"), F.avg("l"), F.count("*")).first()
+    print("accuracy on pieces of three words: n-grams", right[0], "lists", right[1], "of", right[2])
+    assert right[0] > right[1] and right[0] > 0.9
+
+
+def test_language_model_against_brute_force(spark):
+    import math
+
+    rows = [("der Hund und die Katze", "de"), ("the dog and the cat", "en"), ("le chien et la souris", "fr"), ("und", "de"), (None, "en"), ("x", None)]
+    model = language_model.fit_languages(spark.createDataFrame(rows, "text string, lang string"))
+    counts = {}
+    for said, lang in rows:
+        for word in (said or "").lower().split() if lang else []:
+            for n in (1, 2, 3):
+                for i in range(len(word) + 3 - n):
+                    if (g := f" {word} "[i : i + n]) != " ":
+                        counts.setdefault(g, {}).setdefault(lang, 0)
+                        counts[g][lang] += 1
+    totals = {lang: sum(c.get(lang, 0) + 0.5 for c in counts.values()) for lang in ("de", "en", "fr")}
+    asked = ["die Katze", "cat", "la", "zzz", "", None, "12 34"]
+    found = spark.createDataFrame([(i, a) for i, a in enumerate(asked)], "i long, text string").select("i", model.detect(F.col("text"), None).alias("lang")).collect()
+    for r in found:
+        grams = [f" {w} "[i : i + n] for w in (asked[r.i] or "").lower().split() for n in (1, 2, 3) for i in range(len(w) + 3 - n)]
+        grams = [g for g in grams if g in counts]
+        scores = {lang: sum(math.log((counts[g].get(lang, 0) + 0.5) / total) for g in grams) for lang, total in totals.items()}
+        assert r.lang == (min(scores, key=lambda k: (-scores[k], k)) if grams else None), asked[r.i]
+    pages_ = spark.createDataFrame([(0, 0, "the dog"), (0, 1, "die Katze"), (1, 0, "the")], "doc_idx long, page_no long, text string")
+    assert {tuple(r) for r in model.document_languages(pages_, "fr").collect()} == {(0, "de"), (1, "fr")}
+    raw = spark.createDataFrame([("a", 0, "die Katze"), ("b", 0, "la souris")], "doc_name string, page_key long, text string")
+    made = index.build_index(raw)
+    shown = highlight.display(made, "zzz", search.search(made, "zzz"), langs=["de", "fr"], detect=model.detect).collect()
+    assert {(r.result_id, r.lang) for r in shown} == {("a-0", "de"), ("b-0", "fr")}
+    assert language_model.fit_languages(spark.createDataFrame([], "text string, lang string")).langs == []
