@@ -35,8 +35,8 @@ WIDTH = 2 * DIM + 2
 RANGE = 256
 #: Labelled documents that training takes at most, one row of each.
 SAMPLE = 20_000
-#: Tasks that sum up context vectors at most, for each core.
-TASKS_A_CORE = 4
+#: Tasks that sum up context vectors at most, for each core; and splits of the scan that one of them reads at most.
+TASKS_A_CORE, SPLITS = 4, 16
 HIDDEN = 32
 #: Tokens that are added up at once.
 CHUNK = 1 << 18
@@ -114,7 +114,10 @@ def context_sums(docs: DataFrame) -> DataFrame:
 
     schema = "range int, sums binary"
     n = min(partitions(docs.sparkSession), BUCKETS // RANGE)
-    few = docs.select("text").coalesce(TASKS_A_CORE * docs.sparkSession.sparkContext.defaultParallelism)  # each task sends one set of sums
+    texts = docs.select("text")
+    splits = texts._jdf.queryExecution().toRdd().getNumPartitions()
+    tasks = max(TASKS_A_CORE * docs.sparkSession.sparkContext.defaultParallelism, -(-splits // SPLITS))  # however few cores there are by now
+    few = texts.coalesce(tasks)  # each task sends one set of sums
     return few.mapInArrow(run, schema).repartition(n, "range").mapInArrow(add, schema)
 
 

@@ -310,3 +310,14 @@ def test_trees_fit_what_no_single_feature_shows():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
     trees = toxicity.boost(x[:1500], y[:1500])
     assert (((trees.logits(x[1500:]) > 0) == y[1500:]).mean()) > 0.9
+
+
+def test_context_sums_read_bounded_splits(spark, monkeypatch):
+    """A task reads so many splits at most, however few cores there are."""
+    from quire.llm import quality
+
+    monkeypatch.setattr(quality, "TASKS_A_CORE", 0)
+    monkeypatch.setattr(quality, "SPLITS", 3)
+    docs = spark.createDataFrame([(i, f"word{i} and the rest of it") for i in range(60)], "doc_id long, text string").repartition(20)
+    one, whole = quality.word_vectors(docs.coalesce(1)), quality.word_vectors(docs)
+    assert (one == whole).all() and one.any()
