@@ -78,11 +78,16 @@ def kept_parens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(KEPT_PARENS), F.lit(1))
 
 
+#: LOOSE_NUMERIC, LOOSE_WORD and all other signs but spaces, in a form that looks back only from a sign.
+_LOOSE = rf"[^A-Za-z0-9.,:'\- {_OPEN}{_CLOSE}]++|[.,:](?:(?<![0-9][.,:])|(?![0-9]))|['\-](?:(?<![A-Za-z]['\-])|(?![A-Za-z]))"
+
+
 def normalize(text: Column) -> Column:
     """Lower-case ASCII words with single spaces; one pass decides on every sign by its neighbours in the folded text."""
-    marked = F.regexp_replace(F.translate(fold(text), _OPEN + _CLOSE, "  "), KEPT_PARENS, f"{_OPEN}$1{_CLOSE}")
-    bare = F.regexp_replace(marked, rf"[^A-Za-z0-9.,:'\-{_OPEN}{_CLOSE}]|{LOOSE_NUMERIC}|{LOOSE_WORD}", " ")
-    return F.lower(F.trim(F.regexp_replace(F.translate(bare, _OPEN + _CLOSE, "()"), " +", " ")))
+    whole = F.translate(fold(text), _OPEN + _CLOSE, "  ")
+    marked = F.when(F.contains(whole, F.lit("(")), F.regexp_replace(whole, KEPT_PARENS, f"{_OPEN}$1{_CLOSE}")).otherwise(whole)
+    bare = F.translate(F.regexp_replace(marked, _LOOSE, " "), _OPEN + _CLOSE, "()")
+    return F.lower(F.trim(F.regexp_replace(bare, "  +", " ")))
 
 
 def normalized(text: str) -> str:

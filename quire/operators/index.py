@@ -173,7 +173,7 @@ class Index:
         return word_places(self.blocks.where(F.col("word").isin(*asked)))
 
     def save(self, path: str) -> None:
-        """Parquet, over what is there; blocks lie by word and page in small row groups, so a lookup reads few of them.
+        """Parquet, over what is there; what is looked up by words lies by words, blocks also by page and in small row groups, so a lookup reads few of them.
 
         Vectors of an index that has none any more are emptied.
         """
@@ -181,8 +181,9 @@ class Index:
             df = getattr(self, part)
             if df is None:
                 df = self.pages.sparkSession.createDataFrame([], "none int")
-            if part == "blocks":
-                df = df.repartitionByRange(shuffle_partitions(df.sparkSession), "word", "first_page").sortWithinPartitions("word", "first_page")
+            order = {"blocks": ["word", "first_page"], "vocab": ["word"], "word_vectors": ["word"]}.get(part, [])
+            if order and order[0] in df.columns:
+                df = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
             writer = df.write.mode("overwrite").option("maxRecordsPerFile", self.FILE_ROWS if part == "word_vectors" else 0)
             (writer.option("parquet.block.size", self.GROUP_BYTES) if part.endswith("blocks") else writer).parquet(f"{path}/{part}")
 
