@@ -43,6 +43,8 @@ def known_terms(vocab: DataFrame, variants: list[list[Term]]) -> list[list[Term]
 
 #: A phrase's rarest word whose pages are collected, as ranges that the other words' blocks are read by; beyond it all their blocks are.
 FEW_PLACES = 100_000
+#: So many times rarer it must be than the others together: else its pages leave out few of their blocks.
+RARER = 16
 
 
 def phrase_places(lists: DataFrame, words: Sequence[str], few: int = FEW_PLACES) -> DataFrame:
@@ -58,7 +60,8 @@ def phrase_places(lists: DataFrame, words: Sequence[str], few: int = FEW_PLACES)
     order = sorted(range(len(words)), key=lambda at: (known[words[at]], at))
     places = lambda at, own: word_places(own.where(F.col("word") == words[at])).select("page_idx", (F.col("pos") - at).alias("pos"))
     found, near = places(order[0], lists), lists
-    if known[words[order[0]]] <= few and len(asked) > 1:
+    rarest = known[words[order[0]]]
+    if rarest <= few and RARER * rarest <= sum(known.values()) - rarest:
         pages = word_pages(lists.where(F.col("word") == words[order[0]])).select("page_idx").collect()  # at most few rows
         near = lists.where(in_ranges(page_ranges([r["page_idx"] for r in pages])))
     for at in order[1:]:
