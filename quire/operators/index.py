@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from quire.functions.text import words
 from quire.operators import embed, segment
@@ -33,24 +33,27 @@ def number_pages(pages: DataFrame, tokens: bool = False) -> DataFrame:
     if tokens:
         rows = _with_tokens(rows)  # after the shuffle, whose sampling would normalise all texts once more
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        """Number of the document, first row of it, row, and tokens ahead, in the part."""
         row, doc, start, ahead, last, first = 0, 0, 0, 0, None, True
-        for batch in batches:
-            names = batch.column("doc_name").to_pylist()
+        for column, counts in batches:
+            names = column.to_pylist()
             docs, starts = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
             for i, name in enumerate(names):
                 if not first and name != last:
                     doc, start = doc + 1, row + i
                 first, last, docs[i], starts[i] = False, name, doc, start
-            sizes = np.cumsum(batch.column("n_tokens").to_numpy()) if tokens else np.zeros(len(names), np.int64)
+            sizes = np.cumsum(counts.to_numpy(zero_copy_only=False))
             before = np.append(0, sizes)[: len(names)] + ahead
             ahead += int(sizes[-1]) if len(sizes) else 0
             extra = [docs, starts, np.arange(row, row + len(names)), before]
             row += len(names)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, extra)], [*batch.schema.names, "_doc", "_doc_row", "_row", "_sum"])
+            yield pa.StructArray.from_arrays([pa.array(e, pa.int64()) for e in extra], ["_doc", "_doc_row", "_row", "_sum"])
 
-    schema = StructType([*rows.schema.fields, StructField("_part", IntegerType()), *(StructField(c, LongType()) for c in ("_doc", "_doc_row", "_row", "_sum"))])
-    placed = written(rows.withColumn("_part", F.spark_partition_id()).mapInArrow(run, schema), "pages")
+    place = F.arrow_udf(places, "_doc long, _doc_row long, _row long, _sum long", ArrowUDFType.SCALAR_ITER).asNondeterministic()  # texts stay outside Python
+    counts = F.col("n_tokens") if tokens else F.lit(0).cast("long")
+    numbered = rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", place("doc_name", counts))
+    placed = written(numbered.select("*", "_at.*").drop("_at"), "pages")
     size = F.max(F.col("_sum") + F.col("n_tokens")) if tokens else F.lit(0)
     parts = placed.groupBy("_part").agg(
         F.count("*").alias("rows"), (F.max("_doc") + 1).alias("docs"), F.min_by("doc_name", "_row").alias("first"), F.max_by("doc_name", "_row").alias("last"),
