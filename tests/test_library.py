@@ -1,4 +1,5 @@
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -505,3 +506,26 @@ def test_language_model_against_brute_force(spark):
     shown = highlight.display(made, "zzz", search.search(made, "zzz"), langs=["de", "fr"], detect=model.detect).collect()
     assert {(r.result_id, r.lang) for r in shown} == {("a-0", "de"), ("b-0", "fr")}
     assert language_model.fit_languages(spark.createDataFrame([], "text string, lang string")).langs == []
+
+
+def test_signs_are_decided_as_before(spark):
+    """Words by a pattern that names all signs, whatever stands around them."""
+    rng = random.Random(5)
+    given = ["".join(rng.choice("aZé09.,:'-()_ \t\n\u0001\u0002\u007f€—«中𝒳\"") for _ in range(rng.randint(0, 60))) for _ in range(3000)] + [None]
+    rows = spark.createDataFrame(list(enumerate(given)), "i long, t string").select("i", text.words(F.col("t")).alias("w")).collect()
+    assert {r.i: r.w for r in rows} == {i: parser.plain_words(g or "") for i, g in enumerate(given)}
+
+
+def test_words_of_long_texts_take_few_passes(spark):
+    """Letters cost no look around: words take a few times as long as one plain pattern, not a hundred."""
+    rows = spark.range(8).select(F.repeat(F.lit("Of the earth, ein Wörtchen and so on "), 20_000).alias("t")).localCheckpoint()
+
+    def seconds(column):
+        found = []
+        for _ in range(3):
+            at = time.time()
+            rows.agg(F.max(F.xxhash64(column))).collect()
+            found.append(time.time() - at)
+        return min(found)
+
+    assert seconds(text.words(F.col("t"))) < 12 * seconds(F.regexp_replace("t", "[.,]", " "))
