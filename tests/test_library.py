@@ -529,3 +529,18 @@ def test_words_of_long_texts_take_few_passes(spark):
         return min(found)
 
     assert seconds(text.words(F.col("t"))) < 12 * seconds(F.regexp_replace("t", "[.,]", " "))
+
+
+def test_training_takes_no_longer_with_wider_windows():
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 3000, 40_000)
+
+    def seconds(window):
+        inner, outer = rng.random((3000, 32), np.float32), np.zeros((3000, 32), np.float32)
+        at = time.time()
+        word_vectors.train_part(ids, np.arange(len(ids)) // 200, np.full(3000, 10.0), 30_000.0, inner, outer, window, rng)
+        assert np.isfinite(inner).all() and outer.any()
+        return time.time() - at
+
+    seconds(2)
+    assert seconds(60) < 4 * seconds(3)
