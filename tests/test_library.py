@@ -566,3 +566,15 @@ def test_page_vectors_are_summed_where_their_words_lie(spark, monkeypatch):
     assert set(made["one"]) == set(made["shares"]) == set(made["joined"])
     for name in ("shares", "joined"):
         assert all(np.allclose(made["one"][p], made[name][p], rtol=1e-12) for p in made["one"])
+
+
+def test_positions_are_not_sorted_to_find_their_pages(spark):
+    dim = spark.createDataFrame([(i, i * 3, 3 if i != 4 else 0) for i in range(5)], "page_idx long, sidx_start long, n_tokens long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = index.pages_of_positions(spark.range(0, 12).withColumnRenamed("id", "sidx"), dim, width=5)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Sort " not in plan
+        assert sorted(map(tuple, found.collect())) == [(i, i // 3) for i in range(12)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
