@@ -578,3 +578,13 @@ def test_positions_are_not_sorted_to_find_their_pages(spark):
         assert sorted(map(tuple, found.collect())) == [(i, i // 3) for i in range(12)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_full_blocks_are_unpacked_a_few_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    starts = np.arange(300) * 1000
+    made = blocks.slice_blocks(np.arange(300), starts, np.full(300, 1000), pa.array([f"w{i % 7}" for i in range(300_000)]))
+    parts = list(blocks._bounded([made.slice(0, 0), made]))
+    assert len(parts) > 1 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([made]))
+    assert max(sum(p.column("n").to_pylist()) for p in parts) <= blocks.HELD + blocks.BLOCK + 1000
