@@ -588,3 +588,27 @@ def test_full_blocks_are_unpacked_a_few_at_a_time(monkeypatch):
     parts = list(blocks._bounded([made.slice(0, 0), made]))
     assert len(parts) > 1 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([made]))
     assert max(sum(p.column("n").to_pylist()) for p in parts) <= blocks.HELD + blocks.BLOCK + 1000
+
+
+def test_positions_are_counted_as_bits_of_ranges(spark, monkeypatch):
+    """No row a token is shuffled; what is held twice, or not, is found, in whatever order and however few ranges are held at once."""
+    tokens = [[f"w{(i * j) % 50}" for j in range(900)] for i in range(100)]
+    pages = spark.createDataFrame([(i, 900 * i, t) for i, t in enumerate(tokens)], "page_idx long, sidx_start long, tokens array<string>")
+    made = blocks.posting_blocks(pages.repartition(3), 100, 20_000)
+    sound = {"n_postings": 90_000, "n_positions": 90_000, "last": 89_999, "sound": True}
+    for held in (1, 512):
+        monkeypatch.setattr(blocks.position_bits, "__defaults__", (held,))
+        assert index.integrity(made).first().asDict() == index.integrity(blocks.word_places(made)).first().asDict() == sound
+        twice = made.unionByName(made.where("word = 'w7'"))
+        more = made.where("word = 'w7'").agg(F.sum("n")).first()[0]
+        assert index.integrity(twice).first().asDict() == sound | {"n_postings": 90_000 + more, "sound": False}
+        assert index.integrity(made.where("word <> 'w7'")).first()["n_positions"] == 90_000 - more
+    assert not index.integrity(spark.range(1, 5).withColumnRenamed("id", "sidx")).first()["sound"]
+    assert index.integrity(made.limit(0)).first().asDict() == {"n_postings": 0, "n_positions": 0, "last": None, "sound": True}
+    assert blocks.position_bits(made).count() <= 3 * 8 * 3
+
+
+def test_tokens_alone_leave_texts_unwritten(spark):
+    given = spark.createDataFrame([("a", 1, "x y"), ("b", 1, "z")], "doc_name string, page_key long, text string")
+    found = index.number_pages(given, tokens=True, texts=False)
+    assert "text" not in found.columns and sorted((r.page_idx, r.sidx_start, r.tokens) for r in index.tokenised(found).collect()) == [(0, 0, ["x", "y"]), (1, 2, ["z"])]
