@@ -612,3 +612,22 @@ def test_tokens_alone_leave_texts_unwritten(spark):
     given = spark.createDataFrame([("a", 1, "x y"), ("b", 1, "z")], "doc_name string, page_key long, text string")
     found = index.number_pages(given, tokens=True, texts=False)
     assert "text" not in found.columns and sorted((r.page_idx, r.sidx_start, r.tokens) for r in index.tokenised(found).collect()) == [(0, 0, ["x", "y"]), (1, 2, ["z"])]
+
+
+def test_shares_of_words_shuffle_a_page_once(spark, monkeypatch):
+    """However many shares are broadcast, what counts words is read once, and one row of sums a page is shuffled."""
+    rng = random.Random(5)
+    counted = spark.createDataFrame([(p, f"w{rng.randrange(40)}", 1) for p in range(50) for _ in range(9)], "page_idx long, word string, n long")
+    vocab = spark.createDataFrame([(f"w{i}", i + 1) for i in range(40)], "word string, cnt long")
+    known = spark.createDataFrame([(f"w{i}", [rng.random(), rng.random()]) for i in range(30)], "word string, vec array<double>")
+    monkeypatch.setattr(embed, "BROADCAST_BYTES", 500)
+    plan = embed.sif_vectors(counted, vocab, known, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") > 4 and plan.count("Exchange hashpartitioning") == 1 and "Union" not in plan
+
+
+def test_page_vectors_are_made_once(spark):
+    raw = spark.createDataFrame([("a", 1, "x y"), ("b", 1, "y z")], "doc_name string, page_key long, text string")
+    known = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "word string, vec array<double>")
+    made = index.embed_pages(index.build_index(raw), known, [0.0, 0.0])
+    plan = made.vector_blocks._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" not in plan and made.page_vectors.count() == 2
