@@ -3,6 +3,7 @@ import time
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -631,3 +632,34 @@ def test_page_vectors_are_made_once(spark):
     made = index.embed_pages(index.build_index(raw), known, [0.0, 0.0])
     plan = made.vector_blocks._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "MapInArrow" not in plan and made.page_vectors.count() == 2
+
+
+def test_words_of_arrow_texts_are_those_of_the_column(spark):
+    """All bytes of many texts are decided on at once, as the column expression decides on each text."""
+    draw, signs = random.Random(3), [*"aB1 2c.,:'-()\n\t_\u0001\x00￿é…ß°Щщ—€²½漢😀'", "(a)", "(1.2)", "(a-b)", "a-b", "1.2", "l'eau", "ﬁ", "’", " ", "İ", "é"]
+    given = ["".join(draw.choice(signs) for _ in range(draw.randrange(30))) for _ in range(2000)] + [None, "", "é", "(", "(a)", "a€", ".", "1.", "a'"]
+    rows = spark.createDataFrame(list(enumerate(given)), "i long, t string").select("i", text.words(F.col("t")).alias("w")).collect()
+    expected = {r.i: r.w for r in rows}
+    for part in (given, given[-9:]):
+        found, sizes = text.text_words(pa.array(part, pa.string()))
+        ends = np.cumsum(sizes).tolist()
+        assert [found[a:b].to_pylist() for a, b in zip([0, *ends], ends)] == [expected[len(given) - len(part) + i] for i in range(len(part))]
+    assert len(text.text_words(pa.array([], pa.string()))[1]) == 0
+
+
+@pytest.mark.parametrize("size", [5, 1_000_000])
+def test_posted_pages_are_numbered_pages_and_their_blocks(spark, size, monkeypatch):
+    """Pages and posting blocks come from one pass; neither texts nor tokens are written unless asked for."""
+    monkeypatch.setattr(blocks.text_blocks, "__defaults__", (3, size))
+    rows = [(f"d{i % 4}" if i % 9 else None, i, None if i == 7 else "" if i == 8 else f"the sea {i % 5} of é{i} the") for i in range(60)]
+    given = spark.createDataFrame(rows, "doc_name string, page_key long, text string")
+    numbered = index.number_pages(given, tokens=True)
+    made, lists = index.posted(given, texts=False)
+    columns = ["doc_name", "doc_idx", "page_no", "page_idx", "page_start", "page_key", "n_tokens", "sidx_start"]
+    assert sorted(made.columns) == sorted(columns) and lists.columns == blocks.FIELDS
+    assert sorted(map(str, made.select(*columns).collect())) == sorted(map(str, numbered.select(*columns).collect()))
+    expected = numbered.select("page_idx", "sidx_start", F.posexplode("tokens").alias("pos", "word")).select("word", "page_idx", "pos", F.expr("sidx_start + pos as sidx"))
+    assert sorted(map(tuple, blocks.word_places(lists).collect())) == sorted(map(tuple, expected.collect()))
+    assert {r.n for r in lists.select("n").collect()} <= set(range(1, 61)) and index.posted(given.limit(0))[1].count() == 0
+    kept = index.posted(given)[0]
+    assert sorted((r.page_idx, str(r.text)) for r in kept.collect()) == sorted((r.page_idx, str(r.text)) for r in numbered.collect())
