@@ -663,3 +663,18 @@ def test_posted_pages_are_numbered_pages_and_their_blocks(spark, size, monkeypat
     assert {r.n for r in lists.select("n").collect()} <= set(range(1, 61)) and index.posted(given.limit(0))[1].count() == 0
     kept = index.posted(given)[0]
     assert sorted((r.page_idx, str(r.text)) for r in kept.collect()) == sorted((r.page_idx, str(r.text)) for r in numbered.collect())
+
+
+def test_a_search_of_a_new_index_ranks_no_words_and_reads_its_blocks_once(spark, tmp_path, monkeypatch):
+    raw = spark.createDataFrame([(f"d{i % 9}", i, f"alpha {'beta ' * (i % 4)} gamma") for i in range(40)], "doc_name string, page_key long, text string")
+    asked = 'alpha nowhere "beta gamma"'
+    index.build_index(raw).save(str(tmp_path / "i"))
+    opened = index.open_index(spark, str(tmp_path / "i"))
+    expected = sorted(map(str, search.search(opened, asked).collect()))
+    made = index.build_index(raw, texts=False)
+    read = []
+    monkeypatch.setattr(index, "vocabulary", lambda *_: pytest.fail("all words are ranked"))
+    monkeypatch.setattr(search, "word_lists", lambda lists, words, own=search.word_lists: read.append(sorted(words)) or own(lists, words))
+    assert sorted(map(str, search.search(made, asked).collect())) == expected and len(search.search(made, "nowhere").collect()) == 40
+    assert read == [["alpha", "beta", "gamma", "nowhere"], ["nowhere"]] and "text" not in made.pages.columns
+    assert search.asked_lists(opened, []) is opened.blocks
