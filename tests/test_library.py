@@ -678,3 +678,27 @@ def test_a_search_of_a_new_index_ranks_no_words_and_reads_its_blocks_once(spark,
     assert sorted(map(str, search.search(made, asked).collect())) == expected and len(search.search(made, "nowhere").collect()) == 40
     assert read == [["alpha", "beta", "gamma", "nowhere"], ["nowhere"]] and "text" not in made.pages.columns
     assert search.asked_lists(opened, []) is opened.blocks
+
+
+@pytest.mark.parametrize("block, size, full", [(4096, 1_000_000, 512), (5, 40, 3), (3, 200, 1), (4096, 40, 512)])
+def test_saved_short_blocks_travel_in_groups(spark, tmp_path, monkeypatch, block, size, full):
+    """A saved index holds the places of one built as before; its rare words' blocks of many slices came in few rows and are joined."""
+    monkeypatch.setattr(blocks.text_blocks, "__defaults__", (block, size))
+    monkeypatch.setattr(blocks._grouped, "__defaults__", (full,))
+    rng = random.Random(block + size)
+    rare = [f"r{i}" for i in range(300)]
+    rows = [(f"d{i % 3}", i, " ".join(rng.choice(rare) if rng.random() < 0.5 else rng.choice(["the", "of", "r7"]) for _ in range(rng.choice([0, 1, 10, 60])))) for i in range(150)] + [(None, 7, None)]
+    raw = spark.createDataFrame(rows, "doc_name string, page_key long, text string")
+    monkeypatch.setattr(index.word_bounds, "__defaults__", (8, 500, 2000))
+    bounds = index.word_bounds(raw)
+    assert bounds == sorted(set(bounds)) and 1 <= len(bounds) <= 7 and index.word_bounds(raw.limit(0)) == []
+    opened, plain = index.build_saved(raw, str(tmp_path / "i")), index.build_index(raw)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(opened.postings) == key(plain.postings) and index.integrity(opened.blocks).first()["sound"]
+    assert key(opened.vocab) == key(plain.vocab) and key(opened.page_dim) == key(plain.page_dim) and key(opened.doc_dim) == key(plain.doc_dim)
+    assert key(opened.pages.select(sorted(opened.pages.columns)).fillna("")) == key(plain.pages.select(sorted(opened.pages.columns)).fillna(""))
+    assert key(opened.lookup("r7", "the")) == key(plain.lookup("r7", "the"))
+    if full == 512:  # once a word, twice where a task's share ends in its group; before, a block for each word of each slice was written and shuffled
+        assert opened.blocks.count() < 2 * plain.vocab.count() < plain.blocks.count()
+        assert 3 * index.posted(raw, bounds=bounds)[1].count() < plain.blocks.count()
+    assert index.build_saved(raw.limit(0), str(tmp_path / "none")).blocks.count() == 0
