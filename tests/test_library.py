@@ -702,3 +702,20 @@ def test_saved_short_blocks_travel_in_groups(spark, tmp_path, monkeypatch, block
         assert opened.blocks.count() < 2 * plain.vocab.count() < plain.blocks.count()
         assert 3 * index.posted(raw, bounds=bounds)[1].count() < plain.blocks.count()
     assert index.build_saved(raw.limit(0), str(tmp_path / "none")).blocks.count() == 0
+
+
+def test_tables_of_pages_never_meet_on_the_driver(spark, tmp_path):
+    """Their sizes are guessed by those of coded blocks, so that a broadcast would hold every place of a frequent word."""
+    texts = ["of the of x the of the", "the of", "", "of of the the", "x of the"]
+    index.build_saved(spark.createDataFrame([(f"d{i // 2}", i, t) for i, t in enumerate(texts)], "doc_name string, page_key long, text string"), str(tmp_path))
+    made = index.open_index(spark, str(tmp_path))
+    found = search.phrase_places(made.blocks, ("of", "the"))
+    assert sorted((r.page_idx, r.pos) for r in found.collect()) == [(0, 0), (0, 5), (3, 1), (4, 1)]
+    shares = search.page_shares(search.term_pages(made.blocks, [parser.parse('x "of the"')]), [2])
+    assert {r.page_idx: r.matched for r in search.with_shares(made.page_dim, shares, [2]).collect()} == {0: 2, 1: 0, 2: 0, 3: 1, 4: 2}
+    vectors = matrix.vector_blocks(spark.createDataFrame([(0, [1.0, 0.0]), (3, [0.0, 1.0])], "page_idx long, vec array<double>"))
+    scores = search.Scores(made, made.page_dim, [[]], vectors, [[1.0, 0.0]])
+    plain = made.page_dim.select("page_idx", "doc_idx", "page_no")
+    for df in (found, search.with_shares(plain, plain.select("page_idx", *(F.lit(1).alias(c) for c in ("matched", "n_terms", "grep"))), [1]), scores.with_distance(plain)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
