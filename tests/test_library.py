@@ -719,3 +719,14 @@ def test_tables_of_pages_never_meet_on_the_driver(spark, tmp_path):
     for df in (found, search.with_shares(plain, plain.select("page_idx", *(F.lit(1).alias(c) for c in ("matched", "n_terms", "grep"))), [1]), scores.with_distance(plain)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_sentences_are_split_many_at_once(spark, monkeypatch):
+    """As words() splits them, over several batches and cuts of a batch."""
+    given = ["l'eau (a) 1.2", None, "", "é ß a-b", "x" * 50, "of the of"] * 40
+    rows = spark.createDataFrame(list(enumerate(given)), "i long, t string")
+    assert all((r.a or []) == r.b for r in rows.select(text.words(F.col("t")).alias("a"), text.bulk_words("t").alias("b")).collect())
+    monkeypatch.setattr(text, "AT_ONCE", 7)
+    found = text.word_arrays(pa.array(given, pa.string())).to_pylist()
+    assert found == [text.normalized(g or "").split() for g in given]
+    assert text.word_arrays(pa.array([], pa.string())).to_pylist() == []
